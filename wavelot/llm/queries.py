@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wavelot.llm import quality, token_files
+from wavelot.llm import langid, packing, quality, token_files, toxicity, viterbi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +19,40 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _fold(n: int):
+    """crc32 of doc_id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), _fold(5) != 0)
+    return toxicity.score(docs, model).withColumn("held_out", _fold(5) == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "between_blanks")
+    return packing.pack(pieces)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs, _fold(4) != 2)
+    return langid.predict(docs, model).withColumn("held_out", _fold(4) == 2)
+
+
+def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.check_round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return token_files.read_token_files(spark, folder)
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op10_token_files": op10_token_files}
+QUERIES = {f.__name__: f for f in (op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files)}
 SQL = {"op6_quality_rules": quality.SQL}
