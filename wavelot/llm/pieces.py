@@ -13,13 +13,24 @@ import numpy as np
 
 # The characters with Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word with the space before it, or white space as far as a byte-level pre-tokeniser takes it.
-BYTE_LEVEL = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: For tokenizers that drop white space: what lies between plain blanks.
-BETWEEN_BLANKS = re.compile(r"[^ \t\n\r]+")
+#: Letters that lower-case one by one and that no normal form changes.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_END = r"(?=[ .,!?;:\n]|\Z)"
+#: A plain word; else all up to white space; white space as far as a byte-level pre-tokeniser takes it.
+BYTE_LEVEL = re.compile(rf" ?[{LATIN}]+{_END}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: For tokenizers that drop white space.
+BETWEEN_BLANKS = re.compile(rf"[{LATIN}]+{_END}|[^ \t\n\r]+")
+PLAIN = re.compile(rf" ?[{LATIN}]+")
 CHUNKS = {"byte_level": BYTE_LEVEL, "between_blanks": BETWEEN_BLANKS}
 
 
+def byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _Known(dict):
     """chunk -> number; unknown ones get the next number and wait in new."""
 
@@ -41,21 +52,34 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.pattern, self.most = CHUNKS[chunks], most
+        self.lower = chunks == "between_blanks"
+        # latin-1 text of the UTF-8 bytes -> the byte-level alphabet
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.forget()
 
     def forget(self) -> None:
         self.known = _Known()
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of each chunk's. A plain word is one unit for the model; others go through the whole library."""
+        model, whole, letters = self.tokenizer.model.tokenize, self.tokenizer.encode, self.letters
+        flat: list[int] = []
+        ends = []
+        for c in chunks:
+            if PLAIN.fullmatch(c):
+                if self.lower:
+                    c = c.lower()
+                flat += [t.id for t in model(c.encode().decode("latin-1").translate(letters))]
+            else:
+                flat += whole(c, add_special_tokens=False).ids
+            ends.append(len(flat))
+        return np.array(flat, np.uint32), np.diff(ends, prepend=0)
 
     def _learn(self) -> None:
         if not self.known.new:
             return
-        ids = self.encode_chunks(self.known.new)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+        flat, length = self.encode_chunks(self.known.new)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, flat])

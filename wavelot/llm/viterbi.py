@@ -27,11 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from wavelot.llm.common import texts
-from wavelot.llm.pieces import ChunkEncoder, slices
+from wavelot.llm.pieces import LATIN, ChunkEncoder, slices
 
 MARK = "▁"
 #: A run of space marks with the word after it, or a word at the very start.
 CHUNK = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: The same, and plain words apart from the signs after them, for vocabularies in which no piece joins the two.
+FINE = re.compile(rf"{MARK}*[{LATIN}]+(?=[{MARK}.,!?;:\n]|\Z)|{MARK}+[^{MARK}]*|[^{MARK}]+")
+_JOINED = re.compile(rf"[{LATIN}][.,!?;:\n]|[^{MARK}]{MARK}")
 ENCODED = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, decoded_sha256 string"
 
 
@@ -129,19 +132,23 @@ class PieceEncoder(ChunkEncoder):
     """Ids of texts under a byte-pair SentencePiece model."""
 
     def __init__(self, path: str, most: int = 400_000):
-        self.model, self.pattern, self.most = PieceModel(path), CHUNK, most
+        self.model, self.most = PieceModel(path), most
+        joined = [p for p in self.model.id_of if _JOINED.search(p)]
+        if any(MARK in p.lstrip(MARK) for p in joined):
+            raise ValueError("pieces of this vocabulary run across spaces")
+        self.pattern = CHUNK if joined else FINE
         self.forget()
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         model = self.model
-        out = []
+        ids: list[int] = []
+        ends = []
         for chunk in chunks:
-            ids: list[int] = []
             for piece in stream_pieces(model, iter(chunk)):
                 k = model.id_of.get(piece)
                 ids += [k] if k is not None else [model.byte_id[b] for b in piece.encode("utf-8", "replace")]
-            out.append(ids)
-        return out
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return super().encode([MARK + t.replace(" ", MARK) if t else None for t in texts])
