@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelot.llm import langid, packing, quality, token_files, toxicity, viterbi
+from wavelot.llm import bagminhash, langid, packing, quality, suffixes, token_files, toxicity, viterbi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def _fold(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_copies(_table(spark, sf_dir, "documents")).drop("id")
+
+
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), digest_only=True)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), _fold(5) != 0)
@@ -54,5 +62,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_suffix_array, op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files)}
 SQL = {"op6_quality_rules": quality.SQL}
