@@ -126,7 +126,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: i
     one_each = signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     distinct = cut(one_each)
     buckets = distinct.select("id", F.explode("bands").alias("bucket"))
-    stars = cut(star_pairs(buckets))
+    stars, crowded = star_pairs(buckets)
+    stars = cut(stars)
     margin = threshold - 6 * (threshold * (1 - threshold) / (bands * per_band)) ** 0.5
 
     def like(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -135,17 +136,13 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: i
             agree[i] = (x[i] == y).sum(axis=1)
         return agree >= margin * x.shape[1]
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", F.col("doc_id").alias("rep")), "id")
-        return _multisets(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "id"), size).dropDuplicates(["id"])
-
-    links = cut(_verify(stars, sets_of(stars), threshold))
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct().join(distinct.select("id", F.col("doc_id").alias("rep")), "id")
+    sets = cut(_multisets(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "id"), size).dropDuplicates(["id"]))
+    links = cut(_verify(stars, sets, threshold))
     groups = components(links)
-    sketched = buckets.join(distinct.select("id", "sketch"), "id")
-    more = cut(across_pairs(sketched, groups, like).join(stars, ["a", "b"], "left_anti"))
+    more = cut(across_pairs(crowded, distinct.select("id", "sketch"), groups, like).join(stars, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = links.unionByName(_verify(more, sets_of(more), threshold))
-        groups = components(links)
+        groups = components(links.unionByName(_verify(more, sets, threshold)))
     named = signed.select("doc_id", "id").join(groups, F.col("id") == F.col("node"), "left").select("doc_id", "id", F.coalesce("component", "id").alias("component"))
     lowest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id"), F.col("id"))).alias("first"))
     kept = F.when(F.col("component").isNull(), True).otherwise(F.struct(F.col("doc_id"), F.col("id")).eqNullSafe(F.col("first")))

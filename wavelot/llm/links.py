@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.llm.common import cut
+from wavelot.llm.common import cut, scratch
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -37,22 +37,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """buckets: bucket, id. Each id with its bucket's smallest id: as many pairs as rows, each once."""
-    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("bucket", "b")
-    return buckets.join(hubs, "bucket").where("id != b").select(F.col("id").alias("a"), "b").distinct()
+def star_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """buckets: bucket, id. Returns each id with its bucket's smallest id (a > b, each pair once), at most as many pairs
+    as rows, and the rows of crowded buckets, those with three ids or more, whose other pairs nobody has looked at yet."""
+    shapes = buckets.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("a"), F.count("*").alias("n")).where("a != b")
+    path = scratch(buckets.sparkSession, "shapes")
+    shapes.write.parquet(path)
+    shapes = buckets.sparkSession.read.parquet(path)
+    crowded = cut(buckets.join(shapes.where("n > 2").select("bucket", "b"), "bucket").select("bucket", "id", "b"))
+    pairs = shapes.where("n = 2").select("a", "b").unionByName(crowded.where("id != b").select(F.col("id").alias("a"), "b"))
+    return pairs.distinct(), crowded.select("bucket", "id")
 
 
-def across_pairs(buckets: DataFrame, groups: DataFrame, like: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 512) -> DataFrame:
+def across_pairs(crowded: DataFrame, sketches: DataFrame, groups: DataFrame, like: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 512) -> DataFrame:
     """Pairs of one bucket that no chain of links joins yet.
 
-    buckets: bucket, id, sketch (binary of one length); groups: node, component of the linked ids. like(one sketch matrix, another)
-    says which pairs are worth verifying. Buckets whose ids already are one group drop out, so large groups of
-    copies cost nothing here. Rows of a bucket are compared in blocks, only with rows of other groups.
+    crowded: bucket, id; sketches: id, sketch (binary of one length); groups: node, component of the linked ids. like(one sketch matrix,
+    another) says which pairs are worth verifying. Buckets whose ids already are one group drop out, so large groups
+    of copies cost nothing here. Rows of a bucket are compared in blocks, only with rows of other groups.
     """
-    grouped = buckets.join(groups, buckets["id"] == groups["node"], "left").select("bucket", "id", "sketch", F.coalesce("component", "id").alias("g"))
+    grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("g"))
     mixed = grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket")
-    rows = grouped.join(mixed, "bucket").repartition("bucket").sortWithinPartitions("bucket", "g", "id")
+    rows = grouped.join(mixed, "bucket").join(sketches, "id").repartition("bucket").sortWithinPartitions("bucket", "g", "id")
 
     def compare(ids: np.ndarray, g: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         m = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)
