@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelot.llm import bagminhash, langid, lines, packing, quality, suffixes, token_files, toxicity, viterbi
+from wavelot.llm import bagminhash, langid, lines, packing, quality, suffixes, token_files, toxicity, vectors, viterbi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), digest_only=True)
 
 
+def op3_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
@@ -66,5 +70,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_suffix_array, op4_fuzzy_lines, op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_suffix_array, op3_flat_graph, op4_fuzzy_lines, op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files)}
 SQL = {"op6_quality_rules": quality.SQL}
