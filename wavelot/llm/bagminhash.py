@@ -32,7 +32,7 @@ from wavelot.llm.common import cut, texts
 from wavelot.llm.links import across_pairs, components, star_pairs
 from wavelot.llm.pieces import slices
 from wavelot.llm.shingles import sequence_hashes, shingles
-from wavelot.llm.suffixes import _mix
+from wavelot.llm.hashing import mix
 
 #: Signature slots: bands x rows. A pair of similarity 0.8 is missed with probability (1 - 0.8^5)^28 = 1.5e-5.
 BANDS, ROWS = 28, 5
@@ -46,17 +46,17 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
     of = np.concatenate([np.arange(len(element)), *[np.flatnonzero(weight > 2 ** (k - 1)) for k in range(1, int(weight.max(initial=1)).bit_length() + 1)]])
     width = np.where(level > 0, 2.0 ** (level - 1), 1.0)
     begin = np.where(level > 0, width, 0.0)
-    seed = _mix(element[of] + _mix(level.astype(np.uint64)))
+    seed = mix(element[of] + mix(level.astype(np.uint64)))
     doc, most, time, point = text[of], weight[of], np.zeros(len(of)), 0
     while len(doc):
         # few active levels: several points of each at once
         step = max(1, min(64, 20_000 // len(doc)))
         r = np.arange(point, point + step, dtype=np.uint64)
-        x = _mix(seed[:, None] + r[None, :] * np.uint64(0x9E3779B97F4A7C15))
+        x = mix(seed[:, None] + r[None, :] * np.uint64(0x9E3779B97F4A7C15))
         gap = -np.log1p(-(x >> np.uint64(11)).astype(np.float64) * 2.0**-53) / width[:, None]
         gap[:, 0] += time
         times = np.cumsum(gap, axis=1)
-        y = _mix(x)
+        y = mix(x)
         slot = ((y >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
         counts = begin[:, None] + (y & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width[:, None] < most[:, None]
         at = (doc[:, None] * slots + slot)[counts]
@@ -83,9 +83,9 @@ def _sign(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
                 sig = np.ascontiguousarray(signatures(t, s, w, b - a, bands * per_band)).view(np.uint64)
                 band = np.zeros((b - a, bands), np.uint64)
                 for k in range(per_band):
-                    band = _mix(band + sig[:, k::per_band])
-                band = _mix(band + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
-                sketch = (_mix(sig) & np.uint64(255)).astype(np.uint8)
+                    band = mix(band + sig[:, k::per_band])
+                band = mix(band + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
+                sketch = (mix(sig) & np.uint64(255)).astype(np.uint8)
                 yield pd.DataFrame({"doc_id": ids.iloc[a:b].array, "id": pd.Series(whole.view(np.int64), dtype="Int64").where(whole != 0), "bands": list(band), "sketch": [x.tobytes() for x in sketch]})
 
     return rows.mapInPandas(run, "doc_id long, id long, bands array<long>, sketch binary")

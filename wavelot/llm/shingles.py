@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from wavelot.llm.suffixes import _SYMBOL, _mix
+from wavelot.llm.hashing import SYMBOL, mix
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -24,11 +24,11 @@ def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     power = np.full(len(b), _BASE, np.uint64)
     power[0] = 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SYMBOL[b] * np.multiply.accumulate(power), dtype=np.uint64)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(SYMBOL[b] * np.multiply.accumulate(power), dtype=np.uint64)])
     back = np.full(len(b), _INVERSE, np.uint64)
     back[0] = 1
     # the hash of a word at place s is shifted back by base^-s, so equal words agree wherever they stand
-    h = _mix((total[end] - total[start]) * np.multiply.accumulate(back)[start] + (end - start).astype(np.uint64))
+    h = mix((total[end] - total[start]) * np.multiply.accumulate(back)[start] + (end - start).astype(np.uint64))
     count = np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)])))
     return h, count
 
@@ -36,9 +36,9 @@ def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _sequence(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     ends = np.cumsum(count)
     place = np.arange(len(h)) - np.repeat(ends - count, count)
-    own = _mix(h + _mix(place.astype(np.uint64)))  # order matters
+    own = mix(h + mix(place.astype(np.uint64)))  # order matters
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
-    whole = _mix(run[ends] - run[ends - count] + count.astype(np.uint64))
+    whole = mix(run[ends] - run[ends - count] + count.astype(np.uint64))
     whole[count == 0] = 0
     return whole
 
@@ -64,7 +64,7 @@ def shingles(data: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray,
     for k in range(size):
         part = padded[at + k]
         s = s * _BASE + np.where(at + k < ends[text], part, np.uint64(k + 1))
-    s = _mix(s)
+    s = mix(s)
     whole = _sequence(h, count)
     order = np.lexsort((s, text))
     text, s = text[order], s[order]

@@ -31,24 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelot.llm.common import scratch
+from wavelot.llm.hashing import SYMBOL, mix
+from wavelot.llm.sieve import sift
 
-_M64 = (1 << 64) - 1
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_SYMBOL = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k bytes from each position, by joining runs whose lengths are powers of two."""
-    run, size, out, done = _SYMBOL[b], 1, None, 0
+    run, size, out, done = SYMBOL[b], 1, None, 0
     while True:
         if k & size:
             if out is None:
@@ -59,7 +50,7 @@ def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
                 done += size
         size *= 2
         if size > k:
-            return _mix(out)
+            return mix(out)
         half = size // 2
         run = run[: len(run) - half] * np.uint64(pow(_BASE, half, 1 << 64)) + run[half:]
 
@@ -151,7 +142,7 @@ def _spans(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(rows: DataFrame, length: int = 200, k: int = 40, most_fragments: int = 30_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 200, k: int = 40, most_fragments: int = 100_000) -> DataFrame:
     """rows: key (long), data (binary); equal texts must have equal keys. Returns key and spans, array<struct<a, b>>, for
     each key with repeated bytes; repeats by equal keys aren't looked for."""
     spark, reach = rows.sparkSession, length - k
@@ -167,8 +158,14 @@ def repeated_spans(rows: DataFrame, length: int = 200, k: int = 40, most_fragmen
     found = spark.read.parquet(path)
     place = F.xxhash64("key", "at")  # copies of a text share their places
     often = found.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("gram", (F.col("n") > most_fragments).alias("hot"))
-    wanted = found.join(often, "gram").groupBy("key").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("places"))
-    with_places = rows.join(wanted, "key")
+    path = scratch(spark, "grams")
+    often.write.parquet(path)
+    often = spark.read.parquet(path)
+    path = scratch(spark, "places")
+    again = sift(found, "gram", often.select("gram")).join(often, "gram")
+    again.groupBy("key").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("places")).write.parquet(path)
+    wanted = spark.read.parquet(path)
+    with_places = sift(rows, "key", wanted.select("key")).join(wanted, "key")
 
     def fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -226,12 +223,12 @@ def repeated_spans(rows: DataFrame, length: int = 200, k: int = 40, most_fragmen
     cold = with_places.mapInPandas(fragments, "gram long, key long, at long, lead int, data binary")
     spans = cold.repartition("gram").sortWithinPartitions("gram").mapInPandas(columns, "key long, a long, b long")
     if often.where("hot").limit(1).count():
-        spans = spans.unionByName(_hot_spans(with_places, length, reach))
-    merged = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    return merged
+        hot = wanted.select("key", F.filter("places", lambda p: p["hot"]).alias("places")).where(F.size("places") > 0)
+        spans = spans.unionByName(_hot_spans(rows, hot, length, reach))
+    return spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
-def _hot_spans(with_places: DataFrame, length: int, reach: int, run: int = 16) -> DataFrame:
+def _hot_spans(rows: DataFrame, hot: DataFrame, length: int, reach: int, run: int = 16) -> DataFrame:
     """Spans of windows anchored at hot grams, without bringing a gram's fragments together.
 
     A run of windows is known by its bytes (whole) and by the bytes that all its windows share (core). Runs with equal bytes are
@@ -247,23 +244,23 @@ def _hot_spans(with_places: DataFrame, length: int, reach: int, run: int = 16) -
             out = []
             for key, data, places in zip(pdf["key"].tolist(), pdf["data"], pdf["places"], strict=True):
                 for p in places:
-                    if p["hot"]:
-                        # runs start at fixed distances from the anchor, so equal windows lie in equal runs
-                        for far in range(reach, -1, -run):
-                            a, b = p["at"] - far, min(p["at"], p["at"] - far + run - 1) + length
-                            if a >= 0 and b <= len(data):
-                                out.append((digest(data[b - length : a + length]), hashlib.blake2b(data[a:b], digest_size=16).digest(), key, a, b))
-                            else:  # at a text's edge: windows one by one
-                                for s in range(max(a, 0), min(b, len(data)) - length + 1):
-                                    out.append((None, hashlib.blake2b(data[s : s + length], digest_size=16).digest(), key, s, s + length))
+                    # runs start at fixed distances from the anchor, so equal windows lie in equal runs
+                    for far in range(reach, -1, -run):
+                        a, b = p["at"] - far, min(p["at"], p["at"] - far + run - 1) + length
+                        if a >= 0 and b <= len(data):
+                            out.append((digest(data[b - length : a + length]), hashlib.blake2b(data[a:b], digest_size=16).digest(), key, a, b))
+                        else:  # at a text's edge: windows one by one
+                            for s in range(max(a, 0), min(b, len(data)) - length + 1):
+                                out.append((None, hashlib.blake2b(data[s : s + length], digest_size=16).digest(), key, s, s + length))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=names).astype({"core": "Int64"})
                     out = []
             yield pd.DataFrame(out, columns=names).astype({"core": "Int64"})
 
-    path = scratch(with_places.sparkSession, "runs")
-    with_places.where(F.exists("places", lambda p: p["hot"])).mapInPandas(runs, "core long, whole binary, key long, a long, b long").write.parquet(path)
-    found = with_places.sparkSession.read.parquet(path).withColumn("place", F.xxhash64("key", "a", "b"))
+    spark = rows.sparkSession
+    path = scratch(spark, "runs")
+    sift(rows, "key", hot.select("key")).join(hot, "key").mapInPandas(runs, "core long, whole binary, key long, a long, b long").write.parquet(path)
+    found = spark.read.parquet(path).withColumn("place", F.xxhash64("key", "a", "b"))
     by_run = found.where("core is not null").groupBy("core", "whole").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.min_by(F.struct("key", "a", "b"), "place").alias("one"))
     equal = found.join(by_run.where("x != y").select("core", "whole"), ["core", "whole"]).select("key", "a", "b")
     mixed = by_run.groupBy("core").agg(F.min("whole").alias("u"), F.max("whole").alias("v")).where("u != v").select("core")
@@ -272,7 +269,9 @@ def _hot_spans(with_places: DataFrame, length: int, reach: int, run: int = 16) -
     apart = by_run.join(mixed, "core").select("one.*", (F.col("x") == F.col("y")).alias("own"))
     # edge windows must also meet the windows inside runs
     lone = by_run.join(mixed, "core", "left_anti").select("one.*", (F.col("x") == F.col("y")).alias("own"))
-    windows = apart.unionByName(lone)
+    path = scratch(spark, "mixed")
+    apart.unionByName(lone).distinct().write.parquet(path)
+    windows = spark.read.parquet(path)
 
     def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -284,14 +283,15 @@ def _hot_spans(with_places: DataFrame, length: int, reach: int, run: int = 16) -
                     out = []
             yield pd.DataFrame(out, columns=["whole", "key", "a", "own"])
 
-    texts = with_places.select("key", "data").dropDuplicates(["key"])
+    texts = sift(rows, "key", windows.select("key")).select("key", "data")
+    # copies of a text come along; they count as one place
     taken = texts.join(windows, "key").mapInPandas(single, "whole binary, key long, a long, own boolean").unionByName(edges)
     place = F.xxhash64("key", "a")
     twice = taken.groupBy("whole").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max(~F.col("own")).alias("copied")).where("x != y or copied").select("whole")
     return equal.unionByName(taken.where("own").join(twice, "whole").select("key", "a", (F.col("a") + length).alias("b")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, id_col: str = "doc_id", text_col: str = "text", most_fragments: int = 30_000, digest_only: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, id_col: str = "doc_id", text_col: str = "text", most_fragments: int = 100_000, digest_only: bool = False) -> DataFrame:
     """docs with text_col reduced to the bytes that no repeated string covers (broken characters at the cuts are dropped).
 
     digest_only: instead doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the exact remaining bytes.
@@ -300,10 +300,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, id_col: str
     own = F.struct(F.col(id_col).cast("long").alias("doc_id")) if digest_only else F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(own.alias("own"), data.alias("data")).withColumn("key", F.xxhash64("data"))
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "spans")
     copies = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    spans = repeated_spans(rows.select("key", "data"), length, k, most_fragments)
-    found = spans.join(copies, "key", "full_outer")
-    joined = rows.join(found, "key", "left").select("own", "data", "spans", (F.col("n") > 1).alias("copied"))
+    repeated_spans(rows.select("key", "data"), length, k, most_fragments).join(copies, "key", "full_outer").write.parquet(path)
+    found = spark.read.parquet(path)
+    maybe = sift(rows, "key", found.select("key"), keep=True)
+    changed = maybe.where("sifted").join(found, "key", "left").select("own", "data", "spans", (F.col("n") > 1).alias("copied"))
+    same = maybe.where("not sifted").select("own", "data", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"), F.lit(False).alias("copied"))
+    joined = changed.unionByName(same)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
