@@ -8,8 +8,8 @@ next point comes later than the values of all slots.
 
 Signatures are cut into bands; texts that share a band are candidates, and each pair that links is verified by the overlap of its
 full multisets. Within a bucket each text is first compared with one hub. Groups that these links join need no further
-pairs; the remaining pairs of a bucket, between different groups, are then looked at one by one (on signatures first, at a margin
-of six standard deviations) and verified too. So no bucket is cut short and no large group of copies is expanded.
+pairs; texts of a bucket that are still in different groups are compared inside a task, which returns only links that join groups. So
+no bucket is cut short and no large group of copies is expanded.
 
 Defined results: a text without words (null, empty) links with nothing; texts with under five words count as one shingle, so they link
 when their words agree. Texts with equal word sequences are one node. Repeated rows get equal results. An empty table gives
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelot.llm.common import cut, texts
-from wavelot.llm.links import across_pairs, components, star_pairs
+from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.pieces import slices
 from wavelot.llm.shingles import sequence_hashes, shingles
 from wavelot.llm.hashing import mix
@@ -85,10 +85,9 @@ def _sign(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
                 for k in range(per_band):
                     band = mix(band + sig[:, k::per_band])
                 band = mix(band + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
-                sketch = (mix(sig) & np.uint64(255)).astype(np.uint8)
-                yield pd.DataFrame({"doc_id": ids.iloc[a:b].array, "id": pd.Series(whole.view(np.int64), dtype="Int64").where(whole != 0), "bands": list(band), "sketch": [x.tobytes() for x in sketch]})
+                yield pd.DataFrame({"doc_id": ids.iloc[a:b].array, "id": pd.Series(whole.view(np.int64), dtype="Int64").where(whole != 0), "bands": list(band)})
 
-    return rows.mapInPandas(run, "doc_id long, id long, bands array<long>, sketch binary")
+    return rows.mapInPandas(run, "doc_id long, id long, bands array<long>")
 
 
 def _multisets(rows: DataFrame, size: int) -> DataFrame:
@@ -123,26 +122,40 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: i
     """Per row of docs: doc_id, component_id, kept (the one of its group that stays) and id, the hash of its words (null without words)."""
     rows = texts(docs, id_col, text_col)
     signed = cut(_sign(rows, size, bands, per_band))
-    one_each = signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    one_each = signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     distinct = cut(one_each)
     buckets = distinct.select("id", F.explode("bands").alias("bucket"))
     stars, crowded = star_pairs(buckets)
     stars = cut(stars)
-    margin = threshold - 6 * (threshold * (1 - threshold) / (bands * per_band)) ** 0.5
 
-    def like(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        agree = np.empty((len(x), len(y)), np.int32)
-        for i in range(len(x)):
-            agree[i] = (x[i] == y).sum(axis=1)
-        return agree >= margin * x.shape[1]
+    def prepare(pdf: pd.DataFrame):
+        h = np.frombuffer(b"".join(pdf["hashes"]), "<u8")
+        c = np.frombuffer(b"".join(pdf["counts"]), "<u4").astype(np.int64)
+        sizes = np.fromiter((len(x) // 8 for x in pdf["hashes"]), np.int64, len(pdf))
+        begin = np.cumsum(sizes) - sizes
+        _, local = np.unique(h, return_inverse=True)
+        total = np.add.reduceat(c, begin)
+        weight = np.zeros(local.max() + 1, np.int64)
+
+        def links_of(i: int, others: np.ndarray) -> np.ndarray:
+            alike = np.minimum(total[others], total[i]) >= threshold * np.maximum(total[others], total[i])
+            if not alike.any():
+                return alike
+            own = slice(begin[i], begin[i] + sizes[i])
+            weight[local[own]] = c[own]
+            both = np.add.reduceat(np.minimum(weight[local], c), begin)[others]
+            weight[local[own]] = 0
+            return alike & (both / (total[others] + total[i] - both) >= threshold)
+
+        return links_of
 
     wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct().join(distinct.select("id", F.col("doc_id").alias("rep")), "id")
     sets = cut(_multisets(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "id"), size).dropDuplicates(["id"]))
     links = cut(_verify(stars, sets, threshold))
     groups = components(links)
-    more = cut(across_pairs(crowded, distinct.select("id", "sketch"), groups, like).join(stars, ["a", "b"], "left_anti"))
+    more = cut(across_links(crowded, groups, sets, prepare))
     if more.limit(1).count():
-        groups = components(links.unionByName(_verify(more, sets, threshold)))
+        groups = components(links.unionByName(more))
     named = signed.select("doc_id", "id").join(groups, F.col("id") == F.col("node"), "left").select("doc_id", "id", F.coalesce("component", "id").alias("component"))
     lowest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id"), F.col("id"))).alias("first"))
     kept = F.when(F.col("component").isNull(), True).otherwise(F.struct(F.col("doc_id"), F.col("id")).eqNullSafe(F.col("first")))

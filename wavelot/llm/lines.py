@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelot.llm.common import cut, scratch
-from wavelot.llm.links import across_pairs, components, star_pairs
+from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.pieces import slices
 from wavelot.llm.shingles import sequence_hashes, word_hashes
 
@@ -156,20 +156,23 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([edit_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    def verify(some: DataFrame) -> DataFrame:
-        both = some.join(forms_text.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(forms_text.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
-        return both.select("a", "b", alike("fa", "fb").alias("s")).where(F.col("s") >= threshold).select("a", "b")
+    def prepare(pdf: pd.DataFrame):
+        sim, form = pdf["sim"].to_numpy().view(np.uint64), pdf["form"].tolist()
 
-    def like(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        a, b = x.view(np.uint64), y.view(np.uint64)
-        return np.bitwise_count(a ^ b.T) <= differ
+        def links_of(i: int, others: np.ndarray) -> np.ndarray:
+            hit = np.bitwise_count(sim[others] ^ sim[i]) <= differ
+            for k in np.flatnonzero(hit).tolist():
+                hit[k] = edit_similarity(form[i], form[others[k]]) >= threshold
+            return hit
 
-    sketches = forms.select(F.col("norm").alias("id"), F.unhex(F.lpad(F.hex("sim"), 16, "0")).alias("sketch"))
-    links = cut(verify(pairs))
+        return links_of
+
+    both = pairs.join(forms_text.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(forms_text.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
+    links = cut(both.select("a", "b", alike("fa", "fb").alias("s")).where(F.col("s") >= threshold).select("a", "b"))
     groups = components(links)
-    more = cut(across_pairs(crowded, sketches, groups, like).join(pairs, ["a", "b"], "left_anti"))
+    more = cut(across_links(crowded, groups, forms_text.join(sims.withColumnRenamed("norm", "id"), "id"), prepare))
     if more.limit(1).count():
-        groups = components(links.unionByName(verify(more)))
+        groups = components(links.unionByName(more))
     named = forms.select("norm", "first").join(groups, F.col("norm") == F.col("node"), "left").select("norm", "first", F.col("component"))
     lowest = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     moved = named.where("component is not null").join(lowest, "component").select("norm", F.col("keep"))

@@ -49,50 +49,73 @@ def star_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), crowded.select("bucket", "id")
 
 
-def across_pairs(crowded: DataFrame, sketches: DataFrame, groups: DataFrame, like: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 512) -> DataFrame:
-    """Pairs of one bucket that no chain of links joins yet.
+class Sets:
+    """Disjoint sets of small whole numbers."""
 
-    crowded: bucket, id; sketches: id, sketch (binary of one length); groups: node, component of the linked ids. like(one sketch matrix,
-    another) says which pairs are worth verifying. Buckets whose ids already are one group drop out, so large groups
-    of copies cost nothing here. Rows of a bucket are compared in blocks, only with rows of other groups.
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        p = self.parent
+        while p[i] != i:
+            p[i] = i = p[p[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
+def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]], block: int = 4096) -> DataFrame:
+    """Verified links a, b of one bucket between ids that no chain of links joins yet: enough of them to join all that link.
+
+    crowded: bucket, id; groups: node, component of the ids linked so far; payload: id and what verifying takes. prepare(rows of a
+    bucket) gives a function (row number, other row numbers) -> which of these link with it. Buckets whose ids already are one
+    group drop out, so large groups of copies cost nothing here; in the others each row is compared, inside the task, with the rows of
+    other groups. A bucket of more than `block` rows is dealt into blocks, each pair of blocks a task's group of its own.
     """
     grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("g"))
-    mixed = grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket")
-    rows = grouped.join(mixed, "bucket").join(sketches, "id").repartition("bucket").sortWithinPartitions("bucket", "g", "id")
-
-    def compare(ids: np.ndarray, g: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)
-        for i in range(0, len(ids), block):
-            for j in range(i, len(ids), block):
-                if g[i] == g[min(j + block, len(ids)) - 1]:
-                    continue  # sorted by group: all of one group
-                x, y = np.nonzero(like(m[i : i + block], m[j : j + block]) & (g[i : i + block, None] < g[None, j : j + block]))
-                if len(x):
-                    yield ids[i + x], ids[j + y]
+    mixed = grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x != y").select("bucket", "blocks")
+    rows = grouped.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "g").join(payload, "id")
+    keys = ["bucket", "low", "high"]
+
+    def whole(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        pdf = pdf.reset_index(drop=True)
+        ids, side, sets, first = pdf["id"].tolist(), pdf["own"].to_numpy(), Sets(len(pdf)), {}
+        for i, g in enumerate(pdf["g"].tolist()):
+            sets.join(i, first.setdefault(g, i))
+        links_of, out = prepare(pdf), []
+        split = pdf["low"][0] != pdf["high"][0]
+        for i in range(len(ids)):
+            root = np.array([sets.root(j) for j in range(len(ids))]) if i == 0 or moved else root  # noqa: F821
+            later = np.flatnonzero(root != root[i])
+            later = later[(side[later] != side[i]) if split else later > i]
+            moved = False
+            if len(later) and not (split and side[i] == side.max()):
+                for j in later[links_of(i, later)].tolist():
+                    if sets.join(i, j):
+                        out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                        moved = True
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
             rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            b = rest["bucket"].to_numpy()
-            if b[0] == b[-1]:
-                continue
-            done = int(np.searchsorted(b, b[-1]))
-            yield from whole(rest.iloc[:done])
-            rest = rest.iloc[done:].reset_index(drop=True)
+            edges = np.flatnonzero((rest[keys].iloc[1:].to_numpy() != rest[keys].iloc[:-1].to_numpy()).any(axis=1)) + 1
+            if len(edges):  # the last group may go on
+                yield from found(rest, [0, *edges.tolist()])
+                rest = rest.iloc[edges[-1] :].reset_index(drop=True)
         if rest is not None and len(rest):
-            yield from whole(rest)
-
-    def whole(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        b, ids, g, sketch = pdf["bucket"].to_numpy(), pdf["id"].to_numpy(), pdf["g"].to_numpy(), pdf["sketch"].tolist()
-        edges = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
-        x, y = [], []
-        for s, e in zip(edges, edges[1:], strict=False):
-            for p, q in compare(ids[s:e], g[s:e], sketch[s:e]):
-                x.append(p)
-                y.append(q)
-        if x:
-            x, y = np.concatenate(x), np.concatenate(y)
-            yield pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-
-    return rows.mapInPandas(run, "a long, b long").distinct()
+            yield from found(rest, [0, len(rest)])
+
+    def found(pdf: pd.DataFrame, edges: list[int]) -> Iterator[pd.DataFrame]:
+        out = [x for s, e in zip(edges, edges[1:], strict=False) if e - s > 1 for x in whole(pdf.iloc[s:e])]
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
