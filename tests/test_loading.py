@@ -107,7 +107,7 @@ def test_noise_has_the_asked_ratio(spark):
     rnd = np.random.default_rng(1)
     clean = spark.createDataFrame([(k, rnd.normal(size=400).tolist()) for k in range(20)], "key long, audio array<float>")
     noise = spark.createDataFrame([(k, rnd.normal(size=150 + 500 * k).tolist()) for k in range(2)], "idx long, audio array<float>")
-    mixed = samples.add_noise(clean, noise, Augment(noise_prob=1.0, noise_snr_db=(12.0, 12.0)), 1, ["key"], 2)
+    mixed = samples.augment(clean, Augment(noise=True, noise_prob=1.0, noise_snr_db=(12.0, 12.0)), 1, ["key"], noise=noise, noise_count=2)
     before = {r["key"]: np.array(r["audio"]) for r in clean.collect()}
     for r in mixed.collect():
         left = np.array(r["audio"]) - before[r["key"]]

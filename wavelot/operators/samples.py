@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.functions import arrays
 from wavelot.functions.audio import change_speed, header_seconds, load_mono
 from wavelot.functions.random import between, choice, order_key, uniform
 from wavelot.functions.text import text_or_empty
@@ -88,19 +87,34 @@ def apply_filter(samples: DataFrame, keep: Column | Callable[[dict], bool]) -> D
     return samples.mapInPandas(run, samples.schema)
 
 
-def speed(samples: DataFrame, options: Augment, seed: int, keys: list[str], sample_rate: int = 16000) -> DataFrame:
-    """A random speed for each sample; 0.9 makes it shorter, a tenth of its length goes."""
+def _change(sample_rate: int):
+    """One pass over the audio: speed, volume, then noise, each where its draw isn't null."""
 
     @F.pandas_udf("array<float>")
-    def run(audio: pd.Series, by: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else change_speed(np.asarray(a, np.float32), s, sample_rate) for a, s in zip(audio, by, strict=True)], dtype=object)
-
-    return samples.withColumn("audio", run("audio", choice(list(options.speeds), f"speed{seed}", *keys)))
-
-
-def volume(samples: DataFrame, options: Augment, seed: int, keys: list[str]) -> DataFrame:
-    hit = uniform(f"volume?{seed}", *keys) <= options.volume_prob
-    return samples.withColumn("audio", F.when(hit, arrays.gain(F.col("audio"), between(*options.volume_db, f"volume{seed}", *keys))).otherwise(F.col("audio")))
+    def run(audio: pd.Series, by: pd.Series, db: pd.Series, noise: pd.Series, snr: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
+        for a, s, g, n, r, u in zip(audio, by, db, noise, snr, at, strict=True):
+            x = np.asarray(a if a is not None else [], np.float32)
+            if pd.notna(s):
+                x = change_speed(x, s, sample_rate)
+            if pd.notna(g):
+                x = (x * 10 ** (g / 20)).astype(np.float32)
+            if pd.notna(r) and n is not None and len(n) and len(x):
+                x = mix(x, np.asarray(n, np.float32), r, u)
+            out.append(x)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def mix(x: np.ndarray, noise: np.ndarray, snr_db: float, at: float) -> np.ndarray:
+    """x with noise at the ratio; short noise is repeated, long noise cut at `at` (0 .. 1) of what it has to spare."""
+    if len(noise) < len(x):
+        noise = np.resize(noise, len(x))
+    start = min(int(at * (len(noise) - len(x) + 1)), len(noise) - len(x))
+    noise = noise[start : start + len(x)].astype(np.float64)
+    level = lambda a: np.sqrt(np.mean(np.square(a, dtype=np.float64)))
+    return (x + noise * (level(x) / (10 ** (snr_db / 20) * level(noise) + 1e-8))).astype(np.float32)
 
 
 def pair_noise(samples: DataFrame, noise: DataFrame, seed: int, keys: list[str], count: int) -> DataFrame:
@@ -110,24 +124,19 @@ def pair_noise(samples: DataFrame, noise: DataFrame, seed: int, keys: list[str],
     return samples.withColumn("__at", at).join(right, F.col("__at") == F.col("__n"), "left").drop("__at", "__n")
 
 
-def add_noise(samples: DataFrame, noise: DataFrame, options: Augment, seed: int, keys: list[str], count: int) -> DataFrame:
-    """Mix each chosen sample with a noise at a random signal-to-noise ratio. Only chosen samples take part in the join."""
-    chosen = (uniform(f"noise?{seed}", *keys) < options.noise_prob) & (F.size("audio") > 0)
-    rest, own = samples.where(~chosen), samples.where(chosen)
-    paired = pair_noise(own, noise, seed, keys, count)
-    spare = F.greatest(F.size("noise_audio") - F.size("audio"), F.lit(0))
-    offset = F.floor(uniform(f"offset{seed}", *keys) * (spare + 1))
-    fitted = arrays.fit_noise(F.col("noise_audio"), F.size("audio"), offset)
-    mixed = arrays.mix_at_snr(F.col("audio"), fitted, between(*options.noise_snr_db, f"snr{seed}", *keys))
-    return rest.unionByName(paired.withColumn("audio", F.when(F.col("noise_audio").isNull(), F.col("audio")).otherwise(mixed)).drop("noise_audio"))
-
-
 def augment(samples: DataFrame, options: Augment, seed: int, keys: list[str], sample_rate: int = 16000, noise: DataFrame | None = None, noise_count: int = 0) -> DataFrame:
-    """Speed, then volume, then noise; length_s follows the audio."""
-    if options.speed:
-        samples = speed(samples, options, seed, keys, sample_rate)
-    if options.volume:
-        samples = volume(samples, options, seed, keys)
+    """Speed (0.9 makes a sample shorter, a tenth of its length goes), then volume, then noise; length_s follows the audio.
+
+    All draws come from hashes of the keys. Only samples that are to get noise take part in the join with the noise pool."""
+    none = F.lit(None).cast("double")
+    by = choice(list(options.speeds), f"speed{seed}", *keys) if options.speed else none
+    db = F.when(uniform(f"volume?{seed}", *keys) <= options.volume_prob, between(*options.volume_db, f"volume{seed}", *keys)) if options.volume else none
+    run, no_noise = _change(sample_rate), F.lit(None).cast("array<float>")
     if options.noise and noise is not None and noise_count:
-        samples = add_noise(samples, noise, options, seed, keys, noise_count)
+        chosen = uniform(f"noise?{seed}", *keys) < options.noise_prob
+        snr, at = between(*options.noise_snr_db, f"snr{seed}", *keys), uniform(f"offset{seed}", *keys)
+        noisy = pair_noise(samples.where(chosen), noise, seed, keys, noise_count).withColumn("audio", run("audio", by, db, "noise_audio", snr, at)).drop("noise_audio")
+        samples = samples.where(~chosen).withColumn("audio", run("audio", by, db, no_noise, none, none)).unionByName(noisy)
+    elif options.speed or options.volume:
+        samples = samples.withColumn("audio", run("audio", by, db, no_noise, none, none))
     return samples.withColumn("length_s", F.size("audio") / F.lit(float(sample_rate)))

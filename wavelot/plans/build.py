@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ from wavelot.sources import lists, sinks
 
 def probe(sources: DataFrame) -> DataFrame:
     """Durations of whole files, from their headers, where the source table gives none."""
-    import pandas as pd
-
     from wavelot.functions.audio import header_seconds
 
     @F.pandas_udf("double")

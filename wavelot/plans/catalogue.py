@@ -470,7 +470,7 @@ def spec_augment(spark, sf_dir):
 def speed_perturb(spark, sf_dir):
     from wavelot.options import Augment
 
-    return samples.speed(tones(spark, sf_dir), Augment(speed=True), 3, ["vec_id"]).select("vec_id", F.size("audio").alias("samples"))
+    return samples.augment(tones(spark, sf_dir), Augment(speed=True), 3, ["vec_id"]).select("vec_id", F.size("audio").alias("samples"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,8 +33,6 @@ def read_shards(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 
 def existing_shards(shards: DataFrame, columns: tuple[str, ...] = ("audio_tar", "manifest")) -> DataFrame:
     """Shards whose files exist, as seen from the tasks (a shard list is one row per file)."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def exists(paths: pd.Series) -> pd.Series:
         from pyarrow import fs
