@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from wavelot.llm.common import cut, scratch
 from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.pieces import slices
+from wavelot.llm.sieve import sift
 from wavelot.llm.shingles import sequence_hashes, word_hashes
 
 _WORD = re.compile(r"\w+")
@@ -37,15 +38,18 @@ def normal_form(line: str) -> str:
 
 
 def simhashes(data: list[bytes]) -> np.ndarray:
-    """64-bit SimHash of each text's words, with multiplicity."""
-    h, count = word_hashes(data)
+    """64-bit SimHash of each text's words, with multiplicity. A word weighs the square of its length (15 at most), so
+    that the short words which most lines share don't pull their hashes together."""
+    h, count, size = word_hashes(data)
     out = np.zeros(len(data), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
         starts = (np.cumsum(count) - count)[some]
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+        weight = np.minimum(size, 15).astype(np.uint8) ** 2
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1) * weight[:, None]
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > count[some, None], axis=1).view(np.uint64)[:, 0]
+        total = np.add.reduceat(weight, starts, dtype=np.int32)
+        out[some] = np.packbits(2 * ones > total[:, None], axis=1).view(np.uint64)[:, 0]
     return out
 
 
@@ -140,7 +144,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id
     pairs = cut(pairs.where(near).select("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct()
     wanted = wanted.join(forms.select(F.col("norm").alias("id"), "first"), "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h").alias("fh"), F.col("first.line").alias("line"))
-    of_doc = wanted.groupBy("d", "fh").agg(F.collect_list(F.struct("id", "line")).alias("want"))
+    of_doc = cut(wanted.groupBy("d", "fh").agg(F.collect_list(F.struct("id", "line")).alias("want")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -150,7 +154,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id
                 out += [(w["id"], normal_form(own[w["line"]])) for w in want]
             yield pd.DataFrame(out, columns=["id", "form"])
 
-    forms_text = cut(rows.join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("fh"))).select("text", "want").mapInPandas(read, "id long, form string").dropDuplicates(["id"]))
+    forms_text = cut(sift(rows, "h", of_doc.select("fh").distinct()).join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("fh"))).select("text", "want").mapInPandas(read, "id long, form string").dropDuplicates(["id"]))
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:

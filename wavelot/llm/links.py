@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelot.llm.common import cut, scratch
+from wavelot.llm.sieve import sift
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -44,7 +45,8 @@ def star_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     path = scratch(buckets.sparkSession, "shapes")
     shapes.write.parquet(path)
     shapes = buckets.sparkSession.read.parquet(path)
-    crowded = cut(buckets.join(shapes.where("n > 2").select("bucket", "b"), "bucket").select("bucket", "id", "b"))
+    # most buckets hold one id; the sieve keeps their rows out of the join
+    crowded = cut(sift(buckets, "bucket", shapes.where("n > 2").select("bucket")).join(shapes.where("n > 2").select("bucket", "b"), "bucket").select("bucket", "id", "b"))
     pairs = shapes.where("n = 2").select("a", "b").unionByName(crowded.where("id != b").select(F.col("id").alias("a"), "b"))
     return pairs.distinct(), crowded.select("bucket", "id")
 

@@ -13,12 +13,12 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 
 
-def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs without ASCII white space) in order, and the number of each text's words."""
+def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words (runs without ASCII white space) in order, the number of each text's words, and the words' bytes."""
     sizes = np.fromiter((len(d) + 1 for d in data), np.int64, len(data))
     b = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
     if not len(b):
-        return np.zeros(0, np.uint64), np.zeros(len(data), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(data), np.int64), np.zeros(0, np.int64)
     inside = ~_WHITE[b]
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -30,7 +30,7 @@ def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # the hash of a word at place s is shifted back by base^-s, so equal words agree wherever they stand
     h = mix((total[end] - total[start]) * np.multiply.accumulate(back)[start] + (end - start).astype(np.uint64))
     count = np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)])))
-    return h, count
+    return h, count, end - start
 
 
 def _sequence(h: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def _sequence(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def sequence_hashes(data: list[bytes]) -> np.ndarray:
     """A hash of each text's word sequence, 0 without words."""
-    return _sequence(*word_hashes(data))
+    return _sequence(*word_hashes(data)[:2])
 
 
 def shingles(data: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def shingles(data: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray,
 
     A text with fewer words than size has one shingle of all its words.
     """
-    h, count = word_hashes(data)
+    h, count, _ = word_hashes(data)
     ends = np.cumsum(count)
     starts = ends - count
     number = np.maximum(count - size + 1, (count > 0).astype(np.int64))
