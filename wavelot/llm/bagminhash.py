@@ -153,7 +153,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: i
     sets = cut(_multisets(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "id"), size).dropDuplicates(["id"]))
     links = cut(_verify(stars, sets, threshold))
     groups = components(links)
-    more = cut(across_links(crowded, groups, sets, prepare))
+    more = cut(across_links(crowded, groups, sets, prepare).select("a", "b").distinct())
     if more.limit(1).count():
         groups = components(links.unionByName(more))
     named = signed.select("doc_id", "id").join(groups, F.col("id") == F.col("node"), "left").select("doc_id", "id", F.coalesce("component", "id").alias("component"))

@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def thin(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
+    """df in as many tasks as its number of short rows asks for, so that small steps don't leave a file per partition."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.llm.common import cut, scratch
+from wavelot.llm.common import cut, scratch, thin
 from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.pieces import slices
 from wavelot.llm.sieve import sift
@@ -112,13 +112,16 @@ def _blocks(n: int, differ: int) -> tuple[int, int]:
     return blocks, blocks - differ
 
 
-def _block_keys(sim: str, blocks: int, keep: int):
+def _masks(blocks: int, keep: int) -> list[int]:
+    """The bits of each choice of blocks, fewer than 64 choices."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(blocks), keep)):
-        mask = reduce(lambda x, i: x | (((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]), chosen, 0)
-        keys.append(F.xxhash64(F.col(sim).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)), F.lit(k)))
-    return F.array(*keys)
+    return [reduce(lambda x, i: x | (((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]), chosen, 0) for chosen in combinations(range(blocks), keep)]
+
+
+def _block_keys(sim: str, masks: list[int]):
+    """One bucket per choice; its lowest six bits are the number of the choice."""
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    return F.array(*[F.shiftleft(F.xxhash64(F.col(sim).bitwiseAND(F.lit(m)), F.lit(k)), 6).bitwiseOR(F.lit(k).cast("long")) for k, m in enumerate(signed)])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,17 +138,14 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id
     path = scratch(spark, "forms")
     lines.groupBy("norm").agg(F.min(at).alias("first"), F.min("sim").alias("sim")).write.parquet(path)
     forms = spark.read.parquet(path)
-    blocks, keep = _blocks(forms.count(), differ)
-    buckets = forms.select(F.col("norm").alias("id"), F.explode(_block_keys("sim", blocks, keep)).alias("bucket"))
+    masks = _masks(*_blocks(forms.count(), differ))
+    bits = np.array(masks, np.uint64)
+    buckets = forms.select(F.col("norm").alias("id"), F.explode(_block_keys("sim", masks)).alias("bucket"))
     pairs, crowded = star_pairs(buckets)
     sims = forms.select("norm", "sim")
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= differ
     pairs = pairs.join(sims.select(F.col("norm").alias("a"), F.col("sim").alias("x")), "a").join(sims.select(F.col("norm").alias("b"), F.col("sim").alias("y")), "b")
     pairs = cut(pairs.where(near).select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct()
-    wanted = wanted.join(forms.select(F.col("norm").alias("id"), "first"), "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h").alias("fh"), F.col("first.line").alias("line"))
-    of_doc = cut(wanted.groupBy("d", "fh").agg(F.collect_list(F.struct("id", "line")).alias("want")))
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -154,29 +154,65 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id
                 out += [(w["id"], normal_form(own[w["line"]])) for w in want]
             yield pd.DataFrame(out, columns=["id", "form"])
 
-    forms_text = cut(sift(rows, "h", of_doc.select("fh").distinct()).join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("fh"))).select("text", "want").mapInPandas(read, "id long, form string").dropDuplicates(["id"]))
+    def forms_of(ids: DataFrame) -> DataFrame:
+        """id, form: the normal forms, read again from the documents that hold them first."""
+        wanted = ids.join(forms.select(F.col("norm").alias("id"), "first"), "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h").alias("fh"), F.col("first.line").alias("line"))
+        of_doc = cut(wanted.groupBy("d", "fh").agg(F.collect_list(F.struct("id", "line")).alias("want")))
+        held = sift(rows, "h", of_doc.select("fh").distinct()).join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("fh")))
+        return held.select("text", "want").mapInPandas(read, "id long, form string").dropDuplicates(["id"])
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([edit_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    def prepare(pdf: pd.DataFrame):
-        sim, form = pdf["sim"].to_numpy().view(np.uint64), pdf["form"].tolist()
+    def judged(found: DataFrame) -> DataFrame:
+        """found: a, b. The same with ok, whether their forms link."""
+        found = thin(found, found.count())
+        text = cut(forms_of(found.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        both = found.join(text.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(text.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
+        return cut(both.select("a", "b", (alike("fa", "fb") >= threshold).alias("ok")))
+
+    def close(pdf: pd.DataFrame):
+        sim, choice = pdf["sim"].to_numpy().view(np.uint64), int(pdf["bucket"].iloc[0]) & 63
+
+        def links_of(i: int, others: np.ndarray) -> np.ndarray:
+            x = sim[others] ^ sim[i]
+            hit = np.bitwise_count(x) <= differ
+            some = np.flatnonzero(hit)
+            # a pair that shares several buckets is looked at in the first of them
+            hit[some] = ((x[some, None] & bits) == 0).argmax(axis=1) == choice
+            return hit
+
+        return links_of
+
+    def close_and_alike(pdf: pd.DataFrame):
+        near_to, form, length = close(pdf), pdf["form"].tolist(), pdf["form"].str.len().to_numpy()
 
         def links_of(i: int, others: np.ndarray) -> np.ndarray:
-            hit = np.bitwise_count(sim[others] ^ sim[i]) <= differ
+            hit = near_to(i, others)
+            size = length[others[hit]]
+            hit[hit] = np.abs(size - length[i]) <= (1 - threshold + 1e-9) * np.maximum(size, length[i])
             for k in np.flatnonzero(hit).tolist():
                 hit[k] = edit_similarity(form[i], form[others[k]]) >= threshold
             return hit
 
         return links_of
 
-    both = pairs.join(forms_text.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(forms_text.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
-    links = cut(both.select("a", "b", alike("fa", "fb").alias("s")).where(F.col("s") >= threshold).select("a", "b"))
+    links = judged(pairs).where("ok").select("a", "b")
     groups = components(links)
-    more = cut(across_links(crowded, groups, forms_text.join(sims.withColumnRenamed("norm", "id"), "id"), prepare))
-    if more.limit(1).count():
-        groups = components(links.unionByName(more))
+    sim_of = sims.withColumnRenamed("norm", "id")
+    # first by hashes alone, which are small: a forest of close pairs. Where all its pairs verify, the bucket is done
+    likely = cut(across_links(crowded, groups, sim_of, close))
+    if likely.limit(1).count():
+        likely = thin(likely, likely.count())
+        tried = judged(cut(likely.select("a", "b").distinct()))
+        links = links.unionByName(tried.where("ok").select("a", "b"))
+        groups = components(links)
+        open_buckets = likely.join(tried.where("not ok"), ["a", "b"]).select("bucket").distinct()
+        left = cut(crowded.join(open_buckets, "bucket").select("bucket", "id"))
+        if left.limit(1).count():
+            more = across_links(left, groups, forms_of(left.select("id").distinct()).join(sim_of, "id"), close_and_alike)
+            groups = components(links.unionByName(cut(more.select("a", "b").distinct())))
     named = forms.select("norm", "first").join(groups, F.col("norm") == F.col("node"), "left").select("norm", "first", F.col("component"))
     lowest = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     moved = named.where("component is not null").join(lowest, "component").select("norm", F.col("keep"))

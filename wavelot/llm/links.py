@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.llm.common import cut, scratch
+from wavelot.llm.common import cut, scratch, thin
 from wavelot.llm.sieve import sift
 
 
@@ -21,13 +21,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs, before = cut(pairs), None
+    n = pairs.count()
+    pairs = thin(pairs, n)
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        large = thin(thin(large, n).distinct(), n)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        pairs = cut(small)
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b")
+        pairs = cut(thin(thin(small, n).distinct(), n))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -47,31 +50,13 @@ def star_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     shapes = buckets.sparkSession.read.parquet(path)
     # most buckets hold one id; the sieve keeps their rows out of the join
     crowded = cut(sift(buckets, "bucket", shapes.where("n > 2").select("bucket")).join(shapes.where("n > 2").select("bucket", "b"), "bucket").select("bucket", "id", "b"))
+    crowded = thin(crowded, crowded.count())
     pairs = shapes.where("n = 2").select("a", "b").unionByName(crowded.where("id != b").select(F.col("id").alias("a"), "b"))
     return pairs.distinct(), crowded.select("bucket", "id")
 
 
-class Sets:
-    """Disjoint sets of small whole numbers."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = i = p[p[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        """Whether they were apart."""
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
-        return i != j
-
-
 def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]], block: int = 4096) -> DataFrame:
-    """Verified links a, b of one bucket between ids that no chain of links joins yet: enough of them to join all that link.
+    """Links a, b, bucket between ids that no chain of links joins yet: enough of them to join all that link.
 
     crowded: bucket, id; groups: node, component of the ids linked so far; payload: id and what verifying takes. prepare(rows of a
     bucket) gives a function (row number, other row numbers) -> which of these link with it. Buckets whose ids already are one
@@ -85,23 +70,22 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
     rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "g").join(payload, "id")
     keys = ["bucket", "low", "high"]
 
-    def whole(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    def whole(pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
         pdf = pdf.reset_index(drop=True)
-        ids, side, sets, first = pdf["id"].tolist(), pdf["own"].to_numpy(), Sets(len(pdf)), {}
-        for i, g in enumerate(pdf["g"].tolist()):
-            sets.join(i, first.setdefault(g, i))
+        bucket, ids, side, label = int(pdf["bucket"][0]), pdf["id"].tolist(), pdf["own"].to_numpy(), pdf["g"].to_numpy().copy()
         links_of, out = prepare(pdf), []
         split = pdf["low"][0] != pdf["high"][0]
         for i in range(len(ids)):
-            root = np.array([sets.root(j) for j in range(len(ids))]) if i == 0 or moved else root  # noqa: F821
-            later = np.flatnonzero(root != root[i])
-            later = later[(side[later] != side[i]) if split else later > i]
-            moved = False
-            if len(later) and not (split and side[i] == side.max()):
-                for j in later[links_of(i, later)].tolist():
-                    if sets.join(i, j):
-                        out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
-                        moved = True
+            if split and side[i] == side.max():
+                continue  # each pair of two blocks is seen from the lower block
+            other = label != label[i]
+            other &= (side != side[i]) if split else np.arange(len(ids)) > i
+            later = np.flatnonzero(other)
+            hits = later[links_of(i, later)] if len(later) else later
+            if len(hits):
+                joined, first = np.unique(label[hits], return_index=True)
+                out += [(max(ids[i], ids[j]), min(ids[i], ids[j]), bucket) for j in hits[first].tolist()]
+                label[np.isin(label, joined)] = label[i]
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,6 +102,6 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
     def found(pdf: pd.DataFrame, edges: list[int]) -> Iterator[pd.DataFrame]:
         out = [x for s, e in zip(edges, edges[1:], strict=False) if e - s > 1 for x in whole(pdf.iloc[s:e])]
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=["a", "b", "bucket"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long, bucket long")
