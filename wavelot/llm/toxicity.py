@@ -9,7 +9,8 @@ regression on leave-one-out votes of the examples themselves.
 
 Defined results: a text with none of the terms (empty and null texts too) has no neighbours and gets the
 toxic rate of examples without terms. Ties in cosine go to the smaller example number. Repeated rows are scored one by one.
-Of several labels of one doc_id the largest counts. Without labels every score is 0. An empty table gives an empty result.
+Of several labels of one doc_id the largest counts. Where each class has a single distinct vector, leave-one-out votes
+find no neighbour and every score is the toxic rate. Without labels every score is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
