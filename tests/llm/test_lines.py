@@ -80,3 +80,43 @@ def test_null_ids_repeats_and_empty(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_report(frame).collect()) == [(0, 0), (1, 1), (1, 1)]
     assert line_report(frame.limit(0)).count() == 0
     assert lines._blocks(10**9, 3)[1] >= 2
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_links_by_edit_similarity_alone(spark, seed):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 10)))
+    forms, pairs = [], set()
+    for k in range(300):
+        parts = [word() for _ in range((1, 2, 8, 20, 60)[k % 5])]
+        if k % 5 < 2:  # short lines differ by a character
+            other = " ".join(parts)
+            at = rnd.randrange(len(other))
+            forms += [" ".join(parts), other[:at] + rnd.choice("xyz") + other[at + 1 :]]
+        else:
+            other = [*parts]
+            other[rnd.randrange(len(parts))] = word()
+            forms += [" ".join(parts), " ".join(other)]
+    forms = sorted(set(forms))
+    for i, x in enumerate(forms):
+        for j in range(i):
+            y = forms[j]
+            if abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and edit_similarity(x, y) >= 0.8:
+                pairs.add((j, i))
+    root = list(range(len(forms)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        root[max(top(i), top(j))] = min(top(i), top(j))
+    want = {i for i in range(len(forms)) if top(i) != i}
+    rows = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    got = {r["doc_id"] for r in line_report(rows, differ=None).where("n_removed > 0").collect()}
+    assert len(want) > 150 and got <= want
+    short = {i for i in want if len(forms[i]) < lines.SHORT - 3}
+    assert short <= got  # deletions miss none
+    assert len(got) / len(want) >= 0.9
+    assert len({r["doc_id"] for r in line_report(rows).where("n_removed > 0").collect()}) / len(want) < 0.8  # what 3 bits reach

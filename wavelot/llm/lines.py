@@ -7,6 +7,10 @@ occurrence, by (doc_id, hash of the text, line number), stays; all others go.
 
 A link therefore means: Hamming distance <= differ and edit similarity >= threshold.
 
+With differ=None, as the queries use it, a link means edit similarity >= threshold alone, and candidates come from two other sources: MinHash of
+the weighted words (`BANDS` buckets of `ROWS` minima), and for lines under `SHORT` characters all their forms with as many deletions as the threshold
+lets them differ by, which misses no pair of short lines. MinHash can miss a pair; the README gives the measured recall.
+
 Defined results: lines without anything but white space always stay and aren't counted as removed. A line without words stands for itself, stripped. Null
 texts have no lines and stay null. Rows that repeat doc_id and text get equal results (each keeps the lines that the first of them keeps). A null
 doc_id comes first. An empty table gives an empty result.
@@ -18,6 +22,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelot.llm.common import cut, scratch, thin
-from wavelot.llm.links import across_links, components, star_pairs
+from wavelot.llm.hashing import mix
+from wavelot.llm.links import across_links, components, mixed_ids, star_pairs
 from wavelot.llm.pieces import slices
 from wavelot.llm.sieve import sift
 from wavelot.llm.shingles import sequence_hashes, word_hashes
 
+BANDS, ROWS, SHORT = 16, 4, 15
 _WORD = re.compile(r"\w+")
 
 
@@ -53,6 +60,43 @@ def simhashes(data: list[bytes]) -> np.ndarray:
     return out
 
 
+def band_keys(data: list[bytes]) -> np.ndarray:
+    """Texts x BANDS: 32-bit hashes of ROWS minima each over the text's words, 0 without words. Words weigh as in simhashes, so two texts
+    agree in a minimum about as often as the weight of their words is shared. Each minimum serves in two bands; two bands share one at most."""
+    h, count, size = word_hashes(data)
+    out = np.zeros((len(data), BANDS), np.uint32)
+    some = np.flatnonzero(count)
+    if len(some):
+        starts = (np.cumsum(count) - count)[some]
+        scale = -1 / np.minimum(size, 15).astype(np.float32) ** 2
+        n = BANDS * ROWS // 2
+        low = np.empty((n, len(some)), np.uint64)
+        for k in range(0, n, 2):
+            own = mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint32).reshape(-1, 2)
+            for j in (0, 1):
+                u = ((own[:, j] >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
+                low[k + j] = np.minimum.reduceat(np.log(u) * scale, starts).view(np.uint32)
+        half = BANDS // 2
+        chosen = [range(b * ROWS, b * ROWS + ROWS) for b in range(half)] + [range(b, n, half) for b in range(half)]
+        for b, rows in enumerate(chosen):
+            key = np.full(len(some), b, np.uint64)
+            for k in rows:
+                key = mix(key ^ low[k])
+            out[some, b] = key >> np.uint64(32)
+    return out
+
+
+def deletion_keys(form: str, threshold: float) -> list[int]:
+    """32-bit hashes of what a short form leaves when as many characters go as two forms of its length may differ by."""
+    if len(form) >= SHORT:
+        return []
+    left = every = {form}
+    for _ in range(int((1 - threshold) * len(form) + 1e-9)):
+        left = {x[:i] + x[i + 1 :] for x in left for i in range(len(x))}
+        every = every | left
+    return [crc32(x.encode("utf-8", "replace")) for x in every] if len(every) > 1 else []
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, bit-parallel over the shorter string."""
     n = 0
@@ -81,27 +125,46 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def pair_profile(forms: list[str]) -> np.ndarray:
+    """Forms x 64: how many pairs of neighbouring characters fall into each of 64 classes."""
+    out = np.zeros((len(forms), 64), np.int32)
+    for i, x in enumerate(forms):
+        c = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
+        out[i] = np.bincount((c[:-1] * np.uint32(37) + c[1:] * np.uint32(11)) & np.uint32(63), minlength=64)
+    return out
+
+
 def edit_similarity(a: str, b: str) -> float:
     return 1 - edit_distance(a, b) / max(len(a), len(b), 1)
 
 
-def _line_rows(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, text, h. Per line with a sign: doc_id, h, line, norm (hash of the normal form), sim."""
+def _line_rows(rows: DataFrame, threshold: float, banded: bool) -> DataFrame:
+    """rows: doc_id, text, h. Per line with a sign: doc_id, h, line, norm (hash of the normal form), sim; banded: size and keys instead of sim."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, h, text = pdf["doc_id"].astype("Int64"), pdf["h"].to_numpy(), pdf["text"].tolist()
             for a, b in slices(text, 2_000_000):
-                row, number, form = [], [], []
+                row, number, form, size, short = [], [], [], [], []
                 for i in range(a, b):
                     for k, line in enumerate((text[i] or "").split("\n")):
                         if not line.isspace() and line:
                             row.append(i)
                             number.append(k)
-                            form.append(normal_form(line).encode("utf-8", "replace"))
-                yield pd.DataFrame({"doc_id": ids.iloc[row].array, "h": h[row], "line": np.array(number, np.int64), "norm": sequence_hashes(form).view(np.int64), "sim": simhashes(form).view(np.int64)})
-
-    return rows.mapInPandas(run, "doc_id long, h long, line long, norm long, sim long")
+                            own = normal_form(line)
+                            form.append(own.encode("utf-8", "replace"))
+                            if banded:
+                                size.append(len(own))
+                                short.append(deletion_keys(own, threshold))
+                out = pd.DataFrame({"doc_id": ids.iloc[row].array, "h": h[row], "line": np.array(number, np.int64), "norm": sequence_hashes(form).view(np.int64)})
+                if banded:
+                    keys = band_keys(form).view(np.int32)
+                    more = [np.concatenate([k, np.array(x, np.uint32).view(np.int32)]) if x else k for k, x in zip(keys, short, strict=True)]
+                    yield out.assign(size=np.array(size, np.int32), keys=pd.Series(more, dtype=object))
+                else:
+                    yield out.assign(sim=simhashes(form).view(np.int64))
+
+    return rows.mapInPandas(run, "doc_id long, h long, line long, norm long, " + ("size int, keys array<int>" if banded else "sim long"))
 
 
 def _blocks(n: int, differ: int) -> tuple[int, int]:
@@ -128,24 +191,33 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
 
 
-def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per occurrence that goes: doc_id, h (xxhash64 of the text), line (number from 0), distinct."""
+def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per occurrence that goes: doc_id, h (xxhash64 of the text), line (number from 0), distinct. differ=None: links by edit similarity alone."""
+    banded = differ is None
     spark = docs.sparkSession
     rows, path = _rows(docs, id_col, text_col), scratch(docs.sparkSession, "lines")
-    _line_rows(rows).write.parquet(path)
+    _line_rows(rows, threshold, banded).write.parquet(path)
     lines = spark.read.parquet(path)
     at = F.struct("doc_id", "h", "line")
     path = scratch(spark, "forms")
-    lines.groupBy("norm").agg(F.min(at).alias("first"), F.min("sim").alias("sim")).write.parquet(path)
+    lines.groupBy("norm").agg(F.min(at).alias("first"), *([F.min("size").alias("size"), F.first("keys").alias("keys")] if banded else [F.min("sim").alias("sim")])).write.parquet(path)
     forms = spark.read.parquet(path)
-    masks = _masks(*_blocks(forms.count(), differ))
-    bits = np.array(masks, np.uint64)
-    buckets = forms.select(F.col("norm").alias("id"), F.explode(_block_keys("sim", masks)).alias("bucket"))
+    if banded:
+        place = F.least("pos", F.lit(BANDS)).cast("long")  # keys of deletions share the last place
+        buckets = forms.select(F.col("norm").alias("id"), F.posexplode("keys").alias("pos", "key"))
+        buckets = buckets.select("id", F.shiftleft(place, 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bucket"))
+        payload = forms.select("norm", F.col("size").alias("sim"))
+        near = F.abs(F.col("x") - F.col("y")) <= (1 - threshold + 1e-9) * F.greatest("x", "y")
+    else:
+        masks = _masks(*_blocks(forms.count(), differ))
+        bits = np.array(masks, np.uint64)
+        buckets = forms.select(F.col("norm").alias("id"), F.explode(_block_keys("sim", masks)).alias("bucket"))
+        payload = forms.select("norm", "sim")
+        near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= differ
     pairs, crowded = star_pairs(buckets)
-    sims = forms.select("norm", "sim")
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= differ
-    pairs = pairs.join(sims.select(F.col("norm").alias("a"), F.col("sim").alias("x")), "a").join(sims.select(F.col("norm").alias("b"), F.col("sim").alias("y")), "b")
+    pairs = pairs.join(payload.select(F.col("norm").alias("a"), F.col("sim").alias("x")), "a").join(payload.select(F.col("norm").alias("b"), F.col("sim").alias("y")), "b")
     pairs = cut(pairs.where(near).select("a", "b"))
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -186,12 +258,18 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id
         return links_of
 
     def close_and_alike(pdf: pd.DataFrame):
-        near_to, form, length = close(pdf), pdf["form"].tolist(), pdf["form"].str.len().to_numpy()
+        form, length = pdf["form"].tolist(), pdf["form"].str.len().to_numpy()
+        near_to = None if banded else close(pdf)
+        profile = pair_profile(form) if banded else None
 
         def links_of(i: int, others: np.ndarray) -> np.ndarray:
-            hit = near_to(i, others)
+            hit = np.ones(len(others), bool) if banded else near_to(i, others)
             size = length[others[hit]]
             hit[hit] = np.abs(size - length[i]) <= (1 - threshold + 1e-9) * np.maximum(size, length[i])
+            if banded:
+                # an edit takes two pairs of characters at most and brings two, so no link is lost here
+                some = others[hit]
+                hit[hit] = np.abs(profile[some] - profile[i]).sum(axis=1) <= 4 * (1 - threshold + 1e-9) * np.maximum(length[some], length[i])
             for k in np.flatnonzero(hit).tolist():
                 hit[k] = edit_similarity(form[i], form[others[k]]) >= threshold
             return hit
@@ -200,7 +278,11 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id
 
     links = judged(pairs).where("ok").select("a", "b")
     groups = components(links)
-    sim_of = sims.withColumnRenamed("norm", "id")
+    if banded:
+        left = across_links(crowded, groups, forms_of(mixed_ids(crowded, groups)), close_and_alike)
+        groups = components(links.unionByName(cut(left.select("a", "b").distinct())))
+        return _removed(lines, forms, groups)
+    sim_of = payload.withColumnRenamed("norm", "id")
     # first by hashes alone, which are small: a forest of close pairs. Where all its pairs verify, the bucket is done
     likely = cut(across_links(crowded, groups, sim_of, close))
     if likely.limit(1).count():
@@ -213,6 +295,11 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int = 3, id
         if left.limit(1).count():
             more = across_links(left, groups, forms_of(left.select("id").distinct()).join(sim_of, "id"), close_and_alike)
             groups = components(links.unionByName(cut(more.select("a", "b").distinct())))
+    return _removed(lines, forms, groups)
+
+
+def _removed(lines: DataFrame, forms: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lines that aren't the first of their group."""
     named = forms.select("norm", "first").join(groups, F.col("norm") == F.col("node"), "left").select("norm", "first", F.col("component"))
     lowest = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     moved = named.where("component is not null").join(lowest, "component").select("norm", F.col("keep"))

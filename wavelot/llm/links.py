@@ -55,6 +55,13 @@ def star_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), crowded.select("bucket", "id")
 
 
+def mixed_ids(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """id: those in buckets that hold more than one group, the ones across_links will compare."""
+    grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("g"))
+    mixed = grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket")
+    return grouped.join(mixed, "bucket").select("id").distinct()
+
+
 def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]], block: int = 4096) -> DataFrame:
     """Links a, b, bucket between ids that no chain of links joins yet: enough of them to join all that link.
 

@@ -37,7 +37,7 @@ def op3_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(_table(spark, sf_dir, "documents"))
+    return lines.line_report(_table(spark, sf_dir, "documents"), differ=None)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
