@@ -64,3 +64,15 @@ def test_range_search_finds_what_is_near():
 
 def test_empty_table(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_audit_reaches_linked_nodes_and_ends_exact(spark):
+    rnd = np.random.default_rng(6)
+    base = rnd.normal(size=(600, 128))
+    rows = [r.tolist() for r in [*base, *(base[:20] + rnd.normal(size=(20, 128)) * 0.02)]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    report = {}
+    # a first draw of about four nodes; no recall is enough, so the search ends in the exact comparison
+    got = sorted(tuple(r) for r in vectors.near_vectors(frame, beam=1, slack=-1.0, audit=4, min_recall=2.0, report=report).collect())
+    assert got == brute(list(range(len(rows))), rows)
+    assert report["recall"] == 1.0 and report["exact"] and report["linked"] >= 40

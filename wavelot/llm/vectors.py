@@ -5,8 +5,10 @@ make clusters; each node goes to its `overlap` nearest ones, and clusters are de
 flat graph: a pool of near neighbours per node, robust pruning, reverse edges, and an edge into every part that the medoid can't
 reach. The adjacency lists of a node from all its shards are united. Then each node searches the blocks of its nearest
 cluster: greedy from the medoid with a beam, and once it is in range, expanding every node in range (less a slack) until no neighbour is new.
-Links are verified in double precision. Recall is audited against brute force for a bounded number of nodes;
-below min_recall the search is done again with twice the overlap and beam.
+Links are verified in double precision. Recall is audited against brute force: nodes are drawn, eight times as many each time, until
+`audit_links` of them have links, all nodes are drawn or `most_audited` are. It is the mean over the nodes with links of the share
+of their links found, so a dense group weighs no more than its nodes. Below min_recall the search is done again with twice the overlap and beam; where every
+node already meets every leader, blocks are compared exactly instead. `report`, if given, receives recall (None if no drawn node has a link), drawn, linked and exact.
 
 Links between nodes of one home cluster are counted where they are found, and only a spanning forest of them leaves the task, so
 a dense group isn't expanded into rows; links between home clusters are rows.
@@ -153,8 +155,8 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select("vec_id", node.alias("node"), "vec", (F.octet_length("vec") / 8).cast("int").alias("dim"))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8192, cluster_rows: int = 1000, most_clusters: int = 2048, leader_cosine: float = 0.9, overlap: int = 3, block: int = 2000, beam: int = 48, slack: float = 0.04, audit: int = 128, min_recall: float = 0.95) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept. sample bounds the rows that leaders are picked from, audit the audited nodes."""
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8192, cluster_rows: int = 1000, most_clusters: int = 2048, leader_cosine: float = 0.9, overlap: int = 3, block: int = 2000, beam: int = 48, slack: float = 0.04, audit: int = 128, min_recall: float = 0.95, audit_links: int = 64, most_audited: int = 8192, report: dict | None = None) -> DataFrame:
+    """Per row: vec_id, n_links, component_id, kept. sample bounds the rows that leaders are picked from, audit the first draw of audited nodes."""
     rows = cut(_nodes(vectors, id_col, vec_col))
     nodes = cut(rows.where("node is not null").groupBy("node", "dim").agg(F.count("*").alias("mult"), F.first("vec").alias("vec")))
     sizes = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}  # one row per vector length
@@ -167,20 +169,32 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     for dim, own in drawn.items():
         m = unit_rows([v for _, v in sorted(own)])
         leaders[dim] = pick_leaders(m, max(1, min(most_clusters, sizes[dim] // cluster_rows)), leader_cosine)
-    audited = [(r["node"], r["dim"], bytes(r["vec"])) for r in nodes.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) < int(min(1.0, audit / max(1, total)) * (1 << 30))).collect()]
-    truth = _brute(nodes, audited, cosine)
+    truth, drawn_nodes, most = {}, 0, min(total, most_audited)
+    by_audit, below, draw = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)), 0, audit
+    while below < 1 << 30 and total:
+        share = min(1.0, draw / total)
+        upto = 1 << 30 if share == 1.0 else int(share * (1 << 30))
+        audited = [(r["node"], r["dim"], bytes(r["vec"])) for r in nodes.where((by_audit >= below) & (by_audit < upto)).select("node", "dim", "vec").collect()]
+        truth |= {k: v for k, v in _brute(nodes, audited, cosine).items() if v}
+        drawn_nodes, below = drawn_nodes + len(audited), upto
+        if len(truth) >= audit_links or draw >= most:
+            break
+        draw = min(8 * draw, most)
+    exact = False
     while True:
-        found = _search(nodes, leaders, cosine, overlap, block, beam, slack)
+        found = _search(nodes, leaders, cosine, overlap, block, beam, slack, exact)
         counts = found.where(f"kind = {OWN}").select(F.col("a").alias("node"), F.col("x").alias("n"))
         across = found.where(f"kind = {ACROSS}").distinct()
         counts = counts.unionByName(across.select(F.col("a").alias("node"), F.col("y").alias("n"))).unionByName(across.select(F.col("b").alias("node"), F.col("x").alias("n")))
         counts = cut(counts.groupBy("node").agg(F.sum("n").alias("others")))
         got = {r["node"]: r["others"] for r in counts.where(F.col("node").isin(list(truth))).collect()} if truth else {}
-        want = sum(truth.values())
-        recall = sum(min(got.get(k, 0), v) for k, v in truth.items()) / want if want else 1.0
-        if recall >= min_recall or overlap >= max([1, *map(len, leaders.values())]):
+        recall = sum(min(got.get(k, 0), v) / v for k, v in truth.items()) / len(truth) if truth else None
+        if recall is None or recall >= min_recall or exact:
             break
+        exact = overlap >= max([1, *map(len, leaders.values())])
         overlap, beam = 2 * overlap, 2 * beam
+    if report is not None:
+        report.update(recall=recall, drawn=drawn_nodes, linked=len(truth), exact=exact)
     groups = components(found.where(f"kind != {OWN}").select("a", "b"))
     named = rows.select("vec_id", "node").join(nodes.select("node", "mult"), "node", "left").join(counts, "node", "left").join(groups, "node", "left")
     named = named.select("vec_id", "node", F.coalesce("component", "node").alias("component"), (F.coalesce("others", F.lit(0)) + F.coalesce("mult", F.lit(1)) - 1).alias("n_links"))
@@ -201,15 +215,19 @@ def _brute(nodes: DataFrame, audited: list[tuple[int, int, bytes]], cosine: floa
             for dim, own in pdf.groupby("dim"):
                 if dim in by_dim:
                     ids, q = by_dim[dim]
-                    hit = (q @ unit_rows(own["vec"].tolist()).T >= cosine) & (ids[:, None] != own["node"].to_numpy()[None, :])
-                    yield pd.DataFrame({"node": ids, "n": hit @ own["mult"].to_numpy()})
+                    m, n = unit_rows(own["vec"].tolist()).T, []
+                    for s in range(0, len(ids), 256):
+                        hit = (q[s : s + 256] @ m >= cosine) & (ids[s : s + 256, None] != own["node"].to_numpy()[None, :])
+                        n.append(hit @ own["mult"].to_numpy())
+                    n = np.concatenate(n)
+                    yield pd.DataFrame({"node": ids[n > 0], "n": n[n > 0]})
 
     if not audited:
         return {}
     return {r["node"]: r["n"] for r in nodes.mapInPandas(scan, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
 
 
-def _search(nodes: DataFrame, leaders: dict[int, np.ndarray], cosine: float, overlap: int, block: int, beam: int, slack: float) -> DataFrame:
+def _search(nodes: DataFrame, leaders: dict[int, np.ndarray], cosine: float, overlap: int, block: int, beam: int, slack: float, exact: bool) -> DataFrame:
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(leaders)  # at most most_clusters vectors
 
@@ -262,7 +280,7 @@ def _search(nodes: DataFrame, leaders: dict[int, np.ndarray], cosine: float, ove
             own = m[rows]
             start = medoid(own)
             for i in np.flatnonzero(home & ((at != target) if len(sides) > 1 else True)):
-                found = rows[range_search(own, links, m[i], start, cosine, beam, slack)]
+                found = rows[np.flatnonzero(own @ m[i] >= cosine) if exact else range_search(own, links, m[i], start, cosine, beam, slack)]
                 hits.append((i, found[found != i]))
         a = np.concatenate([np.full(len(x), i) for i, x in hits] + [np.zeros(0, np.int64)]).astype(np.int64)
         b = np.concatenate([x for _, x in hits] + [np.zeros(0, np.int64)]).astype(np.int64)
