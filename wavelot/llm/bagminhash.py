@@ -78,7 +78,7 @@ def _sign(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, data = pdf["doc_id"].astype("Int64"), [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
-            for a, b in slices(data, 2_000_000):
+            for a, b in slices(data, 250_000):
                 t, s, w, whole = shingles(data[a:b], size)
                 sig = np.ascontiguousarray(signatures(t, s, w, b - a, bands * per_band)).view(np.uint64)
                 band = np.zeros((b - a, bands), np.uint64)
@@ -96,7 +96,7 @@ def _multisets(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             data, want = [(t or "").encode("utf-8", "replace") for t in pdf["text"]], pdf["id"].to_numpy()
-            for a, b in slices(data, 2_000_000):
+            for a, b in slices(data, 250_000):
                 t, s, w, whole = shingles(data[a:b], size)
                 edges = np.searchsorted(t, np.arange(b - a + 1))
                 good = np.flatnonzero(whole.view(np.int64) == want[a:b])
@@ -124,8 +124,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: i
     signed = cut(_sign(rows, size, bands, per_band))
     one_each = signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     distinct = cut(one_each)
-    buckets = distinct.select("id", F.explode("bands").alias("bucket"))
-    stars, crowded = star_pairs(buckets)
+    stars, crowded = star_pairs(distinct.select("id", F.col("bands").alias("keys")))
     stars = cut(stars)
 
     def prepare(pdf: pd.DataFrame):
@@ -150,7 +149,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: i
         return links_of
 
     wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct().join(distinct.select("id", F.col("doc_id").alias("rep")), "id")
-    sets = cut(_multisets(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "id"), size).dropDuplicates(["id"]))
+    sets = cut(_multisets(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "id"), size).dropDuplicates(["id"]).withColumn("size", F.octet_length("hashes") + F.octet_length("counts")))
     links = cut(_verify(stars, sets, threshold))
     groups = components(links)
     more = cut(across_links(crowded, groups, sets, prepare).select("a", "b").distinct())
@@ -168,7 +167,7 @@ def words_id(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The id that near_copies gives a text, null without words."""
     for batch in batches:
         data = [(t or "").encode("utf-8", "replace") for t in batch]
-        whole = np.concatenate([np.zeros(0, np.uint64), *[sequence_hashes(data[a:b]) for a, b in slices(data, 2_000_000)]])
+        whole = np.concatenate([np.zeros(0, np.uint64), *[sequence_hashes(data[a:b]) for a, b in slices(data, 250_000)]])
         yield pd.Series(whole.view(np.int64), dtype="Int64").where(whole != 0)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the setting is missing."""
+    """The folder named in spark.checkpoint.dir. Only a local session may go without: it gets a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="wavelot-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -44,3 +47,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def text_key(text: Column) -> Column:
     """128-bit identity of a text as a binary column; null counts as the empty text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, share: float = 0.002) -> DataFrame:
+    """rows joined with small, which has one row for each key. Keys that hold more than `share` of the rows, so 1 / share of them at most, are joined
+    by broadcast, and no task gets all rows of one."""
+    total = rows.count()
+    heavy = [r[key] for r in rows.groupBy(key).count().where(F.col("count") > max(1000, int(share * total))).select(key).collect()]
+    if not heavy:
+        return rows.join(small, key)
+    is_heavy = F.col(key).isin(heavy)
+    return rows.where(~is_heavy).join(small.where(~is_heavy), key).unionByName(rows.where(is_heavy).join(F.broadcast(small.where(is_heavy)), key))

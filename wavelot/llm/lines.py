@@ -1,54 +1,150 @@
 """Fuzzy line dedup.
 
-Lines are normalised (lower case, words only), equal normal forms are one node, and each gets a 64-bit SimHash of its words. Two
-hashes that differ in at most `differ` bits agree in some `keep` of the `blocks` blocks (pigeonhole), so lines are joined on every choice of `keep`
-blocks. Pairs within the distance are verified by edit similarity of their normal forms. In each connected group the first
-occurrence, by (doc_id, hash of the text, line number), stays; all others go.
-
-A link therefore means: Hamming distance <= differ and edit similarity >= threshold.
-
-With differ=None, as the queries use it, a link means edit similarity >= threshold alone, and candidates come from two other sources: MinHash of
-the weighted words (`BANDS` buckets of `ROWS` minima), and for lines under `SHORT` characters all their forms with as many deletions as the threshold
-lets them differ by, which misses no pair of short lines. MinHash can miss a pair; the README gives the measured recall.
-
-Defined results: lines without anything but white space always stay and aren't counted as removed. A line without words stands for itself, stripped. Null
-texts have no lines and stay null. Rows that repeat doc_id and text get equal results (each keeps the lines that the first of them keeps). A null
-doc_id comes first. An empty table gives an empty result.
+Lines are normalised (lower case, words only) and equal normal forms are one node. Candidates are nodes that share a bucket; every candidate is
+verified by the edit similarity of the normal forms. In each connected group the first occurrence, by (doc_id, hash of the text,
+line number), stays; all others go. Buckets come from one of two sources:
+
+* differ=None, as the queries use it: a link means edit similarity >= threshold alone. MinHash of the weighted words gives `BANDS` buckets of
+  `ROWS` minima a line; lines under `SHORT` characters add all their forms with as many deletions as the threshold lets them differ
+  by, which misses no pair of short lines. MinHash can miss a pair; the README gives the measured recall.
+* differ=n: 64-bit SimHash of the words. Two hashes that differ in at most n bits agree in some `keep` of the `blocks` blocks (pigeonhole), so
+  lines are joined on every choice of `keep` blocks. A link means Hamming distance <= n and edit similarity >= threshold.
+
+Defined results: lines without anything but white space always stay and aren't counted as removed. A line without words stands for itself, its white
+space collapsed. Null texts have no lines and stay null. Rows that repeat doc_id and text get equal results (each keeps the lines that the first
+of them keeps). A null doc_id comes first. Long texts are taken a run of lines at a time, so memory follows the longest line. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.llm.common import cut, scratch, thin
-from wavelot.llm.hashing import mix
-from wavelot.llm.links import across_links, components, mixed_ids, star_pairs
-from wavelot.llm.pieces import slices
+from wavelot.llm.common import cut, join_hot, scratch, thin
+from wavelot.llm.hashing import mix, powers
+from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.sieve import sift
-from wavelot.llm.shingles import sequence_hashes, word_hashes
+from wavelot.llm.shingles import sequences, word_hashes
 
-BANDS, ROWS, SHORT = 16, 4, 15
+BANDS, ROWS, SHORT, SLICE = 16, 4, 15, 250_000
 _WORD = re.compile(r"\w+")
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_FAR = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)  # exponential waiting times by their 16 bits
+_PAIRS = 512
 
 
 def normal_form(line: str) -> str:
-    return " ".join(_WORD.findall(line.lower())) or line.strip()
+    return " ".join(_WORD.findall(line.lower())) or " ".join(line.split())
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point below U+10000: part of a word, white space, a random symbol."""
+    signs = "".join(" " if 0xD800 <= i < 0xE000 else chr(i) for i in range(1 << 16))
+    word, white = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    for m in _WORD.finditer(signs):
+        word[m.start() : m.end()] = True
+    for m in re.finditer(r"\s+", signs):
+        white[m.start() : m.end()] = True
+    return word, white, mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _GOLDEN)
+
+
+def _classes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part of a word, any sign, and symbol of each code point."""
+    word, white, symbol = _tables()
+    low = np.minimum(codes, 0xFFFF)
+    is_word, sign, own = word[low], ~white[low], symbol[low]
+    high = np.flatnonzero(codes > 0xFFFF)
+    if len(high):
+        own[high] = mix((codes[high].astype(np.uint64) + np.uint64(1)) * _GOLDEN)
+        sign[high] = True
+        kinds, of = np.unique(codes[high], return_inverse=True)
+        is_word[high] = np.array([bool(_WORD.match(chr(c))) for c in kinds.tolist()])[of]
+    return is_word, sign, own
+
+
+class Lines:
+    """The lines with a sign of some texts. row: number of the text; number: of the line in it; words, count, length: hashes of all
+    words, how many a line has, their lengths; norm: hash of each normal form; forms: the normal forms."""
+
+    def __init__(self, texts: list[str], first: list[int]):
+        lowered = [t.lower() for t in texts]
+        codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "replace"), np.uint32)
+        is_word, sign, symbol = _classes(codes)
+        ends = np.append(np.flatnonzero(codes == 10), len(codes))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        own = np.fromiter((t.count("\n") + 1 for t in lowered), np.int64, len(lowered))
+        row = np.repeat(np.arange(len(own)), own)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(own) - own - np.array(first, np.int64), own)
+        up_to = lambda x: np.concatenate([[0], np.cumsum(x)])
+        signs, in_words = up_to(sign), up_to(is_word)
+        some = signs[ends] > signs[starts]
+        for i in np.flatnonzero(some & (in_words[ends] == in_words[starts])).tolist():
+            is_word[starts[i] : ends[i]] = sign[starts[i] : ends[i]]
+        edge = np.diff(np.concatenate([[False], is_word, [False]]).astype(np.int8))
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        power, back = powers(len(codes) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbol * power[: len(codes)], dtype=np.uint64)])
+        self.words, self.length = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64)), b - a
+        count = np.diff(np.searchsorted(a, np.append(starts, len(codes) + 1)))
+        self.row, self.number, self.count = row[some], number[some], count[some]
+        self.norm = sequences(self.words, self.count)
+        # a form: the signs of its words, and one blank after each word but the line's last
+        line = np.repeat(np.arange(len(self.count)), self.count)
+        more = np.append(line[1:] == line[:-1], False)[: len(b)]
+        taken = is_word.copy()
+        taken[b[more]] = True
+        codes = np.where(is_word, codes, np.uint32(32))[taken]
+        whole = codes.tobytes().decode("utf-32-le", "replace")
+        size = np.bincount(line, self.length + more, len(self.count)).astype(np.int64)
+        cuts = up_to(size).tolist()
+        self.size = size
+        self.forms = [whole[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def runs_of_lines(texts: list[str | None], most: int = SLICE) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Text numbers, parts and the number of each part's first line, so that parts make up about `most` characters. Long texts are cut at line ends."""
+    rows, parts, first, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        at, number = 0, 0
+        while text and at < len(text):
+            end = len(text)
+            if end - at > most:
+                end = text.rfind("\n", at, at + most)
+                end = text.find("\n", at + most) if end < 0 else end
+                end = len(text) if end < 0 else end
+            rows.append(i)
+            parts.append(text[at:end])
+            first.append(number)
+            held += end - at + 1
+            if end < len(text):
+                number += text.count("\n", at, end) + 1
+            at = end + 1
+            if held > most:
+                yield rows, parts, first
+                rows, parts, first, held = [], [], [], 0
+    if parts:
+        yield rows, parts, first
 
 
 def simhashes(data: list[bytes]) -> np.ndarray:
     """64-bit SimHash of each text's words, with multiplicity. A word weighs the square of its length (15 at most), so
     that the short words which most lines share don't pull their hashes together."""
-    h, count, size = word_hashes(data)
-    out = np.zeros(len(data), np.uint64)
+    return _simhashes(*word_hashes(data))
+
+
+def _simhashes(h: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
         starts = (np.cumsum(count) - count)[some]
@@ -60,52 +156,43 @@ def simhashes(data: list[bytes]) -> np.ndarray:
     return out
 
 
-def band_keys(data: list[bytes]) -> np.ndarray:
-    """Texts x BANDS: 32-bit hashes of ROWS minima each over the text's words, 0 without words. Words weigh as in simhashes, so two texts
+def band_keys(h: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Lines x BANDS: hashes of ROWS minima each over a line's words. Words weigh as in simhashes, so two lines
     agree in a minimum about as often as the weight of their words is shared. Each minimum serves in two bands; two bands share one at most."""
-    h, count, size = word_hashes(data)
-    out = np.zeros((len(data), BANDS), np.uint32)
-    some = np.flatnonzero(count)
-    if len(some):
-        starts = (np.cumsum(count) - count)[some]
-        scale = -1 / np.minimum(size, 15).astype(np.float32) ** 2
-        n = BANDS * ROWS // 2
-        low = np.empty((n, len(some)), np.uint64)
-        for k in range(0, n, 2):
-            own = mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint32).reshape(-1, 2)
-            for j in (0, 1):
-                u = ((own[:, j] >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
-                low[k + j] = np.minimum.reduceat(np.log(u) * scale, starts).view(np.uint32)
-        half = BANDS // 2
-        chosen = [range(b * ROWS, b * ROWS + ROWS) for b in range(half)] + [range(b, n, half) for b in range(half)]
-        for b, rows in enumerate(chosen):
-            key = np.full(len(some), b, np.uint64)
-            for k in rows:
-                key = mix(key ^ low[k])
-            out[some, b] = key >> np.uint64(32)
+    n = BANDS * ROWS // 2
+    low = np.empty((n, len(count)), np.uint64)
+    if len(count):
+        starts = np.cumsum(count) - count
+        scale = 1 / np.minimum(size, 15).astype(np.float32) ** 2
+        for k in range(0, n, 4):
+            own = mix(h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.uint16).reshape(-1, 4)
+            for j in range(4):
+                low[k + j] = np.minimum.reduceat(_FAR[own[:, j]] * scale, starts).view(np.uint32)
+    half = BANDS // 2
+    chosen = [range(b * ROWS, b * ROWS + ROWS) for b in range(half)] + [range(b, n, half) for b in range(half)]
+    out = np.empty((len(count), BANDS), np.uint64)
+    for b, rows in enumerate(chosen):
+        key = np.full(len(count), b + 1, np.uint64)
+        for k in rows:
+            key = mix(key ^ low[k])
+        out[:, b] = key
     return out
 
 
 def deletion_keys(form: str, threshold: float) -> list[int]:
-    """32-bit hashes of what a short form leaves when as many characters go as two forms of its length may differ by."""
+    """Hashes of what a short form leaves when as many characters go as two forms of its length may differ by."""
     if len(form) >= SHORT:
         return []
     left = every = {form}
     for _ in range(int((1 - threshold) * len(form) + 1e-9)):
         left = {x[:i] + x[i + 1 :] for x in left for i in range(len(x))}
         every = every | left
-    return [crc32(x.encode("utf-8", "replace")) for x in every] if len(every) > 1 else []
+    return [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little") for x in every] if len(every) > 1 else []
 
 
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, bit-parallel over the shorter string."""
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    a, b, n = a[n:], b[n:], 0
-    while n < min(len(a), len(b)) and a[-1 - n] == b[-1 - n]:
-        n += 1
-    a, b = a[: len(a) - n], b[: len(b) - n]
+    a, b = _middles(a, b)
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -125,12 +212,23 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def _middles(a, b):
+    """a and b without what they share at their beginnings and ends."""
+    n, most = 0, min(len(a), len(b))
+    while n < most and a[n] == b[n]:
+        n += 1
+    m = 0
+    while m < most - n and a[-1 - m] == b[-1 - m]:
+        m += 1
+    return a[n : len(a) - m], b[n : len(b) - m]
+
+
 def pair_profile(forms: list[str]) -> np.ndarray:
-    """Forms x 64: how many pairs of neighbouring characters fall into each of 64 classes."""
-    out = np.zeros((len(forms), 64), np.int32)
+    """Forms x _PAIRS: how many pairs of neighbouring characters fall into each class."""
+    out = np.zeros((len(forms), _PAIRS), np.int32)
     for i, x in enumerate(forms):
         c = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
-        out[i] = np.bincount((c[:-1] * np.uint32(37) + c[1:] * np.uint32(11)) & np.uint32(63), minlength=64)
+        out[i] = np.bincount((c[:-1] * np.uint32(37) + c[1:]) & np.uint32(_PAIRS - 1), minlength=_PAIRS)
     return out
 
 
@@ -138,33 +236,20 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - edit_distance(a, b) / max(len(a), len(b), 1)
 
 
-def _line_rows(rows: DataFrame, threshold: float, banded: bool) -> DataFrame:
-    """rows: doc_id, text, h. Per line with a sign: doc_id, h, line, norm (hash of the normal form), sim; banded: size and keys instead of sim."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, h, text = pdf["doc_id"].astype("Int64"), pdf["h"].to_numpy(), pdf["text"].tolist()
-            for a, b in slices(text, 2_000_000):
-                row, number, form, size, short = [], [], [], [], []
-                for i in range(a, b):
-                    for k, line in enumerate((text[i] or "").split("\n")):
-                        if not line.isspace() and line:
-                            row.append(i)
-                            number.append(k)
-                            own = normal_form(line)
-                            form.append(own.encode("utf-8", "replace"))
-                            if banded:
-                                size.append(len(own))
-                                short.append(deletion_keys(own, threshold))
-                out = pd.DataFrame({"doc_id": ids.iloc[row].array, "h": h[row], "line": np.array(number, np.int64), "norm": sequence_hashes(form).view(np.int64)})
-                if banded:
-                    keys = band_keys(form).view(np.int32)
-                    more = [np.concatenate([k, np.array(x, np.uint32).view(np.int32)]) if x else k for k, x in zip(keys, short, strict=True)]
-                    yield out.assign(size=np.array(size, np.int32), keys=pd.Series(more, dtype=object))
-                else:
-                    yield out.assign(sim=simhashes(form).view(np.int64))
-
-    return rows.mapInPandas(run, "doc_id long, h long, line long, norm long, " + ("size int, keys array<int>" if banded else "sim long"))
+def alike(a: str, b: str, threshold: float) -> bool:
+    """Whether the edit similarity reaches the threshold. Word by word first: that gives a distance that is never too small."""
+    longest = max(len(a), len(b), 1)
+    if abs(len(a) - len(b)) > (1 - threshold + 1e-9) * longest:
+        return False
+    x, y = _middles(a.split(" "), b.split(" "))
+    most = sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) if len(x) == len(y) else max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y))
+    if 1 - most / longest >= threshold:
+        return True
+    profile = pair_profile([a, b])
+    # an edit takes two pairs of characters at most and brings two, so no link is lost here
+    if np.abs(profile[0] - profile[1]).sum() > 4 * (1 - threshold + 1e-9) * longest:
+        return False
+    return edit_similarity(a, b) >= threshold
 
 
 def _blocks(n: int, differ: int) -> tuple[int, int]:
@@ -176,135 +261,106 @@ def _blocks(n: int, differ: int) -> tuple[int, int]:
 
 
 def _masks(blocks: int, keep: int) -> list[int]:
-    """The bits of each choice of blocks, fewer than 64 choices."""
+    """The bits of each choice of blocks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     return [reduce(lambda x, i: x | (((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]), chosen, 0) for chosen in combinations(range(blocks), keep)]
 
 
-def _block_keys(sim: str, masks: list[int]):
-    """One bucket per choice; its lowest six bits are the number of the choice."""
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    return F.array(*[F.shiftleft(F.xxhash64(F.col(sim).bitwiseAND(F.lit(m)), F.lit(k)), 6).bitwiseOR(F.lit(k).cast("long")) for k, m in enumerate(signed)])
+def _line_rows(rows: DataFrame, threshold: float, masks: list[int] | None) -> DataFrame:
+    """rows: doc_id, text, h. Per line with a sign: doc_id, h, line, norm (hash of the normal form), form and keys, its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, h = batch.column("doc_id"), batch.column("h")
+            for rows_of, parts, first in runs_of_lines(batch.column("text").to_pylist()):
+                x = Lines(parts, first)
+                if masks is None:
+                    keys = band_keys(x.words, x.count, x.length)
+                    more = {i: d for i in np.flatnonzero(x.size < SHORT).tolist() if (d := deletion_keys(x.forms[i], threshold))}
+                else:
+                    sim = _simhashes(*word_hashes([f.encode("utf-8", "replace") for f in x.forms]))
+                    keys = np.stack([mix((sim & np.uint64(m)) ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k, m in enumerate(masks)], axis=1)
+                    more = {}
+                wide = np.full(len(x.norm), keys.shape[1])
+                for i, d in more.items():
+                    wide[i] += len(d)
+                begin = np.concatenate([[0], np.cumsum(wide)])
+                flat = np.empty(begin[-1], np.uint64)
+                flat[(begin[:-1, None] + np.arange(keys.shape[1])).reshape(-1)] = keys.reshape(-1)
+                for i, d in more.items():
+                    flat[begin[i] + keys.shape[1] : begin[i + 1]] = d
+                at = pa.array(np.array(rows_of, np.int64)[x.row])
+                lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat.view(np.int64)))
+                columns = [ids.take(at), h.take(at), pa.array(x.number), pa.array(x.norm.view(np.int64)), pa.array(x.forms, pa.string()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "line", "norm", "form", "keys"])
+
+    return rows.mapInArrow(run, "doc_id long, h long, line long, norm long, form string, keys array<long>")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
 
 
-def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per occurrence that goes: doc_id, h (xxhash64 of the text), line (number from 0), distinct. differ=None: links by edit similarity alone."""
-    banded = differ is None
+def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None = 3, id_col: str = "doc_id", text_col: str = "text", lines_a_doc: int = 32) -> DataFrame:
+    """Per occurrence that goes: doc_id, h (xxhash64 of the text), line (number from 0), distinct. differ=None: links by edit similarity alone.
+
+    lines_a_doc: for differ only, a guess from which the width of the blocks follows; results don't depend on it."""
     spark = docs.sparkSession
     rows, path = _rows(docs, id_col, text_col), scratch(docs.sparkSession, "lines")
-    _line_rows(rows, threshold, banded).write.parquet(path)
+    masks = None if differ is None else _masks(*_blocks(docs.count() * lines_a_doc, differ))
+    _line_rows(rows, threshold, masks).write.parquet(path)
     lines = spark.read.parquet(path)
-    at = F.struct("doc_id", "h", "line")
-    path = scratch(spark, "forms")
-    lines.groupBy("norm").agg(F.min(at).alias("first"), *([F.min("size").alias("size"), F.first("keys").alias("keys")] if banded else [F.min("sim").alias("sim")])).write.parquet(path)
-    forms = spark.read.parquet(path)
-    if banded:
-        place = F.least("pos", F.lit(BANDS)).cast("long")  # keys of deletions share the last place
-        buckets = forms.select(F.col("norm").alias("id"), F.posexplode("keys").alias("pos", "key"))
-        buckets = buckets.select("id", F.shiftleft(place, 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("bucket"))
-        payload = forms.select("norm", F.col("size").alias("sim"))
-        near = F.abs(F.col("x") - F.col("y")) <= (1 - threshold + 1e-9) * F.greatest("x", "y")
-    else:
-        masks = _masks(*_blocks(forms.count(), differ))
-        bits = np.array(masks, np.uint64)
-        buckets = forms.select(F.col("norm").alias("id"), F.explode(_block_keys("sim", masks)).alias("bucket"))
-        payload = forms.select("norm", "sim")
-        near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= differ
-    pairs, crowded = star_pairs(buckets)
-    pairs = pairs.join(payload.select(F.col("norm").alias("a"), F.col("sim").alias("x")), "a").join(payload.select(F.col("norm").alias("b"), F.col("sim").alias("y")), "b")
-    pairs = cut(pairs.where(near).select("a", "b"))
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text, want in zip(pdf["text"], pdf["want"], strict=True):
-                own = text.split("\n")
-                out += [(w["id"], normal_form(own[w["line"]])) for w in want]
-            yield pd.DataFrame(out, columns=["id", "form"])
-
-    def forms_of(ids: DataFrame) -> DataFrame:
-        """id, form: the normal forms, read again from the documents that hold them first."""
-        wanted = ids.join(forms.select(F.col("norm").alias("id"), "first"), "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.h").alias("fh"), F.col("first.line").alias("line"))
-        of_doc = cut(wanted.groupBy("d", "fh").agg(F.collect_list(F.struct("id", "line")).alias("want")))
-        held = sift(rows, "h", of_doc.select("fh").distinct()).join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("fh")))
-        return held.select("text", "want").mapInPandas(read, "id long, form string").dropDuplicates(["id"])
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edit_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    def judged(found: DataFrame) -> DataFrame:
-        """found: a, b. The same with ok, whether their forms link."""
-        found = thin(found, found.count())
-        text = cut(forms_of(found.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        both = found.join(text.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(text.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
-        return cut(both.select("a", "b", (alike("fa", "fb") >= threshold).alias("ok")))
-
-    def close(pdf: pd.DataFrame):
-        sim, choice = pdf["sim"].to_numpy().view(np.uint64), int(pdf["bucket"].iloc[0]) & 63
-
-        def links_of(i: int, others: np.ndarray) -> np.ndarray:
-            x = sim[others] ^ sim[i]
-            hit = np.bitwise_count(x) <= differ
-            some = np.flatnonzero(hit)
-            # a pair that shares several buckets is looked at in the first of them
-            hit[some] = ((x[some, None] & bits) == 0).argmax(axis=1) == choice
-            return hit
-
-        return links_of
-
-    def close_and_alike(pdf: pd.DataFrame):
+    pairs, crowded = star_pairs(lines.select(F.col("norm").alias("id"), "keys"))
+    pairs = cut(pairs)
+    pairs = thin(pairs, pairs.count())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct()
+    forms = cut(sift(lines.select("norm", "form"), "norm", ids).dropDuplicates(["norm"]).select(F.col("norm").alias("id"), "form", F.octet_length("form").alias("size")))
+
+    def near(a: str, b: str) -> bool:
+        if differ is not None:
+            x, y = simhashes([a.encode("utf-8", "replace"), b.encode("utf-8", "replace")]).tolist()
+            if (x ^ y).bit_count() > differ:
+                return False
+        return alike(a, b, threshold)
+
+    @F.pandas_udf("boolean")
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    def prepare(pdf: pd.DataFrame):
         form, length = pdf["form"].tolist(), pdf["form"].str.len().to_numpy()
-        near_to = None if banded else close(pdf)
-        profile = pair_profile(form) if banded else None
+        sim = None if differ is None else simhashes([f.encode("utf-8", "replace") for f in form])
+        profile = pair_profile(form)
 
         def links_of(i: int, others: np.ndarray) -> np.ndarray:
-            hit = np.ones(len(others), bool) if banded else near_to(i, others)
-            size = length[others[hit]]
-            hit[hit] = np.abs(size - length[i]) <= (1 - threshold + 1e-9) * np.maximum(size, length[i])
-            if banded:
-                # an edit takes two pairs of characters at most and brings two, so no link is lost here
-                some = others[hit]
-                hit[hit] = np.abs(profile[some] - profile[i]).sum(axis=1) <= 4 * (1 - threshold + 1e-9) * np.maximum(length[some], length[i])
+            hit = np.ones(len(others), bool) if sim is None else np.bitwise_count(sim[others] ^ sim[i]) <= differ
+            longest = np.maximum(length[others[hit]], length[i])
+            hit[hit] = np.abs(length[others[hit]] - length[i]) <= (1 - threshold + 1e-9) * longest
+            some = others[hit]
+            hit[hit] = np.abs(profile[some] - profile[i]).sum(axis=1) <= 4 * (1 - threshold + 1e-9) * np.maximum(length[some], length[i])
             for k in np.flatnonzero(hit).tolist():
-                hit[k] = edit_similarity(form[i], form[others[k]]) >= threshold
+                hit[k] = alike(form[i], form[others[k]], threshold)
             return hit
 
         return links_of
 
-    links = judged(pairs).where("ok").select("a", "b")
+    both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
+    links = cut(both.repartition(max(1, spark.sparkContext.defaultParallelism, pairs.rdd.getNumPartitions())).where(linked("fa", "fb")).select("a", "b"))
     groups = components(links)
-    if banded:
-        left = across_links(crowded, groups, forms_of(mixed_ids(crowded, groups)), close_and_alike)
-        groups = components(links.unionByName(cut(left.select("a", "b").distinct())))
-        return _removed(lines, forms, groups)
-    sim_of = payload.withColumnRenamed("norm", "id")
-    # first by hashes alone, which are small: a forest of close pairs. Where all its pairs verify, the bucket is done
-    likely = cut(across_links(crowded, groups, sim_of, close))
-    if likely.limit(1).count():
-        likely = thin(likely, likely.count())
-        tried = judged(cut(likely.select("a", "b").distinct()))
-        links = links.unionByName(tried.where("ok").select("a", "b"))
-        groups = components(links)
-        open_buckets = likely.join(tried.where("not ok"), ["a", "b"]).select("bucket").distinct()
-        left = cut(crowded.join(open_buckets, "bucket").select("bucket", "id"))
-        if left.limit(1).count():
-            more = across_links(left, groups, forms_of(left.select("id").distinct()).join(sim_of, "id"), close_and_alike)
-            groups = components(links.unionByName(cut(more.select("a", "b").distinct())))
-    return _removed(lines, forms, groups)
-
-
-def _removed(lines: DataFrame, forms: DataFrame, groups: DataFrame) -> DataFrame:
+    more = cut(across_links(crowded, groups, forms, prepare).select("a", "b").distinct())
+    if more.limit(1).count():
+        groups = components(links.unionByName(more))
+    return _removed(lines.select("doc_id", "h", "line", "norm"), groups)
+
+
+def _removed(lines: DataFrame, groups: DataFrame) -> DataFrame:
     """The lines that aren't the first of their group."""
-    named = forms.select("norm", "first").join(groups, F.col("norm") == F.col("node"), "left").select("norm", "first", F.col("component"))
-    lowest = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    moved = named.where("component is not null").join(lowest, "component").select("norm", F.col("keep"))
-    keepers = forms.select("norm", "first").join(moved, "norm", "left").select("norm", F.coalesce("keep", "first").alias("keep"))
-    return lines.join(keepers, "norm").where(~F.struct("doc_id", "h", "line").eqNullSafe(F.col("keep"))).select("doc_id", "h", "line").distinct()
+    often = lines.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1").select("norm")
+    groups = groups.select(F.col("node").alias("norm"), "component")
+    group = cut(often.unionByName(groups.select("norm")).distinct().join(groups, "norm", "left").select("norm", F.coalesce("component", "norm").alias("component")))
+    own = cut(join_hot(sift(lines, "norm", group.select("norm")), group, "norm").select("doc_id", "h", "line", "component"))
+    keep = own.groupBy("component").agg(F.min(F.struct("doc_id", "h", "line")).alias("keep"))
+    return join_hot(own, keep, "component").where(~F.struct("doc_id", "h", "line").eqNullSafe(F.col("keep"))).select("doc_id", "h", "line").distinct()
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -324,7 +380,10 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.select(F.col("doc_id").alias("d"), F.col("h").alias("gh"), "removed")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(own.alias("own"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("gh")), "left")
+    gone = cut(gone)
+    maybe = sift(rows, "h", gone.select("gh"), keep=True)  # texts that lose nothing stay out of the shuffle
+    joined = maybe.where("sifted").join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("gh")), "left").select("own", "text", "removed")
+    joined = joined.unionByName(maybe.where("not sifted").select("own", "text", F.lit(None).cast("array<long>").alias("removed")))
     # positions of lines are those of split; a text keeps its order
     at = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i")))
     left = F.array_join(F.transform(F.filter(at, lambda p: ~F.array_contains("removed", p["i"])), lambda p: p["x"]), "\n")

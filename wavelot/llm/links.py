@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelot.llm.common import cut, scratch, thin
-from wavelot.llm.sieve import sift
+from wavelot.llm.sieve import sift_lists
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -41,40 +41,37 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def star_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """buckets: bucket, id. Returns each id with its bucket's smallest id (a > b, each pair once), at most as many pairs
-    as rows, and the rows of crowded buckets, those with three ids or more, whose other pairs nobody has looked at yet."""
-    shapes = buckets.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("a"), F.count("*").alias("n")).where("a != b")
-    path = scratch(buckets.sparkSession, "shapes")
+def star_pairs(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """held: id, keys (array<long>, the buckets it is in; rows may repeat). Returns each id with its bucket's smallest id (a > b, each pair once), at
+    most as many pairs as rows, and bucket, id of the crowded buckets, those with three rows or more, whose other pairs nobody has looked at yet."""
+    shapes = held.select("id", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("a"), F.count("*").alias("n")).where("a != b")
+    path = scratch(held.sparkSession, "shapes")
     shapes.write.parquet(path)
-    shapes = buckets.sparkSession.read.parquet(path)
+    shapes = held.sparkSession.read.parquet(path)
+    full = shapes.where("n > 2").select("bucket", "b")
     # most buckets hold one id; the sieve keeps their rows out of the join
-    crowded = cut(sift(buckets, "bucket", shapes.where("n > 2").select("bucket")).join(shapes.where("n > 2").select("bucket", "b"), "bucket").select("bucket", "id", "b"))
+    crowded = cut(sift_lists(held, full.select("bucket")).distinct().join(full, "bucket").select("bucket", "id", "b"))
     crowded = thin(crowded, crowded.count())
     pairs = shapes.where("n = 2").select("a", "b").unionByName(crowded.where("id != b").select(F.col("id").alias("a"), "b"))
     return pairs.distinct(), crowded.select("bucket", "id")
 
 
-def mixed_ids(crowded: DataFrame, groups: DataFrame) -> DataFrame:
-    """id: those in buckets that hold more than one group, the ones across_links will compare."""
-    grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("g"))
-    mixed = grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket")
-    return grouped.join(mixed, "bucket").select("id").distinct()
-
-
-def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]], block: int = 4096) -> DataFrame:
+def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]], block: int = 4096, block_bytes: int = 8 << 20) -> DataFrame:
     """Links a, b, bucket between ids that no chain of links joins yet: enough of them to join all that link.
 
-    crowded: bucket, id; groups: node, component of the ids linked so far; payload: id and what verifying takes. prepare(rows of a
+    crowded: bucket, id; groups: node, component of the ids linked so far; payload: id, size (bytes) and what verifying takes. prepare(rows of a
     bucket) gives a function (row number, other row numbers) -> which of these link with it. Buckets whose ids already are one
     group drop out, so large groups of copies cost nothing here; in the others each row is compared, inside the task, with the rows of
-    other groups. A bucket of more than `block` rows is dealt into blocks, each pair of blocks a task's group of its own.
+    other groups. A bucket of more than `block` rows or `block_bytes` is dealt into blocks, each pair of blocks a task's group of its own.
     """
     grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("g"))
-    mixed = grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x != y").select("bucket", "blocks")
-    rows = grouped.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    mixed = cut(grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket"))
+    grouped = grouped.join(mixed, "bucket")
+    sizes = grouped.join(payload.select("id", "size"), "id").groupBy("bucket")
+    sizes = sizes.agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_bytes)).cast("int").alias("blocks"))
+    rows = grouped.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "g").join(payload, "id")
+    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "g").join(payload.drop("size"), "id")
     keys = ["bucket", "low", "high"]
 
     def whole(pdf: pd.DataFrame) -> list[tuple[int, int, int]]:

@@ -116,7 +116,7 @@ def encoder(path: str, chunks: str) -> ChunkEncoder:
     return _ENCODERS[path, chunks]
 
 
-def slices(texts: list[str | None], chars: int = 4_000_000):
+def slices(texts: list[str | None], chars: int = 1_000_000):
     """Runs of texts with about so many characters, so that memory stays bounded: (from, to)."""
     begin, size = 0, 0
     for k, text in enumerate(texts):

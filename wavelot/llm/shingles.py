@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from wavelot.llm.hashing import SYMBOL, mix
+from wavelot.llm.hashing import SYMBOL, mix, powers
 
 _BASE = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 # ASCII white space.
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
@@ -22,18 +21,16 @@ def word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~_WHITE[b]
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power = np.full(len(b), _BASE, np.uint64)
-    power[0] = 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(SYMBOL[b] * np.multiply.accumulate(power), dtype=np.uint64)])
-    back = np.full(len(b), _INVERSE, np.uint64)
-    back[0] = 1
+    power, back = powers(len(b))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(SYMBOL[b] * power, dtype=np.uint64)])
     # the hash of a word at place s is shifted back by base^-s, so equal words agree wherever they stand
-    h = mix((total[end] - total[start]) * np.multiply.accumulate(back)[start] + (end - start).astype(np.uint64))
+    h = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
     count = np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)])))
     return h, count, end - start
 
 
-def _sequence(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+def sequences(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of each run of count words, 0 without words."""
     ends = np.cumsum(count)
     place = np.arange(len(h)) - np.repeat(ends - count, count)
     own = mix(h + mix(place.astype(np.uint64)))  # order matters
@@ -45,7 +42,7 @@ def _sequence(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def sequence_hashes(data: list[bytes]) -> np.ndarray:
     """A hash of each text's word sequence, 0 without words."""
-    return _sequence(*word_hashes(data)[:2])
+    return sequences(*word_hashes(data)[:2])
 
 
 def shingles(data: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +62,7 @@ def shingles(data: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray,
         part = padded[at + k]
         s = s * _BASE + np.where(at + k < ends[text], part, np.uint64(k + 1))
     s = mix(s)
-    whole = _sequence(h, count)
+    whole = sequences(h, count)
     order = np.lexsort((s, text))
     text, s = text[order], s[order]
     new = np.concatenate([[True], (text[1:] != text[:-1]) | (s[1:] != s[:-1])])[: len(s)]
