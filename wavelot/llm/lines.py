@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import combinations
@@ -36,7 +37,7 @@ from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.sieve import sift
 from wavelot.llm.shingles import sequences, word_hashes
 
-BANDS, ROWS, SHORT, SLICE = 16, 4, 15, 250_000
+BANDS, ROWS, SHORT, SLICE = 16, 4, 15, 128_000
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FAR = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)  # exponential waiting times by their 16 bits
@@ -190,8 +191,8 @@ def deletion_keys(form: str, threshold: float) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little") for x in every] if len(every) > 1 else []
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel over the shorter string."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, bit-parallel over the shorter string. Above most, if given, any larger number may come back."""
     a, b = _middles(a, b)
     if len(a) > len(b):
         a, b = b, a
@@ -202,11 +203,15 @@ def edit_distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     up, down, distance = full, 0, len(a)
+    least = (len(a) + len(b) if most is None else most) + len(b)
     for c in b:
+        least -= 1  # the rest of b can take away one each at most
         same = where.get(c, 0)
         diagonal = (((same & up) + up) ^ up) | same | down
         plus, minus = down | ~(diagonal | up), up & diagonal
         distance += bool(plus & top) - bool(minus & top)
+        if distance > least:
+            return distance
         plus, minus = (plus << 1) | 1, minus << 1
         up, down = (minus | ~(diagonal | plus)) & full, plus & diagonal & full
     return distance
@@ -236,20 +241,58 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - edit_distance(a, b) / max(len(a), len(b), 1)
 
 
+def distance_by_words(x: list[str], y: list[str], most: int) -> int:
+    """A distance that is never too small: the words that occur once in both and keep their order hold still, what lies between them is
+    compared by itself. Above most, or with few such words, any larger number."""
+    once = lambda words: {w: i for i, w in enumerate(words) if w not in seen and not seen.add(w)}
+    seen: set[str] = set()
+    at = once(y)
+    twice = {w for w, i in at.items() if w in y[i + 1 :]} if len(at) < len(y) else set()
+    seen = set()
+    mine = once(x)
+    twice |= {w for w, i in mine.items() if w in x[i + 1 :]} if len(mine) < len(x) else set()
+    common = [(i, at[w]) for w, i in mine.items() if w in at and w not in twice]
+    ends: list[int] = []  # the longest run of words in one order, by patience sorting
+    last: list[int] = []
+    before = [-1] * len(common)
+    for k, (_, j) in enumerate(common):
+        place = bisect_left(ends, j)
+        before[k] = last[place - 1] if place else -1
+        ends[place : place + 1] = [j]
+        last[place : place + 1] = [k]
+    if 16 * len(ends) < len(x):
+        return most + 1
+    chain, k = [(len(x), len(y))], last[-1] if last else -1
+    while k >= 0:
+        chain.append(common[k])
+        k = before[k]
+    apart, i, j = [], 0, 0
+    for p, q in reversed(chain):
+        if x[i:p] != y[j:q]:
+            apart.append((" ".join([*x[i:p], ""]), " ".join([*y[j:q], ""])))
+        i, j = p + 1, q + 1
+    total = sum(max(len(p), len(q)) for p, q in apart)
+    for p, q in apart:
+        if total <= most:
+            break
+        total += edit_distance(p, q) - max(len(p), len(q))
+    return total
+
+
 def alike(a: str, b: str, threshold: float) -> bool:
-    """Whether the edit similarity reaches the threshold. Word by word first: that gives a distance that is never too small."""
+    """Whether the edit similarity reaches the threshold. What is quick comes first: lengths, words, pairs of characters."""
     longest = max(len(a), len(b), 1)
-    if abs(len(a) - len(b)) > (1 - threshold + 1e-9) * longest:
+    most = int((1 - threshold) * longest + 1e-9)
+    if abs(len(a) - len(b)) > most:
         return False
     x, y = _middles(a.split(" "), b.split(" "))
-    most = sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) if len(x) == len(y) else max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y))
-    if 1 - most / longest >= threshold:
+    if max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)) <= most:
         return True
     profile = pair_profile([a, b])
     # an edit takes two pairs of characters at most and brings two, so no link is lost here
-    if np.abs(profile[0] - profile[1]).sum() > 4 * (1 - threshold + 1e-9) * longest:
+    if np.abs(profile[0] - profile[1]).sum() > 4 * most:
         return False
-    return edit_similarity(a, b) >= threshold
+    return distance_by_words(x, y, most) <= most or edit_distance(a, b, most) <= most
 
 
 def _blocks(n: int, differ: int) -> tuple[int, int]:
@@ -314,7 +357,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
     pairs = cut(pairs)
     pairs = thin(pairs, pairs.count())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct()
-    forms = cut(sift(lines.select("norm", "form"), "norm", ids).dropDuplicates(["norm"]).select(F.col("norm").alias("id"), "form", F.octet_length("form").alias("size")))
+    forms = sift(lines.select("norm", "form", "keys"), "norm", ids).dropDuplicates(["norm"])
+    forms = cut(forms.select(F.col("norm").alias("id"), "form", "keys", (F.octet_length("form") + 8 * F.size("keys")).alias("size")))
 
     def near(a: str, b: str) -> bool:
         if differ is not None:
@@ -330,7 +374,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
     def prepare(pdf: pd.DataFrame):
         form, length = pdf["form"].tolist(), pdf["form"].str.len().to_numpy()
         sim = None if differ is None else simhashes([f.encode("utf-8", "replace") for f in form])
-        profile = pair_profile(form)
+        profile, keys, bucket = pair_profile(form), [set(k.tolist()) for k in pdf["keys"]], int(pdf["bucket"].iloc[0])
 
         def links_of(i: int, others: np.ndarray) -> np.ndarray:
             hit = np.ones(len(others), bool) if sim is None else np.bitwise_count(sim[others] ^ sim[i]) <= differ
@@ -339,7 +383,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
             some = others[hit]
             hit[hit] = np.abs(profile[some] - profile[i]).sum(axis=1) <= 4 * (1 - threshold + 1e-9) * np.maximum(length[some], length[i])
             for k in np.flatnonzero(hit).tolist():
-                hit[k] = alike(form[i], form[others[k]], threshold)
+                # a pair that shares several buckets is looked at in the first of them
+                hit[k] = min(keys[i] & keys[others[k]]) == bucket and alike(form[i], form[others[k]], threshold)
             return hit
 
         return links_of
@@ -358,7 +403,7 @@ def _removed(lines: DataFrame, groups: DataFrame) -> DataFrame:
     often = lines.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1").select("norm")
     groups = groups.select(F.col("node").alias("norm"), "component")
     group = cut(often.unionByName(groups.select("norm")).distinct().join(groups, "norm", "left").select("norm", F.coalesce("component", "norm").alias("component")))
-    own = cut(join_hot(sift(lines, "norm", group.select("norm")), group, "norm").select("doc_id", "h", "line", "component"))
+    own = cut(join_hot(cut(sift(lines, "norm", group.select("norm"))), group, "norm").select("doc_id", "h", "line", "component"))
     keep = own.groupBy("component").agg(F.min(F.struct("doc_id", "h", "line")).alias("keep"))
     return join_hot(own, keep, "component").where(~F.struct("doc_id", "h", "line").eqNullSafe(F.col("keep"))).select("doc_id", "h", "line").distinct()
 

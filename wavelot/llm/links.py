@@ -43,7 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def star_pairs(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """held: id, keys (array<long>, the buckets it is in; rows may repeat). Returns each id with its bucket's smallest id (a > b, each pair once), at
-    most as many pairs as rows, and bucket, id of the crowded buckets, those with three rows or more, whose other pairs nobody has looked at yet."""
+    most as many pairs as rows, and bucket, id, b (its smallest id) of the crowded buckets, those with three rows or more, whose other pairs nobody has
+    looked at yet."""
     shapes = held.select("id", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("a"), F.count("*").alias("n")).where("a != b")
     path = scratch(held.sparkSession, "shapes")
     shapes.write.parquet(path)
@@ -53,38 +54,38 @@ def star_pairs(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowded = cut(sift_lists(held, full.select("bucket")).distinct().join(full, "bucket").select("bucket", "id", "b"))
     crowded = thin(crowded, crowded.count())
     pairs = shapes.where("n = 2").select("a", "b").unionByName(crowded.where("id != b").select(F.col("id").alias("a"), "b"))
-    return pairs.distinct(), crowded.select("bucket", "id")
+    return pairs.distinct(), crowded
 
 
 def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]], block: int = 4096, block_bytes: int = 8 << 20) -> DataFrame:
     """Links a, b, bucket between ids that no chain of links joins yet: enough of them to join all that link.
 
-    crowded: bucket, id; groups: node, component of the ids linked so far; payload: id, size (bytes) and what verifying takes. prepare(rows of a
+    crowded: bucket, id, b (whose pairs with the bucket's ids are known); groups: node, component of the ids linked so far; payload: id, size (bytes) and what verifying takes. prepare(rows of a
     bucket) gives a function (row number, other row numbers) -> which of these link with it. Buckets whose ids already are one
     group drop out, so large groups of copies cost nothing here; in the others each row is compared, inside the task, with the rows of
     other groups. A bucket of more than `block` rows or `block_bytes` is dealt into blocks, each pair of blocks a task's group of its own.
     """
-    grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("g"))
+    grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", "b", F.coalesce("component", "id").alias("g"))
     mixed = cut(grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket"))
     grouped = grouped.join(mixed, "bucket")
     sizes = grouped.join(payload.select("id", "size"), "id").groupBy("bucket")
     sizes = sizes.agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_bytes)).cast("int").alias("blocks"))
     rows = grouped.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "g").join(payload.drop("size"), "id")
+    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "b", "g").join(payload.drop("size"), "id")
     keys = ["bucket", "low", "high"]
 
     def whole(pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
         pdf = pdf.reset_index(drop=True)
         bucket, ids, side, label = int(pdf["bucket"][0]), pdf["id"].tolist(), pdf["own"].to_numpy(), pdf["g"].to_numpy().copy()
-        links_of, out = prepare(pdf), []
+        links_of, out, hub = prepare(pdf), [], pdf["id"].to_numpy() == pdf["b"].to_numpy()
         split = pdf["low"][0] != pdf["high"][0]
         for i in range(len(ids)):
             if split and side[i] == side.max():
                 continue  # each pair of two blocks is seen from the lower block
             other = label != label[i]
             other &= (side != side[i]) if split else np.arange(len(ids)) > i
-            later = np.flatnonzero(other)
+            later = np.flatnonzero(other & ~hub) if not hub[i] else np.zeros(0, np.int64)
             hits = later[links_of(i, later)] if len(later) else later
             if len(hits):
                 joined, first = np.unique(label[hits], return_index=True)
