@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wavelot.llm import bagminhash, lines, packing, quality, suffixes
 from wavelot.llm.common import scratch
@@ -15,8 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that nearly repeat an earlier line."""
-    return lines.drop_lines(docs, differ=None)
+    """Texts without lines that nearly repeat an earlier line; documents of which nothing is left go."""
+    left = lines.drop_lines(docs, differ=None)
+    return left.where(F.col("text").rlike(r"(?U)\S"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

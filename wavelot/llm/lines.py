@@ -37,7 +37,7 @@ from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.sieve import sift
 from wavelot.llm.shingles import sequences, word_hashes
 
-BANDS, ROWS, SHORT, SLICE = 16, 4, 15, 128_000
+BANDS, ROWS, AGREE, SHORT, SLICE = 16, 4, 10, 15, 128_000
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FAR = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)  # exponential waiting times by their 16 bits
@@ -157,8 +157,8 @@ def _simhashes(h: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray
     return out
 
 
-def band_keys(h: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Lines x BANDS: hashes of ROWS minima each over a line's words. Words weigh as in simhashes, so two lines
+def band_keys(h: np.ndarray, count: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines x BANDS: hashes of ROWS minima each over a line's words; and lines x minima: a byte of each. Words weigh as in simhashes, so two lines
     agree in a minimum about as often as the weight of their words is shared. Each minimum serves in two bands; two bands share one at most."""
     n = BANDS * ROWS // 2
     low = np.empty((n, len(count)), np.uint64)
@@ -177,7 +177,7 @@ def band_keys(h: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
         for k in rows:
             key = mix(key ^ low[k])
         out[:, b] = key
-    return out
+    return out, (mix(low) >> np.uint64(56)).astype(np.uint8).T
 
 
 def deletion_keys(form: str, threshold: float) -> list[int]:
@@ -318,12 +318,12 @@ def _line_rows(rows: DataFrame, threshold: float, masks: list[int] | None) -> Da
             for rows_of, parts, first in runs_of_lines(batch.column("text").to_pylist()):
                 x = Lines(parts, first)
                 if masks is None:
-                    keys = band_keys(x.words, x.count, x.length)
+                    keys, sketch = band_keys(x.words, x.count, x.length)
                     more = {i: d for i in np.flatnonzero(x.size < SHORT).tolist() if (d := deletion_keys(x.forms[i], threshold))}
                 else:
                     sim = _simhashes(*word_hashes([f.encode("utf-8", "replace") for f in x.forms]))
                     keys = np.stack([mix((sim & np.uint64(m)) ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k, m in enumerate(masks)], axis=1)
-                    more = {}
+                    more, sketch = {}, sim.view(np.uint8).reshape(-1, 8)
                 wide = np.full(len(x.norm), keys.shape[1])
                 for i, d in more.items():
                     wide[i] += len(d)
@@ -335,9 +335,11 @@ def _line_rows(rows: DataFrame, threshold: float, masks: list[int] | None) -> Da
                 at = pa.array(np.array(rows_of, np.int64)[x.row])
                 lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat.view(np.int64)))
                 columns = [ids.take(at), h.take(at), pa.array(x.number), pa.array(x.norm.view(np.int64)), pa.array(x.forms, pa.string()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "line", "norm", "form", "keys"])
+                edges = pa.py_buffer((np.arange(len(sketch) + 1) * sketch.shape[1]).astype(np.int32))
+                columns.append(pa.Array.from_buffers(pa.binary(), len(sketch), [None, edges, pa.py_buffer(np.ascontiguousarray(sketch))]))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "line", "norm", "form", "keys", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, line long, norm long, form string, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, line long, norm long, form string, keys array<long>, sketch binary")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -351,37 +353,38 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
     spark = docs.sparkSession
     rows, path = _rows(docs, id_col, text_col), scratch(docs.sparkSession, "lines")
     masks = None if differ is None else _masks(*_blocks(docs.count() * lines_a_doc, differ))
-    _line_rows(rows, threshold, masks).write.parquet(path)
+    _line_rows(rows, threshold, masks).write.option("compression", "zstd").parquet(path)
     lines = spark.read.parquet(path)
     pairs, crowded = star_pairs(lines.select(F.col("norm").alias("id"), "keys"))
     pairs = cut(pairs)
     pairs = thin(pairs, pairs.count())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct()
-    forms = sift(lines.select("norm", "form", "keys"), "norm", ids).dropDuplicates(["norm"])
-    forms = cut(forms.select(F.col("norm").alias("id"), "form", "keys", (F.octet_length("form") + 8 * F.size("keys")).alias("size")))
-
-    def near(a: str, b: str) -> bool:
-        if differ is not None:
-            x, y = simhashes([a.encode("utf-8", "replace"), b.encode("utf-8", "replace")]).tolist()
-            if (x ^ y).bit_count() > differ:
-                return False
-        return alike(a, b, threshold)
+    path = scratch(spark, "forms")
+    forms = sift(lines.select("norm", "form", "keys", "sketch"), "norm", ids).dropDuplicates(["norm"])
+    forms = forms.select(F.col("norm").alias("id"), "form", "keys", "sketch", (F.octet_length("form") + 8 * F.size("keys")).alias("size"))
+    forms.write.option("compression", "zstd").parquet(path)
+    forms = spark.read.parquet(path)
+
+    def may_link(x: np.ndarray, y: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """Rows of sketches; short: for which of them words say nothing."""
+        if differ is None:
+            return short | ((x == y).sum(axis=1) >= AGREE)
+        return np.bitwise_count(x ^ y).sum(axis=1) <= differ
 
     @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([near(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
+    def linked(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
+        sketch = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
+        hit = may_link(sketch(x), sketch(y), ((a.str.len() < SHORT) | (b.str.len() < SHORT)).to_numpy()) if len(a) else np.zeros(0, bool)
+        return pd.Series([bool(h) and alike(p, q, threshold) for h, p, q in zip(hit, a, b, strict=True)], dtype="bool")
 
     def prepare(pdf: pd.DataFrame):
         form, length = pdf["form"].tolist(), pdf["form"].str.len().to_numpy()
-        sim = None if differ is None else simhashes([f.encode("utf-8", "replace") for f in form])
-        profile, keys, bucket = pair_profile(form), [set(k.tolist()) for k in pdf["keys"]], int(pdf["bucket"].iloc[0])
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        keys, bucket = [set(k.tolist()) for k in pdf["keys"]], int(pdf["bucket"].iloc[0])
 
         def links_of(i: int, others: np.ndarray) -> np.ndarray:
-            hit = np.ones(len(others), bool) if sim is None else np.bitwise_count(sim[others] ^ sim[i]) <= differ
-            longest = np.maximum(length[others[hit]], length[i])
-            hit[hit] = np.abs(length[others[hit]] - length[i]) <= (1 - threshold + 1e-9) * longest
-            some = others[hit]
-            hit[hit] = np.abs(profile[some] - profile[i]).sum(axis=1) <= 4 * (1 - threshold + 1e-9) * np.maximum(length[some], length[i])
+            hit = may_link(sketch[others], sketch[i], np.minimum(length[others], length[i]) < SHORT)
+            hit &= np.abs(length[others] - length[i]) <= (1 - threshold + 1e-9) * np.maximum(length[others], length[i])
             for k in np.flatnonzero(hit).tolist():
                 # a pair that shares several buckets is looked at in the first of them
                 hit[k] = min(keys[i] & keys[others[k]]) == bucket and alike(form[i], form[others[k]], threshold)
@@ -389,10 +392,11 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
 
         return links_of
 
-    both = pairs.join(forms.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a").join(forms.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
-    links = cut(both.repartition(max(1, spark.sparkContext.defaultParallelism, pairs.rdd.getNumPartitions())).where(linked("fa", "fb")).select("a", "b"))
+    one = forms.select(F.col("id").alias("a"), F.col("form").alias("fa"), F.col("sketch").alias("sa"))
+    two = forms.select(F.col("id").alias("b"), F.col("form").alias("fb"), F.col("sketch").alias("sb"))
+    links = cut(pairs.join(one, "a").join(two, "b").where(linked("fa", "sa", "fb", "sb")).select("a", "b"))
     groups = components(links)
-    more = cut(across_links(crowded, groups, forms, prepare).select("a", "b").distinct())
+    more = cut(across_links(crowded, groups, forms, prepare, block=512).select("a", "b").distinct())
     if more.limit(1).count():
         groups = components(links.unionByName(more))
     return _removed(lines.select("doc_id", "h", "line", "norm"), groups)
