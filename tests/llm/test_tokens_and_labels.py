@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wavelot.llm import langid, packing, pfor, quality, token_files, toxicity, viterbi
 from wavelot.llm.queries import vocabulary
 
-TEXTS = [None, "", "  \n\t", "One two three.", "One two three.", "Größe, naïve café — 漢字 🙂 end\n\nnew line  two", "a" * 5000, "word " * 9000, "#$%& <b>x</b> 12,345.67"]
+TEXTS = [None, "", "  \n\t", "One two three.", "One two three.", "Größe, naïve café — 漢字 🙂 end\n\nnew line  two", "a" * 5000, "word " * 9000, "#$%& <b>x</b> 12,345.67", "Added <|endoftext|> and<|startoftext|> tokens <|endoftext|>"]
 SCHEMA = "doc_id long, text string, lang string, score double, shard int"
 
 
@@ -37,7 +37,6 @@ def test_packing_keeps_every_token(docs):
 
     path = vocabulary("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = packing.pack(packing.token_pieces(docs, path, "between_blanks")).collect()
     want = []
     for r in docs.collect():
@@ -62,10 +61,9 @@ def test_token_files_match_the_library(spark, docs):
 
     path = vocabulary("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = token_files.read_token_files(spark, token_files.write_token_files(docs, path)).collect()
     got = sorted(got, key=lambda r: r["start"])
-    assert [r["doc_id"] for r in got] == [None, 0, 1, 2, 3, 3, 4, 5, 6, 7, 8]
+    assert [r["doc_id"] for r in got] == [None, 0, 1, 2, 3, 3, 4, 5, 6, 7, 8, 9]
     text_of, start = dict(enumerate(TEXTS)) | {None: "no id"}, 0
     for r in got:
         ids = [*tokenizer.encode(text_of[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
@@ -113,7 +111,7 @@ def test_nearest_is_exact():
     rows = np.where(rnd.random((300, 40)) < 0.15, rnd.random((300, 40)), 0)
     rows[:, 0] += 1e-3
     rows /= np.sqrt((rows**2).sum(axis=1, keepdims=True))
-    index = toxicity.BlockMaxIndex(rows)
+    index = toxicity.BlockMaxIndex([(t := np.flatnonzero(r), r[t]) for r in rows], 40)
     for i in range(50):
         terms = np.flatnonzero(rows[i])
         found, cos = index.nearest(terms, rows[i, terms], 15, skip=i)
@@ -121,6 +119,83 @@ def test_nearest_is_exact():
         assert np.allclose(cos, np.sort(every)[::-1][:15])
 
 
+def test_toxicity_against_plain_votes(spark):
+    """Every score from its definition: cosines with all examples, votes, calibration."""
+    rnd = np.random.default_rng(5)
+    vocab, bad = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)], ["vile", "slur", "scum"]
+    docs, labels = [], []
+    for i in range(400):
+        own = rnd.choice(vocab, rnd.integers(1, 60)).tolist()
+        if i % 5 == 0:
+            own += rnd.choice(bad, 2).tolist()
+        docs.append((i, " ".join(own), None, None, None))
+        if i < 300:
+            labels.append((i, int(i % 5 == 0)))
+    docs.append((500, "x " * 200_000 + "vile", None, None, None))  # very long
+    frame = spark.createDataFrame([*docs, docs[7]], SCHEMA)
+    model = toxicity.learn(frame, spark.createDataFrame([*labels, (3, 1), (3, 0)], "doc_id long, toxic int"), F.lit(True))
+    matrix = np.zeros((model.index.n, len(model.vocabulary)))
+    at = np.repeat(np.arange(len(model.index.start)), model.index.end - model.index.start)
+    term = np.searchsorted(model.index.of_term, at, side="right") - 1
+    matrix[model.index.example, term] = model.index.weight
+    got = {r["doc_id"]: r for r in toxicity.score(frame, model).collect()}
+    for d, text, *_ in docs:
+        count = defaultdict(int)
+        for w in text.split():
+            if w in model.vocabulary:
+                count[model.vocabulary[w]] += 1
+        v = np.zeros(matrix.shape[1])
+        for t, c in count.items():
+            v[t] = (1 + np.log(c)) * model.idf[t]
+        cos = matrix @ v / np.sqrt(v @ v)
+        top = np.lexsort((np.arange(len(cos)), -np.round(cos, 12)))[:15]
+        top = top[cos[top] > 0]
+        w = model.weight[top] * cos[top] ** 2 / (1.02 - np.minimum(cos[top], 1))
+        vote = float(np.interp((w @ model.toxic[top] + model.prior) / (w.sum() + 1), *model.steps))
+        assert abs(got[d]["score"] - min(1, max(0, vote))) < 1e-9
+        assert got[d]["evidence_ids"] == model.source[top].tolist()
+    assert len({r["score"] for r in got.values()}) > 2
+    held = [(got[i]["predicted"], int(i % 5 == 0)) for i in range(300, 400)]
+    assert sum(a == b for a, b in held) >= 95
+    assert not toxicity.score(frame.limit(0), model).collect()
+    assert toxicity.learn(frame.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)) is None
+
+
+def test_language_filters_against_plain_sets(spark):
+    """With no false positives the shares are counts over sets of 4-grams; 70 languages take several mask words."""
+    rnd = np.random.default_rng(6)
+    names = [f"l{i:02d}" for i in range(70)]
+    own = {n: ["".join(chr(97 + c) for c in rnd.integers(0, 26, 6)) for _ in range(8)] for n in names}
+    rows = [(1000 * k + i, " ".join(rnd.choice(own[n], 30).tolist()), n, None, None) for k, n in enumerate(names) for i in range(8)]
+    rows += [(10**6 + 9, " ".join(own["l69"]) * 20_000, "l00", None, None)]  # very long, and not learned from
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.learn(docs, F.col("doc_id") % 1000 < 5)
+    assert model.slots.shape[1] == 2
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    sets = defaultdict(set)
+    for d, text, n, *_ in rows:
+        if d % 1000 < 5 and d < 10**6:
+            sets[n] |= set(langid.grams([text])[0].tolist())
+    for d, text, n, *_ in rows:
+        x = langid.grams([text])[0].tolist() if d < 10**6 else langid.grams([text[:5000]])[0].tolist()
+        hits = [sum(g in sets[m] for g in x) for m in names]
+        best = names[int(np.argmax(hits))]
+        assert got[d]["lang_pred"] == best == (n if d < 10**6 else "l69") and 0 < got[d]["score"] <= 1
+
+
+def test_languages_tie(spark):
+    rows = [(i, "abcd efgh ijkl", lang, None, None) for i, lang in enumerate(["bb", "aa"] * 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r["lang_pred"] for r in langid.predict(docs, langid.learn(docs, F.lit(True))).collect()} == {"aa"}
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert not packing.pack(packing.token_pieces(none, vocabulary("word_bpe_49k.json"), "between_blanks")).collect()
+    assert not token_files.read_token_files(spark, token_files.write_token_files(none, vocabulary("byte_bpe_50k.json"))).collect()
+    assert not viterbi.check_round_trip(none, vocabulary("piece_bpe_32k.model")).collect()
+
+
 def test_quality_of_odd_rows(docs):
     got = {r["doc_id"]: r for r in quality.judge_quality(docs).collect()}
     assert all(got[i]["n_words"] == 0 and got[i]["base_failed"] and not got[i]["kept"] for i in (0, 1, 2))

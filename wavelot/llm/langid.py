@@ -9,8 +9,8 @@ and take the largest.
 The learning sample is bounded: about per_language texts of each language, chosen by a hash of doc_id.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or when nothing was learned. A text whose
-letters match no filter gets the commonest learned language, scored by its share. Repeated rows are judged one by one,
-ties go to the language first in alphabetical order, and an empty table gives an empty result.
+letters match no filter gets the commonest learned language, scored by its share. Repeated rows are judged one by one, very long
+ones whole, ties go to the language first in alphabetical order, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    slots: np.ndarray  # u64, one bit per language
+    slots: np.ndarray  # slots x words, one bit per language
     false_rate: np.ndarray
     fallback: int
     fallback_share: float
@@ -74,7 +74,8 @@ class LanguageFilter:
         edges = np.concatenate([[0], np.cumsum(count)])
         share = np.zeros((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
-            total = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)])
+            word, bit = divmod(k, 8 * mask.dtype.itemsize)
+            total = np.concatenate([[0], np.cumsum((mask[:, word] >> mask.dtype.type(bit)) & mask.dtype.type(1), dtype=np.int64)])
             hits = total[edges[1:]] - total[edges[:-1]]
             share[:, k] = np.clip((hits - count * self.false_rate[k]) / (1 - self.false_rate[k]), 0, None)
         best, whole = share.argmax(axis=1), share.sum(axis=1)
@@ -94,16 +95,15 @@ def build_filter(found: pd.DataFrame, rows_of: dict[str, int], bits_per_gram: in
     languages = sorted(rows_of)
     if not languages:
         return None
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages fit one mask")
     bits = max(16, int(max(1, found["gram"].nunique()) * bits_per_gram - 1).bit_length())
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    slots = np.zeros(1 << bits, kind)
+    width = 8 * kind().itemsize
+    slots = np.zeros((1 << bits, -(-len(languages) // width)), kind)
     for k, lang in enumerate(languages):
         x = found.loc[found["lang"] == lang, "gram"].to_numpy(np.int64).astype(np.uint32)
         for m in _MULTIPLIERS:
-            slots[(x * np.uint32(m)) >> np.uint32(32 - bits)] |= kind(1 << k)
-    fill = np.array([((slots >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
+            slots[(x * np.uint32(m)) >> np.uint32(32 - bits), k // width] |= kind(1 << k % width)
+    fill = np.array([((slots[:, k // width] >> kind(k % width)) & kind(1)).mean() for k in range(len(languages))])
     top = max(range(len(languages)), key=lambda k: rows_of[languages[k]])
     return LanguageFilter(languages, slots, np.minimum(fill ** len(_MULTIPLIERS), 0.99), top, rows_of[languages[top]] / sum(rows_of.values()))
 

@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer's own pre-tokeniser always cuts, so each chunk's ids don't depend
 on its neighbours. The library encodes a chunk when it is first met; after that its ids come from
-a table. The ids are those of encoding the whole text at once (tests compare them).
+a table. A text that holds one of the vocabulary's added tokens goes to the library as a whole. The ids are
+those of encoding the whole text at once (tests compare them).
 """
 
 from __future__ import annotations
@@ -46,11 +47,15 @@ class _Known(dict):
 class ChunkEncoder:
     """Encodes batches of texts to one flat array of ids and the number of ids of each text."""
 
+    added = re.compile(r"(?!)")  # a vocabulary's added tokens
+
     def __init__(self, path: str, chunks: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if added:
+            self.added = re.compile("|".join(map(re.escape, added)))
         self.pattern, self.most = CHUNKS[chunks], most
         self.lower = chunks == "between_blanks"
         # latin-1 text of the UTF-8 bytes -> the byte-level alphabet
@@ -89,6 +94,8 @@ class ChunkEncoder:
         """Null counts as the empty text."""
         if len(self.known) > self.most:
             self.forget()
+        if any(text and self.added.search(text) for text in texts):
+            return self._encode_each(texts)
         of, find, get = [], self.pattern.findall, self.known.__getitem__
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -105,6 +112,17 @@ class ChunkEncoder:
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(edges)
 
+    def _encode_each(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, where some texts hold added tokens."""
+        whole = [k for k, text in enumerate(texts) if text and self.added.search(text)]
+        others = set(whole)
+        ids, counts = self.encode([None if k in others else text for k, text in enumerate(texts)])
+        own = np.split(ids, np.cumsum(counts)[:-1])
+        for k in whole:
+            own[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+            counts[k] = len(own[k])
+        return np.concatenate(own), counts
+
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 

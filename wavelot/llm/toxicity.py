@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded, class-balanced sample of labelled rows, as TF-IDF vectors over the terms that tell the
-classes apart (chi-square on the sample). Document frequencies are counted over all documents. The examples sit
-in a block-max inverted index: for each term and block of examples the largest weight. A query's bound for a block is the sum
-over its terms; blocks are scored exactly in the order of their bounds until no bound can reach the k-th best cosine. Votes
-are weighted by closeness and by how many labelled rows an example stands for, then calibrated by isotonic
-regression on leave-one-out votes of the examples themselves.
-
-Defined results: a text with none of the terms (empty and null texts too) has no neighbours and gets the
-toxic rate of examples without terms. Ties in cosine go to the smaller example number. Repeated rows are scored one by one.
-Of several labels of one doc_id the largest counts. Where each class has a single distinct vector, leave-one-out votes
-find no neighbour and every score is the toxic rate. Without labels every score is 0. An empty table gives an empty result.
+Examples are a bounded, class-balanced sample of labelled rows, as TF-IDF vectors over every term that occurs in one of them. Document
+frequencies are counted over all documents. A term's idf is scaled by how surely it tells the classes apart in the sample, (chi2 + 1) / (chi2 +
+certain), so that topic words don't drown the words that matter; no term is dropped. The examples sit in a block-max inverted index: posting
+lists by term, cut into blocks of examples, with each block's largest weight. A query's bound for a block is the sum over its terms; the blocks with
+the highest bounds are scored exactly, then all whose bounds reach the k-th best cosine found. Votes are weighted by closeness and by how
+many labelled rows an example stands for, then calibrated by isotonic regression on leave-one-out votes of the examples themselves.
+
+Defined results: a text with no term of any example (empty and null texts too) has no neighbours and gets the toxic rate of examples without
+terms. Ties in cosine go to the smaller example number. Repeated rows are scored one by one; very long texts whole, memory
+following their number of different words. Of several labels of one doc_id the largest counts. Where each class has a single distinct
+vector, leave-one-out votes find no neighbour and every score is the toxic rate. Without labels every score is 0. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,34 +33,51 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-@dataclass
-class BlockMaxIndex:
-    """Exact cosine search over unit vectors. rows: examples x terms."""
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges start .. end - 1, one range after the other."""
+    size = end - start
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
 
-    rows: np.ndarray
-    size: int = 32
-    bound: np.ndarray = field(init=False)
 
-    def __post_init__(self):
-        n = -(-len(self.rows) // self.size)
-        self.bound = np.stack([self.rows[i * self.size : (i + 1) * self.size].max(axis=0) for i in range(n)], axis=1) if n else np.zeros((self.rows.shape[1], 0))
+class BlockMaxIndex:
+    """Exact cosine search over sparse unit vectors, given as (terms, weights) of each example."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, size: int = 32):
+        self.n, self.size = len(rows), size
+        term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in rows]]).astype(np.int64)
+        weight = np.concatenate([np.zeros(0), *[w for _, w in rows]])
+        example = np.repeat(np.arange(self.n), [len(t) for t, _ in rows])
+        order = np.argsort(term, kind="stable")  # examples stay in order within a term
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        block = self.example // size
+        self.start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])
+        self.end = np.append(self.start[1:], len(term))[: len(self.start)]
+        self.block = block[self.start]
+        self.most = np.maximum.reduceat(self.weight, self.start) if len(term) else np.zeros(0)
+        self.of_term = np.searchsorted(term[self.start], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a positive cosine; skip: one that doesn't count."""
-        bound = weights @ self.bound[terms]
-        found, cos, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(found) == k and bound[block] < worst - 1e-12:
-                break
-            a = block * self.size
-            own = self.rows[a : a + self.size][:, terms] @ weights
-            number = np.arange(a, a + len(own))
-            hit = (own > 0) & (number != skip)
-            found, cos = np.concatenate([found, number[hit]]), np.concatenate([cos, own[hit]])
-            order = np.lexsort((found, -np.round(cos, 12)))[:k]
-            found, cos = found[order], cos[order]
-            worst = cos[-1] if len(cos) == k else 0.0
-        return found, cos
+        first, last = self.of_term[terms], self.of_term[terms + 1]
+        piece, own = _ranges(first, last), np.repeat(weights, last - first)
+        bound = np.bincount(self.block[piece], self.most[piece] * own, -(-self.n // self.size))
+        cos, seen, worst = np.zeros(self.n), np.zeros(len(bound), bool), 0.0
+        wave = np.argsort(-bound, kind="stable")[: max(8, -(-2 * k // self.size))]
+        while len(wave):
+            new = np.zeros(len(bound), bool)
+            new[wave] = True
+            some = new[self.block[piece]]
+            a, b = self.start[piece[some]], self.end[piece[some]]
+            at = _ranges(a, b)
+            cos += np.bincount(self.example[at], self.weight[at] * np.repeat(own[some], b - a), self.n)
+            seen |= new
+            if skip >= 0:
+                cos[skip] = 0.0
+            worst = np.partition(cos, self.n - k)[self.n - k] if self.n > k else 0.0
+            wave = np.flatnonzero(~seen & (bound > 0) & (bound >= worst - 1e-9))
+        found = np.flatnonzero((cos > 0) & (cos >= worst - 1e-9))
+        found = found[np.lexsort((found, -np.round(cos[found], 12)))[:k]]
+        return found, cos[found]
 
 
 @dataclass
@@ -114,10 +132,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return s[:, 0] / s[:, 2], s[:, 1] / s[:, 2]
 
 
-def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 3000, terms: int = 400, min_chi2: float = 30.0, k: int = 15) -> ToxicityModel | None:
+def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = 800, certain: float = 100.0, k: int = 15) -> ToxicityModel | None:
     """docs: doc_id, text; labels: doc_id, toxic. may_learn: a column on doc_id.
 
-    per_class bounds the sample of each class (in the mean: rows are chosen by a hash of doc_id); terms bounds the vocabulary.
+    per_class bounds the sample of each class, in the mean: rows are chosen by a hash of doc_id.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(may_learn)
@@ -128,75 +146,79 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
     rate = F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, n_of.get(1, 0)))).otherwise(min(1.0, per_class / max(1, n_of.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1_000_000)) < rate * 1_000_000)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = plain.join(F.broadcast(chosen), "doc_id")  # at most about 2 * per_class ids
 
-    def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for toxic, own in pdf.groupby("toxic"):
-                c = Counter(w for t in own["text"] for w in set(words(t)))
-                c[""] = len(own)
-                yield pd.DataFrame({"toxic": toxic, "term": list(c), "n": list(c.values())})
-
-    per_term = sample.mapInPandas(presence, "toxic int, term string, n long").groupBy("term").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")
-    )
-    per_term = per_term.persist()
-    try:
-        sizes = per_term.where("term = ''").collect()
-        if not sizes:
-            return None
-        n1, n0 = int(sizes[0]["a"]), int(sizes[0]["b"])
-        a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), n1 + n0
-        chi2 = n * (a * n0 - b * n1) ** 2 / (float(max(1, n1 * n0)) * (a + b) * (n - a - b + 1e-9))
-        best = [r["term"] for r in per_term.where("term != '' and a + b >= 5").withColumn("c", chi2).where(F.col("c") >= min_chi2).orderBy(F.desc("c"), "term").limit(terms).collect()]
-    finally:
-        per_term.unpersist()
-    vocabulary = {t: i for i, t in enumerate(best)}
-    shared = spark.sparkContext.broadcast(vocabulary)
+            counts = [Counter(words(t)) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]})
+
+    # at most about 2 * per_class ids and rows
+    sample = plain.join(F.broadcast(chosen), "doc_id").mapInPandas(count, "doc_id long, toxic int, terms array<string>, counts array<int>")
+    seen = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["terms"]))
+    if not seen:
+        return None
+    vocabulary: dict[str, int] = {}
+    with_term: dict[int, list[int]] = {0: [], 1: []}
+    bags = []
+    for r in seen:
+        own = [vocabulary.setdefault(t, len(vocabulary)) for t in r["terms"]]
+        with_term[r["toxic"]] += own
+        bags.append(Counter(dict(zip(own, r["counts"], strict=True))))
+    n_terms = len(vocabulary)
+    n1 = sum(r["toxic"] for r in seen)
+    n0, n = len(seen) - n1, len(seen)
+    a, b = (np.bincount(np.array(with_term[c], np.int64), minlength=n_terms).astype(float) for c in (1, 0))
+    chi2 = n * (a * n0 - b * n1) ** 2 / (max(1, n1 * n0) * (a + b) * (n - a - b + 1e-9))
+    shared = spark.sparkContext.broadcast(vocabulary)  # the terms of the bounded sample
 
     def frequency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, c, rows = shared.value, Counter(), 0
+        v, rows = shared.value, 0
+        found = np.zeros(len(v), np.int64)
         for pdf in batches:
             for t in pdf["text"]:
-                c.update(v.keys() & set(words(t)))
+                found[[v[w] for w in set(words(t)) if w in v]] += 1
             rows += len(pdf)
-        yield pd.DataFrame({"term": [*c, ""], "n": [*c.values(), rows]})
+        term = np.flatnonzero(found)
+        yield pd.DataFrame({"term": np.append(term, -1), "n": np.append(found[term], rows)})
 
-    df = {r["term"]: r["n"] for r in plain.select("text").mapInPandas(frequency, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + df.get("", 0)) / (1 + df.get(t, 0))) + 1 for t in best])
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            counts = [Counter(i for i in map(shared.value.get, words(t)) if i is not None) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [sorted(c) for c in counts], "counts": [[c[i] for i in sorted(c)] for c in counts]})
-
-    seen = sample.mapInPandas(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()  # bounded by per_class
+    df = np.zeros(n_terms + 1, np.int64)  # the last one, -1: all documents
+    for r in plain.select("text").mapInPandas(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[r["term"]] = r["n"]
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (chi2 + 1) / (chi2 + certain)
     each = {1: n_of.get(1, 0) / max(1, n1), 0: n_of.get(0, 0) / max(1, n0)}  # labelled rows per sampled row
     groups: dict[tuple, list[float]] = {}
-    for r in seen:
-        g = groups.setdefault((tuple(r["terms"]), tuple(r["counts"])), [0.0, 0.0, r["doc_id"]])
+    for r, bag in zip(seen, bags, strict=True):
+        g = groups.setdefault(tuple(sorted(bag.items())), [0.0, 0.0, r["doc_id"]])
         g[0] += each[r["toxic"]] * r["toxic"]
         g[1] += each[r["toxic"]]
         g[2] = min(g[2], r["doc_id"])
-    empty = groups.pop(((), ()), [0.0, 0.0, 0])
+    empty = groups.pop((), [0.0, 0.0, 0])
     prior = n_of.get(1, 0) / sum(n_of.values())
-    keys = sorted(groups)
-    rows = np.zeros((len(keys), len(best)))
-    for i, (own, count) in enumerate(keys):
-        t, w = unit(Counter(dict(zip(own, count, strict=True))), idf)
-        rows[i, t] = w
+    # examples with the same commonest word, so mostly of one language, lie together: their blocks' bounds are tight
+    keys = sorted(groups, key=lambda g: (max((c, -t) for t, c in g)[1], g))
+    rows = [unit(Counter(dict(g)), idf) for g in keys]
     weight = np.array([groups[x][1] for x in keys])
     toxic = np.array([groups[x][0] for x in keys]) / np.maximum(weight, 1e-9)
-    model = ToxicityModel(vocabulary, idf, BlockMaxIndex(rows), toxic, weight, np.array([groups[x][2] for x in keys], np.int64), prior, (empty[0] + prior) / (empty[1] + 1), k)
+    model = ToxicityModel(vocabulary, idf, BlockMaxIndex(rows, n_terms), toxic, weight, np.array([groups[x][2] for x in keys], np.int64), prior, (empty[0] + prior) / (empty[1] + 1), k)
     if len(keys) > 1:
-        loo = np.array([model.vote(t := np.flatnonzero(rows[i]), rows[i, t], skip=i)[0] for i in range(len(keys))])
+        held = spark.sparkContext.broadcast((model, rows))
+
+        def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m, own = held.value
+            for pdf in batches:
+                yield pd.DataFrame({"id": pdf["id"], "vote": [m.vote(*own[i], skip=i)[0] for i in pdf["id"].tolist()]})
+
+        votes = spark.range(0, len(keys), 1, -(-len(keys) // 200)).mapInPandas(leave_one_out, "id long, vote double").collect()
+        loo = np.zeros(len(keys))
+        for r in votes:
+            loo[r["id"]] = r["vote"]
         model.steps = isotonic(loo, toxic, weight)
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, score, predicted, and as evidence the doc_ids and cosines of its nearest examples."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class and terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class
 
     @F.pandas_udf("score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
