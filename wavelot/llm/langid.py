@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelot.llm.common import small_batches
 from wavelot.llm.pieces import slices
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -114,6 +115,7 @@ def learn(docs: DataFrame, may_learn: Column, per_language: int = 1500, min_coun
     A gram belongs to a language if it occurs min_count times there, at min_share of its rate in the language
     where its rate is highest at least.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(may_learn & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows_of = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not rows_of:

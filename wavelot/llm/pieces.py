@@ -49,7 +49,7 @@ class ChunkEncoder:
 
     added = re.compile(r"(?!)")  # a vocabulary's added tokens
 
-    def __init__(self, path: str, chunks: str, most: int = 400_000):
+    def __init__(self, path: str, chunks: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelot.llm.common import small_batches
+
 SYMBOLS = b"#*$%&|<>"
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -147,6 +149,7 @@ def plan_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
                 seconds.append(s)
             yield pd.DataFrame({"rejected": rejected, "seconds": seconds})
 
+    small_batches(docs.sparkSession)
     sample = docs.select(F.col(text_col).cast("string").alias("t")).sample(fraction=min(1.0, sample_rows / n), seed=7)
     seen = sample.mapInPandas(measure, "rejected array<boolean>, seconds array<double>").limit(4 * sample_rows).collect()
     order = order_rules([list(x.rejected) for x in seen], [list(x.seconds) for x in seen])

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelot.llm.common import small_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -137,6 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
 
     per_class bounds the sample of each class, in the mean: rows are chosen by a hash of doc_id.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(may_learn)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

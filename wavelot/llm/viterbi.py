@@ -131,7 +131,7 @@ def _path(last: list[str], end: int) -> list[str]:
 class PieceEncoder(ChunkEncoder):
     """Ids of texts under a byte-pair SentencePiece model."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.model, self.most = PieceModel(path), most
         joined = [p for p in self.model.id_of if _JOINED.search(p)]
         if any(MARK in p.lstrip(MARK) for p in joined):
