@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavelot.cli import parser, yes_or_no
+from wavelot.cli import parser
 from wavelot.functions.audio import encode_wav
 from wavelot.operators import mux, samples
 from wavelot.options import Augment, Batching, BuildOptions, LoaderOptions
@@ -103,6 +103,41 @@ def test_training_mode(spark, corpus):
     assert {round(r["weight"], 6) for r in loader.weights().collect()} == {0.5}
 
 
+def test_batches_by_dataset_keep_added_columns(spark, corpus):
+    base = Batching(max_duration=1.0, min_length=0.1, max_length=2.0, num_buckets=2, intra_batch_mux=False)
+    tag = lambda d: d.withColumn("tag", F.upper("key"))
+    data = [Dataset("a", f"{corpus}/all.lst", map=tag), Dataset("b", f"{corpus}/all.lst", map=tag)]
+    options = LoaderOptions(batching=base, augment=Augment(noise=False), feature_type=None, workers=1, fill_factor=0.25, weights=[1000.0, 1.0])
+    with pytest.warns(UserWarning):
+        loader = Loader(spark, data, options)
+        loader.epoch_batches = lambda: 2
+        rows = loader.batches().collect()
+    assert len(rows) == 2 and all(r["tag"] == [i.upper() for i in r["ids"]] for r in rows)
+    # the epoch ends long before the rare dataset's first batch
+    assert {r["dataset"] for r in rows} == {"a"}
+
+
+def test_missing_files_are_left_out(spark, corpus, tmp_path):
+    lines = (corpus / "all.lst").read_text().splitlines() if hasattr(corpus, "joinpath") else open(f"{corpus}/all.lst").read().splitlines()
+    (tmp_path / "more.lst").write_text("\n".join([*lines, f"{tmp_path}/none.tar {tmp_path}/none.jsonl 1.0 5"]))
+    options = LoaderOptions(batching=Batching(max_duration=3.0, min_length=0.1, max_length=2.0), is_test=True, feature_type=None)
+    with pytest.warns(UserWarning, match="missing"):
+        rows = Loader(spark, [f"{tmp_path}/more.lst"], options).batches().collect()
+    assert len([i for r in rows for i in r["ids"]]) == 20
+
+
+def test_last_line_of_a_tar_counts(spark, tmp_path):
+    (tmp_path / "d.lst").write_text("\n".join(f"/x.tar /m{i}.jsonl {i}.0 {i}" for i in range(50)))
+    got = lists.read_shards(spark, f"{tmp_path}/d.lst", "d").collect()
+    assert [(r["manifest"], r["hours"], r["num_samples"]) for r in got] == [("/m49.jsonl", 49.0, 49)]
+
+
+def test_public_names():
+    import wavelot
+
+    assert all(getattr(wavelot, n) is not None for n in wavelot.__all__)
+
+
 def test_noise_has_the_asked_ratio(spark):
     rnd = np.random.default_rng(1)
     clean = spark.createDataFrame([(k, rnd.normal(size=400).tolist()) for k in range(20)], "key long, audio array<float>")
@@ -183,6 +218,6 @@ def test_options():
     assert (b.budget, b.cap, b.buckets) == (300, 300, 30)
     assert Batching(batch_size=8).buckets == 1
     assert BuildOptions(input="a/b.tsv.gz", num_tars=2).prefix == "b"
-    assert yes_or_no("Yes") and not yes_or_no("0")
     args = parser().parse_args(["build", "--input", "x", "--num-tars", "4", "--plan-only"])
+    assert not args.no_lst and args.compression_level == 0.65
     assert args.plan_only and args.format == "FLAC"

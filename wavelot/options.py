@@ -116,6 +116,7 @@ class BuildOptions:
     plan_only: bool = False
     split_start: int | None = None
     split_end: int | None = None
+    compression_level: float = 0.65  # of MP3
 
     def __post_init__(self):
         given = [x for x in (self.num_tars, self.samples_per_tar, self.duration_per_tar) if x is not None]

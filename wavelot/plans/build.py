@@ -52,7 +52,7 @@ def build(spark: SparkSession, options: BuildOptions) -> dict:
         table = sharding.balance(planned.withColumn("duration", F.coalesce("duration", F.lit(0.0)))).orderBy("shard")
         return {**context, "plan": [r.asDict() for r in table.collect()]}  # one row per shard
     chosen = sharding.shard_range(planned, options.split_start, options.split_end)
-    done = sinks.write_tars(chosen, out, options.prefix, options.format, options.sample_rate, options.split_bits).persist()
+    done = sinks.write_tars(chosen, out, options.prefix, options.format, options.sample_rate, options.split_bits, options.compression_level, n).persist()
     try:
         summary = {k: v or 0 for k, v in stats.build_summary(done).first().asDict().items()}
         if not options.no_lst:

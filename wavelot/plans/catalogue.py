@@ -303,7 +303,7 @@ def duration_histogram(spark, sf_dir):
     return stats.duration_histogram(rows).select("second", "n", F.round(F.col("seconds") * 100).cast("long").alias("hundredths"))
 
 
-@query(f"{_SERPENTINE} SELECT printf('/tars/audio/set.%08d.tar /tars/txt/set.%08d.jsonl %.6f %d', shard, shard, sum(duration) / 360000.0, count(*)) AS value FROM s GROUP BY shard")
+@query(f"{_SERPENTINE} SELECT printf('/tars/audio/set.%08d.tar /tars/txt/set.%08d.jsonl %.3f %d', shard, shard, sum(duration) / 360000.0, count(*)) AS value FROM s GROUP BY shard")
 def lst_lines(spark, sf_dir):
     b = sharding.balance(_serpentine(spark, sf_dir))
     name = text.shard_name("set", F.col("shard"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -55,6 +56,7 @@ class Loader:
             own = lists.read_shards(self.spark, d.shard_list, d.name)
             found = own if found is None else found.unionByName(own)
         bare = [r["manifest"] for r in found.where("hours is null or num_samples is null").select("manifest").collect()]
+        bare = sorted(lists.present(self.spark, bare))
         if bare:
             totals = stats.manifest_stats(lists.read_manifests(self.spark, bare, strict=True))
             found = stats.complete_shards(found, totals.withColumn("manifest", plain_path("manifest")))
@@ -76,10 +78,10 @@ class Loader:
 
     def samples(self, epoch: int = 0) -> DataFrame:
         """Decoded, labelled, filtered and augmented samples with a total order (seq) in each dataset."""
-        o, out = self.options, None
+        o, out, self.extra = self.options, None, {}
         shards = audiotar.rank_shards(self.shards(), o.rank, o.world_size)
         for d in self.datasets:
-            own = shards.where(F.col("dataset") == d.name).select("audio_tar", "manifest").collect()  # one row per shard
+            own = self._present(shards.where(F.col("dataset") == d.name).select("audio_tar", "manifest").collect())  # one row per shard
             if not own:
                 continue
             entries = audiotar.read_tars(self.spark, sorted(r["audio_tar"] for r in own))
@@ -91,7 +93,10 @@ class Loader:
             low = d.min_length if d.min_length is not None else o.batching.min_length
             high = d.max_length if d.max_length is not None else o.batching.max_length
             rows = samples.length_filter(rows, low, high)
-            rows = samples.apply_map(rows, d.map) if d.map else rows
+            if d.map:
+                known = set(rows.columns)
+                rows = samples.apply_map(rows, d.map)
+                self.extra |= {c: c for c in rows.columns if c not in known}
             rows = samples.apply_filter(rows, d.filter) if d.filter is not None else rows
             rows = mux.num_copies(mux.passes(rows, 1 if o.is_test else o.passes), o.batching.num_copies)
             if not o.is_test:
@@ -104,16 +109,26 @@ class Loader:
         key = F.concat_ws("/", F.lpad(F.col("epoch_pass").cast("string"), 6, "0"), F.col("url"), F.col("key")) if o.is_test else order_key(seed, "dataset", "url", "key", "epoch_pass")
         return out.withColumns({"seq": key, "worker": F.pmod(F.xxhash64("url"), F.lit(o.workers)).cast("int")})
 
+    def _present(self, shards: list) -> list:
+        """Shards whose tar and manifest exist; a warning names how many are left out."""
+        there = lists.present(self.spark, [r[c] for r in shards for c in ("audio_tar", "manifest")])
+        kept = [r for r in shards if r["audio_tar"] in there and r["manifest"] in there]
+        if len(kept) < len(shards):
+            warnings.warn(f"{len(shards) - len(kept)} of {len(shards)} shards are left out, their files are missing", stacklevel=3)
+        return kept
+
     def noise(self, d: Dataset) -> tuple[DataFrame | None, int]:
         if not self.options.augment.noise or d.noise_list is None:
             return None, 0
-        tars = [r["audio_tar"] for r in lists.read_noise_list(self.spark, d.noise_list).collect()]  # one row per shard
+        tars = lists.present(self.spark, [r["audio_tar"] for r in lists.read_noise_list(self.spark, d.noise_list).collect()])  # one row per shard
+        if not tars:
+            return None, 0
         rows = samples.decode(audiotar.read_tars(self.spark, sorted(tars), NOISE_FORMATS), self.options.sample_rate).where(F.size("audio") > 0)
         keyed = shuffled_rank(rows.withColumn("k", order_key(self.options.seed, "url", "key")), "k", ["url", "key"], name="idx")
         return keyed.select("idx", "audio"), keyed.count()
 
     def batches(self, epoch: int = 0) -> DataFrame:
-        """Padded batches: worker, bucket_id, batch_id, ids, text, audio, audio_lens, feature, feature_lens."""
+        """Padded batches: worker, bucket_id, batch_id, ids, text, each column that a map added, audio, audio_lens, feature, feature_lens."""
         o, b = self.options, self.options.batching
         rows = self.samples(epoch)
         group = ["worker", "bucket_id"] if b.intra_batch_mux else ["worker", "dataset", "bucket_id"]
@@ -130,12 +145,18 @@ class Loader:
         full = rows.drop("worker", "seq", "dataset", "length_s").join(packed.drop("length_s"), keys)
         if self.extractor is not None:
             full = full.withColumn("feature", features(F.col("audio"), self.extractor))
-        done = collate(full, [*group, "batch_id"], ["copy", "place", "seq"], {"ids": "key", "text": "text"}, ["audio"], ["feature"] if self.extractor is not None else [])
+        done = collate(full, [*group, "batch_id"], ["copy", "place", "seq"], {"ids": "key", "text": "text", **self.extra}, ["audio"], ["feature"] if self.extractor is not None else [])
         if o.is_test:
             return done
-        per_worker = max(1, -(-self.epoch_batches() // o.workers))
-        emitted = done.withColumn("__e", order_key(f"emit{o.seed}/{epoch}/{o.rank}", *group, "batch_id"))
-        return batching.epoch_limit(emitted, per_worker, ["__e"]).drop("__e")
+        per_worker = max(1, self.epoch_batches() // o.workers)
+        emitted = done.withColumn("__k", order_key(f"emit{o.seed}/{epoch}/{o.rank}", *group, "batch_id"))
+        if "dataset" in group and len(self.datasets) > 1:
+            # each dataset's batches arrive at a rate that follows its weight
+            ties = ["worker", "bucket_id", "batch_id"]
+            ranked = shuffled_rank(emitted, "__k", ties, ["dataset"], name="__r")
+            raced = mux.random_mix_time(ranked, self.weights(), o.seed + epoch, ["dataset", *ties], rank="__r")
+            emitted = raced.select(*done.columns, F.col("t").alias("__k"))
+        return batching.epoch_limit(emitted, per_worker, ["__k"]).drop("__k")
 
     def _order(self, first: DataFrame) -> DataFrame:
         """place: arrival time in the mix of datasets."""

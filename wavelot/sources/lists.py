@@ -13,22 +13,26 @@ from wavelot.schemas import MANIFEST
 _TRIM = r"^\s+|\s+$"
 
 
-def parse_shards(lines: DataFrame, dataset: str | Column) -> DataFrame:
-    """lines: value. Columns of schemas.SHARDS plus ok: at least two fields. Blank lines are dropped; ok = false rows are what to warn of."""
+def parse_shards(lines: DataFrame, dataset: str | Column, *more: str) -> DataFrame:
+    """lines: value. Columns of schemas.SHARDS plus ok: at least two fields. Blank lines are dropped; ok = false rows are what to warn of.
+    more: columns of lines to keep."""
     name = F.lit(dataset) if isinstance(dataset, str) else dataset
     parts = F.split(F.regexp_replace("value", _TRIM, ""), r"\s+")
     rows = lines.withColumn("__p", parts).where(F.element_at("__p", 1) != "")
     field = lambda i: F.get("__p", F.lit(i))
     return rows.select(
         name.alias("dataset"), field(0).alias("audio_tar"), field(1).alias("manifest"),
-        field(2).try_cast("double").alias("hours"), field(3).try_cast("long").alias("num_samples"), (F.size("__p") >= 2).alias("ok"),
+        field(2).try_cast("double").alias("hours"), field(3).try_cast("long").alias("num_samples"), (F.size("__p") >= 2).alias("ok"), *more,
     )
 
 
 def read_shards(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """A shard list. Of lines that name one tar twice the last stays, so no tar is read twice."""
-    rows = parse_shards(spark.read.text(path), dataset).where("ok").drop("ok")
-    return rows.groupBy("dataset", "audio_tar").agg(*[F.max_by(c, F.struct(F.lit(1))).alias(c) for c in ("manifest", "hours", "num_samples")])
+    # a list is one file, whose parts Spark reads in order, so these ids grow with the line
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("__line"))
+    rows = parse_shards(lines, dataset, "__line").where("ok")
+    last = rows.groupBy("dataset", "audio_tar").agg(F.max_by(F.struct("manifest", "hours", "num_samples"), "__line").alias("last"))
+    return last.select("dataset", "audio_tar", "last.*")
 
 
 def existing_shards(shards: DataFrame, columns: tuple[str, ...] = ("audio_tar", "manifest")) -> DataFrame:
@@ -48,6 +52,17 @@ def existing_shards(shards: DataFrame, columns: tuple[str, ...] = ("audio_tar",
     return shards
 
 
+def present(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of the paths, one per shard, that exist on whatever file system Spark reads them from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def found(p: str) -> bool:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        return path.getFileSystem(conf).exists(path)
+
+    return {p for p in set(paths) if found(p)}
+
+
 def read_noise_list(spark: SparkSession, path: str) -> DataFrame:
     """First field of each line; the rest is ignored."""
     first = F.element_at(F.split(F.regexp_replace("value", _TRIM, ""), r"\s+"), 1)

@@ -58,10 +58,11 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
-def write_tars(planned: DataFrame, output_dir: str, prefix: str, fmt: str = "wav", sample_rate: int = 16000, bits: int = 8, level: float = 0.65) -> DataFrame:
+def write_tars(planned: DataFrame, output_dir: str, prefix: str, fmt: str = "wav", sample_rate: int = 16000, bits: int = 8, level: float = 0.65, shards: int | None = None) -> DataFrame:
     """planned: shard, index, id, audio_path, text (normalised), start, duration, slice_audio. One row per shard of WRITTEN.
 
-    Of equal file names in a shard the first (by index) counts, even if it can't be read. Samples that can't be read are counted as errors."""
+    Of equal file names in a shard the first (by index) counts, even if it can't be read. Samples that can't be read are counted as errors. Of several channels
+    the first is kept. shards: how many there are; each gets a task of its own, up to 10,000, as rows are small and the work isn't."""
     fmt = fmt.lower()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +78,8 @@ def write_tars(planned: DataFrame, output_dir: str, prefix: str, fmt: str = "wav
             yield writer.close()
 
     need = ["shard", "index", "id", "audio_path", "text", "start", "duration", "slice_audio"]
-    return planned.select(*need).repartition("shard").sortWithinPartitions("shard", "index").mapInPandas(write, WRITTEN)
+    tasks = max(1, min(shards or 4 * planned.sparkSession.sparkContext.defaultParallelism, 10_000))
+    return planned.select(*need).repartition(tasks, "shard").sortWithinPartitions("shard", "index").mapInPandas(write, WRITTEN)
 
 
 class _ShardWriter:
@@ -102,7 +104,7 @@ class _ShardWriter:
             return
         self.seen.add(name)
         try:
-            audio = load_mono(read_file(row.audio_path), row.audio_path.rsplit(".", 1)[-1], self.rate)
+            audio = load_mono(read_file(row.audio_path), row.audio_path.rsplit(".", 1)[-1], self.rate, average=False)
             if row.slice_audio:
                 a = int(row.start * self.rate)
                 audio = audio[a : a + int(row.duration * self.rate)]
@@ -133,14 +135,14 @@ class _ShardWriter:
         return pd.DataFrame([(self.shard, self.tar_uri, self.txt_uri, n, self.seconds, self.errors, not self.skip)], columns=[x.split()[0] for x in WRITTEN.split(", ")])
 
 
-def list_lines(shards: DataFrame, digits: int = 6) -> DataFrame:
+def list_lines(shards: DataFrame, digits: int = 3) -> DataFrame:
     """shards: audio_tar, manifest, hours, num_samples -> value, a list's lines. Paths with white space can't stand in a list and raise."""
     bad = F.col("audio_tar").rlike(r"\s") | F.col("manifest").rlike(r"\s")
     line = F.format_string(f"%s %s %.{digits}f %d", "audio_tar", "manifest", F.coalesce("hours", F.lit(0.0)), F.coalesce("num_samples", F.lit(0)).cast("long"))
     return shards.select("audio_tar", F.when(bad, F.raise_error(F.lit("a path holds white space"))).otherwise(line).alias("value"))
 
 
-def write_list(shards: DataFrame, uri: str, digits: int = 6) -> int:
+def write_list(shards: DataFrame, uri: str, digits: int = 3) -> int:
     """One line per shard, sorted by tar; the number of shards bounds what comes to the driver."""
     lines = [r["value"] for r in list_lines(shards, digits).orderBy("audio_tar").collect()]
     put_lines(uri, lines)
