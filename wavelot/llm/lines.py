@@ -229,11 +229,22 @@ def _middles(a, b):
 
 
 def pair_profile(forms: list[str]) -> np.ndarray:
-    """Forms x _PAIRS: how many pairs of neighbouring characters fall into each class."""
-    out = np.zeros((len(forms), _PAIRS), np.int32)
-    for i, x in enumerate(forms):
-        c = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
-        out[i] = np.bincount((c[:-1] * np.uint32(37) + c[1:]) & np.uint32(_PAIRS - 1), minlength=_PAIRS)
+    """Forms x _PAIRS: how many pairs of neighbouring characters fall into each class, 16,383 at most."""
+    size = np.fromiter(map(len, forms), np.int64, len(forms))
+    c = np.frombuffer("".join(forms).encode("utf-32-le", "replace"), np.uint32)
+    row = np.repeat(np.arange(len(forms)), size)
+    kind = (c[:-1] * np.uint32(37) + c[1:]) & np.uint32(_PAIRS - 1)
+    same = row[:-1] == row[1:]
+    count = np.bincount((row[:-1] * _PAIRS + kind)[same], minlength=len(forms) * _PAIRS)
+    return np.minimum(count, (1 << 14) - 1).astype(np.int16).reshape(len(forms), _PAIRS)
+
+
+def apart(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By how much rows i of profile x differ from rows j of profile y. An edit takes two pairs of characters at most and brings two, so
+    forms that differ by d edits are apart by 4 d at most."""
+    out = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 2048):
+        out[at : at + 2048] = np.abs(x[i[at : at + 2048]] - y[j[at : at + 2048]]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -280,7 +291,7 @@ def distance_by_words(x: list[str], y: list[str], most: int) -> int:
 
 
 def alike(a: str, b: str, threshold: float) -> bool:
-    """Whether the edit similarity reaches the threshold. What is quick comes first: lengths, words, pairs of characters."""
+    """Whether the edit similarity reaches the threshold. What is quick comes first: lengths, words."""
     longest = max(len(a), len(b), 1)
     most = int((1 - threshold) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
@@ -288,10 +299,6 @@ def alike(a: str, b: str, threshold: float) -> bool:
     x, y = _middles(a.split(" "), b.split(" "))
     if max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)) <= most:
         return True
-    profile = pair_profile([a, b])
-    # an edit takes two pairs of characters at most and brings two, so no link is lost here
-    if np.abs(profile[0] - profile[1]).sum() > 4 * most:
-        return False
     return distance_by_words(x, y, most) <= most or edit_distance(a, b, most) <= most
 
 
@@ -371,32 +378,53 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
             return short | ((x == y).sum(axis=1) >= AGREE)
         return np.bitwise_count(x ^ y).sum(axis=1) <= differ
 
+    def by_length(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many edits forms of these lengths may be apart, and whether their lengths allow a link."""
+        most = ((1 - threshold) * np.maximum(np.maximum(x, y), 1) + 1e-9).astype(np.int64)
+        return most, np.abs(x - y) <= most
+
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
-        sketch = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
-        hit = may_link(sketch(x), sketch(y), ((a.str.len() < SHORT) | (b.str.len() < SHORT)).to_numpy()) if len(a) else np.zeros(0, bool)
-        return pd.Series([bool(h) and alike(p, q, threshold) for h, p, q in zip(hit, a, b, strict=True)], dtype="bool")
+        hit = np.zeros(len(a), bool)
+        if len(a):
+            sketch = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
+            p, q = a.str.len().to_numpy(), b.str.len().to_numpy()
+            most, hit = by_length(p, q)
+            hit &= may_link(sketch(x), sketch(y), np.minimum(p, q) < SHORT)
+            some = np.flatnonzero(hit)
+            one, two = a.iloc[some].tolist(), b.iloc[some].tolist()
+            at = np.arange(len(some))
+            near = apart(pair_profile(one), at, pair_profile(two), at) <= 4 * most[some]
+            hit[some] = [bool(n) and alike(v, w, threshold) for n, v, w in zip(near, one, two, strict=True)]
+        return pd.Series(hit, dtype="bool")
 
     def prepare(pdf: pd.DataFrame):
         form, length = pdf["form"].tolist(), pdf["form"].str.len().to_numpy()
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        keys, bucket = [set(k.tolist()) for k in pdf["keys"]], int(pdf["bucket"].iloc[0])
-
-        def links_of(i: int, others: np.ndarray) -> np.ndarray:
-            hit = may_link(sketch[others], sketch[i], np.minimum(length[others], length[i]) < SHORT)
-            hit &= np.abs(length[others] - length[i]) <= (1 - threshold + 1e-9) * np.maximum(length[others], length[i])
-            for k in np.flatnonzero(hit).tolist():
-                # a pair that shares several buckets is looked at in the first of them
-                hit[k] = min(keys[i] & keys[others[k]]) == bucket and alike(form[i], form[others[k]], threshold)
+        keys, bucket = [set(k.tolist()) for k in pdf["keys"]], pdf["bucket"].tolist()
+        profile: list[np.ndarray] = []
+
+        def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            most, hit = by_length(length[i], length[j])
+            hit &= may_link(sketch[i], sketch[j], np.minimum(length[i], length[j]) < SHORT)
+            some = np.flatnonzero(hit)
+            if len(some):
+                if not profile:
+                    profile.append(pair_profile(form))
+                hit[some] = apart(profile[0], i[some], profile[0], j[some]) <= 4 * most[some]
             return hit
 
-        return links_of
+        def sure(i: int, j: int) -> bool:
+            # a pair that shares several buckets is looked at in the first of them
+            return min(keys[i] & keys[j]) == bucket[i] and alike(form[i], form[j], threshold)
+
+        return may, sure
 
     one = forms.select(F.col("id").alias("a"), F.col("form").alias("fa"), F.col("sketch").alias("sa"))
     two = forms.select(F.col("id").alias("b"), F.col("form").alias("fb"), F.col("sketch").alias("sb"))
     links = cut(pairs.join(one, "a").join(two, "b").where(linked("fa", "sa", "fb", "sb")).select("a", "b"))
     groups = components(links)
-    more = cut(across_links(crowded, groups, forms, prepare, block=512).select("a", "b").distinct())
+    more = cut(across_links(crowded, groups, forms, prepare, block=512, in_bulk=True).select("a", "b").distinct())
     if more.limit(1).count():
         groups = components(links.unionByName(more))
     return _removed(lines.select("doc_id", "h", "line", "norm"), groups)

@@ -57,13 +57,15 @@ def star_pairs(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), crowded
 
 
-def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[int, np.ndarray], np.ndarray]], block: int = 4096, block_bytes: int = 8 << 20) -> DataFrame:
+def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], object], block: int = 4096, block_bytes: int = 8 << 20, in_bulk: bool = False) -> DataFrame:
     """Links a, b, bucket between ids that no chain of links joins yet: enough of them to join all that link.
 
     crowded: bucket, id, b (whose pairs with the bucket's ids are known); groups: node, component of the ids linked so far; payload: id, size (bytes) and what verifying takes. prepare(rows of a
     bucket) gives a function (row number, other row numbers) -> which of these link with it. Buckets whose ids already are one
     group drop out, so large groups of copies cost nothing here; in the others each row is compared, inside the task, with the rows of
     other groups. A bucket of more than `block` rows or `block_bytes` is dealt into blocks, each pair of blocks a task's group of its own.
+    in_bulk, for many small buckets: prepare gets the rows of several buckets and gives two functions, (row numbers, row numbers) -> which pairs may link,
+    and (row number, row number) -> whether this pair does.
     """
     grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", "b", F.coalesce("component", "id").alias("g"))
     mixed = cut(grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket"))
@@ -104,8 +106,39 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
         if rest is not None and len(rest):
             yield from found(rest, [0, len(rest)])
 
+    def bulk(pdf: pd.DataFrame, edges: list[int]) -> list[tuple[int, int, int]]:
+        n, out, joined = edges[-1], [], {}
+        pdf = pdf.iloc[:n]
+        bucket, ids, side, label = pdf["bucket"].tolist(), pdf["id"].tolist(), pdf["own"].to_numpy(), pdf["g"].to_numpy()
+        split, hub = (pdf["low"] != pdf["high"]).to_numpy(), (pdf["id"] == pdf["b"]).to_numpy()
+        begin = np.arange(1, n + 1)
+        width = np.where(hub, 0, np.repeat(edges[1:], np.diff(edges)) - begin)
+        if not width.any():
+            return out
+        may, sure = prepare(pdf)
+
+        def top(g: int) -> int:
+            while g in joined:
+                g = joined[g]
+            return g
+
+        place = np.cumsum(width) // 100_000  # about so many pairs at a time
+        for chunk in np.split(np.arange(n), np.flatnonzero(np.diff(place)) + 1):
+            i = np.repeat(chunk, width[chunk])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width[chunk]) - width[chunk], width[chunk]) + begin[i]
+            now = np.array([top(g) for g in label.tolist()]) if joined else label
+            some = (now[i] != now[j]) & ~hub[j] & (~split[i] | (side[i] != side[j]))
+            i, j = i[some], j[some]
+            hit = may(i, j)
+            for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+                g, k = top(int(label[x])), top(int(label[y]))
+                if g != k and sure(x, y):
+                    joined[max(g, k)] = min(g, k)
+                    out.append((max(ids[x], ids[y]), min(ids[x], ids[y]), bucket[x]))
+        return out
+
     def found(pdf: pd.DataFrame, edges: list[int]) -> Iterator[pd.DataFrame]:
-        out = [x for s, e in zip(edges, edges[1:], strict=False) if e - s > 1 for x in whole(pdf.iloc[s:e])]
+        out = bulk(pdf, edges) if in_bulk else [x for s, e in zip(edges, edges[1:], strict=False) if e - s > 1 for x in whole(pdf.iloc[s:e])]
         if out:
             yield pd.DataFrame(out, columns=["a", "b", "bucket"])
 
