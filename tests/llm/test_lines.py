@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from wavelot.llm import lines
-from wavelot.llm.lines import drop_lines, edit_distance, edit_similarity, line_report, normal_form, simhashes
+from wavelot.llm.lines import LONG, alike, apart, banded_distances, drop_lines, edit_distance, edit_similarity, line_report, normal_form, pair_profile, simhashes
 
 
 def plain_distance(a, b):
@@ -23,6 +24,22 @@ def test_edit_distance():
         assert edit_distance(a, b) == plain_distance(a, b)
 
 
+def test_many_distances_at_once():
+    rnd = random.Random(2)
+    for size in (0, 1, 12, 60):
+        a = [" ".join("".join(rnd.choice("abé😀") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(0, size // 3))) for _ in range(120)]
+        b = ["".join(c if rnd.random() < 0.9 else rnd.choice(["", "b", "cc"]) for c in x) if rnd.random() < 0.8 else rnd.choice(a) for x in a]
+        want = np.array([plain_distance(x, y) for x, y in zip(a, b, strict=True)])
+        at = np.arange(len(a))
+        assert (apart(pair_profile(a), at, pair_profile(b), at) <= 4 * want).all()
+        for most in (0, 1, 4, 40):
+            got = banded_distances(a, b, most)
+            assert (np.where(want <= most, got, want) == want).all() and (got[want > most] > most).all()
+            assert (alike(a, b, np.full(len(a), most)) == (want <= most)).all()
+    long = "abcd efg " * LONG
+    assert alike([long, long], [long.replace("b", "x", 3), long[::-1]], np.array([5, 5])).tolist() == [True, False]
+
+
 def brute(docs):
     """docs: (doc_id, text) with distinct ids in order. Line numbers that go."""
     found = [(d, k, normal_form(x)) for d, t in docs for k, x in enumerate((t or "").split("\n")) if x.strip()]

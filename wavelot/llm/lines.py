@@ -37,7 +37,7 @@ from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.sieve import sift
 from wavelot.llm.shingles import sequences, word_hashes
 
-BANDS, ROWS, AGREE, SHORT, SLICE = 16, 4, 10, 15, 128_000
+BANDS, ROWS, AGREE, SHORT, LONG, SLICE = 16, 4, 10, 15, 1000, 128_000
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FAR = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)  # exponential waiting times by their 16 bits
@@ -290,16 +290,60 @@ def distance_by_words(x: list[str], y: list[str], most: int) -> int:
     return total
 
 
-def alike(a: str, b: str, threshold: float) -> bool:
-    """Whether the edit similarity reaches the threshold. What is quick comes first: lengths, words."""
-    longest = max(len(a), len(b), 1)
-    most = int((1 - threshold) * longest + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    x, y = _middles(a.split(" "), b.split(" "))
-    if max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)) <= most:
-        return True
-    return distance_by_words(x, y, most) <= most or edit_distance(a, b, most) <= most
+def alike(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs of forms are at most so many edits apart. Those that differ in one short run of words need no distance; the others are
+    compared many at a time, or by themselves above LONG characters."""
+    out, rest = np.zeros(len(a), bool), []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        x, y = _middles(p.split(" "), q.split(" "))
+        out[i] = max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)) <= most[i]
+        if not out[i] and max(len(p), len(q)) > LONG:
+            out[i] = distance_by_words(x, y, most[i]) <= most[i] or edit_distance(p, q, int(most[i])) <= most[i]
+        elif not out[i]:
+            rest.append(i)
+    rest.sort(key=lambda i: max(len(a[i]), len(b[i])))
+    for at in range(0, len(rest), 256):
+        part = rest[at : at + 256]
+        out[part] = banded_distances([a[i] for i in part], [b[i] for i in part], int(most[part].max())) <= most[part]
+    return out
+
+
+def banded_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
+    """Levenshtein distances of pairs of strings under some thousand characters, where they are at most `most`; else any larger number. All
+    pairs take the same diagonal at a time; row i + 1 of it is for i characters of a, and only rows in the band are filled."""
+    n, width, far = max(map(len, [*a, *b]), default=0), len(a), 1 << 14
+
+    def signs(s: list[str], filler: int) -> np.ndarray:
+        """n x pairs: code points, and beyond a string's end a filler that equals none."""
+        out = np.full((width, n), filler, np.uint32)
+        for row, x in zip(out, s, strict=True):
+            row[: len(x)] = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
+        return np.ascontiguousarray(out.T)
+
+    x, y = signs(a, 1 << 30), np.ascontiguousarray(signs(b, 1 << 31)[::-1])
+    size = np.array([len(s) for s in a])
+    last = size + np.array([len(s) for s in b])
+    out = np.where(last == 0, 0, far)
+    older, old, new = (np.full((n + 3, width), far, np.int16) for _ in range(3))
+    old[1] = 0
+    ends = {int(d): np.flatnonzero(last == d) for d in np.unique(last) if d}
+    for d in range(1, int(last.max(initial=0)) + 1):
+        low, high = max(0, d - n, (d - most + 1) // 2), min(n, d, (d + most) // 2)
+        new[low] = far
+        if low <= high:
+            np.minimum(old[low + 1 : high + 2], old[low : high + 1], out=new[low + 1 : high + 2])
+            new[low + 1 : high + 2] += 1
+            p, q = max(low, 1), min(high, d - 1)
+            if p <= q:
+                same = older[p : q + 1] + (x[p - 1 : q] != y[n - d + p : n - d + q + 1])
+                np.minimum(new[p + 1 : q + 2], same, out=new[p + 1 : q + 2])
+        new[max(high, low - 1) + 2] = far
+        if d in ends:
+            at = ends[d]
+            inside = (size[at] >= low) & (size[at] <= high)
+            out[at] = np.where(inside, new[np.clip(size[at] + 1, 0, n + 2), at], far)
+        older, old, new = old, new, older
+    return out
 
 
 def _blocks(n: int, differ: int) -> tuple[int, int]:
@@ -394,8 +438,9 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
             some = np.flatnonzero(hit)
             one, two = a.iloc[some].tolist(), b.iloc[some].tolist()
             at = np.arange(len(some))
-            near = apart(pair_profile(one), at, pair_profile(two), at) <= 4 * most[some]
-            hit[some] = [bool(n) and alike(v, w, threshold) for n, v, w in zip(near, one, two, strict=True)]
+            near = np.flatnonzero(apart(pair_profile(one), at, pair_profile(two), at) <= 4 * most[some])
+            hit[some] = False
+            hit[some[near]] = alike([one[i] for i in near], [two[i] for i in near], most[some[near]])
         return pd.Series(hit, dtype="bool")
 
     def prepare(pdf: pd.DataFrame):
@@ -414,9 +459,12 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
                 hit[some] = apart(profile[0], i[some], profile[0], j[some]) <= 4 * most[some]
             return hit
 
-        def sure(i: int, j: int) -> bool:
+        def sure(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             # a pair that shares several buckets is looked at in the first of them
-            return min(keys[i] & keys[j]) == bucket[i] and alike(form[i], form[j], threshold)
+            here = np.array([min(keys[x] & keys[y]) == bucket[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            i, j = i[here], j[here]
+            here[here] = alike([form[x] for x in i], [form[x] for x in j], by_length(length[i], length[j])[0])
+            return here
 
         return may, sure
 

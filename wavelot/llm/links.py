@@ -65,7 +65,7 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
     group drop out, so large groups of copies cost nothing here; in the others each row is compared, inside the task, with the rows of
     other groups. A bucket of more than `block` rows or `block_bytes` is dealt into blocks, each pair of blocks a task's group of its own.
     in_bulk, for many small buckets: prepare gets the rows of several buckets and gives two functions, (row numbers, row numbers) -> which pairs may link,
-    and (row number, row number) -> whether this pair does.
+    and the same -> which of some pairs do.
     """
     grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", "b", F.coalesce("component", "id").alias("g"))
     mixed = cut(grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket"))
@@ -130,11 +130,18 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
             some = (now[i] != now[j]) & ~hub[j] & (~split[i] | (side[i] != side[j]))
             i, j = i[some], j[some]
             hit = may(i, j)
-            for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                g, k = top(int(label[x])), top(int(label[y]))
-                if g != k and sure(x, y):
-                    joined[max(g, k)] = min(g, k)
-                    out.append((max(ids[x], ids[y]), min(ids[x], ids[y]), bucket[x]))
+            i, j, step = i[hit], j[hit], 32
+            while len(i):  # what one step joins, the next needn't look at
+                hit = sure(i[:step], j[:step])
+                for x, y in zip(*(z[:step][hit].tolist() for z in (i, j)), strict=True):
+                    g, k = top(int(label[x])), top(int(label[y]))
+                    if g != k:
+                        joined[max(g, k)] = min(g, k)
+                        out.append((max(ids[x], ids[y]), min(ids[x], ids[y]), bucket[x]))
+                now = np.array([top(g) for g in label.tolist()])
+                i, j, step = i[step:], j[step:], min(2 * step, 1024)
+                some = now[i] != now[j]
+                i, j = i[some], j[some]
         return out
 
     def found(pdf: pd.DataFrame, edges: list[int]) -> Iterator[pd.DataFrame]:
