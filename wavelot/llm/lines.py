@@ -300,11 +300,11 @@ def alike(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
         if not out[i] and max(len(p), len(q)) > LONG:
             out[i] = distance_by_words(x, y, most[i]) <= most[i] or edit_distance(p, q, int(most[i])) <= most[i]
         elif not out[i]:
-            rest.append(i)
-    rest.sort(key=lambda i: max(len(a[i]), len(b[i])))
+            rest.append((i, " ".join([*x, ""]), " ".join([*y, ""])))  # a blank after each word, so the distance is that of the whole forms
+    rest.sort(key=lambda r: max(len(r[1]), len(r[2])))
     for at in range(0, len(rest), 256):
-        part = rest[at : at + 256]
-        out[part] = banded_distances([a[i] for i in part], [b[i] for i in part], int(most[part].max())) <= most[part]
+        part, x, y = map(list, zip(*rest[at : at + 256], strict=True))
+        out[part] = banded_distances(x, y, int(most[part].max())) <= most[part]
     return out
 
 
