@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelot.llm import bagminhash, langid, lines, packing, quality, suffixes, token_files, toxicity, vectors, viterbi
+from wavelot.llm import bagminhash, langid, lines, packing, quality, runs, suffixes, token_files, toxicity, vectors, viterbi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +70,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_suffix_array, op3_flat_graph, op4_fuzzy_lines, op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_planted_runs(_table(spark, sf_dir, "documents"))
+    return runs.run_digest(runs.periodic_runs(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_suffix_array, op3_flat_graph, op4_fuzzy_lines, op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files, op13_periodic_runs)}
 SQL = {"op6_quality_rules": quality.SQL}
