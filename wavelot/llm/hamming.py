@@ -57,8 +57,8 @@ def lifted(m: np.ndarray, longest: float) -> np.ndarray:
 def learn_rotations(y: np.ndarray, bits: int, steps: int = 25, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Centre and projection (axes x bits) whose signs are the codes."""
     centre = y.mean(axis=0)
-    _, _, axes = np.linalg.svd(y - centre, full_matrices=True)
-    axes = axes[: min(bits, len(axes))].T
+    _, axes = np.linalg.eigh((y - centre).T @ (y - centre))
+    axes = axes[:, ::-1][:, :bits]
     v, rnd, made = (y - centre) @ axes, np.random.default_rng(seed), []
     while sum(x.shape[1] for x in made) < bits:
         turn = np.linalg.qr(rnd.normal(size=(axes.shape[1], axes.shape[1])))[0]
