@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelot.llm import bagminhash, hamming, langid, lines, packing, quality, runs, suffixes, token_files, toxicity, vectors, viterbi
+from wavelot.llm import alignment, bagminhash, hamming, langid, lines, packing, quality, runs, suffixes, token_files, toxicity, vectors, viterbi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest_only=True)
+
+
 def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -79,5 +83,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digest(runs.periodic_runs(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_suffix_array, op3_flat_graph, op4_fuzzy_lines, op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files, op12_multi_index, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_bagminhash, op2_suffix_array, op3_flat_graph, op4_fuzzy_lines, op5_toxicity, op6_quality_rules, op7_best_fit_packing, op8_language_id, op9_streaming_viterbi, op10_token_files, op11_token_alignment, op12_multi_index, op13_periodic_runs)}
 SQL = {"op6_quality_rules": quality.SQL}
