@@ -8,7 +8,8 @@ buckets within its share finds every code within the radius; the whole code is t
 is left is ranked by inner products of the original vectors in double precision.
 
 The buckets of a substring are dealt out by its leading bits, of which there are more the more vectors there are; a query goes only where these differ in the
-substring's share at most. Crowded prefixes are split into blocks of bounded size, and the queries stream past a block, so a task holds one block.
+substring's share at most. Crowded prefixes are split into blocks of bounded size, and the queries stream past a block, so a task holds one block. A query
+first meets the buckets under its own prefixes; from others only what reaches its k-th best of there goes on.
 
 The radius is what covers `cover` of the true neighbours of `audit` drawn queries (brute force over all vectors). A query with fewer
 than k found gets a wider radius until it has them; at `bits` all vectors are met. Recall is measured on as many other drawn queries; below
@@ -270,10 +271,10 @@ def _brute(items: DataFrame, queries: list[tuple[bytes, int, bytes, bytes]], kee
 
 
 def _probe(items: DataFrame, queries: DataFrame, total: int, n_queries: int, bits: int, parts: int, radius: int, block: int, keep: int) -> tuple[DataFrame, int]:
-    """node (a query), vec_id, score: the best `keep` rows of each block that a query meets; and how many pairs were ranked."""
+    """node (a query), vec_id, score: of each block that a query meets the best `keep` rows that reach what it has found at home; and how many pairs were ranked."""
     lead = max(0, min(16, int(np.ceil(np.log2(max(1, total) / block)))))  # leading bits that deal a substring's buckets out
     share, wide = shares(radius, parts), bits // 32 // parts
-    turns = -(-n_queries // 65536)  # queries past one block in one task
+    turns = max(1, -(-n_queries // 65536))  # queries past one block in one task
 
     def prefixes(code: list[bytes], part: int) -> np.ndarray:
         return (word_rows(code)[:, part * wide].astype(np.int64) >> (32 - lead)).astype(np.int32)
@@ -284,25 +285,12 @@ def _probe(items: DataFrame, queries: DataFrame, total: int, n_queries: int, bit
                 if share[part] >= 0:
                     yield pdf.assign(part=part, prefix=prefixes(pdf["code"].tolist(), part))
 
-    masks = np.arange(1 << lead, dtype=np.int32)
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in range(parts):
-                if share[part] >= 0:
-                    near = masks[np.bitwise_count(masks) <= share[part]]
-                    for s in range(0, len(pdf), step := max(1, 100_000 // len(near))):
-                        some = pdf.iloc[s : s + step]
-                        yield some.loc[some.index.repeat(len(near))].assign(part=part, prefix=(prefixes(some["code"].tolist(), part)[:, None] ^ near[None]).reshape(-1))
-
     placed = items.mapInPandas(place, f"{ITEMS}, part int, prefix int")
     sizes = cut(placed.groupBy("dim", "part", "prefix").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     groups = (sizes.agg(F.sum("blocks")).first()[0] or 0) * turns
     where = ["dim", "part", "prefix"]
     turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))
-    held = placed.join(sizes, where).select(*where, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), turn.alias("turn"), F.lit(0).alias("kind"), "node", "vec", "code", "ids")
-    asked = queries.mapInPandas(ask, "node binary, dim int, vec binary, code binary, part int, prefix int").join(sizes, where)
-    asked = asked.select(*where, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit("turn")), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "node", "vec", "code", F.array().cast("array<long>").alias("ids"))
+    held = placed.join(sizes, where).select(*where, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), turn.alias("turn"), F.lit(0).alias("kind"), "node", "vec", "code", "ids", F.lit(0.0).alias("bound"))
     keys = [*where, "block", "turn"]
     met = items.sparkSession.sparkContext.accumulator(0)
 
@@ -328,18 +316,42 @@ def _probe(items: DataFrame, queries: DataFrame, total: int, n_queries: int, bit
     def ranked(buckets: Block, own: pd.DataFrame) -> Iterator[pd.DataFrame]:
         q, row = buckets.candidates(word_rows(own["code"].tolist()), radius)
         met.add(len(q))
-        vec, nodes, out = matrix(own["vec"].tolist()), own["node"].tolist(), []
+        vec, nodes, bound, out = matrix(own["vec"].tolist()), own["node"].tolist(), own["bound"].tolist(), []
         edges = np.searchsorted(q, np.arange(len(own) + 1))
         for i in range(len(own)):
             if edges[i] < edges[i + 1]:
                 at = row[edges[i] : edges[i + 1]]
                 scores = products(buckets.vec[at], vec[i])
+                if bound[i] > -np.inf:
+                    at, scores = at[scores >= bound[i]], scores[scores >= bound[i]]
+                    if not len(at):
+                        continue
                 top = best(scores, buckets.low[at], keep)
                 score, ids = _expanded(scores[top], [buckets.ids[j] for j in at[top].tolist()], keep)
                 out.append(pd.DataFrame({"node": [nodes[i]] * len(ids), "vec_id": ids, "score": score}))
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    dealt = held.unionByName(asked).repartition(max(1, min(groups, 20_000)), *keys).sortWithinPartitions(*keys, "kind")
-    found = cut(dealt.mapInPandas(search, "node binary, vec_id long, score double"))
+    def meet(some: DataFrame, masks: np.ndarray) -> DataFrame:
+        """some: queries with bound. Probes the prefixes that differ from theirs by one of the masks."""
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for part in range(parts):
+                    near = masks[np.bitwise_count(masks) <= share[part]] if share[part] >= 0 else masks[:0]
+                    for s in range(0, len(pdf) if len(near) else 0, step := max(1, 100_000 // max(1, len(near)))):
+                        own = pdf.iloc[s : s + step]
+                        yield own.loc[own.index.repeat(len(near))].assign(part=part, prefix=(prefixes(own["code"].tolist(), part)[:, None] ^ near[None]).reshape(-1))
+
+        asked = some.select("node", "dim", "vec", "code", "bound").mapInPandas(ask, "node binary, dim int, vec binary, code binary, bound double, part int, prefix int").join(sizes, where)
+        asked = asked.select(*where, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit("turn")), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "node", "vec", "code", F.array().cast("array<long>").alias("ids"), "bound")
+        dealt = held.unionByName(asked).repartition(max(1, min(groups, 20_000)), *keys).sortWithinPartitions(*keys, "kind")
+        return cut(dealt.mapInPandas(search, "node binary, vec_id long, score double"))
+
+    masks, least = np.arange(1 << lead, dtype=np.int32), F.lit(float("-inf"))
+    found = meet(queries.withColumn("bound", least), masks[:1])
+    if lead:
+        at = F.row_number().over(W.partitionBy("node").orderBy(F.desc("score"), "vec_id"))
+        reach = found.withColumn("at", at).where(F.col("at") == keep).select("node", F.col("score").alias("bound"))
+        found = found.unionByName(meet(queries.join(reach, "node", "left").withColumn("bound", F.coalesce("bound", least)), masks[1:]))
     return found, met.value
