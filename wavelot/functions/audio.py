@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import math
 import wave
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -98,14 +99,40 @@ def change_speed(audio: np.ndarray, speed: float, sample_rate: int) -> np.ndarra
     return resample(audio, sample_rate, int(sample_rate * speed)) if speed != 1 else audio
 
 
-def header_seconds(data: bytes, ext: str) -> float:
-    """Duration from the header alone."""
-    if ext.lower() == "wav":
-        with wave.open(io.BytesIO(data)) as w:
-            return w.getnframes() / w.getframerate()
+def header_frames(head: bytes, size: int, ext: str, rest: Callable[[], bytes] = lambda: b"") -> tuple[int, int]:
+    """Frames and rate of a file of `size` bytes, from its first bytes. rest gives the bytes after these; it is only asked where they don't tell.
+
+    A WAV file that was cut off counts as long as it is; a FLAC file without a total and other formats need all bytes and soundfile."""
+    if ext == "wav":
+        if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+            raise ValueError("not a WAV file")
+        at, rate, frame, more = 12, 0, 0, False
+        while True:
+            if at + 8 > len(head) and not more and len(head) < size:
+                head, more = head + rest(), True
+            if at + 8 > len(head):
+                raise ValueError("a WAV file without data")
+            kind, length = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
+            if kind == b"fmt ":
+                rate, frame = int.from_bytes(head[at + 12 : at + 16], "little"), int.from_bytes(head[at + 20 : at + 22], "little")
+            elif kind == b"data":
+                if not rate or not frame:
+                    raise ValueError("a WAV file without a format")
+                return min(length, size - at - 8) // frame, rate
+            at += 8 + length + length % 2
+    if ext == "flac" and head[:4] == b"fLaC" and len(head) >= 26:
+        bits = int.from_bytes(head[18:26], "big")  # rate 20, channels 3, width 5, frames 36
+        if bits & ((1 << 36) - 1):
+            return bits & ((1 << 36) - 1), bits >> 44
     try:
         import soundfile
     except ImportError as e:
         raise RuntimeError(f"reading {ext} needs soundfile") from e
-    info = soundfile.info(io.BytesIO(data))
-    return info.frames / info.samplerate
+    info = soundfile.info(io.BytesIO(head + rest()))
+    return info.frames, info.samplerate
+
+
+def header_seconds(data: bytes, ext: str) -> float:
+    """Duration from the header alone."""
+    frames, rate = header_frames(data, len(data), ext.lower())
+    return frames / rate

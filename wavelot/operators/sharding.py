@@ -50,7 +50,7 @@ def balance(planned: DataFrame, length: str = "duration") -> DataFrame:
 
 
 def shard_range(df: DataFrame, start: int | None, end: int | None, column: str = "shard") -> DataFrame:
-    """start <= shard < end; an end of 0 means none."""
+    """start <= shard < end; None leaves a side open."""
     if start is not None:
         df = df.where(F.col(column) >= start)
     return df if end is None else df.where(F.col(column) < end)
@@ -62,6 +62,13 @@ def fingerprint(config: dict, without: tuple[str, ...] = ("output_dir", "tmp_dir
     return hashlib.sha256(json.dumps(kept, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def content_hash(rows: DataFrame) -> str:
+    """A hash of a table's rows whatever their order; repeated rows count each time."""
+    whole = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+    sums = [F.sum(F.xxhash64(whole, F.lit(salt)).cast("decimal(38,0)")).cast("string") for salt in (1, 2)]
+    return hashlib.sha256("/".join(map(str, rows.agg(F.count("*"), *sums).first())).encode()).hexdigest()[:32]
+
+
 def plan_matches(saved: dict, wanted: dict) -> bool:
-    """Whether a saved plan can be used again: same mode, request, shards, name width, and fingerprint of input and seed."""
-    return all(saved.get(k) == wanted.get(k) for k in ("mode", "requested", "shards", "split_bits", "fingerprint"))
+    """Whether a saved plan can be used again: same mode, request, name width, and fingerprint of options and input."""
+    return all(saved.get(k) == wanted.get(k) for k in ("mode", "requested", "split_bits", "fingerprint"))

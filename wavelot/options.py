@@ -99,7 +99,10 @@ class LoaderOptions:
 
 @dataclass(frozen=True)
 class BuildOptions:
-    """Exactly one of num_tars, samples_per_tar and duration_per_tar (hours); balance_by goes with num_tars."""
+    """Exactly one of num_tars, samples_per_tar and duration_per_tar (hours); balance_by goes with num_tars.
+
+    sample_rate: None keeps each source's rate; tmp_dir: where plans are stored, by default in output_dir; workers: shards written at a time, by default as
+    many as the cluster takes; wave: shards that are committed together."""
 
     input: str
     output_dir: str = "data/tars"
@@ -108,7 +111,7 @@ class BuildOptions:
     duration_per_tar: float | None = None
     balance_by: str = "duration"
     format: str = "FLAC"
-    sample_rate: int = 16000
+    sample_rate: int | None = None
     seed: int = 42
     split_bits: int = 8
     tar_prefix: str | None = None
@@ -117,6 +120,9 @@ class BuildOptions:
     split_start: int | None = None
     split_end: int | None = None
     compression_level: float = 0.65  # of MP3
+    tmp_dir: str | None = None
+    workers: int | None = None
+    wave: int = 4096
 
     def __post_init__(self):
         given = [x for x in (self.num_tars, self.samples_per_tar, self.duration_per_tar) if x is not None]
@@ -128,6 +134,12 @@ class BuildOptions:
             raise ValueError("balance_by is samples or duration")
         if self.format.upper() not in ("FLAC", "MP3", "WAV"):
             raise ValueError("format is FLAC, MP3 or WAV")
+        if self.wave < 1 or (self.workers is not None and self.workers < 1):
+            raise ValueError("wave and workers are 1 at least")
+
+    @property
+    def plan_folder(self) -> str:
+        return (self.tmp_dir or self.output_dir).rstrip("/")
 
     @property
     def by_duration(self) -> bool:

@@ -6,7 +6,8 @@
 Columns: url, key, ext, bytes. Options: paths (a JSON list of shards, plain or gzipped, local or any URI that pyarrow opens), formats (comma
 separated, default flac,wav,mp3), payload (false leaves bytes null, for listings), mode (FAILFAST, or DROPMALFORMED to
 leave out the rest of a damaged shard). An entry a/b.c.wav has key a/b.c and ext wav. With pushdown = true, filters url = ...
-and url IN ... choose shards before any is opened (needs spark.sql.python.filterPushdown.enabled).
+and url IN ... choose shards before any is opened (needs spark.sql.python.filterPushdown.enabled). Written to, it makes shards; see tarsink. To choose entries
+before their bytes are read, and to cut large shards, read through an index; see tarindex.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from wavelot.schemas import LABELLED_FORMATS, TAR_ENTRIES
+from wavelot.sources.tarsink import AudioTarWriter
 
 
 def open_shard(url: str):
@@ -89,6 +91,11 @@ class AudioTar(DataSource):
         options = dict(self.options)
         return PushingReader(options) if options.get("pushdown", "false").lower() == "true" else AudioTarReader(options)
 
+    def writer(self, schema, overwrite: bool) -> AudioTarWriter:
+        if overwrite:
+            raise ValueError("tar shards are written in mode append")
+        return AudioTarWriter(dict(self.options))
+
 
 def read_tars(spark: SparkSession, paths: list[str], formats: tuple[str, ...] = LABELLED_FORMATS, payload: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """Tar entries; of several formats of one key the first in the order of `formats` stays."""

@@ -1,138 +1,64 @@
-"""Writers: tar shards with their manifests, and shard lists.
-
-A task writes a shard's tar and manifest under temporary names and renames them, so a shard is there wholly or not at all; a run
-that is started again leaves finished shards alone. Paths may have any scheme that pyarrow opens.
-"""
+"""Writers: samples encoded for tar shards (see tarsink), and shard lists."""
 
 from __future__ import annotations
 
-import io
-import json
-import posixpath
-import tarfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelot.functions.audio import encode, load_mono
-
-WRITTEN = "shard int, audio_tar string, manifest string, num_samples long, seconds double, errors long, written boolean"
-
-
-def filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
-def _exists(system, path: str) -> bool:
-    from pyarrow import fs
-
-    return system.get_file_info(path).type == fs.FileType.File
-
-
-def put(uri: str, data: bytes) -> None:
-    """Write a file whole or not at all."""
-    system, path = filesystem(uri)
-    system.create_dir(posixpath.dirname(path), recursive=True)
-    tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
-    with system.open_output_stream(tmp) as out:
-        out.write(data)
-    system.move(tmp, path)
-
-
-def put_json(uri: str, value) -> None:
-    put(uri, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode())
-
+from wavelot.functions.audio import decode, encode, resample
+from wavelot.sources.audiotar import AudioTar
+from wavelot.sources.files import put_lines, read_file
+from wavelot.sources.tarsink import PACKED
 
-def put_lines(uri: str, lines: list[str]) -> None:
-    put(uri, "".join(f"{x}\n" for x in lines).encode())
+DONE = "shard int, fingerprint string, num_samples long, seconds double, errors long"
 
 
-def read_file(uri: str) -> bytes:
-    system, path = filesystem(uri)
-    with system.open_input_stream(path, compression=None) as f:
-        return f.read()
+def encoded(planned: DataFrame, fmt: str = "wav", sample_rate: int | None = None, level: float = 0.65, tasks: int | None = None, batch_bytes: int = 16 << 20) -> DataFrame:
+    """planned: shard, index, id, audio_path, text (normalised), start, duration, slice_audio. Rows of tarsink.PACKED, dealt out by shard and in the order of index.
 
-
-def write_tars(planned: DataFrame, output_dir: str, prefix: str, fmt: str = "wav", sample_rate: int = 16000, bits: int = 8, level: float = 0.65, shards: int | None = None) -> DataFrame:
-    """planned: shard, index, id, audio_path, text (normalised), start, duration, slice_audio. One row per shard of WRITTEN.
-
-    Of equal file names in a shard the first (by index) counts, even if it can't be read. Samples that can't be read are counted as errors. Of several channels
-    the first is kept. shards: how many there are; each gets a task of its own, up to 10,000, as rows are small and the work isn't."""
+    sample_rate: None keeps each source's rate. Of several channels the first is kept. A sample that can't be read is a row with its error."""
     fmt = fmt.lower()
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        writer = None
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if writer is None or writer.shard != row.shard:
-                    if writer is not None:
-                        yield writer.close()
-                    writer = _ShardWriter(int(row.shard), output_dir, prefix, fmt, sample_rate, bits, level)
-                writer.add(row)
-        if writer is not None:
-            yield writer.close()
-
-    need = ["shard", "index", "id", "audio_path", "text", "start", "duration", "slice_audio"]
-    tasks = max(1, min(shards or 4 * planned.sparkSession.sparkContext.defaultParallelism, 10_000))
-    return planned.select(*need).repartition(tasks, "shard").sortWithinPartitions("shard", "index").mapInPandas(write, WRITTEN)
-
-
-class _ShardWriter:
-    """One shard's files; samples are encoded as they come, so memory holds one sample."""
-
-    def __init__(self, shard, output_dir, prefix, fmt, rate, bits, level):
-        self.shard, self.fmt, self.rate, self.level = shard, fmt, rate, level
-        name = f"{prefix}.{shard:0{bits}d}"
-        self.tar_uri, self.txt_uri, self.done_uri = (f"{output_dir.rstrip('/')}/{d}/{name}.{e}" for d, e in (("audio", "tar"), ("txt", "jsonl"), ("done", "done")))
-        self.system, self.tar_path = filesystem(self.tar_uri)
-        self.skip = all(_exists(*filesystem(u)) for u in (self.tar_uri, self.txt_uri, self.done_uri))
-        self.seen, self.lines, self.seconds, self.errors = set(), [], 0.0, 0
-        if not self.skip:
-            self.system.create_dir(posixpath.dirname(self.tar_path), recursive=True)
-            self.tmp = f"{self.tar_path}.{uuid.uuid4().hex[:8]}.tmp"
-            self.raw = self.system.open_output_stream(self.tmp)
-            self.tar = tarfile.open(fileobj=self.raw, mode="w|")
-
-    def add(self, row) -> None:
-        name = f"{row.id}.{self.fmt}"
-        if self.skip or name in self.seen:
-            return
-        self.seen.add(name)
+    def one(row) -> tuple[bytes | None, float | None, str | None]:
         try:
-            audio = load_mono(read_file(row.audio_path), row.audio_path.rsplit(".", 1)[-1], self.rate, average=False)
+            channels, rate = decode(read_file(row.audio_path), row.audio_path.rsplit(".", 1)[-1])
+            audio = channels[0]
             if row.slice_audio:
-                a = int(row.start * self.rate)
-                audio = audio[a : a + int(row.duration * self.rate)]
+                at = int(row.start * rate)
+                audio = audio[at : at + int(row.duration * rate)]
+            audio = resample(audio, rate, sample_rate or rate)
             if not len(audio):
                 raise ValueError("no audio")
-            data = encode(audio, self.rate, self.fmt, self.level)
-        except Exception:  # noqa: BLE001  any damaged file is one sample's error
-            self.errors += 1
-            return
-        entry = tarfile.TarInfo(name)
-        entry.size = len(data)
-        self.tar.addfile(entry, io.BytesIO(data))
-        seconds = len(audio) / self.rate
-        self.lines.append(json.dumps({"audio_filepath": name, "text": row.text, "duration": round(seconds, 6)}, ensure_ascii=False, separators=(",", ":")))
-        self.seconds += seconds
-
-    def close(self) -> pd.DataFrame:
-        n = len(self.lines)
-        if self.skip:
-            known = [json.loads(x) for x in read_file(self.txt_uri).decode().splitlines() if x.strip()]
-            n, self.seconds = len(known), sum(float(x.get("duration") or 0) for x in known)
-        else:
-            self.tar.close()
-            self.raw.close()
-            self.system.move(self.tmp, self.tar_path)
-            put_lines(self.txt_uri, self.lines)
-            put(self.done_uri, b"")
-        return pd.DataFrame([(self.shard, self.tar_uri, self.txt_uri, n, self.seconds, self.errors, not self.skip)], columns=[x.split()[0] for x in WRITTEN.split(", ")])
+            return encode(audio, sample_rate or rate, fmt, level), len(audio) / (sample_rate or rate), None
+        except Exception as e:  # noqa: BLE001  any damaged file is one sample's error
+            return None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        for pdf in batches:
+            held, size = [], 0
+            for row in pdf.itertuples(index=False):
+                data, seconds, error = one(row)
+                held.append((row.shard, f"{row.id}.{fmt}", data, row.text, seconds, error))
+                size += len(data or b"")
+                if size >= batch_bytes:
+                    yield pd.DataFrame(held, columns=names)
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=names)
+
+    need = ["shard", "index", "id", "audio_path", "text", "start", "duration", "slice_audio"]
+    tasks = max(1, min(tasks or 4 * planned.sparkSession.sparkContext.defaultParallelism, 10_000))
+    return planned.select(*need).repartition(tasks, "shard").sortWithinPartitions("shard", "index").mapInPandas(run, PACKED)
+
+
+def write_tars(rows: DataFrame, folder: str, prefix: str, bits: int = 8, fingerprint: str = "") -> None:
+    """rows: tarsink.PACKED, dealt out by shard."""
+    rows.sparkSession.dataSource.register(AudioTar)
+    rows.write.format("audiotar").options(path=folder, prefix=prefix, bits=str(bits), fingerprint=fingerprint).mode("append").save()
 
 
 def list_lines(shards: DataFrame, digits: int = 3) -> DataFrame:
@@ -142,9 +68,10 @@ def list_lines(shards: DataFrame, digits: int = 3) -> DataFrame:
     return shards.select("audio_tar", F.when(bad, F.raise_error(F.lit("a path holds white space"))).otherwise(line).alias("value"))
 
 
-def write_list(shards: DataFrame, uri: str, digits: int = 3) -> int:
-    """One line per shard, sorted by tar; the number of shards bounds what comes to the driver."""
-    lines = [r["value"] for r in list_lines(shards, digits).orderBy("audio_tar").collect()]
+def write_list(shards: DataFrame, uri: str, digits: int = 3, sort: bool = True) -> int:
+    """One line per shard, sorted by tar unless told not to; the number of shards bounds what comes to the driver."""
+    rows = list_lines(shards, digits)
+    lines = [r["value"] for r in (rows.orderBy("audio_tar") if sort else rows).collect()]
     put_lines(uri, lines)
     return len(lines)
 
