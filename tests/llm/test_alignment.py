@@ -11,7 +11,7 @@ from wavelot.llm.queries import op11_token_alignment, vocabulary
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 ODD = [
     None, "", " ", "   ", "\n\n", "One two  three   four.\n\n  Next\tline\r\n", "Größe, naïve café — 漢字 🙂 end\n\nnew line  two", "<|endoftext|> <s> </s> <unk> <0x0A> x<|endoftext|>y",
-    "▁", "a▁b", "　wide sep  x", "x" * 700, "word " * 300, "one, two; three: four! five? (six) 7,8.9", "tabs\t\t\there \x00 nul \x0b", "one two three one two three", "漢字かな交じり文" * 40, "é", "é", "ſ ﬁ ½",
+    "▁", "a▁b", "　wide sep  x", "x" * 700, "word " * 300, "one, two; three: four! five? (six) 7,8.9", "tabs\t\t\there \x00 nul \x0b", "one two three one two three", "漢字かな交じり文" * 40, "é", "é", "ſ ﬁ ½", "x();\r\n  y(a);\r\n}\r\n\r\nend \r z", "\r", "\r\n\r", "a,\r  b\r", "a  b\rc",
 ]
 
 
@@ -60,8 +60,8 @@ def brute(rows):
 @pytest.fixture(scope="module")
 def rows():
     rnd = np.random.default_rng(8)
-    words = ["the", "tokenizer", "Überraschung", "naïve", "don't", "e.g.", "(x)", "12,345", "漢", "\n", "\n\n", "  ", "\t", "https://a.b/c?d=e", "ALLCAPS", "snake_case", "…", "it's", "a", "▁"]
-    made = ["".join(w + (" " if rnd.random() < 0.8 else "") for w in rnd.choice(words[: 19 + (i % 9 == 0)], rnd.integers(1, 60))) for i in range(60)]
+    words = ["the", "tokenizer", "Überraschung", "naïve", "don't", "e.g.", "(x)", "12,345", "漢", "\n", "\n\n", "  ", "\t", "https://a.b/c?d=e", "ALLCAPS", "snake_case", "…", "it's", "a", "\r", ");", "▁"]
+    made = ["".join(w + (" " if rnd.random() < 0.8 else "") for w in rnd.choice(words[: 21 + (i % 9 == 0)], rnd.integers(1, 60))) for i in range(60)]
     texts = ODD + made
     return [(i, t) for i, t in enumerate(texts)] + [(None, "no id here"), (5, ODD[5]), (5, ODD[5])]
 
@@ -106,7 +106,7 @@ def test_empty_table(spark):
 
 def test_encoder_forgets_and_stays_right():
     enc = alignment.TwinEncoder(vocabulary(A), vocabulary(B), most=20)
-    for text in ["some words here", "other words there", "some words here"]:
+    for text in ["some words here", "other words there", "line,\r\nnext\r", "some words here"]:
         (ids, n), (other, m) = enc.encode([text, None])
         left, right = tokens(text)
         assert ids.tolist() == [i for i, _ in left] and other.tolist() == [i for i, _ in right]

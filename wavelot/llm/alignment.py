@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from wavelot.llm.common import scratch, texts
 from wavelot.llm.pieces import BYTE_LEVEL, LATIN, WHITE, ChunkEncoder, _Known, byte_letters, slices
-from wavelot.llm.viterbi import MARK, PieceEncoder, decoder_table
+from wavelot.llm.viterbi import MARK, PieceModel, decoder_table
 
 #: White space with two spaces in a row and the word after it stay together: B has pieces of several spaces.
 TOGETHER = rf"[{WHITE}]*?  [{WHITE}]*[^{WHITE}]*"
@@ -44,18 +45,34 @@ class TwinEncoder:
     """Ids and byte lengths of both tokenizers' tokens for batches of texts."""
 
     def __init__(self, a_path: str, b_path: str, most: int = 16 << 20):
-        self.a, self.b, self.most = ChunkEncoder(a_path, "byte_level"), PieceEncoder(b_path), most
+        from sentencepiece import SentencePieceProcessor
+
+        self.a, self.b, self.most = ChunkEncoder(a_path, "byte_level"), SentencePieceProcessor(model_file=b_path), most
+        model = PieceModel(b_path)
         self.a.tokenizer.encode_special_tokens = True
         byte_of = {c: b for b, c in byte_letters().items()}
         size = self.a.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.bytes = [[b""] * size, decoder_table(self.b.model)]
+        self.bytes = [[b""] * size, decoder_table(model)]
         added = {i: t.content for i, t in self.a.tokenizer.get_added_tokens_decoder().items()}
         for token, i in self.a.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes[0][i] = token.encode() if i in added else bytes(byte_of[c] for c in token)
         self.sizes = [np.array(list(map(len, x)), np.int64) for x in self.bytes]
-        joined = re.compile(rf"[{LATIN}][.,!?;:]|[^{MARK}]{MARK}|[{WHITE}]")
-        whole = any(len(p) > 1 and joined.search(p) for p in self.b.model.id_of)  # pieces over the places where A cuts
-        self.pattern = re.compile(r"(?s:.+)" if whole else f"{TOGETHER}|{BYTE_LEVEL.pattern}")
+        long = [p for p in model.id_of if len(p) > 1]
+        # a character that no piece joins with others: with it in front, a cut piece isn't the start of a text, which would get a space
+        self.lead = next((c for c in "\n\t\x01" if not any(c in p for p in long)), None)
+        if self.lead is None:
+            raise ValueError("the vocabulary has pieces with every control character that could stand before a cut piece")
+        joined = re.compile(rf"[{LATIN}][.,!?;:]|[^{MARK}]{MARK}")
+        if any(joined.search(p) for p in long):  # pieces over the places where A cuts
+            self.patterns = [re.compile(r"(?s:.+)")] * 2
+        else:
+            self.patterns = [re.compile(f"{TOGETHER}|{BYTE_LEVEL.pattern}")] * 2
+        # white space within pieces holds together what stands before and after it
+        glue = re.escape("".join(sorted({c for p in long for c in re.findall(rf"[{WHITE}]", p)})))
+        self.glue = re.compile(f"[{glue}]" if glue else r"(?!)")
+        if glue and not any(joined.search(p) for p in long):
+            more = rf"(?:(?=[{WHITE}]*[{glue}])[{WHITE}]++[^{WHITE}]*+)"
+            self.patterns[1] = re.compile(f"{TOGETHER}{more}*| ?[^{WHITE}]*+{more}+|{BYTE_LEVEL.pattern}")
         self.id_types = [np.dtype("<u2" if len(x) <= 1 << 16 else "<u4") for x in self.bytes]
         self.size_types = [np.dtype("<u1" if x.max() < 256 else "<u4") for x in self.sizes]
         self.forget()
@@ -69,12 +86,15 @@ class TwinEncoder:
         new = self.known.new
         if not new:
             return
-        made = self.a.encode_chunks(new), self.b.encode_chunks([c.replace(" ", MARK) for c in new])
-        differs = np.zeros(len(new), bool)
+        lead = len(self.b.encode(self.lead))
+        right = [ids[lead:] for ids in self.b.encode([self.lead + c for c in new], num_threads=1)]
+        made = self.a.encode_chunks(new), (np.fromiter(chain.from_iterable(right), np.int64), np.fromiter(map(len, right), np.int64, len(right)))
+        whole, table = [c.encode("utf-8", "replace") for c in new], self.bytes[1]
+        size = np.append(0, np.cumsum(self.sizes[0][made[0][0]]))[np.append(0, np.cumsum(made[0][1]))]
+        differs = np.diff(size) != np.fromiter(map(len, whole), np.int64, len(whole))
+        differs |= np.fromiter((b"".join(map(table.__getitem__, ids)) != c for ids, c in zip(right, whole, strict=True)), bool, len(whole))
         for side, (ids, length) in enumerate(made):
-            end, table = np.cumsum(length), self.bytes[side]
-            for k, (c, e, n) in enumerate(zip(new, end.tolist(), length.tolist(), strict=True)):
-                differs[k] |= b"".join(map(table.__getitem__, ids[e - n : e].tolist())) != c.encode("utf-8", "replace")
+            end = np.cumsum(length)
             self.start[side] = np.concatenate([self.start[side], len(self.flat[side]) + end - length])
             self.length[side] = np.concatenate([self.length[side], length])
             self.flat[side] = np.concatenate([self.flat[side], ids])
@@ -87,10 +107,10 @@ class TwinEncoder:
         if self.held > self.most:  # characters, so that few long pieces weigh as much as many short ones
             self.forget()
         of, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
-        find, get = self.pattern.findall, self.known.__getitem__
+        find, glue, get = [p.findall for p in self.patterns], self.glue.search, self.known.__getitem__
         for k, text in enumerate(texts):
             if text:
-                of.append(np.fromiter(map(get, found := find(" " + text)), np.int64, len(found)))
+                of.append(np.fromiter(map(get, found := find[glue(text) is not None](" " + text)), np.int64, len(found)))
                 counts[k] = len(found)
         self._learn()
         chunk, row = np.concatenate(of), np.repeat(np.arange(len(texts)), counts)
