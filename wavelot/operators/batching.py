@@ -69,9 +69,48 @@ def drop_tails(df: DataFrame, group: list[str]) -> DataFrame:
     return df.join(last, group).where(F.col("batch_id") < F.col("__last")).drop("__last")
 
 
-def flush_order(batches: DataFrame) -> DataFrame:
-    """Order of emission at the end of a test pass: longest bucket first."""
-    return batches.orderBy(F.desc("bucket_id"), "batch_id")
+def flush_tails(tails: DataFrame, order: list[str], length: str, budget: float | None, cap: int | None, group: list[str], bucket: str = "bucket_id") -> DataFrame:
+    """Batches of what the buckets still hold when a test pass ends. tails: the samples of each bucket's open batch, with its batch_id; group: without the bucket.
+
+    A batch begins with the longest bucket that has samples left and takes from each bucket, longest first, up to the head that doesn't fit, then goes on
+    in the next shorter one, until its budget or cap is reached; a head that is too long for any batch stands alone. bucket and batch_id become those of the
+    batch's first sample, from_bucket is the sample's own, and flushed counts a group's batches from 0 in the order of emission.
+    A group's tails are one open batch a bucket, so they fit a task."""
+
+    def spill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([bucket, *order], ascending=[False, *[True] * len(order)], ignore_index=True)
+        own, size = pdf[bucket].tolist(), pdf[length].tolist()
+        left, number, out = list(range(len(pdf))), 0, [(0, 0)] * len(pdf)
+        while left:
+            n, longest, blocked, kept, first = 0, 0, None, [], left[0]
+            for at, i in enumerate(left):
+                if n and ((budget is not None and longest * n >= budget) or (cap is not None and n >= cap)):
+                    kept += left[at:]
+                    break
+                top = max(longest, size[i])
+                if n and (own[i] == blocked or (budget is not None and top * (n + 1) > budget)):
+                    blocked = own[i]
+                    kept.append(i)
+                else:
+                    n, longest, out[i] = n + 1, top, (first, number)
+            left, number = kept, number + 1
+        first = [x for x, _ in out]
+        return pdf.assign(from_bucket=own, flushed=[x for _, x in out], **{bucket: pdf[bucket].to_numpy()[first], "batch_id": pdf["batch_id"].to_numpy()[first]})
+
+    schema = T.StructType([*tails.schema.fields, T.StructField("from_bucket", tails.schema[bucket].dataType), T.StructField("flushed", T.LongType())])
+    if not group:
+        tails = tails.withColumn("__all", F.lit(0))
+        return flush_tails(tails, order, length, budget, cap, ["__all"], bucket).drop("__all")
+    return tails.groupBy(*group).applyInPandas(spill, schema)
+
+
+def flushed_batches(packed: DataFrame, order: list[str], length: str, budget: float | None, cap: int | None, group: list[str], bucket: str = "bucket_id") -> DataFrame:
+    """packed: samples with batch_id, each group's last batch being the one that was open at the end. Adds from_bucket and flushed (null for batches that were full
+    before the end) and deals the open batches' samples out anew by flush_tails."""
+    last = F.max("batch_id").over(W.partitionBy(*group))
+    marked = packed.withColumn("__open", F.col("batch_id") == last)
+    full = marked.where(~F.col("__open")).drop("__open").withColumns({"from_bucket": F.col(bucket), "flushed": F.lit(None).cast("long")})
+    return full.unionByName(flush_tails(marked.where("__open").drop("__open"), order, length, budget, cap, [g for g in group if g != bucket], bucket))
 
 
 def emission_rank(batches: DataFrame, seed: int, keys: list[str]) -> DataFrame:

@@ -6,10 +6,7 @@ Embeddings stand in for waveforms. All run over whole tables.
 
 from __future__ import annotations
 
-import io
 import math
-import tarfile
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,6 +144,36 @@ def epoch_limit(spark, sf_dir):
     return batching.epoch_limit(keyed, 5, ["k"]).drop("k")
 
 
+def _flush_sql(budget: int, cap: int | None, group: str = "worker") -> str:
+    """CTEs t (the tails in f), q and g: a flush step by step, each step looking at one sample; rows of g with a doc_id are samples taken."""
+    full = f"(n > 0 AND (m * n >= {budget}" + (f" OR n >= {cap}" if cap else "") + "))"
+    over, head = f"(len(todo) = 0 OR {full})", "todo[1]"
+    take = f"(n = 0 OR ({head}.b <> blocked AND greatest(m, {head}.x) * (n + 1) <= {budget}))"
+    case = lambda over_value, taken, kept: f"CASE WHEN {over} THEN {over_value} WHEN {take} THEN {taken} ELSE {kept} END"
+    return f""", last AS (SELECT {group}, bucket_id, max(batch_id) AS last FROM f GROUP BY ALL),
+t AS (SELECT f.*, row_number() OVER (PARTITION BY {group} ORDER BY bucket_id DESC, rn) AS pos FROM f JOIN last USING ({group}, bucket_id) WHERE batch_id = last),
+q AS (SELECT {group}, list(struct_pack(d := doc_id, b := bucket_id, x := length, k := batch_id) ORDER BY pos) AS todo FROM t GROUP BY {group}),
+g AS (
+  SELECT {group}, todo, todo[1:0] AS kept, 0::BIGINT AS n, 0::DOUBLE AS m, -1 AS blocked, 0::BIGINT AS flushed, -1 AS first, -1::BIGINT AS number, todo[1].d AS doc_id, todo[1].b AS own, false AS taken FROM q
+  UNION ALL
+  SELECT {group}, {case("list_concat(kept, todo)", "todo[2:]", "todo[2:]")}, {case("todo[1:0]", "kept", f"list_append(kept, {head})")}, {case("0", "n + 1", "n")}, {case("0", f"greatest(m, {head}.x)", "m")},
+    {case("-1", "blocked", f"{head}.b")}, {case("flushed + 1", "flushed", "flushed")}, CASE WHEN {over} THEN -1 WHEN n = 0 THEN {head}.b ELSE first END, CASE WHEN {over} THEN -1 WHEN n = 0 THEN {head}.k ELSE number END,
+    {head}.d, {head}.b, {case("false", "true", "false")}
+  FROM g WHERE len(todo) > 0 OR len(kept) > 0
+)"""
+
+
+_FLUSHED = "SELECT f.doc_id, f.{0}, f.bucket_id, f.bucket_id AS from_bucket, f.batch_id, NULL::BIGINT AS flushed FROM f JOIN last USING ({0}, bucket_id) WHERE f.batch_id < last.last UNION ALL SELECT doc_id, {0}, first, own, number, flushed FROM g WHERE taken"
+
+
+@query(_greedy_sql(f"WITH {_KEPT} {_WORKER}", "worker, bucket_id", 20_000, 40, _flush_sql(20_000, 40) + _FLUSHED.format("worker")))
+def flush_spill(spark, sf_dir):
+    """A test pass: full batches, then what is left, longest bucket first and spilling into shorter ones."""
+    packed = _packed(spark, sf_dir, budget=20_000, cap=40)
+    done = batching.flushed_batches(packed, ["seq", "doc_id"], "length", 20_000, 40, ["worker", "bucket_id"])
+    return done.select("doc_id", "worker", "bucket_id", "from_bucket", "batch_id", "flushed")
+
+
 @query(_greedy_sql(f"WITH {_KEPT} SELECT doc_id, dataset, (doc_id % 8)::INTEGER AS worker, ((length - {LOW}) * {BUCKETS - 1} // {HIGH - LOW})::INTEGER AS bucket_id, md5('7|' || doc_id) AS seq, length FROM u", "dataset, worker, bucket_id", BUDGET, CAP, "SELECT dataset, worker, bucket_id, batch_id, count(*) AS n, max(length) AS longest, sum(length)::BIGINT AS total FROM f GROUP BY ALL"))
 def per_dataset_batches(spark, sf_dir):
     rows = bucketed(kept(spark, sf_dir)).withColumns({"worker": F.pmod("doc_id", F.lit(8)).cast("int"), "seq": order_key(7, "doc_id")})
@@ -473,28 +500,60 @@ def speed_perturb(spark, sf_dir):
     return samples.augment(tones(spark, sf_dir), Augment(speed=True), 3, ["vec_id"]).select("vec_id", F.size("audio").alias("samples"))
 
 
-@query()
-def tar_round_trip(spark, sf_dir):
-    """Regions' names as WAV tones in tar shards, written to the shared folder, read and decoded again."""
-    import numpy as np
-
+def embedding_tars(spark, sf_dir, rate: int = 8000, shards: int = 16) -> list[str]:
+    """Embeddings as tar shards in the shared folder: the first 8 + vec_id % 57 numbers as 16-bit samples in <vec_id>.wav with the label as text, and for every
+    third vector an MP3 entry before it that holds no audio. Returns the shards' tars; manifests and done files lie beside them."""
     from wavelot.functions.audio import encode_wav
-    from wavelot.sources import audiotar
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/") + "/round-trip"
-    paths = []
-    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():  # five rows
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for k in range(4):
-                data = encode_wav(np.sin(np.arange(8000 * (k + 1)) * 0.05) * 0.5, 8000)
-                entry = tarfile.TarInfo(f"{r['r_name']}.{k}.wav".replace(" ", "_"))
-                entry.size = len(data)
-                tar.addfile(entry, io.BytesIO(data))
-        sinks.put(f"{folder}/{r['r_regionkey']}.tar", out.getvalue())
-        paths.append(f"{folder}/{r['r_regionkey']}.tar")
-    rows = samples.decode(audiotar.read_tars(spark, paths))
-    return rows.select(F.regexp_extract("url", r"(\d+)\.tar$", 1).cast("int").alias("shard"), "key", "ext", "length_s", F.round(arrays.rms(F.col("audio")), 2).alias("rms"), "error")
+    from wavelot.sources.scratch import shared_folder
+    from wavelot.sources.tarsink import PACKED, shard_files
+
+    def wav(batches):
+        for pdf in batches:
+            pdf["bytes"] = [encode_wav(a, rate) for a in pdf["audio"]]
+            yield pdf.drop(columns="audio")
+
+    folder = shared_folder(spark, "tars")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"), F.slice("embedding", 1, (8 + F.col("vec_id") % 57).cast("int")).alias("audio"))
+    shard, key, none = (F.col("vec_id") % shards).cast("int").alias("shard"), F.col("vec_id").cast("string"), F.lit(None).cast("string").alias("error")
+    good = rows.select(shard, F.concat(key, F.lit(".wav")).alias("name"), "text", (F.size("audio") / rate).alias("seconds"), none, "audio")
+    good = good.mapInPandas(wav, "shard int, name string, text string, seconds double, error string, bytes binary")
+    other = rows.where("vec_id % 3 = 0").select(shard, F.concat(key, F.lit(".mp3")).alias("name"), "text", F.lit(0.0).alias("seconds"), none, F.encode(F.lit("no audio"), "utf-8").alias("bytes"))
+    columns = [x.split()[0] for x in PACKED.split(", ")]
+    sinks.write_tars(good.select(*columns).unionByName(other.select(*columns)).repartition(shards, "shard").sortWithinPartitions("shard", "name"), folder, "set")
+    used = [r["shard"] for r in rows.select(shard).distinct().orderBy("shard").collect()]  # one row per shard
+    return [shard_files(folder, "set", x, 8)[0] for x in used]
+
+
+def _shard_of():
+    return F.regexp_extract("url", r"(\d+)\.tar$", 1).cast("int").alias("shard")
+
+
+_SAMPLES = "list_transform(embedding[1:(8 + vec_id % 57)::INTEGER], lambda x: greatest(-32768, least(32767, round_even(x::DOUBLE * 32768, 0))) / 32768)"
+
+
+@query("""
+WITH e AS (SELECT vec_id, 'wav' AS ext, 44 + 2 * (8 + vec_id % 57) AS size, 8 + vec_id % 57 AS frames FROM embeddings UNION ALL SELECT vec_id, 'mp3', 8, NULL FROM embeddings WHERE vec_id % 3 = 0)
+SELECT (vec_id % 16)::INTEGER AS shard, ext, count(*) AS n, sum(size)::BIGINT AS size, sum(frames)::BIGINT AS frames, count(*) - count(frames) AS unreadable FROM e GROUP BY ALL""")
+def tar_index(spark, sf_dir):
+    """The member index of tar shards: entries, their bytes and what their headers tell."""
+    from wavelot.sources.tarindex import index_tars
+
+    index = index_tars(embedding_tars(spark, sf_dir), spark)
+    return index.groupBy(_shard_of(), "ext").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("frames").alias("frames"), F.count("error").alias("unreadable"))
+
+
+@query(f"""
+SELECT (vec_id % 16)::INTEGER AS shard, vec_id::VARCHAR AS key, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS formats, (8 + vec_id % 57)::BIGINT AS frames, (8 + vec_id % 57) / 8000.0 AS length_s,
+  round(sqrt(list_sum(list_transform({_SAMPLES}, lambda x: x * x)) / (8 + vec_id % 57)), 6) AS rms FROM embeddings""")
+def tar_round_trip(spark, sf_dir):
+    """Vectors written into tars by tasks, found through the index, formats chosen on it, read by byte ranges and decoded."""
+    from wavelot.sources.tarindex import choose_formats, index_tars, read_ranges
+
+    index = index_tars(embedding_tars(spark, sf_dir), spark, ("wav", "mp3"))
+    formats = index.groupBy("url", "key").agg(F.count("*").alias("formats"))
+    chosen = choose_formats(index, ("wav", "mp3")).join(formats, ["url", "key"])
+    rows = samples.decode(read_ranges(chosen, split_bytes=1 << 16).drop("error"), 8000)
+    return rows.select(_shard_of(), "key", "formats", F.size("audio").cast("long").alias("frames"), "length_s", F.round(arrays.rms(F.col("audio")), 6).alias("rms"))
 
 
 @query()

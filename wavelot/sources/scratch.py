@@ -1,16 +1,26 @@
-"""Running a bounded stream to its end into a table of the shared folder."""
+"""The folder that driver and executors share, and running a bounded stream to its end into a table there."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path under spark.checkpoint.dir. Only a local session may go without that setting: it gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='wavelot-')}"
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def run_stream(stream: DataFrame) -> DataFrame:
-    spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    spark, base = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     done = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
