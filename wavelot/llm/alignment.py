@@ -44,7 +44,7 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 class TwinEncoder:
     """Ids and byte lengths of both tokenizers' tokens for batches of texts."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 16 << 20):
+    def __init__(self, a_path: str, b_path: str, most: int = 4 << 20):
         from sentencepiece import SentencePieceProcessor
 
         self.a, self.b, self.most = ChunkEncoder(a_path, "byte_level"), SentencePieceProcessor(model_file=b_path), most
