@@ -10,7 +10,7 @@ from wavelot import Batching, Loader, LoaderOptions
 
 def main(paths: list[str]) -> None:
     spark = SparkSession.builder.appName("batches").getOrCreate()
-    loader = Loader(spark, paths, LoaderOptions(batching=Batching(max_duration=600.0)), feature="fbank")
+    loader = Loader(spark, paths, LoaderOptions(batching=Batching(max_duration=600.0)), feature="Fbank")
     loader.totals().show()
     for row in loader.iterate():
         print(row["worker"], row["bucket_id"], row["batch_id"], len(row["ids"]), max(row["feature_lens"]))

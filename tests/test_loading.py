@@ -2,6 +2,7 @@ import gzip
 import io
 import json
 import tarfile
+import time
 
 import numpy as np
 import pytest
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from wavelot.cli import parser
 from wavelot.functions.audio import encode_wav
-from wavelot.operators import mux, samples
+from wavelot.operators import batching, mux, samples
 from wavelot.options import Augment, Batching, BuildOptions, LoaderOptions
 from wavelot.plans.build import build, list_existing
 from wavelot.plans.loader import Dataset, Loader
 from wavelot.sources import audiotar, lists, sinks
+from wavelot.sources.scratch import run_stream
 from wavelot.streaming.batcher import stream_batches
 
 
@@ -194,20 +196,43 @@ def test_bad_source_lines(spark, tmp_path):
         sinks.list_lines(bad).collect()
 
 
-def test_stream_equals_greedy_fold(spark, tmp_path):
+@pytest.mark.parametrize("ordered", [True, False])
+def test_stream_equals_greedy_fold(spark, ordered):
     rnd = np.random.default_rng(2)
-    rows = [(0, int(k) % 2, int(k), f"s{k}", float(rnd.integers(1, 20))) for k in range(200)]
+    rows = [(0, int(k) % 2, int(k), f"s{k:03d}", float(rnd.integers(1, 20))) for k in range(200)]
     schema = "worker int, bucket_id int, seq long, id string, length double"
-    for part in range(4):
-        spark.createDataFrame(rows[part * 50 : part * 50 + 50], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    done = stream_batches(live, 100.0, 8).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    done.awaitTermination()
-    got = {(r["bucket_id"], r["batch_id"]): r["ids"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert sum(map(len, got.values())) > 150
-    for (_, _), ids in got.items():
-        lengths = [rows[int(i[1:])][4] for i in ids]
-        assert len(ids) == 1 or (max(lengths) * len(ids) <= 100 and len(ids) <= 8)
+    parts = [spark.createDataFrame(rows[p * 50 : p * 50 + 50], schema) for p in range(4)]
+    ends = spark.createDataFrame([(0, b, 0, None, None) for b in range(2)], schema)
+    got = run_stream(lambda live: stream_batches(live, 100.0, 8, ordered=ordered), [*parts, ends]).collect()
+    assert sorted(i for r in got for i in r["ids"]) == [r[3] for r in rows]
+    length = {r[3]: r[4] for r in rows}
+    for r in got:
+        own = [length[i] for i in r["ids"]]
+        assert (r["n"], r["longest"], r["total"]) == (len(own), max(own), sum(own))
+        assert len(own) == 1 or (max(own) * len(own) <= 100 and len(own) <= 8)
+    if ordered:
+        packed = batching.greedy_batches(spark.createDataFrame(rows, schema), ["seq"], "length", 100.0, 8, ["worker", "bucket_id"]).collect()
+        want = {}
+        for r in sorted(packed, key=lambda r: r["seq"]):
+            want.setdefault((r["bucket_id"], r["batch_id"]), []).append(r["id"])
+        assert {(r["bucket_id"], r["batch_id"]): r["ids"] for r in got} == want
+        assert {(r["bucket_id"], r["batch_id"]) for r in got if r["flushed"]} == {(b, max(k for c, k in want if c == b)) for b in range(2)}
+
+
+def test_idle_buckets_give_up_their_batch(spark, tmp_path):
+    schema = "worker int, bucket_id int, seq long, id string, length double"
+    spark.createDataFrame([(0, b, k, f"{b}{k}", 1.0) for b in range(2) for k in range(3)], schema).write.parquet(f"{tmp_path}/in/0")
+    live = stream_batches(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), 100.0, None, idle_ms=200)
+    stream = live.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            rows = spark.read.schema(live.schema).parquet(f"{tmp_path}/out").collect() if (tmp_path / "out/_spark_metadata").exists() else []
+            if len(rows) == 2:
+                break
+            time.sleep(0.5)
+    finally:
+        stream.stop()
+    assert sorted((r["bucket_id"], r["ids"], r["flushed"]) for r in rows) == [(b, [f"{b}{k}" for k in range(3)], True) for b in range(2)]
 
 
 def test_options():

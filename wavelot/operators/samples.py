@@ -15,34 +15,25 @@ from wavelot.functions.text import text_or_empty
 from wavelot.options import Augment
 
 
-def decode(entries: DataFrame, sample_rate: int = 16000, average: bool = True) -> DataFrame:
-    """bytes -> audio (mono float32 at sample_rate), length_s and error (null, or why there is no audio). A bad entry doesn't stop the job."""
+def decode(entries: DataFrame, sample_rate: int = 16000, average: bool = True, data: str = "bytes", ext: str = "ext", audio: str = "audio", length: str | None = "length_s") -> DataFrame:
+    """data -> audio (mono float32 at sample_rate), length_s and error (null, or why there is no audio). A bad entry doesn't stop the job.
+
+    data, ext, audio and length: the columns' names; length None leaves that column and sample_rate out."""
 
     @F.pandas_udf("audio array<float>, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for datas, exts in batches:
             out = []
-            for data, ext in zip(datas, exts, strict=True):
+            for x, kind in zip(datas, exts, strict=True):
                 try:
-                    out.append((load_mono(data, ext, sample_rate, average), None) if data is not None else (None, "no data"))
+                    out.append((load_mono(x, kind, sample_rate, average), None) if x is not None else (None, "no data"))
                 except Exception as e:  # noqa: BLE001  any damaged file is one sample's error
                     out.append((None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["audio", "error"])
 
-    rows = entries.withColumn("__d", run("bytes", "ext"))
-    audio = F.coalesce(F.col("__d.audio"), F.array().cast("array<float>"))
-    rows = rows.withColumns({"audio": audio, "error": F.col("__d.error"), "sample_rate": F.lit(sample_rate)}).drop("__d", "bytes")
-    return rows.withColumn("length_s", F.size("audio") / F.lit(float(sample_rate)))
-
-
-def probe_durations(entries: DataFrame) -> DataFrame:
-    """Adds duration from the files' headers, without decoding."""
-
-    @F.pandas_udf("double")
-    def run(datas: pd.Series, exts: pd.Series) -> pd.Series:
-        return pd.Series([header_seconds(d, e) if d is not None else None for d, e in zip(datas, exts, strict=True)], dtype="float64")
-
-    return entries.withColumn("duration", run("bytes", "ext"))
+    rows = entries.withColumn("__d", run(data, ext))
+    rows = rows.withColumns({audio: F.coalesce(F.col("__d.audio"), F.array().cast("array<float>")), "error": F.col("__d.error")}).drop("__d", data)
+    return rows if length is None else rows.withColumns({length: F.size(audio) / F.lit(float(sample_rate)), "sample_rate": F.lit(sample_rate)})
 
 
 def join_labels(samples: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
@@ -55,11 +46,6 @@ def length_filter(samples: DataFrame, low: float, high: float, length: str | Col
     return samples.where((F.col(length) if isinstance(length, str) else length).between(low, high))
 
 
-def prefilter_by_manifest(labels: DataFrame, low: float, high: float, tolerance: float = 0.5) -> DataFrame:
-    """Before any audio is opened: keys whose manifest duration can't pass the length filter go. Null durations stay."""
-    return labels.where(F.col("duration").isNull() | F.col("duration").between(low - tolerance, high + tolerance))
-
-
 def apply_map(samples: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The caller's map: DataFrame in, DataFrame out. Runs before the filter."""
     return samples.transform(fn)
@@ -117,26 +103,55 @@ def mix(x: np.ndarray, noise: np.ndarray, snr_db: float, at: float) -> np.ndarra
     return (x + noise * (level(x) / (10 ** (snr_db / 20) * level(noise) + 1e-8))).astype(np.float32)
 
 
-def pair_noise(samples: DataFrame, noise: DataFrame, seed: int, keys: list[str], count: int) -> DataFrame:
-    """Adds noise_audio: noise has idx 0 .. count - 1 and audio; each sample meets the noise of a hash of its key, an equi-join."""
-    at = F.pmod(F.conv(F.substring(order_key(f"noise{seed}", *keys), 1, 15), 16, 10).cast("long"), F.lit(count))
-    right = noise.select(F.col("idx").alias("__n"), F.col("audio").alias("noise_audio"))
-    return samples.withColumn("__at", at).join(right, F.col("__at") == F.col("__n"), "left").drop("__at", "__n")
+def noise_of(seed: int, keys: list[str], count: Column) -> Column:
+    """Which of `count` noises a sample meets: a hash of its keys."""
+    return F.pmod(F.conv(F.substring(order_key(f"noise{seed}", *keys), 1, 15), 16, 10).cast("long"), count)
 
 
-def augment(samples: DataFrame, options: Augment, seed: int, keys: list[str], sample_rate: int = 16000, noise: DataFrame | None = None, noise_count: int = 0) -> DataFrame:
-    """Speed (0.9 makes a sample shorter, a tenth of its length goes), then volume, then noise; length_s follows the audio.
+def pair_noise(samples: DataFrame, noise: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+    """Adds noise_<column> for what noise tells of the entry that a sample meets. samples: noise_of, the pool a sample draws from (null: none); noise: dataset (the pool),
+    idx 0 .. n - 1, n and any others. Both sides are slim: audio is read after the join."""
+    sizes = noise.groupBy(F.col("dataset").alias("__p")).agg(F.max("n").alias("__n"))
+    rest = [c for c in noise.columns if c not in ("dataset", "idx", "n")]
+    right = noise.select(F.col("dataset").alias("__d"), F.col("idx").alias("__i"), *[F.col(c).alias(f"noise_{c}") for c in rest])
+    sized = samples.join(F.broadcast(sizes), F.col("noise_of") == F.col("__p"), "left")  # a row per dataset
+    drawn = sized.withColumn("__at", noise_of(seed, keys, F.col("__n")))
+    return drawn.join(right, (F.col("noise_of") == F.col("__d")) & (F.col("__at") == F.col("__i")), "left").drop("__p", "__n", "__at", "__d", "__i")
+
+
+def noisy(options: Augment, seed: int, keys: list[str]) -> Column:
+    return uniform(f"noise?{seed}", *keys) < options.noise_prob
 
-    All draws come from hashes of the keys. Only samples that are to get noise take part in the join with the noise pool."""
+
+def speed_of(options: Augment, seed: int, keys: list[str], sample_rate: int) -> Column:
+    return choice(list(options.speeds), f"speed{seed}", *keys)
+
+
+def length_at_speed(samples: Column, speed: Column, sample_rate: int) -> Column:
+    """How many samples change_speed leaves of so many."""
+    return F.ceil(samples * F.floor(speed * sample_rate) / F.lit(sample_rate)).cast("long")
+
+
+def change(samples: DataFrame, options: Augment, seed: int, keys: list[str], sample_rate: int = 16000, noise: str | None = None) -> DataFrame:
+    """Speed (0.9 makes a sample shorter, a tenth of its length goes), then volume, then the noise in the column of that name, if there is one; length_s follows the audio.
+
+    All draws come from hashes of the keys."""
     none = F.lit(None).cast("double")
-    by = choice(list(options.speeds), f"speed{seed}", *keys) if options.speed else none
+    by = speed_of(options, seed, keys, sample_rate) if options.speed else none
     db = F.when(uniform(f"volume?{seed}", *keys) <= options.volume_prob, between(*options.volume_db, f"volume{seed}", *keys)) if options.volume else none
-    run, no_noise = _change(sample_rate), F.lit(None).cast("array<float>")
-    if options.noise and noise is not None and noise_count:
-        chosen = uniform(f"noise?{seed}", *keys) < options.noise_prob
-        snr, at = between(*options.noise_snr_db, f"snr{seed}", *keys), uniform(f"offset{seed}", *keys)
-        noisy = pair_noise(samples.where(chosen), noise, seed, keys, noise_count).withColumn("audio", run("audio", by, db, "noise_audio", snr, at)).drop("noise_audio")
-        samples = samples.where(~chosen).withColumn("audio", run("audio", by, db, no_noise, none, none)).unionByName(noisy)
+    run = _change(sample_rate)
+    if noise is not None:
+        snr = F.when(noisy(options, seed, keys), between(*options.noise_snr_db, f"snr{seed}", *keys))
+        samples = samples.withColumn("audio", run("audio", by, db, noise, snr, uniform(f"offset{seed}", *keys)))
     elif options.speed or options.volume:
-        samples = samples.withColumn("audio", run("audio", by, db, no_noise, none, none))
+        samples = samples.withColumn("audio", run("audio", by, db, F.lit(None).cast("array<float>"), none, none))
     return samples.withColumn("length_s", F.size("audio") / F.lit(float(sample_rate)))
+
+
+def augment(samples: DataFrame, options: Augment, seed: int, keys: list[str], sample_rate: int = 16000, noise: DataFrame | None = None, noise_count: int = 0) -> DataFrame:
+    """change, with noise from a pool of decoded noises: idx 0 .. noise_count - 1 and audio. Samples that are to get noise meet it by an equi-join."""
+    if not (options.noise and noise is not None and noise_count):
+        return change(samples, options, seed, keys, sample_rate)
+    pool = noise.select(F.lit("").alias("dataset"), "idx", F.lit(noise_count).alias("n"), "audio")
+    chosen = samples.withColumn("noise_of", F.when(noisy(options, seed, keys), F.lit("")))
+    return change(pair_noise(chosen, pool, seed, keys), options, seed, keys, sample_rate, "noise_audio").drop("noise_of", "noise_audio")

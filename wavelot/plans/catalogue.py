@@ -422,9 +422,9 @@ def noise_tile(spark, sf_dir):
 @query("SELECT d.doc_id, (('0x' || substr(md5('noise9|' || d.doc_id), 1, 15))::BIGINT % (SELECT count(*) FROM benchmark)) AS idx FROM documents d")
 def noise_pairing(spark, sf_dir):
     pool = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), order_key(1, "item_id").alias("k"))
-    noise = shuffled_rank(pool, "k", ["id"], name="idx").select("idx", F.col("idx").alias("audio"))
-    paired = samples.pair_noise(table(spark, sf_dir, "documents").select("doc_id"), noise, 9, ["doc_id"], noise.count())
-    return paired.select("doc_id", F.col("noise_audio").alias("idx"))
+    noise = shuffled_rank(pool, "k", ["id"], name="idx").select(F.lit("all").alias("dataset"), "idx", F.lit(pool.count()).alias("n"), F.col("idx").alias("entry"))
+    paired = samples.pair_noise(table(spark, sf_dir, "documents").select("doc_id", F.lit("all").alias("noise_of")), noise, 9, ["doc_id"])
+    return paired.select("doc_id", F.col("noise_entry").alias("idx"))
 
 
 @query("SELECT label, vec_id // 8 AS batch_id, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids, count(*) AS n, max(len(list_filter(embedding, lambda x: x > 0)))::BIGINT AS longest, (max(len(list_filter(embedding, lambda x: x > 0))) * count(*))::BIGINT AS cells FROM embeddings GROUP BY 1, 2")
@@ -556,14 +556,41 @@ def tar_round_trip(spark, sf_dir):
     return rows.select(_shard_of(), "key", "formats", F.size("audio").cast("long").alias("frames"), "length_s", F.round(arrays.rms(F.col("audio")), 6).alias("rms"))
 
 
-@query()
+_LOADED = f"""SELECT vec_id AS doc_id, 0 AS worker, floor(((8 + vec_id % 57) / 100.0::DOUBLE - 0.1::DOUBLE) * 5 / 0.5::DOUBLE)::INTEGER AS bucket_id, printf('%08d', vec_id % 16) || '.tar/' || vec_id AS seq, (8 + vec_id % 57) / 100.0::DOUBLE AS length
+  FROM embeddings WHERE 8 + vec_id % 57 BETWEEN 10 AND 60"""
+
+
+@query(_greedy_sql(_LOADED, "worker, bucket_id", 5.0, 16, _flush_sql(5.0, 16) + f""", b AS ({_FLUSHED.format("worker")}),
+e AS (SELECT vec_id AS doc_id, label, list_sum(list_transform({_SAMPLES}, lambda x: x * x)) AS energy FROM embeddings)
+SELECT b.bucket_id, b.batch_id, b.flushed, string_agg(b.doc_id::VARCHAR, ',' ORDER BY s.seq) AS ids, max(round(s.length * 100))::BIGINT AS longest, arg_min('label ' || e.label, s.seq) AS first_text, round(sum(e.energy), 4) AS energy
+FROM b JOIN s USING (doc_id) JOIN e USING (doc_id) GROUP BY 1, 2, 3"""))
+def loader_test_pass(spark, sf_dir):
+    """The loader over tars made from vectors: every sample once in padded batches, with the flush at the end."""
+    from wavelot.options import Batching, LoaderOptions
+    from wavelot.plans.loader import Loader
+    from wavelot.sources.files import put_lines
+
+    tars = embedding_tars(spark, sf_dir, 100)
+    lst = tars[0].rsplit("/audio/", 1)[0] + "/set.lst"
+    put_lines(lst, [f"{t} {t.replace('/audio/', '/txt/').removesuffix('.tar')}.jsonl" for t in tars])
+    options = LoaderOptions(batching=Batching(max_duration=5.0, max_samples=16, min_length=0.1, max_length=0.6, num_buckets=6), sample_rate=100, feature_type=None, workers=1, is_test=True)
+    done = Loader(spark, [lst], options).batches()
+    energy = F.aggregate(F.transform("audio", lambda a: arrays.energy(a)), F.lit(0.0), lambda s, x: s + x)
+    return done.select("bucket_id", "batch_id", "flushed", F.array_join("ids", ",").alias("ids"), F.array_max("audio_lens").cast("long").alias("longest"), F.get("text", F.lit(0)).alias("first_text"), F.round(energy, 4).alias("energy"))
+
+
+_EVENTS = "SELECT event_id AS doc_id, (user_id % 4)::INTEGER AS worker, floor(least(value, 99) / 20)::INTEGER AS bucket_id, (event_id % 3)::BIGINT * 1000000000000 + event_id AS seq, value AS length FROM events"
+
+
+@query(_greedy_sql(_EVENTS, "worker, bucket_id", 2000, 50, """, last AS (SELECT worker, bucket_id, max(batch_id) AS last FROM f GROUP BY ALL)
+SELECT f.worker, f.bucket_id, f.batch_id, string_agg(f.doc_id::VARCHAR, ',' ORDER BY f.rn) AS ids, count(*) AS n, max(f.length) AS longest, round(sum(f.length), 6) AS total, f.batch_id = last.last AS flushed FROM f JOIN last USING (worker, bucket_id) GROUP BY 1, 2, 3, 8"""))
 def stream_batches(spark, sf_dir):
-    """Events as a live stream into state-backed batches, run until the input is used up."""
+    """Events as a live stream of three micro-batches into state-backed batches, and a fourth that gives up the open ones."""
     from wavelot.sources.scratch import run_stream
     from wavelot.streaming.batcher import stream_batches as batch
 
-    schema = table(spark, sf_dir, "events").schema
-    live = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    rows = live.select(F.pmod("user_id", F.lit(4)).cast("int").alias("worker"), F.floor(F.least("value", F.lit(99.0)) / 20).cast("int").alias("bucket_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("id"), F.col("value").alias("length"))
-    return run_stream(batch(rows, 2000.0, 50))
-
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.pmod("user_id", F.lit(4)).cast("int").alias("worker"), F.floor(F.least("value", F.lit(99.0)) / 20).cast("int").alias("bucket_id"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.col("value").alias("length"))
+    ends = rows.select("worker", "bucket_id").distinct().select("worker", "bucket_id", F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("double").alias("length"))
+    done = run_stream(lambda live: batch(live, 2000.0, 50), [*(rows.where(F.col("seq") % 3 == k) for k in range(3)), ends])
+    return done.withColumns({"ids": F.array_join("ids", ","), "total": F.round("total", 6)})

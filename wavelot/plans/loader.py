@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from wavelot.operators.collate import collate
 from wavelot.operators.ranking import shuffled_rank
 from wavelot.options import LoaderOptions
 from wavelot.schemas import NOISE_FORMATS
-from wavelot.sources import audiotar, lists
+from wavelot.sources import audiotar, lists, tarindex
+from wavelot.sources.scratch import shared_folder
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,20 @@ class Dataset:
     max_length: float | None = None
 
 
+#: What tells a sample's draws apart.
+SAMPLE = ["dataset", "url", "key", "epoch_pass", "copy"]
+#: Columns of slim samples that the library itself makes.
+KNOWN = {"dataset", "url", "key", "ext", "offset", "size", "packed", "frames", "rate", "text", "samples", "length_s", "epoch_pass", "seq", "worker"}
+
+
 class Loader:
-    """Batches of one or more datasets. All methods are lazy but for totals that options depend on (a row per dataset)."""
+    """Batches of one or more datasets.
+
+    A catalogue of samples, one slim row each with its transcript, its place in a tar and its length from the header, is made once and kept in the
+    shared folder. Filters, mixing, packing and the choice of an epoch's batches run on it, lazily; then the chosen samples' bytes are read by ranges,
+    decoded and changed where they were read, and meet in their batches by the only shuffle of audio.
+
+    A map or filter that can't do without audio (it fails on a catalogue without that column, or is a Python predicate) has its dataset decoded once more beforehand."""
 
     def __init__(self, spark: SparkSession, datasets: list[Dataset | str], options: LoaderOptions | None = None, feature: str | Extractor | None = None):
         self.spark, self.options = spark, options or LoaderOptions()
@@ -45,6 +59,7 @@ class Loader:
             raise ValueError("datasets need different names")
         kind = feature if feature is not None else self.options.feature_type
         self.extractor = None if kind is None else extractor(kind, self.options.sample_rate)
+        self._kept: dict[str, tuple[str, int]] = {}  # tables in the shared folder and the bytes of audio that they name
 
     def __repr__(self) -> str:
         return f"Loader(datasets={self.datasets}, options={self.options}, extractor={self.extractor})"
@@ -55,8 +70,8 @@ class Loader:
         for d in self.datasets:
             own = lists.read_shards(self.spark, d.shard_list, d.name)
             found = own if found is None else found.unionByName(own)
-        bare = [r["manifest"] for r in found.where("hours is null or num_samples is null").select("manifest").collect()]
-        bare = sorted(lists.present(self.spark, bare))
+        bare = lists.existing_shards(found.where("hours is null or num_samples is null").select("manifest").distinct(), ("manifest",))
+        bare = sorted(r["manifest"] for r in bare.collect())  # one row per shard
         if bare:
             totals = stats.manifest_stats(lists.read_manifests(self.spark, bare, strict=True))
             found = stats.complete_shards(found, totals.withColumn("manifest", plain_path("manifest")))
@@ -76,87 +91,171 @@ class Loader:
         b = self.options.batching
         return mux.epoch_batches((row[0] or 0) * 3600, row[1] or 0, b.budget, b.rows, self.options.world_size, self.options.fill_factor)
 
-    def samples(self, epoch: int = 0) -> DataFrame:
-        """Decoded, labelled, filtered and augmented samples with a total order (seq) in each dataset."""
-        o, out, self.extra = self.options, None, {}
-        shards = audiotar.rank_shards(self.shards(), o.rank, o.world_size)
+    def _keep(self, name: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, int]:
+        """A slim table, made at its first use, and how many bytes of audio its rows name."""
+        if name not in self._kept:
+            path = shared_folder(self.spark, name.split("/")[0])
+            make().write.parquet(path)
+            self._kept[name] = path, self.spark.read.parquet(path).agg(F.sum("size")).first()[0] or 0
+        return self.spark.read.parquet(self._kept[name][0]), self._kept[name][1]
+
+    def catalogue(self) -> DataFrame:
+        """One row per sample of this rank's shards that exist: dataset, url, key, ext, offset, size, packed, frames, rate and text."""
+        return self._keep("catalogue", self._catalogue)[0]
+
+    def _catalogue(self) -> DataFrame:
+        o = self.options
+        shards = audiotar.rank_shards(self.shards(), o.rank, o.world_size).select("dataset", F.col("audio_tar").alias("url"), "manifest")
+        index, _ = self._keep("index", lambda: tarindex.index_tars(shards.select("url").distinct()))
+        there = lists.existing_shards(shards, ("manifest",)).join(index.where("error = 'missing'").select("url"), "url", "left_anti")
+        manifests, n, of = there.select("manifest").distinct().collect(), there.count(), shards.count()  # one row per shard
+        if n < of:
+            warnings.warn(f"{of - n} of {of} shards are left out, their files are missing", stacklevel=5)
+        if not manifests:
+            raise ValueError("no shards for this rank")
+        labels = lists.read_manifests(self.spark, sorted(r["manifest"] for r in manifests)).withColumn("manifest", plain_path("manifest"))
+        entries = tarindex.choose_formats(index).where("frames > 0").drop("place", "error").join(there, "url")
+        return samples.join_labels(entries, lists.last_labels(labels, ["manifest", "key"]), ["manifest", "key"]).drop("manifest")
+
+    def _audio(self, rows: DataFrame, name: str, size: int) -> DataFrame:
+        """Rows of the catalogue with their audio, read and decoded where it lies; samples that can't be decoded go."""
+        read = tarindex.read_ranges(rows, tasks=size // (64 << 20) + self.spark.sparkContext.defaultParallelism, name=f"{name}_bytes")
+        return samples.decode(read, self.options.sample_rate, data=f"{name}_bytes", audio=name).drop("error").where(F.size(name) > 0)
+
+    def _chosen(self, d: Dataset) -> tuple[DataFrame, bool]:
+        """A dataset's slim rows after its length filter, map and filter, with samples (their number) and length_s; and whether map or filter need audio."""
+        o = self.options
+        low = d.min_length if d.min_length is not None else o.batching.min_length
+        high = d.max_length if d.max_length is not None else o.batching.max_length
+        rows = self.catalogue().where(F.col("dataset") == d.name).withColumn("samples", tarindex.samples_at(o.sample_rate))
+        rows = samples.length_filter(rows.withColumn("length_s", F.col("samples") / float(o.sample_rate)), low, high)
+        try:
+            if d.filter is None or isinstance(d.filter, Column):
+                slim = samples.apply_map(rows, d.map) if d.map else rows
+                slim = slim.where(d.filter) if d.filter is not None else slim
+                if "audio" not in slim.columns:
+                    return slim, False
+        except AnalysisException:  # a column that only decoded samples have
+            pass
+
+        def full() -> DataFrame:
+            heard = self._audio(rows, "audio", self._kept["catalogue"][1])
+            heard = samples.apply_map(heard, d.map) if d.map else heard
+            heard = samples.apply_filter(heard, d.filter) if d.filter is not None else heard
+            heard = heard.withColumn("samples", F.size("audio").cast("long")).withColumn("length_s", F.col("samples") / float(o.sample_rate))
+            return heard.drop("audio", "sample_rate")
+
+        return self._keep(f"chosen/{d.name}", full)[0], True
+
+    def keys(self, epoch: int = 0) -> DataFrame:
+        """Slim samples of an epoch: all columns of _chosen, epoch_pass, seq (a total order), worker, and length_s as it will be after the first copy's change of speed."""
+        o, out, self.again = self.options, None, []
         for d in self.datasets:
-            own = self._present(shards.where(F.col("dataset") == d.name).select("audio_tar", "manifest").collect())  # one row per shard
-            if not own:
-                continue
-            entries = audiotar.read_tars(self.spark, sorted(r["audio_tar"] for r in own))
-            labels = lists.read_manifests(self.spark, sorted({r["manifest"] for r in own})).withColumn("manifest", plain_path("manifest"))
-            labels = lists.last_labels(labels, ["manifest", "key"])
-            of = self.spark.createDataFrame([(r["audio_tar"], r["manifest"]) for r in own], "url string, manifest string")
-            rows = samples.decode(entries, o.sample_rate).where(F.size("audio") > 0)
-            rows = samples.join_labels(rows.join(of, "url"), labels, ["manifest", "key"]).withColumn("dataset", F.lit(d.name))
-            low = d.min_length if d.min_length is not None else o.batching.min_length
-            high = d.max_length if d.max_length is not None else o.batching.max_length
-            rows = samples.length_filter(rows, low, high)
-            if d.map:
-                known = set(rows.columns)
-                rows = samples.apply_map(rows, d.map)
-                self.extra |= {c: c for c in rows.columns if c not in known}
-            rows = samples.apply_filter(rows, d.filter) if d.filter is not None else rows
-            rows = mux.num_copies(mux.passes(rows, 1 if o.is_test else o.passes), o.batching.num_copies)
-            if not o.is_test:
-                noise, count = self.noise(d)
-                rows = samples.augment(rows, o.augment, o.seed + epoch, ["dataset", "url", "key", "epoch_pass", "copy"], o.sample_rate, noise, count)
+            rows, again = self._chosen(d)
+            if again and d.map:
+                self.again.append(d)
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-        if out is None:
-            raise ValueError("no shards for this rank")
+        rows = mux.passes(out, 1 if o.is_test else o.passes)
+        if o.augment.speed and not o.is_test:
+            by = samples.speed_of(o.augment, o.seed + epoch, SAMPLE, o.sample_rate)
+            rows = rows.withColumn("copy", F.lit(0)).withColumn("samples", samples.length_at_speed(F.col("samples"), by, o.sample_rate)).drop("copy")
+            rows = rows.withColumn("length_s", F.col("samples") / float(o.sample_rate))
         seed = "test" if o.is_test else f"{o.seed}/{epoch}/{o.rank}"
         key = F.concat_ws("/", F.lpad(F.col("epoch_pass").cast("string"), 6, "0"), F.col("url"), F.col("key")) if o.is_test else order_key(seed, "dataset", "url", "key", "epoch_pass")
-        return out.withColumns({"seq": key, "worker": F.pmod(F.xxhash64("url"), F.lit(o.workers)).cast("int")})
-
-    def _present(self, shards: list) -> list:
-        """Shards whose tar and manifest exist; a warning names how many are left out."""
-        there = lists.present(self.spark, [r[c] for r in shards for c in ("audio_tar", "manifest")])
-        kept = [r for r in shards if r["audio_tar"] in there and r["manifest"] in there]
-        if len(kept) < len(shards):
-            warnings.warn(f"{len(shards) - len(kept)} of {len(shards)} shards are left out, their files are missing", stacklevel=3)
-        return kept
-
-    def noise(self, d: Dataset) -> tuple[DataFrame | None, int]:
-        if not self.options.augment.noise or d.noise_list is None:
-            return None, 0
-        tars = lists.present(self.spark, [r["audio_tar"] for r in lists.read_noise_list(self.spark, d.noise_list).collect()])  # one row per shard
-        if not tars:
-            return None, 0
-        rows = samples.decode(audiotar.read_tars(self.spark, sorted(tars), NOISE_FORMATS), self.options.sample_rate).where(F.size("audio") > 0)
-        keyed = shuffled_rank(rows.withColumn("k", order_key(self.options.seed, "url", "key")), "k", ["url", "key"], name="idx")
-        return keyed.select("idx", "audio"), keyed.count()
+        return rows.withColumns({"seq": key, "worker": F.pmod(F.xxhash64("url"), F.lit(o.workers)).cast("int")})
 
-    def batches(self, epoch: int = 0) -> DataFrame:
-        """Padded batches: worker, bucket_id, batch_id, ids, text, each column that a map added, audio, audio_lens, feature, feature_lens."""
+    def samples(self, epoch: int = 0) -> DataFrame:
+        """Decoded, labelled, filtered and augmented samples with a total order (seq) in each dataset."""
+        return self._decoded(self.keys(epoch), epoch)
+
+    def _decoded(self, keys: DataFrame, epoch: int) -> DataFrame:
+        """keys with audio: copies, noise and changes included. No row is shuffled once it has its bytes."""
+        o, keys = self.options, mux.num_copies(keys, self.options.batching.num_copies)
+        size = self._kept["catalogue"][1] * o.batching.num_copies
+        noise = None if o.is_test or not o.augment.noise else self.noise()
+        if noise is not None:
+            chosen = samples.noisy(o.augment, o.seed + epoch, SAMPLE)
+            keys = keys.withColumn("noise_of", F.when(chosen, F.col("dataset")))
+            keys = samples.pair_noise(keys, noise, o.seed + epoch, SAMPLE)
+        rows = self._audio(keys, "audio", size)
+        for d in self.again:
+            known = F.col("dataset") == d.name
+            rows = rows.where(~known).unionByName(samples.apply_map(rows.where(known), d.map), allowMissingColumns=True)
+        if o.is_test:
+            return rows.withColumn("length_s", F.size("audio") / float(o.sample_rate))
+        if noise is not None:
+            there = {c: f"noise_{c}" for c in ("url", "offset", "size", "packed", "ext")}
+            rows = tarindex.fetch(rows, there, "noise_bytes")
+            rows = samples.decode(rows, o.sample_rate, data="noise_bytes", ext="noise_ext", audio="noise_audio", length=None).drop("error", "noise_of", *there.values())
+        return samples.change(rows, o.augment, o.seed + epoch, SAMPLE, o.sample_rate, "noise_audio" if noise is not None else None).drop("noise_audio")
+
+    def noise(self) -> DataFrame | None:
+        """The pools of noise: dataset, idx (from 0 in each pool), n (its size) and where each entry lies. Null if no dataset has one."""
+        named = [d for d in self.datasets if d.noise_list is not None]
+        if not named:
+            return None
+
+        def pools() -> DataFrame:
+            lines = None
+            for d in named:
+                own = lists.read_noise_list(self.spark, d.noise_list).select(F.lit(d.name).alias("dataset"), F.col("audio_tar").alias("url"))
+                lines = own if lines is None else lines.unionByName(own)
+            index = tarindex.choose_formats(tarindex.index_tars(lines.select("url").distinct(), formats=NOISE_FORMATS), NOISE_FORMATS).where("frames > 0")
+            keyed = index.join(lines, "url").withColumn("k", order_key(self.options.seed, "url", "key"))
+            ranked = shuffled_rank(keyed, "k", ["url", "key"], ["dataset"], name="idx")
+            sizes = ranked.groupBy(F.col("dataset").alias("of")).agg(F.count("*").alias("n"))
+            return ranked.join(F.broadcast(sizes), F.col("dataset") == F.col("of")).select("dataset", "idx", "n", "url", "offset", "size", "packed", "ext")
+
+        return self._keep("noise", pools)[0]
+
+    def plan_batches(self, epoch: int = 0) -> tuple[DataFrame, list[str]]:
+        """The epoch's batches without audio, slim: the keys of each batch's samples with its columns; and these columns."""
         o, b = self.options, self.options.batching
-        rows = self.samples(epoch)
         group = ["worker", "bucket_id"] if b.intra_batch_mux else ["worker", "dataset", "bucket_id"]
-        # a sample's bucket and length are those of its first copy
-        first = rows.where("copy = 0").withColumn("bucket_id", batching.bucket_id(F.col("length_s"), b.min_length, b.max_length, b.buckets))
-        order = self._order(first)
-        slim = order.select(*group, "seq", "place", "url", "key", "epoch_pass", "length_s")
+        keys = self.keys(epoch)
+        low, high = self._bounds(b.intra_batch_mux)
+        first = keys.select("dataset", "worker", "seq", "url", "key", "epoch_pass", "length_s").withColumn("bucket_id", batching.bucket_id(F.col("length_s"), low, high, b.buckets))
+        slim = self._order(first).select("dataset", *[g for g in group if g != "dataset"], "seq", "place", "url", "key", "epoch_pass", "length_s")
+        order = ["place", "seq"]
         if b.rows is not None:
-            packed = batching.fixed_batches(slim, ["place", "seq"], b.rows, group)
+            packed = batching.fixed_batches(slim, order, b.rows, group)
         else:
-            packed = batching.greedy_batches(slim, ["place", "seq"], "length_s", b.budget, b.cap, group)
-        packed = batching.drop_tails(packed, group) if b.drop_tail and not o.is_test else packed
-        keys = ["url", "key", "epoch_pass"]
-        full = rows.drop("worker", "seq", "dataset", "length_s").join(packed.drop("length_s"), keys)
-        if self.extractor is not None:
-            full = full.withColumn("feature", features(F.col("audio"), self.extractor))
-        done = collate(full, [*group, "batch_id"], ["copy", "place", "seq"], {"ids": "key", "text": "text", **self.extra}, ["audio"], ["feature"] if self.extractor is not None else [])
+            packed = batching.greedy_batches(slim, order, "length_s", b.budget, b.cap, group)
         if o.is_test:
-            return done
+            return batching.flushed_batches(packed, order, "length_s", None if b.rows is not None else b.budget, b.rows or b.cap, group).drop("from_bucket"), [*group, "batch_id", "flushed"]
+        packed = batching.drop_tails(packed, group) if b.drop_tail else packed
         per_worker = max(1, self.epoch_batches() // o.workers)
-        emitted = done.withColumn("__k", order_key(f"emit{o.seed}/{epoch}/{o.rank}", *group, "batch_id"))
+        batches = packed.select(*group, "batch_id").distinct().withColumn("__k", order_key(f"emit{o.seed}/{epoch}/{o.rank}", *group, "batch_id"))
         if "dataset" in group and len(self.datasets) > 1:
             # each dataset's batches arrive at a rate that follows its weight
             ties = ["worker", "bucket_id", "batch_id"]
-            ranked = shuffled_rank(emitted, "__k", ties, ["dataset"], name="__r")
+            ranked = shuffled_rank(batches, "__k", ties, ["dataset"], name="__r")
             raced = mux.random_mix_time(ranked, self.weights(), o.seed + epoch, ["dataset", *ties], rank="__r")
-            emitted = raced.select(*done.columns, F.col("t").alias("__k"))
-        return batching.epoch_limit(emitted, per_worker, ["__k"]).drop("__k")
+            batches = raced.select(*group, "batch_id", F.col("t").alias("__k"))
+        emitted = batching.epoch_limit(batches, per_worker, ["__k"]).drop("__k")
+        return packed.join(emitted, [*group, "batch_id"], "left_semi"), [*group, "batch_id"]
+
+    def batches(self, epoch: int = 0) -> DataFrame:
+        """Padded batches: worker, bucket_id, batch_id, ids, text, each column that a map added, audio, audio_lens, feature, feature_lens; in a test pass flushed too, the
+        place in the flush of what buckets held at the end."""
+        packed, group = self.plan_batches(epoch)
+        keys = ["dataset", "url", "key", "epoch_pass"]
+        rows = self.keys(epoch)
+        extra = {c: c for c in rows.columns if c not in KNOWN}
+        full = self._decoded(rows.drop("worker", "seq", "length_s").join(packed.drop("length_s"), keys), epoch)
+        if self.extractor is not None:
+            full = full.withColumn("feature", features(F.col("audio"), self.extractor))
+        extra |= {c: c for c in full.columns if c not in {*KNOWN, *packed.columns, "copy", "audio", "feature", "length_s", "sample_rate"}}
+        return collate(full, group, ["copy", "place", "seq"], {"ids": "key", "text": "text", **extra}, ["audio"], ["feature"] if self.extractor is not None else [])
+
+    def _bounds(self, together: bool) -> tuple[Column, Column]:
+        """Shortest and longest length of the buckets: of all datasets, or of each one's own."""
+        b = self.options.batching
+        low = {d.name: b.min_length if d.min_length is None else d.min_length for d in self.datasets}
+        high = {d.name: b.max_length if d.max_length is None else d.max_length for d in self.datasets}
+        if together:
+            return F.lit(float(min(low.values()))), F.lit(float(max(high.values())))
+        return tuple(F.create_map(*[F.lit(x) for k, v in side.items() for x in (k, float(v))])[F.col("dataset")] for side in (low, high))
 
     def _order(self, first: DataFrame) -> DataFrame:
         """place: arrival time in the mix of datasets."""

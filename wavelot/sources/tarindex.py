@@ -170,3 +170,27 @@ def read_ranges(entries: DataFrame, split_bytes: int = 64 << 20, tasks: int | No
         ranges.close()
 
     return dealt.mapInArrow(run, schema)
+
+
+def fetch(rows: DataFrame, columns: dict[str, str], name: str, held: int = 64) -> DataFrame:
+    """Adds bytes for rows whose columns (url, offset, size and packed, by their names there) tell where they lie, without moving rows: for small shared pools, such
+    as noise. A task remembers the last `held` of them. Null where url is null."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, known = _Ranges(), {}
+        for batch in batches:
+            out = []
+            for url, offset, size, packed in zip(*(batch.column(columns[c]).to_pylist() for c in ("url", "offset", "size", "packed")), strict=True):
+                if url is None:
+                    out.append(None)
+                    continue
+                if (url, offset) not in known:
+                    if len(known) >= held:
+                        known.pop(next(iter(known)))
+                    known[url, offset] = ranges.get(url, offset, size, packed, offset + size)
+                out.append(known[url, offset])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
+        ranges.close()
+
+    return rows.mapInArrow(run, schema)
