@@ -98,7 +98,7 @@ def test_training_mode(spark, corpus):
     base = Batching(max_duration=6.0, min_length=0.1, max_length=2.0, num_buckets=2, num_copies=2)
     augment = Augment(noise=True, noise_prob=1.0, speed=True, volume=True, volume_prob=1.0)
     data = [Dataset("a", f"{corpus}/all.lst", noise_list=f"{corpus}/noise.lst", filter=F.col("length_s") < 0.9), Dataset("b", f"{corpus}/all.lst", map=lambda d: d.withColumn("text", F.upper("text")))]
-    loader = Loader(spark, data, LoaderOptions(batching=base, augment=augment, feature_type=None, workers=1, fill_factor=50.0))
+    loader = Loader(spark, data, LoaderOptions(batching=base, augment=augment, feature_type=None, workers=1, fill_factor=50.0, passes=1))
     rows = loader.batches().collect()
     assert rows and all(len(r["ids"]) % 2 == 0 and r["ids"][: len(r["ids"]) // 2] == r["ids"][len(r["ids"]) // 2 :] for r in rows)
     assert rows == loader.batches().collect()

@@ -150,7 +150,7 @@ def shape(df):
 @pytest.mark.parametrize("noise", [True, False])
 def test_audio_is_read_once_and_shuffled_once(spark, corpus, together, noise):
     data = [Dataset("one", f"{corpus}/one.lst", noise_list=f"{corpus}/noise.lst"), Dataset("two", f"{corpus}/two.lst", map=lambda d: d.withColumn("tag", F.upper("text")), filter=F.col("length_s") > 0.21)]
-    options = LoaderOptions(batching=Batching(max_duration=2.0, min_length=0.1, max_length=2.0, num_buckets=3, intra_batch_mux=together), augment=Augment(noise=noise, speed=True, volume=True), sample_rate=8000, feature_type=None, workers=2, fill_factor=20.0)
+    options = LoaderOptions(batching=Batching(max_duration=2.0, min_length=0.1, max_length=2.0, num_buckets=3, intra_batch_mux=together), augment=Augment(noise=noise, speed=True, volume=True), sample_rate=8000, feature_type=None, workers=2, fill_factor=20.0, passes=1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.debug.maxToStringFields", "200")
     try:
@@ -173,7 +173,7 @@ def test_audio_is_read_once_and_shuffled_once(spark, corpus, together, noise):
 def test_maps_that_need_audio(spark, corpus):
     loud = lambda d: d.withColumn("audio", F.slice("audio", 1, 1700)).withColumn("peak", F.array_max("audio"))
     data = [Dataset("one", f"{corpus}/one.lst", map=loud, filter=lambda r: r["key"] != "one0.3"), Dataset("two", f"{corpus}/two.lst")]
-    options = LoaderOptions(batching=Batching(max_duration=3.0, min_length=0.1, max_length=2.0, num_buckets=2), sample_rate=8000, feature_type=None, workers=1, fill_factor=20.0)
+    options = LoaderOptions(batching=Batching(max_duration=3.0, min_length=0.1, max_length=2.0, num_buckets=2), sample_rate=8000, feature_type=None, workers=1, fill_factor=20.0, passes=1)
     rows = Loader(spark, data, options).batches().collect()
     ids = [i for r in rows for i in r["ids"]]
     assert "one0.3" not in ids and len(ids) == 47 + 24
@@ -184,7 +184,7 @@ def test_maps_that_need_audio(spark, corpus):
 
 def test_each_dataset_has_its_own_bounds(spark, corpus):
     data = [Dataset("one", f"{corpus}/one.lst", min_length=0.2, max_length=0.5), Dataset("two", f"{corpus}/two.lst", min_length=0.2, max_length=1.2)]
-    options = LoaderOptions(batching=Batching(max_duration=3.0, num_buckets=11, intra_batch_mux=False), sample_rate=8000, feature_type=None, workers=1, fill_factor=50.0)
+    options = LoaderOptions(batching=Batching(max_duration=3.0, num_buckets=11, intra_batch_mux=False), sample_rate=8000, feature_type=None, workers=1, fill_factor=50.0, passes=1)
     packed, _ = Loader(spark, data, options).plan_batches()
     got = {(r["dataset"], round(r["length_s"], 4)): r["bucket_id"] for r in packed.collect()}
     for (d, x), b in got.items():
@@ -234,3 +234,80 @@ def test_gzip_is_told_by_its_first_bytes(spark, tmp_path):
     put_tar(tmp_path / "x.tar", [("k.wav", encode_wav(np.zeros(10), 8000))])
     (tmp_path / "y.tar").write_bytes(gzip.compress((tmp_path / "x.tar").read_bytes()))
     assert [r["packed"] for r in tarindex.index_tars([f"{tmp_path}/x.tar", f"{tmp_path}/y.tar"], spark).orderBy("url").collect()] == [False, True]
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_an_epoch_has_its_full_number_of_batches(spark, corpus, together):
+    data = [Dataset("one", f"{corpus}/one.lst"), Dataset("two", f"{corpus}/two.lst")]
+    options = LoaderOptions(batching=Batching(max_duration=2.0, min_length=0.1, max_length=0.6, num_buckets=3, intra_batch_mux=together), sample_rate=8000, feature_type=None, workers=2, weights=(1.0, 9.0), fill_factor=2.0)
+    with pytest.warns(UserWarning):
+        loader = Loader(spark, data, options)
+        packed, group = loader.plan_batches()
+    want = loader.epoch_batches() // 2
+    rows = packed.collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["worker"], set()).add(tuple(r[g] for g in group))
+    assert want > 3 and {w: len(b) for w, b in per.items()} == dict.fromkeys({r["worker"] for r in loader.keys().select("worker").distinct().collect()}, want)
+    # where a worker has both, the dataset of a third of the samples gets about nine tenths; the files' folder decides who has what
+    has = {w: {r["dataset"] for r in loader.keys().where(F.col("worker") == w).select("dataset").distinct().collect()} for w in per}
+    for w in (w for w in per if len(has[w]) == 2):
+        own = [r["dataset"] == "two" for r in rows if r["worker"] == w]
+        assert sum(own) / len(own) > 0.6
+    # the earliest batches go out
+    if together:
+        late = [max(r["place"] for r in rows if r["worker"] == w) for w in per]
+        assert all(x < loader._order(loader.keys()).where(F.col("worker") == w).agg({"place": "max"}).first()[0] for w, x in zip(per, late, strict=True))
+    # a pass ends before the next one begins
+    order = [r["seq"][:6] for r in sorted((r for r in loader.keys().collect() if r["dataset"] == "two"), key=lambda r: r["seq"])]
+    assert order == sorted(order) and len(set(order)) > 1
+
+
+def test_every_noise_is_used_before_any_repeats(spark):
+    from wavelot.operators import samples
+
+    for step in samples.STEPS:
+        assert step > 1 << 31 and all(step % p for p in range(2, 46341))
+    for n in (1, 2, 7, 60):
+        rows = spark.range(10 * n + n // 2).select("id", samples.noise_at(F.col("id"), F.lit(n).cast("long"), 5).alias("at")).collect()
+        turns = [[r["at"] for r in sorted(rows) if r["id"] // n == t] for t in range(10)]
+        assert all(sorted(t) == list(range(n)) for t in turns)
+        assert n < 7 or len({tuple(t) for t in turns}) > 5
+    pool = spark.createDataFrame([("a", k, 7, f"n{k}") for k in range(7)] + [("b", k, 2, f"m{k}") for k in range(2)], "dataset string, idx long, n long, entry string")
+    asked = spark.createDataFrame([(k, "a" if k % 3 else "b") for k in range(95)] + [(1000, None)], "key long, noise_of string")
+    got = samples.pair_noise(asked, pool, 3, ["key"]).collect()
+    assert len(got) == 96 and [r["noise_entry"] for r in got if r["key"] == 1000] == [None]
+    for name in "nm":
+        used = [r["noise_entry"] for r in got if (r["noise_entry"] or "").startswith(name)]
+        count = [used.count(x) for x in set(used)]
+        assert len(count) == (7 if name == "n" else 2) and max(count) - min(count) <= 1
+
+
+def test_emission_follows_arrivals(spark):
+    rnd = random.Random(6)
+    rows = [(0, rnd.randrange(3), k, rnd.choice([2, 3, 4, 6])) for k in range(300)]
+    df = spark.createDataFrame(rows, "worker int, bucket_id int, seq long, length int")
+    packed = batching.greedy_batches(df, ["seq"], "length", 30, 9, ["worker", "bucket_id"])
+    got = {(r["bucket_id"], r["batch_id"]): r["event"]["seq"] if r["event"] else None for r in batching.emission_events(packed, ["seq"], 30, F.col("bucket_id") + 3.0, ["worker", "bucket_id"]).collect()}
+    want, held, done = {}, {b: 0 for b in range(3)}, {b: 0 for b in range(3)}
+    size = {}
+    for r in packed.collect():
+        size[r["bucket_id"], r["batch_id"]] = size.get((r["bucket_id"], r["batch_id"]), 0) + 1
+    for _, b, k, _ in rows:
+        held[b] += 1
+        while (b + 3.0) * held[b] > 45 and (b, done[b]) in size:
+            want[b, done[b]] = k
+            held[b] -= size[b, done[b]]
+            done[b] += 1
+    assert {k: v for k, v in got.items() if v is not None} == want and set(got) == set(size)
+
+
+def test_shards_by_duration_differ_by_the_longest_sample_at_most(spark):
+    from wavelot.operators import sharding
+
+    rnd = random.Random(7)
+    for n, shards in ((1, 4), (37, 8), (400, 16), (401, 3)):
+        rows = [(k, rnd.choice([0.5, 3.0, 29.9]) * rnd.random()) for k in range(n)]
+        planned = sharding.shards_by_duration(spark.createDataFrame(rows, "id long, duration double"), shards, 1).collect()
+        loads = [sum(r["duration"] for r in planned if r["shard"] == s) for s in range(shards)]
+        assert max(loads) - min(loads) <= max(x for _, x in rows) + 1.0  # equal whole seconds are shuffled

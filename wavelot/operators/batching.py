@@ -24,9 +24,10 @@ def bucket_id(length: Column, low: Column | float, high: Column | float, buckets
     return F.when(high <= low, F.lit(0)).otherwise(F.floor(scaled)).cast("int")
 
 
-def bucket_midpoint(bucket: Column, low: float, high: float, buckets: int) -> Column:
+def bucket_midpoint(bucket: Column, low: Column | float, high: Column | float, buckets: int) -> Column:
     """The nominal length of a bucket: the middle of the bucket-th of `buckets` equal parts."""
-    return F.lit(low) + (bucket + 0.5) * ((high - low) / buckets)
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    return low + (bucket + 0.5) * ((high - low) / buckets)
 
 
 def greedy_batches(df: DataFrame, order: list[str], length: str, budget: float, cap: int | None, group: list[str]) -> DataFrame:
@@ -113,12 +114,22 @@ def flushed_batches(packed: DataFrame, order: list[str], length: str, budget: fl
     return full.unionByName(flush_tails(marked.where("__open").drop("__open"), order, length, budget, cap, [g for g in group if g != bucket], bucket))
 
 
-def emission_rank(batches: DataFrame, seed: int, keys: list[str]) -> DataFrame:
-    """A random but reproducible order of emission for training."""
-    from wavelot.functions.random import order_key
-    from wavelot.operators.ranking import shuffled_rank
-
-    return shuffled_rank(batches.withColumn("__k", order_key(seed, *keys)), "__k", keys, name="emitted").drop("__k")
+def emission_events(packed: DataFrame, order: list[str], budget: float | Column, nominal: Column, group: list[str], rows: int | None = None, factor: float = 1.5) -> DataFrame:
+    """When a running batcher would emit each batch: group, batch_id and event, the order columns (as a struct) of the sample whose arrival fills the bucket.
+
+    packed: samples with batch_id. A bucket is full once its nominal length times the samples it holds is over `factor` budgets (with rows: once it holds more than so many),
+    and a full bucket gives up one batch. So batch k goes out at the arrival number (samples of the batches before it) + (samples that fill a bucket) of its bucket, or
+    with the batch before it, whichever is later; batches that no arrival brings out have a null event. All of it follows from counts: no step sees two batches at a time."""
+    fills = F.lit(rows + 1) if rows is not None else F.floor(F.lit(factor) * budget / nominal).cast("long") + 1
+    arrival = F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")
+    marked = packed.select(*group, "batch_id", F.struct(*order).alias("__at"), fills.alias("__f"), arrival.alias("__n"))
+    due = marked.groupBy(*group, "batch_id").agg((F.min("__n") - 1 + F.first("__f")).alias("__due"))
+    due = due.withColumn("__due", F.max("__due").over(W.partitionBy(*group).orderBy("batch_id")))
+    arrivals = marked.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__n").alias("__due_n"), F.col("__at").alias("event"))
+    same = F.col("__due") == F.col("__due_n")
+    for g in group:
+        same = same & (F.col(g) == F.col(f"__{g}"))
+    return due.join(arrivals, same, "left").select(*group, "batch_id", "event")
 
 
 def epoch_limit(batches: DataFrame, per_worker: int, order: list[str]) -> DataFrame:

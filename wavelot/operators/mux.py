@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,15 +49,17 @@ def even_mix(ranked: DataFrame, weights: DataFrame, rank: str = "rank") -> DataF
     return ranked.withColumn("position", count)
 
 
-def random_mix_time(ranked: DataFrame, weights: DataFrame, seed: int, keys: list[str], rank: str = "rank", cells: int = 4096) -> DataFrame:
-    """Adds t, the arrival time of each sample: sums of -ln(u) / weight in the order of rank. weights: dataset, weight.
+def random_mix_time(ranked: DataFrame, weights: DataFrame, seed: int, keys: list[str], rank: str = "rank", cells: int = 4096, within: list[str] | None = None) -> DataFrame:
+    """Adds t, the arrival time of each sample: sums of -ln(u) / weight in the order of rank. weights: dataset, weight; within: columns whose values are mixes of their own.
 
     Sums run inside blocks of ranks; blocks' totals are summed up on their own."""
+    by = [*(within or []), "dataset"]
     marked = ranked.withColumns({"__g": -F.log(uniform(seed, *keys)), "__b": F.floor(F.col(rank) / cells)})
-    totals = marked.groupBy("dataset", "__b").agg(F.sum("__g").alias("__s"))
-    earlier = totals.select(F.col("dataset").alias("__d"), F.col("__b").alias("__bb"), F.coalesce(F.sum("__s").over(W.partitionBy("dataset").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__e"))
-    inner = F.sum("__g").over(W.partitionBy("dataset", "__b").orderBy(rank).rowsBetween(W.unboundedPreceding, 0))
-    timed = marked.withColumn("__i", inner).join(earlier, (F.col("dataset") == F.col("__d")) & (F.col("__b") == F.col("__bb")))
+    totals = marked.groupBy(*by, "__b").agg(F.sum("__g").alias("__s"))
+    before = F.sum("__s").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    earlier = totals.select(*by, "__b", F.coalesce(before, F.lit(0.0)).alias("__e"))
+    inner = F.sum("__g").over(W.partitionBy(*by, "__b").orderBy(rank).rowsBetween(W.unboundedPreceding, 0))
+    timed = marked.withColumn("__i", inner).join(earlier, [*by, "__b"])
     w = weights.select(F.col("dataset").alias("__wd"), F.col("weight").alias("__w"))
     return timed.join(F.broadcast(w), F.col("dataset") == F.col("__wd")).withColumn("t", (F.col("__e") + F.col("__i")) / F.col("__w")).select(*ranked.columns, "t")
 
@@ -74,6 +76,18 @@ def num_copies(df: DataFrame, copies: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
 
-def passes(df: DataFrame, n: int) -> DataFrame:
+def passes(df: DataFrame, n: int | Column) -> DataFrame:
     """The stream n times over, with column epoch_pass from 0."""
-    return df.withColumn("epoch_pass", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return df.withColumn("epoch_pass", F.explode(F.sequence(F.lit(0), (n if isinstance(n, Column) else F.lit(n)).cast("int") - 1)))
+
+
+def passes_needed(supply: DataFrame, weights: DataFrame, need: float) -> DataFrame:
+    """supply: worker, dataset, content (what one pass gives, in seconds or samples); weights: dataset, weight. Per dataset n, the passes after which every worker has `need`.
+
+    A worker's datasets share its need by their weights; the worker that has least of a dataset decides. As a batch holds no more than its budget, a worker with a
+    content of k budgets makes k batches at least. Rows are a dataset and worker each."""
+    w = weights.select(F.col("dataset").alias("__d"), F.col("weight").alias("__w"))
+    known = supply.where("content > 0").join(F.broadcast(w), F.col("dataset") == F.col("__d"))
+    share = F.col("__w") / F.sum("__w").over(W.partitionBy("worker"))
+    turns = F.ceil(F.lit(float(need)) * share / F.col("content"))
+    return known.withColumn("n", turns).groupBy("dataset").agg(F.greatest(F.lit(1), F.max("n")).cast("int").alias("n"))

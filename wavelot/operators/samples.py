@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wavelot.functions.audio import change_speed, header_seconds, load_mono
 from wavelot.functions.random import between, choice, order_key, uniform
 from wavelot.functions.text import text_or_empty
+from wavelot.operators.ranking import shuffled_rank
 from wavelot.options import Augment
 
 
@@ -103,20 +104,31 @@ def mix(x: np.ndarray, noise: np.ndarray, snr_db: float, at: float) -> np.ndarra
     return (x + noise * (level(x) / (10 ** (snr_db / 20) * level(noise) + 1e-8))).astype(np.float32)
 
 
-def noise_of(seed: int, keys: list[str], count: Column) -> Column:
-    """Which of `count` noises a sample meets: a hash of its keys."""
-    return F.pmod(F.conv(F.substring(order_key(f"noise{seed}", *keys), 1, 15), 16, 10).cast("long"), count)
+# Primes over any pool's size, so each is coprime to it.
+STEPS = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
 
 
-def pair_noise(samples: DataFrame, noise: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+def noise_at(position: Column, count: Column, seed: int) -> Column:
+    """The noise for the position-th noisy sample: each pass over the pool of `count` (under 2^31) takes every noise once, in an order of its own, i -> (step * i + shift) mod count."""
+    turn = F.floor(position / count).cast("long")
+    draw = lambda salt: F.conv(F.substring(order_key(f"{salt}{seed}", turn.cast("string")), 1, 15), 16, 10).cast("long")
+    step = F.element_at(F.array(*[F.lit(x) for x in STEPS]), (F.pmod(draw("step"), F.lit(len(STEPS))) + 1).cast("int"))
+    return F.pmod(F.pmod(step, count) * F.pmod(position, count) + F.pmod(draw("shift"), count), count)
+
+
+def pair_noise(samples: DataFrame, noise: DataFrame, seed: int, keys: list[str], order: str = "__k") -> DataFrame:
     """Adds noise_<column> for what noise tells of the entry that a sample meets. samples: noise_of, the pool a sample draws from (null: none); noise: dataset (the pool),
-    idx 0 .. n - 1, n and any others. Both sides are slim: audio is read after the join."""
+    idx 0 .. n - 1, n and any others. Both sides are slim: audio is read after the join.
+
+    A pool's samples are numbered by a hash of their keys and take noises by noise_at, so how often two noises are used differs by one at most."""
     sizes = noise.groupBy(F.col("dataset").alias("__p")).agg(F.max("n").alias("__n"))
     rest = [c for c in noise.columns if c not in ("dataset", "idx", "n")]
     right = noise.select(F.col("dataset").alias("__d"), F.col("idx").alias("__i"), *[F.col(c).alias(f"noise_{c}") for c in rest])
-    sized = samples.join(F.broadcast(sizes), F.col("noise_of") == F.col("__p"), "left")  # a row per dataset
-    drawn = sized.withColumn("__at", noise_of(seed, keys, F.col("__n")))
-    return drawn.join(right, (F.col("noise_of") == F.col("__d")) & (F.col("__at") == F.col("__i")), "left").drop("__p", "__n", "__at", "__d", "__i")
+    drawing = samples.where(F.col("noise_of").isNotNull()).withColumn(order, order_key(f"noise{seed}", *keys))
+    placed = shuffled_rank(drawing, order, keys, ["noise_of"], name="__r").drop(order).join(F.broadcast(sizes), F.col("noise_of") == F.col("__p"), "left")  # a row per dataset
+    drawn = placed.withColumn("__at", noise_at(F.col("__r"), F.col("__n"), seed))
+    drawn = drawn.join(right, (F.col("noise_of") == F.col("__d")) & (F.col("__at") == F.col("__i")), "left").drop("__p", "__n", "__at", "__r", "__d", "__i")
+    return drawn.unionByName(samples.where(F.col("noise_of").isNull()), allowMissingColumns=True)
 
 
 def noisy(options: Augment, seed: int, keys: list[str]) -> Column:

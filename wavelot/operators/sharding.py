@@ -37,6 +37,9 @@ def shards_by_samples(df: DataFrame, shards: int, seed: int, id_col: str = "id",
 def shards_by_duration(df: DataFrame, shards: int, seed: int, length: str = "duration", id_col: str = "id") -> DataFrame:
     """Deal samples, longest first, to the shards there and back (serpentine), so that totals and length mixes agree.
 
+    Of two laps one favours each end, and what a lap can favour is the step from its longest to its shortest sample; these steps don't overlap, so totals differ by
+    the longest sample at most, and by the one second within which the order is shuffled.
+
     Equal whole seconds are shuffled by a hash. Positions come from counts of (second, first digits of the hash), so no task
     sees all samples."""
     keyed = df.withColumn("__k", order_key(seed, id_col))

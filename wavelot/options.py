@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 
@@ -75,23 +76,29 @@ class Batching:
 
 @dataclass(frozen=True)
 class LoaderOptions:
+    """passes: how often an epoch goes through each dataset; None: as often as its number of batches takes. world_size and rank: None takes them from the environment of a
+    launcher (WORLD_SIZE and RANK), else 1 and 0."""
+
     batching: Batching = field(default_factory=Batching)
     augment: Augment = field(default_factory=Augment)
     sample_rate: int = 16000
     feature_type: str | None = "Fbank"
     seed: int = 1015
     workers: int = 4
-    world_size: int = 1
-    rank: int = 0
+    world_size: int | None = None
+    rank: int | None = None
     fill_factor: float = 1.15
-    passes: int = 1
+    passes: int | None = None
     is_test: bool = False
     weights: tuple[float, ...] | None = None
 
     def __post_init__(self):
+        for name, default in (("world_size", "1"), ("rank", "0")):
+            if getattr(self, name) is None:
+                object.__setattr__(self, name, int(os.environ.get(name.upper(), default)))
         if not 0 <= self.rank < self.world_size:
             raise ValueError("rank lies below world_size")
-        if self.workers < 1 or self.passes < 1:
+        if self.workers < 1 or (self.passes is not None and self.passes < 1):
             raise ValueError("workers and passes are 1 at least")
         if self.weights is not None and (min(self.weights) < 0 or not sum(self.weights)):
             raise ValueError("weights aren't negative and not all 0")

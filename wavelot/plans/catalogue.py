@@ -174,6 +174,18 @@ def flush_spill(spark, sf_dir):
     return done.select("doc_id", "worker", "bucket_id", "from_bucket", "batch_id", "flushed")
 
 
+@query(_greedy_sql(f"WITH {_KEPT} {_WORKER}", "worker, bucket_id", 20_000, 200, f""", d AS (
+  SELECT worker, bucket_id, batch_id, min(rn) - 1 + any_value(floor(1.5 * 20000 / ({LOW} + (bucket_id + 0.5) * ({HIGH - LOW}::DOUBLE / {BUCKETS})))::BIGINT + 1) AS due FROM f GROUP BY ALL),
+e AS (SELECT *, max(due) OVER (PARTITION BY worker, bucket_id ORDER BY batch_id) AS at FROM d)
+SELECT e.worker, e.bucket_id, e.batch_id, r.seq AS arrival FROM e LEFT JOIN r ON r.worker = e.worker AND r.bucket_id = e.bucket_id AND r.rn = e.at"""))
+def emission_order(spark, sf_dir):
+    """Which arriving sample makes each batch go out: a bucket is full at one and a half budgets."""
+    packed = _packed(spark, sf_dir, budget=20_000, cap=200)
+    nominal = batching.bucket_midpoint(F.col("bucket_id"), float(LOW), float(HIGH), BUCKETS)
+    events = batching.emission_events(packed, ["seq", "doc_id"], 20_000, nominal, ["worker", "bucket_id"])
+    return events.select("worker", "bucket_id", "batch_id", F.col("event.seq").alias("arrival"))
+
+
 @query(_greedy_sql(f"WITH {_KEPT} SELECT doc_id, dataset, (doc_id % 8)::INTEGER AS worker, ((length - {LOW}) * {BUCKETS - 1} // {HIGH - LOW})::INTEGER AS bucket_id, md5('7|' || doc_id) AS seq, length FROM u", "dataset, worker, bucket_id", BUDGET, CAP, "SELECT dataset, worker, bucket_id, batch_id, count(*) AS n, max(length) AS longest, sum(length)::BIGINT AS total FROM f GROUP BY ALL"))
 def per_dataset_batches(spark, sf_dir):
     rows = bucketed(kept(spark, sf_dir)).withColumns({"worker": F.pmod("doc_id", F.lit(8)).cast("int"), "seq": order_key(7, "doc_id")})
@@ -419,7 +431,11 @@ def noise_tile(spark, sf_dir):
     return waves(spark, sf_dir).select("vec_id", F.size(fitted).cast("long").alias("size"), F.round(F.element_at(fitted, -1).cast("double"), 6).alias("last"))
 
 
-@query("SELECT d.doc_id, (('0x' || substr(md5('noise9|' || d.doc_id), 1, 15))::BIGINT % (SELECT count(*) FROM benchmark)) AS idx FROM documents d")
+@query("""
+WITH n AS (SELECT count(*) AS n FROM benchmark), r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('noise9|' || doc_id), doc_id) - 1 AS i FROM documents),
+t AS (SELECT *, i // n AS turn FROM r, n),
+h AS (SELECT *, ('0x' || substr(md5('step9|' || turn), 1, 15))::BIGINT % 8 AS s, ('0x' || substr(md5('shift9|' || turn), 1, 15))::BIGINT % n AS shift FROM t)
+SELECT doc_id, (([2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857][s + 1] % n) * (i % n) + shift) % n AS idx FROM h""")
 def noise_pairing(spark, sf_dir):
     pool = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), order_key(1, "item_id").alias("k"))
     noise = shuffled_rank(pool, "k", ["id"], name="idx").select(F.lit("all").alias("dataset"), "idx", F.lit(pool.count()).alias("n"), F.col("idx").alias("entry"))

@@ -15,7 +15,7 @@ from wavelot.functions.random import order_key
 from wavelot.functions.text import base_name
 from wavelot.operators import batching, mux, samples, stats
 from wavelot.operators.collate import collate
-from wavelot.operators.ranking import shuffled_rank
+from wavelot.operators.ranking import rank_by, shuffled_rank
 from wavelot.options import LoaderOptions
 from wavelot.schemas import NOISE_FORMATS
 from wavelot.sources import audiotar, lists, tarindex
@@ -59,6 +59,7 @@ class Loader:
             raise ValueError("datasets need different names")
         kind = feature if feature is not None else self.options.feature_type
         self.extractor = None if kind is None else extractor(kind, self.options.sample_rate)
+        self._turned: dict[str, int] | None = None
         self._kept: dict[str, tuple[str, int]] = {}  # tables in the shared folder and the bytes of audio that they name
 
     def __repr__(self) -> str:
@@ -155,14 +156,29 @@ class Loader:
             if again and d.map:
                 self.again.append(d)
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-        rows = mux.passes(out, 1 if o.is_test else o.passes)
+        rows = out.withColumn("worker", F.pmod(F.xxhash64("url"), F.lit(o.workers)).cast("int"))
+        if o.is_test or o.passes is not None:
+            rows = mux.passes(rows, 1 if o.is_test else o.passes)
+        else:
+            turns = self._turns(rows)
+            rows = mux.passes(rows, F.create_map(*[x for k, n in turns.items() for x in (F.lit(k), F.lit(n))])[F.col("dataset")]) if turns else mux.passes(rows, 1)
         if o.augment.speed and not o.is_test:
             by = samples.speed_of(o.augment, o.seed + epoch, SAMPLE, o.sample_rate)
             rows = rows.withColumn("copy", F.lit(0)).withColumn("samples", samples.length_at_speed(F.col("samples"), by, o.sample_rate)).drop("copy")
             rows = rows.withColumn("length_s", F.col("samples") / float(o.sample_rate))
         seed = "test" if o.is_test else f"{o.seed}/{epoch}/{o.rank}"
-        key = F.concat_ws("/", F.lpad(F.col("epoch_pass").cast("string"), 6, "0"), F.col("url"), F.col("key")) if o.is_test else order_key(seed, "dataset", "url", "key", "epoch_pass")
-        return rows.withColumns({"seq": key, "worker": F.pmod(F.xxhash64("url"), F.lit(o.workers)).cast("int")})
+        key = F.concat_ws("/", F.lpad(F.col("epoch_pass").cast("string"), 6, "0"), F.col("url"), F.col("key")) if o.is_test else F.concat(F.lpad(F.col("epoch_pass").cast("string"), 6, "0"), order_key(seed, "dataset", "url", "key", "epoch_pass"))
+        return rows.withColumn("seq", key)
+
+    def _turns(self, rows: DataFrame) -> dict[str, int]:
+        """How often each dataset is gone through, so that every worker that has samples makes its batches of the epoch, beside the open one of each bucket."""
+        if self._turned is not None:
+            return self._turned
+        o, b = self.options, self.options.batching
+        need = (self.epoch_batches() // o.workers + b.buckets) * (b.rows if b.rows is not None else b.budget)
+        supply = rows.groupBy("worker", "dataset").agg((F.count("*") if b.rows is not None else F.sum("length_s")).alias("content"))
+        self._turned = {r["dataset"]: r["n"] for r in mux.passes_needed(supply, self.weights(), need).collect()}  # one row per dataset
+        return self._turned
 
     def samples(self, epoch: int = 0) -> DataFrame:
         """Decoded, labelled, filtered and augmented samples with a total order (seq) in each dataset."""
@@ -223,14 +239,18 @@ class Loader:
             packed = batching.greedy_batches(slim, order, "length_s", b.budget, b.cap, group)
         if o.is_test:
             return batching.flushed_batches(packed, order, "length_s", None if b.rows is not None else b.budget, b.rows or b.cap, group).drop("from_bucket"), [*group, "batch_id", "flushed"]
-        packed = batching.drop_tails(packed, group) if b.drop_tail else packed
         per_worker = max(1, self.epoch_batches() // o.workers)
-        batches = packed.select(*group, "batch_id").distinct().withColumn("__k", order_key(f"emit{o.seed}/{epoch}/{o.rank}", *group, "batch_id"))
+        # batches go out in the order in which arriving samples fill their buckets; what is still open at the end comes last
+        nominal = F.greatest(batching.bucket_midpoint(F.col("bucket_id"), low, high, b.buckets), F.lit(1e-9))
+        events = batching.emission_events(packed, order, F.lit(b.budget), nominal, group, b.rows)
+        events = batching.drop_tails(events, group) if b.drop_tail else events
+        at = F.when(F.col("event").isNull(), F.lit("~")).otherwise(F.format_string("%032.9f/%s", "event.place", "event.seq"))
+        batches = events.select(*group, "batch_id", F.concat_ws("/", at, order_key(f"emit{o.seed}/{epoch}/{o.rank}", *group, "batch_id")).alias("__k"))
         if "dataset" in group and len(self.datasets) > 1:
             # each dataset's batches arrive at a rate that follows its weight
             ties = ["worker", "bucket_id", "batch_id"]
-            ranked = shuffled_rank(batches, "__k", ties, ["dataset"], name="__r")
-            raced = mux.random_mix_time(ranked, self.weights(), o.seed + epoch, ["dataset", *ties], rank="__r")
+            ranked = rank_by(batches, [F.lit(0)], ["__k", *ties], ["dataset", "worker"], name="__r")
+            raced = mux.random_mix_time(ranked, self.weights(), o.seed + epoch, ["dataset", *ties], rank="__r", within=["worker"])
             batches = raced.select(*group, "batch_id", F.col("t").alias("__k"))
         emitted = batching.epoch_limit(batches, per_worker, ["__k"]).drop("__k")
         return packed.join(emitted, [*group, "batch_id"], "left_semi"), [*group, "batch_id"]
@@ -261,7 +281,7 @@ class Loader:
         """place: arrival time in the mix of datasets."""
         if len(self.datasets) == 1 or self.options.is_test or not self.options.batching.intra_batch_mux:
             return first.withColumn("place", F.lit(0.0))
-        ranked = shuffled_rank(first, "seq", ["key"], ["dataset"], name="rank")
+        ranked = shuffled_rank(first, "seq", ["key"], ["dataset"], digits=9, name="rank")  # the pass and the first digits of the hash
         return mux.random_mix_time(ranked, self.weights(), self.options.seed, ["seq", "key"]).withColumnRenamed("t", "place")
 
     def iterate(self, epoch: int = 0, prefetch: bool = True):
