@@ -138,3 +138,26 @@ def test_first_channel_and_the_sources_rate_stay(spark, tmp_path):
     assert os.path.isdir(f"{tmp_path}/plans/context") and not os.path.exists(f"{tmp_path}/out/context")
     options = BuildOptions(input=f"{tmp_path}/set.tsv", output_dir=f"{tmp_path}/out", format="WAV", num_tars=1, balance_by="samples", tmp_dir=f"{tmp_path}/plans")
     assert stored_plan(lists.read_sources(spark, options.input), options)[1]["reused"]
+
+
+@pytest.mark.parametrize("piece", ["64m", "100"])
+def test_lines_are_numbered_over_pieces_of_files(spark, tmp_path, piece):
+    for name, n in (("a", 90), ("b", 1), ("c", 57)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k}{'x' * (k % 13)}\n" if k % 10 else "\n" for k in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", piece)
+    try:
+        df = lists.read_lines(spark, f"{tmp_path}/*.txt")
+        assert piece == "64m" or spark.read.text(f"{tmp_path}/*.txt").rdd.getNumPartitions() > 5
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 148
+    for r in rows:
+        name = r["file"].rsplit("/", 1)[1][0]
+        assert r["value"].rstrip("x") == (f"{name}{r['line_no']}" if r["line_no"] % 10 else "")
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    (tmp_path / "set.tsv").write_text("a\t/x.wav\tt\n\nb\t/y.wav\n")
+    with pytest.raises(Exception, match="bad source line 3: expected 3 or 5 fields, found 2"):
+        lists.read_sources(spark, f"{tmp_path}/set.tsv").collect()

@@ -254,6 +254,20 @@ def tsv_validate(spark, sf_dir):
     return lists.parse_sources(rows.select("doc_id", line.alias("value"))).select("doc_id", "error", "slice_audio", "duration")
 
 
+@query("SELECT (doc_id % 4)::INTEGER AS k, doc_id, lang, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id, lang) AS line_no FROM documents")
+def line_numbers(spark, sf_dir):
+    """Documents' ids as lines of text files, one file for each remainder by 4, read again with their numbers."""
+    from wavelot.sources.scratch import shared_folder
+
+    folder = shared_folder(spark, "lines")
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).cast("int").alias("k"), "doc_id", "lang")
+    dealt = rows.repartition("k").sortWithinPartitions("k", "doc_id", "lang")
+    dealt.select("k", F.concat_ws("\t", "doc_id", "lang").alias("value")).write.partitionBy("k").text(folder)
+    read = lists.read_lines(spark, f"{folder}/*/*.txt")
+    parts = F.split("value", "\t")
+    return read.select(F.regexp_extract("file", r"k=(\d+)/", 1).cast("int").alias("k"), parts[0].cast("long").alias("doc_id"), parts[1].alias("lang"), "line_no")
+
+
 @query("SELECT lang AS dataset, sum(n_chars)::BIGINT AS hours, count(*) AS num_samples FROM documents GROUP BY 1")
 def dataset_totals(spark, sf_dir):
     rows = utterances(spark, sf_dir).select("dataset", F.col("length").alias("hours"), F.lit(1).cast("long").alias("num_samples"))
@@ -509,11 +523,16 @@ def spec_augment(spark, sf_dir):
     return out.select("vec_id", F.size("g").alias("frames"), (F.col("f") == F.col("g")).alias("same"))
 
 
-@query()
+@query("""
+WITH u AS (SELECT vec_id, len(embedding) AS n, [0.9, 1.0, 1.1][(floor((('0x' || substr(md5('speed3|' || vec_id), 1, 12))::BIGINT + 0.5) / 281474976710656 * 3) + 1)::INTEGER] AS speed FROM embeddings)
+SELECT vec_id, speed::DOUBLE AS speed, ((n * floor(speed * 16000)::BIGINT + 15999) // 16000)::INTEGER AS samples, ((n * floor(speed * 16000)::BIGINT + 15999) // 16000)::BIGINT AS planned FROM u""")
 def speed_perturb(spark, sf_dir):
+    """The speed that each vector draws, how long it is afterwards, and the length that batches are planned with."""
     from wavelot.options import Augment
 
-    return samples.augment(tones(spark, sf_dir), Augment(speed=True), 3, ["vec_id"]).select("vec_id", F.size("audio").alias("samples"))
+    options = Augment(speed=True)
+    rows = waves(spark, sf_dir).withColumn("speed", samples.speed_of(options, 3, ["vec_id"], 16000)).withColumn("planned", samples.length_at_speed(F.size("audio").cast("long"), F.col("speed"), 16000))
+    return samples.augment(rows, options, 3, ["vec_id"]).select("vec_id", "speed", F.size("audio").alias("samples"), "planned")
 
 
 def embedding_tars(spark, sf_dir, rate: int = 8000, shards: int = 16) -> list[str]:

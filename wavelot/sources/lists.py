@@ -52,17 +52,6 @@ def existing_shards(shards: DataFrame, columns: tuple[str, ...] = ("audio_tar",
     return shards
 
 
-def present(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Those of the paths, one per shard, that exist on whatever file system Spark reads them from."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def found(p: str) -> bool:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        return path.getFileSystem(conf).exists(path)
-
-    return {p for p in set(paths) if found(p)}
-
-
 def read_noise_list(spark: SparkSession, path: str) -> DataFrame:
     """First field of each line; the rest is ignored."""
     first = F.element_at(F.split(F.regexp_replace("value", _TRIM, ""), r"\s+"), 1)
@@ -109,15 +98,25 @@ def parse_sources(lines: DataFrame) -> DataFrame:
     return rows.select(*[c for c in lines.columns if c != "value"], trimmed(0).alias("id"), trimmed(1).alias("audio_path"), trimmed(2).alias("text"), F.when(n == 5, start).alias("start"), F.when(n == 5, duration).alias("duration"), (n == 5).alias("slice_audio"), error.alias("error"))
 
 
-def read_sources(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """A source table, gzipped if its name ends in .gz. strict: the first bad line raises when it is read; else bad lines are dropped."""
-    rows = parse_sources(spark.read.text(path))
-    if strict:
-        checked = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("bad source line: "), "error"))).otherwise(F.col("id"))
-        return rows.withColumn("id", checked).drop("error")
-    return rows.where("error is null").drop("error")
+def read_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
+    """Lines of text files: value, file and line_no, from 1 in each file.
+
+    Lines are counted for each piece of a file that a task reads; a piece's first number is the sum of the pieces before it, so no step goes over the lines of a file
+    in order. Blank lines count."""
+    held = spark.read.options(**options).text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    pieces = held.groupBy(F.col("file").alias("__f"), F.col("__start").alias("__s")).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.sum("__n").over(W.partitionBy("__f").orderBy("__s").rowsBetween(W.unboundedPreceding, -1))
+    pieces = pieces.withColumn("__before", F.coalesce(before, F.lit(0)))
+    rows = held.join(pieces, (F.col("file") == F.col("__f")) & (F.col("__start") == F.col("__s")))
+    return rows.select("value", "file", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("line_no"))
 
 
-def line_numbers(lines: DataFrame, file_col: str = "manifest", order: str = "line") -> DataFrame:
-    """Number lines from 1 in each file."""
-    return lines.withColumn("line_no", F.row_number().over(W.partitionBy(file_col).orderBy(order)))
+def read_sources(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """A source table, gzipped if its name ends in .gz. strict: the first bad line raises when it is read, with its number; else bad lines are dropped."""
+    rows = parse_sources(read_lines(spark, path).drop("file"))
+    if strict:
+        message = F.format_string("bad source line %d: %s", "line_no", "error")
+        rows = rows.withColumn("id", F.when(F.col("error").isNotNull(), F.raise_error(message)).otherwise(F.col("id")))
+    else:
+        rows = rows.where("error is null")
+    return rows.drop("error", "line_no")
