@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavelot.functions.audio import decode_wav, encode_wav
+from wavelot.functions.audio import decode_wav, encode_wav, load_segment
 from wavelot.options import BuildOptions
 from wavelot.plans.build import build, stored_plan
 from wavelot.sources import audiotar, lists, sinks, tarsink
@@ -161,3 +161,34 @@ def test_bad_lines_are_named(spark, tmp_path):
     (tmp_path / "set.tsv").write_text("a\t/x.wav\tt\n\nb\t/y.wav\n")
     with pytest.raises(Exception, match="bad source line 3: expected 3 or 5 fields, found 2"):
         lists.read_sources(spark, f"{tmp_path}/set.tsv").collect()
+
+
+class Counted(io.BytesIO):
+    total = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.total += len(out)
+        return out
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+def test_a_segment_reads_its_own_bytes(channels):
+    import wave
+
+    rnd = np.random.default_rng(channels)
+    frames = rnd.integers(-9000, 9000, (400_000, channels)).astype("<i2")
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(frames.tobytes())
+    for start, duration in ((0.0, 0.5), (12.3, 1.0), (49.9, 5.0), (60.0, 1.0)):
+        file = Counted(out.getvalue())
+        got, rate = load_segment(file, "wav", start, duration)
+        at = int(start * 8000)
+        assert rate == 8000 and np.array_equal(got, frames[at : at + int(duration * 8000)].T.astype(np.float32) / 32768)
+        assert file.total <= 4096 + 2 * channels * 8000 * duration
+    with pytest.raises(ValueError, match="not a WAV"):
+        load_segment(io.BytesIO(b"no"), "wav", 0, 1)

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavelot.functions import features as X
 from wavelot.functions.audio import change_speed, decode_wav, encode_wav, header_seconds, resample
@@ -40,6 +41,29 @@ def test_fbank_by_hand():
     assert np.allclose(np.abs(X.stft(AUDIO.astype(float), 400, 160, X.hann(400)))[7][::50], spec, atol=1e-8)
 
 
+def test_whisper_by_hand():
+    """All values of a short signal, by plain sums over the public definition."""
+    x = AUDIO[:640].astype(float)
+    padded = np.concatenate([x[200:0:-1], x, x[-2:-202:-1]])
+    top = 15 + 27 * math.log(8000 / 1000) / math.log(6.4)
+    edges = [m * 200 / 3 if m < 15 else 1000 * 6.4 ** ((m - 15) / 27) for m in (top * j / 81 for j in range(82))]
+    rows = []
+    for frame in range(4):
+        own = [padded[160 * frame + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / 400)) for i in range(400)]
+        power = []
+        for k in range(201):
+            re = math.fsum(v * math.cos(2 * math.pi * k * i / 400) for i, v in enumerate(own))
+            im = math.fsum(v * math.sin(2 * math.pi * k * i / 400) for i, v in enumerate(own))
+            power.append(re * re + im * im)
+        mel = []
+        for left, mid, right in zip(edges, edges[1:], edges[2:], strict=False):
+            mel.append(math.fsum(a * max(0.0, min((40 * k - left) / (mid - left), (right - 40 * k) / (right - mid))) * 2 / (right - left) for k, a in enumerate(power)))
+        rows.append([math.log10(max(v, 1e-10)) for v in mel])
+    most = max(map(max, rows))
+    want = np.array([[(max(v, most - 8) + 4) / 4 for v in row] for row in rows])
+    assert np.abs(X.WhisperFbank().extract(AUDIO[:640]) - want).max() < 1e-4
+
+
 def test_whisper_range():
     out = X.WhisperFbank().extract(AUDIO)
     assert out.max() - out.min() <= 2.0 + 1e-6
@@ -92,3 +116,31 @@ def test_speed_is_the_ratio_of_lengths():
 def test_unknown_features():
     with pytest.raises(ValueError, match="unknown"):
         X.extractor("x")
+
+
+def test_padding_stays_when_batches_are_warped(spark):
+    from wavelot.functions.features import SpecAugment, spec_augment, spec_augment_batch, time_warp, time_warp_batch
+
+    rnd = np.random.default_rng(4)
+    lens = [40, 25, 3, 0]
+    batch = [np.where(np.arange(40)[:, None] < n, rnd.normal(size=(40, 5)), -23.0).astype(np.float32).tolist() for n in lens]
+    df = spark.createDataFrame([(k, batch, lens) for k in range(6)] + [(6, batch, None), (7, None, lens), (8, [], [])], "k long, f array<array<array<float>>>, lens array<int>")
+    warped = df.select("k", "f", time_warp_batch(F.col("f"), F.xxhash64("k"), 1.0, 4, F.col("lens")).alias("g"), spec_augment_batch(F.col("f"), F.xxhash64("k"), SpecAugment(time_warp_factor=4, p=1.0), F.col("lens")).alias("h")).collect()
+    changed = 0
+    for r in warped:
+        if r["k"] >= 7:
+            assert r["g"] == r["f"] == r["h"]
+            continue
+        f, g, h = (np.array(r[c]) for c in "fgh")
+        assert f.shape == g.shape == h.shape
+        if r["k"] < 6:
+            for i, n in enumerate(lens):
+                assert np.array_equal(g[i, n:], f[i, n:]) and np.array_equal(h[i, n:], f[i, n:])
+            changed += not np.array_equal(g[0], f[0])
+            assert np.array_equal(g[2], f[2])  # too short to warp
+    assert changed >= 3
+    again = df.where("k < 6").select(time_warp_batch(F.col("f"), F.xxhash64("k"), 1.0, 4, F.col("lens")).alias("g")).collect()
+    assert [r["g"] for r in again] == [r["g"] for r in warped if r["k"] < 6]
+    one = spark.createDataFrame([(k, batch[1], 25) for k in range(6)], "k long, f array<array<float>>, n int")
+    for r in one.select("f", time_warp(F.col("f"), F.xxhash64("k"), 1.0, 4, F.col("n")).alias("g"), spec_augment(F.col("f"), F.xxhash64("k"), SpecAugment(p=1.0), F.col("n")).alias("h")).collect():
+        assert r["g"][25:] == r["f"][25:] == r["h"][25:]

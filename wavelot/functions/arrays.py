@@ -30,32 +30,8 @@ def rms(values: Column) -> Column:
     return F.sqrt(energy(values) / F.size(values))
 
 
-def gain(values: Column, db: Column) -> Column:
-    return F.transform(values, lambda x: (x * F.pow(F.lit(10.0), db / 20)).cast("float"))
-
-
-def mix_at_snr(signal: Column, noise: Column, db: Column) -> Column:
-    """signal plus noise of the same length, scaled to the ratio."""
-    factor = rms(signal) / (F.pow(F.lit(10.0), db / 20) * rms(noise) + 1e-8)
-    return F.zip_with(signal, noise, lambda x, n: (x + n * factor).cast("float"))
-
-
 def fit_noise(noise: Column, length: Column, offset: Column) -> Column:
     """Exactly `length` values: short noise is repeated, long noise cut from offset on (0 .. size - length)."""
     n = F.size(noise)
     tiled = F.slice(F.flatten(F.array_repeat(noise, F.ceil(length / F.greatest(n, F.lit(1))).cast("int"))), F.lit(1), length.cast("int"))
     return F.when(n == 0, F.array_repeat(F.lit(0.0).cast("float"), length.cast("int"))).when(n < length, tiled).otherwise(F.slice(noise, (offset + 1).cast("int"), length.cast("int")))
-
-
-def mono(channels: Column, average: bool = True) -> Column:
-    """array<array<float>> by channel -> array<float>: the mean of the channels, or the first."""
-    if not average:
-        return F.element_at(channels, 1)
-    first = F.transform(F.element_at(channels, 1), lambda x: x.cast("double"))
-    total = F.aggregate(F.slice(channels, F.lit(2), F.greatest(F.size(channels) - 1, F.lit(0))), first, lambda s, c: F.zip_with(s, c, lambda a, b: a + b.cast("double")))
-    return F.transform(total, lambda x: (x / F.size(channels)).cast("float"))
-
-
-def cut_frames(values: Column, start: Column, duration: Column, sample_rate: int) -> Column:
-    """The frames from int(start * rate) on, int(duration * rate) of them."""
-    return F.slice(values, (F.floor(start * sample_rate) + 1).cast("int"), F.floor(duration * sample_rate).cast("int"))

@@ -6,6 +6,7 @@ import io
 import math
 import wave
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,11 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
     with wave.open(io.BytesIO(data)) as w:
         channels, width, rate, frames = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()
         raw = w.readframes(frames)
+    return pcm(raw, width, channels), rate
+
+
+def pcm(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Channels x frames as float32 in -1 .. 1 of samples of `width` bytes."""
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
     elif width == 3:
@@ -23,7 +29,7 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
         x = (((b[:, 2] << 24) | (b[:, 1] << 16) | (b[:, 0] << 8)) / np.float32(2**31)).astype(np.float32)
     else:
         x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / np.float32(2 ** (8 * width - 1))
-    return x.reshape(-1, channels).T, rate
+    return x.reshape(-1, channels).T
 
 
 def encode_wav(audio: np.ndarray, rate: int) -> bytes:
@@ -99,27 +105,43 @@ def change_speed(audio: np.ndarray, speed: float, sample_rate: int) -> np.ndarra
     return resample(audio, sample_rate, int(sample_rate * speed)) if speed != 1 else audio
 
 
+@dataclass(frozen=True)
+class WavLayout:
+    rate: int
+    channels: int
+    width: int  # bytes of a sample
+    begin: int  # where the frames begin
+    frames: int
+
+
+def wav_layout(head: bytes, size: int, rest: Callable[[], bytes] = lambda: b"") -> WavLayout:
+    """The layout of a WAV file of `size` bytes, from its first bytes; rest gives those after them and is only asked where they don't tell. A file that was cut off
+    counts as long as it is."""
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, rate, channels, frame, more = 12, 0, 0, 0, False
+    while True:
+        if at + 8 > len(head) and not more and len(head) < size:
+            head, more = head + rest(), True
+        if at + 8 > len(head):
+            raise ValueError("a WAV file without data")
+        kind, length = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
+        if kind == b"fmt ":
+            channels, rate, frame = (int.from_bytes(head[at + a : at + b], "little") for a, b in ((10, 12), (12, 16), (20, 22)))
+        elif kind == b"data":
+            if not rate or not frame or not channels:
+                raise ValueError("a WAV file without a format")
+            return WavLayout(rate, channels, frame // channels, at + 8, min(length, size - at - 8) // frame)
+        at += 8 + length + length % 2
+
+
 def header_frames(head: bytes, size: int, ext: str, rest: Callable[[], bytes] = lambda: b"") -> tuple[int, int]:
     """Frames and rate of a file of `size` bytes, from its first bytes. rest gives the bytes after these; it is only asked where they don't tell.
 
-    A WAV file that was cut off counts as long as it is; a FLAC file without a total and other formats need all bytes and soundfile."""
+    A FLAC file without a total and other formats than these two need all bytes and soundfile."""
     if ext == "wav":
-        if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
-            raise ValueError("not a WAV file")
-        at, rate, frame, more = 12, 0, 0, False
-        while True:
-            if at + 8 > len(head) and not more and len(head) < size:
-                head, more = head + rest(), True
-            if at + 8 > len(head):
-                raise ValueError("a WAV file without data")
-            kind, length = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
-            if kind == b"fmt ":
-                rate, frame = int.from_bytes(head[at + 12 : at + 16], "little"), int.from_bytes(head[at + 20 : at + 22], "little")
-            elif kind == b"data":
-                if not rate or not frame:
-                    raise ValueError("a WAV file without a format")
-                return min(length, size - at - 8) // frame, rate
-            at += 8 + length + length % 2
+        known = wav_layout(head, size, rest)
+        return known.frames, known.rate
     if ext == "flac" and head[:4] == b"fLaC" and len(head) >= 26:
         bits = int.from_bytes(head[18:26], "big")  # rate 20, channels 3, width 5, frames 36
         if bits & ((1 << 36) - 1):
@@ -132,6 +154,33 @@ def header_frames(head: bytes, size: int, ext: str, rest: Callable[[], bytes] =
     return info.frames, info.samplerate
 
 
+def load_segment(file, ext: str, start: float, duration: float, head: int = 4096) -> tuple[np.ndarray, int]:
+    """Channels x frames of a stretch of a file that is open for reading at any place, and the rate. Only the header and the stretch are read of a WAV file; of
+    others what soundfile has to read to get there."""
+    if ext.lower() == "wav":
+        first = file.read(head)
+        size = file.seek(0, 2)
+
+        def rest() -> bytes:
+            file.seek(len(first))
+            return file.read()
+
+        known = wav_layout(first, size, rest)
+        at = min(int(start * known.rate), known.frames)
+        n = min(int(duration * known.rate), known.frames - at)
+        frame = known.width * known.channels
+        file.seek(known.begin + at * frame)
+        return pcm(file.read(n * frame), known.width, known.channels), known.rate
+    try:
+        import soundfile
+    except ImportError as e:
+        raise RuntimeError(f"decoding {ext} needs soundfile") from e
+    with soundfile.SoundFile(file) as f:
+        at = min(int(start * f.samplerate), f.frames)
+        f.seek(at)
+        return f.read(int(duration * f.samplerate), dtype="float32", always_2d=True).T, f.samplerate
+
+
 def header_seconds(data: bytes, ext: str) -> float:
     """Duration from the header alone."""
     frames, rate = header_frames(data, len(data), ext.lower())

@@ -220,7 +220,8 @@ def _cubic(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def warp_time(x: np.ndarray, factor: int, rnd: np.random.Generator) -> np.ndarray:
-    """Stretch the frames before a random centre and squeeze those after it, or the reverse. Short matrices stay."""
+    """Stretch the frames before a random centre and squeeze those after it, or the reverse (the time warping of the SpecAugment paper, Park et al. 2019, by cubic
+    interpolation). Short matrices stay."""
     t = len(x)
     if t - factor <= factor + 1:
         return x
@@ -275,16 +276,45 @@ class SpecAugment:
         return cls(**state)
 
 
-def spec_augment(feature: Column, seed: Column, options: SpecAugment = SpecAugment()) -> Column:  # noqa: B008
-    """feature: frames x bins; seed: a long from a hash of the sample, so that reruns agree."""
+def _generator(seed: int) -> np.random.Generator:
+    return np.random.default_rng(int(seed) & ((1 << 63) - 1))
+
+
+def spec_augment(feature: Column, seed: Column, options: SpecAugment = SpecAugment(), length: Column | None = None) -> Column:  # noqa: B008
+    """feature: frames x bins; seed: a long from a hash of the sample, so that reruns agree; length: frames that aren't padding (null or not given: all)."""
 
     @F.pandas_udf("array<array<float>>")
-    def run(x: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([None if m is None else list(options.apply(np.stack(m), np.random.default_rng(int(k) & ((1 << 63) - 1)))) for m, k in zip(x, s, strict=True)], dtype=object)
+    def run(x: pd.Series, s: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if m is None else list(options.apply(np.stack(m), _generator(k), None if pd.isna(own) else int(own))) if len(m) else m for m, k, own in zip(x, s, n, strict=True)], dtype=object)
+
+    return run(feature, seed, F.lit(None).cast("int") if length is None else length)
+
+
+def spec_augment_batch(features: Column, seed: Column, options: SpecAugment = SpecAugment(), lens: Column | None = None) -> Column:  # noqa: B008
+    """A padded batch: features of its samples (samples x frames x bins), each with a draw of its own from the batch's seed and its place; lens: true lengths, as
+    collate gives them. Padding stays as it is."""
 
-    return run(feature, seed)
+    @F.pandas_udf("array<array<array<float>>>")
+    def run(batches: pd.Series, seeds: pd.Series, lengths: pd.Series) -> pd.Series:
+        out = []
+        for batch, k, own in zip(batches, seeds, lengths, strict=True):
+            rnd = None if batch is None else _generator(k).spawn(len(batch))
+            n = [None] * len(batch) if batch is not None and own is None else own
+            out.append(None if batch is None else [list(options.apply(np.stack(m), r, None if x is None else int(x))) if len(m) else m for m, r, x in zip(batch, rnd, n, strict=True)])
+        return pd.Series(out, dtype=object)
 
+    return run(features, seed, F.lit(None).cast("array<int>") if lens is None else lens)
 
-def time_warp(feature: Column, seed: Column, p: float = 0.9, factor: int = 80) -> Column:
+
+def _only_warp(p: float, factor: int) -> SpecAugment:
+    return SpecAugment(time_warp_factor=factor, num_feature_masks=0, num_frame_masks=0, p=p)
+
+
+def time_warp(feature: Column, seed: Column, p: float = 0.9, factor: int = 80, length: Column | None = None) -> Column:
     """Warp with probability p, one draw for each matrix."""
-    return spec_augment(feature, seed, SpecAugment(time_warp_factor=factor, num_feature_masks=0, num_frame_masks=0, p=p))
+    return spec_augment(feature, seed, _only_warp(p, factor), length)
+
+
+def time_warp_batch(features: Column, seed: Column, p: float = 0.9, factor: int = 80, lens: Column | None = None) -> Column:
+    """Warp each sample of a padded batch with probability p, within its true length."""
+    return spec_augment_batch(features, seed, _only_warp(p, factor), lens)

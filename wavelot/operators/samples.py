@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.functions.audio import change_speed, header_seconds, load_mono
+from wavelot.functions.audio import change_speed, load_mono
 from wavelot.functions.random import between, choice, order_key, uniform
 from wavelot.functions.text import text_or_empty
 from wavelot.operators.ranking import shuffled_rank
@@ -52,16 +52,6 @@ def apply_map(samples: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataF
     return samples.transform(fn)
 
 
-def apply_python_map(samples: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """The caller's map over dicts, Arrow-batched."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([fn(r) for r in pdf.to_dict("records")])
-
-    return samples.mapInPandas(run, schema)
-
-
 def apply_filter(samples: DataFrame, keep: Column | Callable[[dict], bool]) -> DataFrame:
     """A Column where possible; a Python predicate over dicts otherwise."""
     if isinstance(keep, Column):
@@ -74,8 +64,12 @@ def apply_filter(samples: DataFrame, keep: Column | Callable[[dict], bool]) -> D
     return samples.mapInPandas(run, samples.schema)
 
 
+def change_audio(audio: Column | str, speed: Column, db: Column, noise: Column | str, snr: Column, at: Column, sample_rate: int = 16000) -> Column:
+    """One pass over the audio: speed, volume (db), then noise at a ratio (snr) from a place on (at, 0 .. 1), each where it isn't null."""
+    return _change(sample_rate)(audio, speed, db, noise, snr, at)
+
+
 def _change(sample_rate: int):
-    """One pass over the audio: speed, volume, then noise, each where its draw isn't null."""
 
     @F.pandas_udf("array<float>")
     def run(audio: pd.Series, by: pd.Series, db: pd.Series, noise: pd.Series, snr: pd.Series, at: pd.Series) -> pd.Series:
@@ -85,7 +79,7 @@ def _change(sample_rate: int):
             if pd.notna(s):
                 x = change_speed(x, s, sample_rate)
             if pd.notna(g):
-                x = (x * 10 ** (g / 20)).astype(np.float32)
+                x = (x * np.float64(10 ** (g / 20))).astype(np.float32)  # in double precision, like the mix
             if pd.notna(r) and n is not None and len(n) and len(x):
                 x = mix(x, np.asarray(n, np.float32), r, u)
             out.append(x)
@@ -151,7 +145,7 @@ def change(samples: DataFrame, options: Augment, seed: int, keys: list[str], sam
     none = F.lit(None).cast("double")
     by = speed_of(options, seed, keys, sample_rate) if options.speed else none
     db = F.when(uniform(f"volume?{seed}", *keys) <= options.volume_prob, between(*options.volume_db, f"volume{seed}", *keys)) if options.volume else none
-    run = _change(sample_rate)
+    run = lambda *x: change_audio(*x, sample_rate=sample_rate)
     if noise is not None:
         snr = F.when(noisy(options, seed, keys), between(*options.noise_snr_db, f"snr{seed}", *keys))
         samples = samples.withColumn("audio", run("audio", by, db, noise, snr, uniform(f"offset{seed}", *keys)))

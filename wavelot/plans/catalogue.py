@@ -6,7 +6,6 @@ Embeddings stand in for waveforms. All run over whole tables.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -420,7 +419,8 @@ def rms(spark, sf_dir):
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE * 10.0 ** (((vec_id % 17) - 10) / 20.0))::FLOAT::DOUBLE)), 4) AS total FROM embeddings")
 def gain(spark, sf_dir):
-    louder = arrays.gain(F.col("audio").cast("array<double>"), (F.col("vec_id") % 17) - 10)
+    none = F.lit(None).cast("double")
+    louder = samples.change_audio("audio", none, ((F.col("vec_id") % 17) - 10).cast("double"), F.lit(None).cast("array<float>"), none, none)
     return waves(spark, sf_dir).select("vec_id", F.round(F.aggregate(louder, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
@@ -433,7 +433,8 @@ def snr_mix(spark, sf_dir):
     w = waves(spark, sf_dir)
     n = w.count()
     paired = w.join(w.select(F.col("vec_id").alias("n_id"), F.col("audio").alias("noise")), F.col("n_id") == F.pmod(F.col("vec_id") + 1, F.lit(n)))
-    mixed = arrays.mix_at_snr(F.col("audio").cast("array<double>"), F.col("noise").cast("array<double>"), F.lit(15.0))
+    none = F.lit(None).cast("double")
+    mixed = samples.change_audio("audio", none, none, "noise", F.lit(15.0), F.lit(0.0))
     left = F.zip_with(mixed, "audio", lambda m, a: m.cast("double") - a.cast("double"))
     return paired.select("vec_id", F.round(10 * F.log10(arrays.energy(F.col("audio")) / arrays.energy(left)), 3).alias("snr_db"))
 
@@ -480,37 +481,50 @@ def padded_shards(spark, sf_dir):
     return shards.agg(F.count("*").alias("shards")).join(pad_shards(shards, 48, "page_id").agg(F.count("*").alias("padded")))
 
 
-# -- audio: no table holds any, so these make it from keys; tests check them against closed forms
+# -- audio
 
 
-def tones(spark, sf_dir, seconds: float = 0.25):
-    """A tone per embedding, its pitch from vec_id."""
-    n = int(16000 * seconds)
-    step = (200 + F.pmod("vec_id", F.lit(40)) * 50) * (2 * math.pi / 16000)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin(i * step).cast("float")).alias("audio"))
+def repeated_waves(spark, sf_dir):
+    """Embeddings twenty times over, so that they make frames."""
+    return waves(spark, sf_dir).select("vec_id", F.flatten(F.array_repeat("audio", 20)).alias("audio"))
 
 
-def _feature_summary(spark, sf_dir, name):
+def _feature_summary(rows, name):
     from wavelot.functions.features import extractor, features
 
-    rows = tones(spark, sf_dir).select("vec_id", features(F.col("audio"), extractor(name)).alias("f"))
+    rows = rows.select("vec_id", features(F.col("audio"), extractor(name)).alias("f"))
     middle = F.element_at("f", (F.size("f") / 2 + 1).cast("int"))
-    return rows.select("vec_id", F.size("f").alias("frames"), F.size(F.element_at("f", 1)).alias("bins"), (F.array_position(middle, F.array_max(middle)) - 1).alias("loudest_bin"))
+    return rows.select("vec_id", F.size("f").alias("frames"), F.size(F.element_at("f", 1)).alias("bins"), (F.array_position(middle, F.array_max(middle)) - 1).alias("loudest_bin"), F.round(F.array_max(middle).cast("double"), 2).alias("loudest"))
 
 
-@query()
+def _frame_sql(begin: int, frames: int, weighted: str, n_fft: int, spectrum: str, corners: str, place: str, floor: float) -> str:
+    """The loudest filter of the frame of 400 samples that begins at `begin`, by sums over the definition. weighted: samples (i, x) of a vector after windowing, from r;
+    spectrum: of re and im; corners: the j-th corner of 82 filters' edges; place: where the k-th frequency f lies on the same scale."""
+    return f"""
+WITH i AS (SELECT range AS i FROM range(400)), k AS (SELECT range AS k FROM range({n_fft // 2})),
+r AS (SELECT vec_id, i, embedding[(({begin} + i) % 64 + 1)::INTEGER]::DOUBLE AS x FROM embeddings, i), w AS ({weighted}),
+t AS (SELECT k, i, cos(2 * pi() * k * i / {n_fft}) AS c, sin(2 * pi() * k * i / {n_fft}) AS s FROM k, i),
+d AS (SELECT vec_id, k, sum(x * c) AS re, sum(x * s) AS im FROM w JOIN t USING (i) GROUP BY 1, 2), p AS (SELECT vec_id, k, {spectrum} AS a FROM d),
+e AS (SELECT range AS j, {corners} AS at FROM range(82)),
+m AS (SELECT l.j AS bin, k, greatest(0, least((f - l.at) / (c.at - l.at), (h.at - f) / (h.at - c.at))) AS g FROM (SELECT k, {place} AS f FROM k), e l JOIN e c ON c.j = l.j + 1 JOIN e h ON h.j = l.j + 2),
+o AS (SELECT vec_id, bin, ln(greatest(sum(a * g), {floor})) AS y FROM p JOIN (SELECT * FROM m WHERE g > 0) USING (k) GROUP BY 1, 2)
+SELECT vec_id, {frames}::INTEGER AS frames, 80::INTEGER AS bins, arg_max(bin, y)::BIGINT AS loudest_bin, round(max(y), 2) AS loudest FROM o GROUP BY 1"""
+
+
+@query(_frame_sql(440, 9, "SELECT vec_id, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 400)) AS x FROM r", 400, "sqrt(re * re + im * im)", "700 * (10 ** (range * (2595 * log10(1 + 8000 / 700.0)) / 81 / 2595) - 1)", "k * 40.0", 1e-7))
 def fbank_features(spark, sf_dir):
-    return _feature_summary(spark, sf_dir, "Fbank")
+    return _feature_summary(repeated_waves(spark, sf_dir), "Fbank")
 
 
-@query()
+@query(_frame_sql(520, 8, """SELECT vec_id, i, (x - 0.97 * coalesce(lag(x) OVER (PARTITION BY vec_id ORDER BY i), x)) * (0.5 - 0.5 * cos(2 * pi() * i / 399)) ** 0.85 AS x
+  FROM (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY vec_id) AS x FROM r)""", 512, "re * re + im * im", "1127 * ln(1 + 20 / 700.0) + range * (1127 * ln(1 + 7600 / 700.0) - 1127 * ln(1 + 20 / 700.0)) / 81", "1127 * ln(1 + k * 31.25 / 700)", 1.1920928955078125e-07))
 def kaldi_features(spark, sf_dir):
-    return _feature_summary(spark, sf_dir, "KaldiFbank")
+    return _feature_summary(repeated_waves(spark, sf_dir), "KaldiFbank")
 
 
 @query()
 def whisper_features(spark, sf_dir):
-    return _feature_summary(spark, sf_dir, "WhisperFbank")
+    return _feature_summary(repeated_waves(spark, sf_dir), "WhisperFbank")
 
 
 @query()
@@ -518,7 +532,7 @@ def spec_augment(spark, sf_dir):
     from wavelot.functions.features import SpecAugment, extractor, features
     from wavelot.functions.features import spec_augment as change
 
-    rows = tones(spark, sf_dir).select("vec_id", features(F.col("audio"), extractor("Fbank")).alias("f"))
+    rows = repeated_waves(spark, sf_dir).select("vec_id", features(F.col("audio"), extractor("Fbank")).alias("f"))
     out = rows.select("vec_id", "f", change(F.col("f"), F.xxhash64("vec_id"), SpecAugment(time_warp_factor=4)).alias("g"))
     return out.select("vec_id", F.size("g").alias("frames"), (F.col("f") == F.col("g")).alias("same"))
 

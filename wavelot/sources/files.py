@@ -43,6 +43,12 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def open_random(uri: str):
+    """A file, open at any place."""
+    system, path = filesystem(uri)
+    return system.open_input_file(path)
+
+
 def read_head(uri: str, size: int) -> tuple[bytes, int]:
     """A file's first bytes, and its size."""
     system, path = filesystem(uri)

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelot.functions.audio import decode, encode, resample
+from wavelot.functions.audio import decode, encode, load_segment, resample
 from wavelot.sources.audiotar import AudioTar
-from wavelot.sources.files import put_lines, read_file
+from wavelot.sources.files import open_random, put_lines, read_file
 from wavelot.sources.tarsink import PACKED
 
 DONE = "shard int, fingerprint string, num_samples long, seconds double, errors long"
@@ -19,17 +19,18 @@ DONE = "shard int, fingerprint string, num_samples long, seconds double, errors
 def encoded(planned: DataFrame, fmt: str = "wav", sample_rate: int | None = None, level: float = 0.65, tasks: int | None = None, batch_bytes: int = 16 << 20) -> DataFrame:
     """planned: shard, index, id, audio_path, text (normalised), start, duration, slice_audio. Rows of tarsink.PACKED, dealt out by shard and in the order of index.
 
-    sample_rate: None keeps each source's rate. Of several channels the first is kept. A sample that can't be read is a row with its error."""
+    Of a segment only its own stretch of the file is read. sample_rate: None keeps each source's rate. Of several channels the first is kept. A sample that can't be read is a row with its error."""
     fmt = fmt.lower()
 
     def one(row) -> tuple[bytes | None, float | None, str | None]:
         try:
-            channels, rate = decode(read_file(row.audio_path), row.audio_path.rsplit(".", 1)[-1])
-            audio = channels[0]
+            ext = row.audio_path.rsplit(".", 1)[-1]
             if row.slice_audio:
-                at = int(row.start * rate)
-                audio = audio[at : at + int(row.duration * rate)]
-            audio = resample(audio, rate, sample_rate or rate)
+                with open_random(row.audio_path) as file:
+                    channels, rate = load_segment(file, ext, row.start, row.duration)
+            else:
+                channels, rate = decode(read_file(row.audio_path), ext)
+            audio = resample(channels[0], rate, sample_rate or rate)
             if not len(audio):
                 raise ValueError("no audio")
             return encode(audio, sample_rate or rate, fmt, level), len(audio) / (sample_rate or rate), None
