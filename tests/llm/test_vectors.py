@@ -76,3 +76,15 @@ def test_audit_reaches_linked_nodes_and_ends_exact(spark):
     got = sorted(tuple(r) for r in vectors.near_vectors(frame, beam=1, slack=-1.0, audit=4, min_recall=2.0, report=report).collect())
     assert got == brute(list(range(len(rows))), rows)
     assert report["recall"] == 1.0 and report["exact"] and report["linked"] >= 40
+
+
+def test_null_and_repeated_ids_and_a_vector_with_most_rows(spark):
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(30, 16))
+    rows = [(i, base[0].tolist()) for i in range(100, 2600)] + [(i, v.tolist()) for i, v in enumerate(base)] + [(None, base[5].tolist()), (None, base[0].tolist()), (None, None), (3, base[3].tolist()), (50, None), (None, (base[29] * -1).tolist())]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), min_recall=2.0)
+    assert got.dtypes[-1] == ("kept", "boolean")
+    found = sorted(map(tuple, got.collect()), key=str)
+    hot = [(i, 2501, 0, False) for i in range(100, 2600)] + [(0, 2501, 0, True), (None, 2501, 0, False)]
+    rest = [(i, int(i in (3, 5)), i, True) for i in range(1, 30)] + [(3, 1, 3, True), (None, 1, 5, False), (None, 0, None, False), (50, 0, 50, True), (None, 0, None, False)]
+    assert found == sorted(hot + rest, key=str)

@@ -14,8 +14,8 @@ Links between nodes of one home cluster are counted where they are found, and on
 a dense group isn't expanded into rows; links between home clusters are rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components have no links and are their own component. Vectors of
-different lengths never link. Repeated rows count as vectors of their own; a row whose vec_id is null can link, and kept is
-null for it only if its component has no vec_id. An empty table gives an empty result.
+different lengths never link. Repeated rows count as vectors of their own, and of those with the smallest vec_id of a component each is kept; a row whose vec_id is null
+can link and is never kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.llm.common import cut, scratch
+from wavelot.llm.common import cut, join_hot, scratch
 from wavelot.llm.links import components
 
 FOUND = "kind int, a long, b long, x long, y long"
@@ -196,11 +196,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     if report is not None:
         report.update(recall=recall, drawn=drawn_nodes, linked=len(truth), exact=exact)
     groups = components(found.where(f"kind != {OWN}").select("a", "b"))
-    named = rows.select("vec_id", "node").join(nodes.select("node", "mult"), "node", "left").join(counts, "node", "left").join(groups, "node", "left")
-    named = named.select("vec_id", "node", F.coalesce("component", "node").alias("component"), (F.coalesce("others", F.lit(0)) + F.coalesce("mult", F.lit(1)) - 1).alias("n_links"))
-    lowest = named.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("low"))
-    out = named.join(lowest, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("low")))
-    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    # one row for each node and component; a vector or group that holds a third of the rows meets its row by broadcast
+    known = cut(nodes.select("node", "mult").join(counts, "node", "left").join(groups, "node", "left"))
+    known = known.select("node", F.coalesce("component", "node").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"))
+    named = cut(join_hot(rows.where("node is not null").select("vec_id", "node"), known, "node").drop("node"))
+    lowest = cut(named.groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    alone = rows.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = join_hot(named, lowest, "component").select("vec_id", "n_links", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _brute(nodes: DataFrame, audited: list[tuple[int, int, bytes]], cosine: float) -> dict[int, int]:
