@@ -1,6 +1,6 @@
-"""Print the batches of an epoch: python examples/batches.py LIST [LIST ...]"""
+"""Print the batches of an epoch: python examples/batches.py LIST [LIST ...] [--max-duration SECONDS]"""
 
-import sys
+import argparse
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from wavelot import Batching, Loader, LoaderOptions
 
 
-def main(paths: list[str]) -> None:
+def main() -> None:
+    args = argparse.ArgumentParser(description=__doc__)
+    args.add_argument("lists", nargs="+")
+    args.add_argument("--max-duration", type=float, default=600.0)
+    args = args.parse_args()
     spark = SparkSession.builder.appName("batches").getOrCreate()
-    loader = Loader(spark, paths, LoaderOptions(batching=Batching(max_duration=600.0)), feature="Fbank")
+    loader = Loader(spark, args.lists, LoaderOptions(batching=Batching(max_duration=args.max_duration)), feature="Fbank")
     loader.totals().show()
     for row in loader.iterate():
         print(row["worker"], row["bucket_id"], row["batch_id"], len(row["ids"]), max(row["feature_lens"]))
@@ -18,4 +22,4 @@ def main(paths: list[str]) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1:])
+    main()

@@ -148,8 +148,8 @@ class Loader:
 
         return self._keep(f"chosen/{d.name}", full)[0], True
 
-    def keys(self, epoch: int = 0) -> DataFrame:
-        """Slim samples of an epoch: all columns of _chosen, epoch_pass, seq (a total order), worker, and length_s as it will be after the first copy's change of speed."""
+    def keys(self, epoch: int = 0, passes: int | None = None) -> DataFrame:
+        """Slim samples of an epoch, or of so many passes: all columns of _chosen, epoch_pass, seq (a total order), worker, and length_s as it will be after the first copy's change of speed."""
         o, out, self.again = self.options, None, []
         for d in self.datasets:
             rows, again = self._chosen(d)
@@ -157,8 +157,8 @@ class Loader:
                 self.again.append(d)
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         rows = out.withColumn("worker", F.pmod(F.xxhash64("url"), F.lit(o.workers)).cast("int"))
-        if o.is_test or o.passes is not None:
-            rows = mux.passes(rows, 1 if o.is_test else o.passes)
+        if o.is_test or (passes or o.passes) is not None:
+            rows = mux.passes(rows, 1 if o.is_test else passes or o.passes)
         else:
             turns = self._turns(rows)
             rows = mux.passes(rows, F.create_map(*[x for k, n in turns.items() for x in (F.lit(k), F.lit(n))])[F.col("dataset")]) if turns else mux.passes(rows, 1)
@@ -181,8 +181,8 @@ class Loader:
         return self._turned
 
     def samples(self, epoch: int = 0) -> DataFrame:
-        """Decoded, labelled, filtered and augmented samples with a total order (seq) in each dataset."""
-        return self._decoded(self.keys(epoch), epoch)
+        """Decoded, labelled, filtered and augmented samples of one pass (or as many as the options say), with a total order (seq) in each dataset."""
+        return self._decoded(self.keys(epoch, self.options.passes or 1), epoch)
 
     def _decoded(self, keys: DataFrame, epoch: int) -> DataFrame:
         """keys with audio: copies, noise and changes included. No row is shuffled once it has its bytes."""
