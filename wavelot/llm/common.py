@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let rows travel to Python at most so many at a time: the default of 10,000 whole texts is a lot of memory in each worker and its executor."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Let rows travel to Python at most so many and so many bytes at a time: the defaults, 10,000 whole texts or 64 MB, are a lot of memory in each worker
+    and its executor."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).lower().rstrip("b") in ("67108864", "64m"):  # the default
+        spark.conf.set(name, size)
 
 
 def shared_dir(spark: SparkSession) -> str:

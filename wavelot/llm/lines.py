@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavelot.llm.common import cut, join_hot, scratch, thin
 from wavelot.llm.hashing import mix, powers
@@ -449,15 +450,17 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
         keys, bucket = [set(k.tolist()) for k in pdf["keys"]], pdf["bucket"].tolist()
         profile: list[np.ndarray] = []
 
-        def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        def may(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             most, hit = by_length(length[i], length[j])
             hit &= may_link(sketch[i], sketch[j], np.minimum(length[i], length[j]) < SHORT)
-            some = np.flatnonzero(hit)
+            some, gap = np.flatnonzero(hit), np.zeros(len(i))
             if len(some):
                 if not profile:
                     profile.append(pair_profile(form))
-                hit[some] = apart(profile[0], i[some], profile[0], j[some]) <= 4 * most[some]
-            return hit
+                differ_by = apart(profile[0], i[some], profile[0], j[some])
+                hit[some] = differ_by <= 4 * most[some]
+                gap[some] = differ_by / (4 * most[some] + 1)
+            return hit, gap
 
         def sure(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             # a pair that shares several buckets is looked at in the first of them
@@ -499,6 +502,19 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
+    """Texts without the lines of these numbers."""
+
+    def left(text: str | None, gone: np.ndarray | None) -> str | None:
+        if text is None or gone is None:
+            return text
+        gone = set(gone.tolist())
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+    return pd.Series([left(t, g) for t, g in zip(texts, removed, strict=True)], dtype=object)
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with their text less the lines that go; all columns and rows stay."""
     gone = duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id", "h").agg(F.collect_list("line").alias("removed"))
@@ -509,8 +525,5 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maybe = sift(rows, "h", gone.select("gh"), keep=True)  # texts that lose nothing stay out of the shuffle
     joined = maybe.where("sifted").join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("gh")), "left").select("own", "text", "removed")
     joined = joined.unionByName(maybe.where("not sifted").select("own", "text", F.lit(None).cast("array<long>").alias("removed")))
-    # positions of lines are those of split; a text keeps its order
-    at = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i")))
-    left = F.array_join(F.transform(F.filter(at, lambda p: ~F.array_contains("removed", p["i"])), lambda p: p["x"]), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(_without("text", "removed"))
     return joined.select(*[text.alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in docs.columns])

@@ -64,8 +64,8 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
     bucket) gives a function (row number, other row numbers) -> which of these link with it. Buckets whose ids already are one
     group drop out, so large groups of copies cost nothing here; in the others each row is compared, inside the task, with the rows of
     other groups. A bucket of more than `block` rows or `block_bytes` is dealt into blocks, each pair of blocks a task's group of its own.
-    in_bulk, for many small buckets: prepare gets the rows of several buckets and gives two functions, (row numbers, row numbers) -> which pairs may link,
-    and the same -> which of some pairs do.
+    in_bulk, for many small buckets: prepare gets the rows of several buckets and gives two functions, (row numbers, row numbers) -> which pairs may link and
+    how far apart each pair seems, and the same -> which of some pairs do.
     """
     grouped = crowded.join(groups, crowded["id"] == groups["node"], "left").select("bucket", "id", "b", F.coalesce("component", "id").alias("g"))
     mixed = cut(grouped.groupBy("bucket").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x != y").select("bucket"))
@@ -107,7 +107,7 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
             yield from found(rest, [0, len(rest)])
 
     def bulk(pdf: pd.DataFrame, edges: list[int]) -> list[tuple[int, int, int]]:
-        n, out, joined = edges[-1], [], {}
+        n, out = edges[-1], []
         pdf = pdf.iloc[:n]
         bucket, ids, side, label = pdf["bucket"].tolist(), pdf["id"].tolist(), pdf["own"].to_numpy(), pdf["g"].to_numpy()
         split, hub = (pdf["low"] != pdf["high"]).to_numpy(), (pdf["id"] == pdf["b"]).to_numpy()
@@ -116,29 +116,23 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
         if not width.any():
             return out
         may, sure = prepare(pdf)
-
-        def top(g: int) -> int:
-            while g in joined:
-                g = joined[g]
-            return g
-
+        now = label.copy()  # the group of each row, kept as groups are joined
         place = np.cumsum(width) // 100_000  # about so many pairs at a time
         for chunk in np.split(np.arange(n), np.flatnonzero(np.diff(place)) + 1):
             i = np.repeat(chunk, width[chunk])
             j = np.arange(len(i)) - np.repeat(np.cumsum(width[chunk]) - width[chunk], width[chunk]) + begin[i]
-            now = np.array([top(g) for g in label.tolist()]) if joined else label
             some = (now[i] != now[j]) & ~hub[j] & (~split[i] | (side[i] != side[j]))
             i, j = i[some], j[some]
-            hit = may(i, j)
+            hit, gap = may(i, j)
             i, j, step = i[hit], j[hit], 32
-            while len(i):  # what one step joins, the next needn't look at
+            order = np.argsort(gap[hit], kind="stable")  # the likeliest first: what they join spares the others
+            i, j = i[order], j[order]
+            while len(i):
                 hit = sure(i[:step], j[:step])
                 for x, y in zip(*(z[:step][hit].tolist() for z in (i, j)), strict=True):
-                    g, k = top(int(label[x])), top(int(label[y]))
-                    if g != k:
-                        joined[max(g, k)] = min(g, k)
+                    if now[x] != now[y]:
+                        now[now == max(now[x], now[y])] = min(now[x], now[y])
                         out.append((max(ids[x], ids[y]), min(ids[x], ids[y]), bucket[x]))
-                now = np.array([top(g) for g in label.tolist()])
                 i, j, step = i[step:], j[step:], min(2 * step, 1024)
                 some = now[i] != now[j]
                 i, j = i[some], j[some]
