@@ -2,6 +2,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from wavelot.plans import catalogue
@@ -32,3 +33,13 @@ def test_query(spark, duck, name):
         assert plain(got, columns) == plain(want, columns)
     else:
         assert len(got)
+
+
+def test_even_mix_of_heavy_datasets(spark, duck, tmp_path):
+    docs = pd.DataFrame({"doc_id": range(400), "text": "a", "lang": (["en"] * 5 + ["de", "fr", None]) * 50, "source": "s", "n_chars": [i * 7919 % 40_009 + 900_000 for i in range(400)]})
+    docs.to_parquet(tmp_path / "documents.parquet", index=False)
+    columns = ["dataset", "doc_id", "position", "rank"]
+    got = catalogue.QUERIES["weighted_mux_order"](spark, str(tmp_path)).toPandas()
+    want = duck.execute(f"WITH documents AS (SELECT * FROM read_parquet('{tmp_path}/documents.parquet')) SELECT * FROM ({catalogue.SQL['weighted_mux_order']})").df()
+    assert plain(got, columns) == plain(want, columns)
+    assert sorted(got["position"]) == list(range(350))

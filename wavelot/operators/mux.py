@@ -33,19 +33,21 @@ def dataset_weights(totals: DataFrame, by: str = "hours", weights: dict[str, flo
 def even_mix(ranked: DataFrame, weights: DataFrame, rank: str = "rank") -> DataFrame:
     """ranked: dataset, rank (from 0 in each dataset); weights: dataset, w (a positive whole number), n (its samples).
 
-    Adds position, from 0, in the order of (rank + 1/2) / w, ties by dataset. A row's position is the number of rows before it
-    in each dataset, which is whole-number arithmetic on the datasets' counts: no sort, no shuffle and no join.
+    Adds position, from 0, in the order of (2 * rank + 1) / w as doubles, ties by dataset. A row's position is the number of rows before it
+    in each dataset, which follows from the datasets' counts: no sort, no shuffle and no join.
     """
-    big = lambda c: c.cast("decimal(38,0)")
-    known = [(r["dataset"], int(r["w"]), int(r["n"])) for r in weights.select("dataset", "w", "n").collect()]  # one row per dataset
-    own = F.create_map(*[x for d, w, _ in known for x in (F.lit(d), big(F.lit(str(w))))])[F.col("dataset")]
-    x = big(2 * F.col(rank) + 1)
+    known = [(r["dataset"], float(r["w"]), int(r["n"])) for r in weights.select("dataset", "w", "n").collect()]  # one row per dataset
+    own = F.create_map(*[F.lit(x) for d, w, _ in known for x in (d, w)])[F.col("dataset")]
+    t = (2 * F.col(rank) + 1).cast("double") / own
     count = F.lit(0).cast("long")
     for d, w, n in known:
-        # (2j - 1) * own < x * w, or <= for datasets that come first in ties
-        reach = x * big(F.lit(str(w)))
-        top = F.when(F.lit(d) < F.col("dataset"), reach).otherwise(reach - 1)
-        count = count + F.greatest(F.lit(0).cast("long"), F.least(F.floor((F.floor(top / own) + 1) / 2).cast("long"), F.lit(n).cast("long")))
+        # rows j with (2j + 1) / w before t: t * w says how many but for one, the two next to it decide
+        near = F.floor((t * F.lit(w) + 1) / 2)
+        reach = near - 1
+        for j in (near - 1, near):
+            other = (2 * j + 1).cast("double") / F.lit(w)
+            reach = reach + F.when((other < t) | ((other == t) & (F.lit(d) < F.col("dataset"))), 1).otherwise(0)
+        count = count + F.greatest(F.lit(0).cast("long"), F.least(reach, F.lit(n).cast("long")))
     return ranked.withColumn("position", count)
 
 

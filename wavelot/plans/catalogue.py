@@ -296,9 +296,9 @@ _RANKED = "r AS (SELECT doc_id, lang AS dataset, row_number() OVER (PARTITION BY
 
 @query(f"WITH {_RANKED} SELECT doc_id, dataset, rank, row_number() OVER (ORDER BY (2 * rank + 1)::DOUBLE / w, dataset) - 1 AS position FROM r JOIN w USING (dataset)")
 def weighted_mux_order(spark, sf_dir):
-    rows = utterances(spark, sf_dir).select("doc_id", "dataset", order_key(5, "doc_id").alias("k"))
-    ranked = shuffled_rank(rows, "k", ["doc_id"], ["dataset"]).drop("k")
-    weights = utterances(spark, sf_dir).groupBy("dataset").agg(F.sum("length").alias("w"), F.count("*").alias("n"))
+    named = utterances(spark, sf_dir).where("dataset is not null")
+    ranked = shuffled_rank(named.select("doc_id", "dataset", order_key(5, "doc_id").alias("k")), "k", ["doc_id"], ["dataset"]).drop("k")
+    weights = named.groupBy("dataset").agg(F.sum("length").alias("w"), F.count("*").alias("n"))
     return mux.even_mix(ranked, weights).select("doc_id", "dataset", "rank", "position")
 
 
