@@ -43,3 +43,12 @@ def test_even_mix_of_heavy_datasets(spark, duck, tmp_path):
     want = duck.execute(f"WITH documents AS (SELECT * FROM read_parquet('{tmp_path}/documents.parquet')) SELECT * FROM ({catalogue.SQL['weighted_mux_order']})").df()
     assert plain(got, columns) == plain(want, columns)
     assert sorted(got["position"]) == list(range(350))
+
+
+def test_pages_that_share_a_url_keep_their_own_manifests(spark, duck, tmp_path):
+    pages = pd.DataFrame({"page_id": [0, 1, 2, 3, 4, 5, 7, 7], "url": ["a", "a", "a", "a", "b", "b", None, "c"], "html": ""})
+    pages.to_parquet(tmp_path / "pages.parquet", index=False)
+    columns = ["key", "manifest", "page_id"]
+    got = catalogue.QUERIES["manifest_pairs"](spark, str(tmp_path)).toPandas()
+    want = duck.execute(f"WITH pages AS (SELECT * FROM read_parquet('{tmp_path}/pages.parquet')) SELECT * FROM ({catalogue.SQL['manifest_pairs']})").df()
+    assert plain(got, columns) == plain(want, columns)

@@ -104,13 +104,16 @@ def build(spark: SparkSession, options: BuildOptions) -> dict:
     return {**context, **{f"{k}" if k != "shards" else "listed": v for k, v in summary.items()}}
 
 
-def pair_manifests(tars: DataFrame, manifests: DataFrame, audio_prefix: str | None = None, text_prefix: str | None = None) -> DataFrame:
-    """tars: path; manifests: path. Left join by shard key, .json before .jsonl. Columns audio_tar, key, manifest (null if none)."""
-    keyed = tars.select(F.col("path").alias("audio_tar"), map_prefix(shard_key(F.col("path")), audio_prefix, text_prefix).alias("key"))
+def pair_manifests(tars: DataFrame, manifests: DataFrame, audio_prefix: str | None = None, text_prefix: str | None = None, within: list[str] | None = None) -> DataFrame:
+    """tars: path; manifests: path. Left join by shard key, .json before .jsonl. Columns audio_tar, key, manifest (null if none).
+
+    within: columns of both; a tar meets the manifests of its own group only, so a key may come back in other groups."""
+    within = within or []
+    keyed = tars.select(*within, F.col("path").alias("audio_tar"), map_prefix(shard_key(F.col("path")), audio_prefix, text_prefix).alias("key"))
     name = base_name(F.col("path"))
-    found = manifests.where(name.rlike(r"\.jsonl?$")).select(F.regexp_replace(name, r"\.jsonl?$", "").alias("key"), F.col("path").alias("m"), F.when(name.endswith(".json"), 0).otherwise(1).alias("p"))
-    best = found.groupBy("key").agg(F.min_by("m", F.struct("p", "m")).alias("manifest"))
-    return keyed.join(best, "key", "left").select("audio_tar", "key", "manifest")
+    found = manifests.where(name.rlike(r"\.jsonl?$")).select(*within, F.regexp_replace(name, r"\.jsonl?$", "").alias("key"), F.col("path").alias("m"), F.when(name.endswith(".json"), 0).otherwise(1).alias("p"))
+    best = found.groupBy(*within, "key").agg(F.min_by("m", F.struct("p", "m")).alias("manifest"))
+    return keyed.join(best, [*within, "key"], "left").select(*within, "audio_tar", "key", "manifest")
 
 
 def list_existing(spark: SparkSession, audio_pattern: str, text_dir: str, output: str, audio_prefix: str | None = None, text_prefix: str | None = None, strict: bool = False, sort: bool = True) -> dict:

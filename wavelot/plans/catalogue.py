@@ -380,11 +380,12 @@ def manifest_pairs(spark, sf_dir):
     from wavelot.plans.build import pair_manifests
 
     pages = table(spark, sf_dir, "pages").select("page_id", F.md5(F.col("url").cast("binary")).alias("k"))
-    tars = pages.select(F.concat(F.lit("/a/"), "k", F.lit(".tar")).alias("path"))
-    name = lambda e: F.concat(F.lit("/m/"), "k", F.lit(e)).alias("path")
-    manifests = pages.where("page_id % 4 in (0, 2)").select(name(".jsonl")).unionByName(pages.where("page_id % 4 in (1, 2)").select(name(".json")))
-    found = pair_manifests(tars, manifests)
-    return pages.join(found, F.col("k") == F.col("key")).select("page_id", "key", "manifest")
+    path = lambda folder, e: F.concat(F.lit(folder), "k", F.lit(e)).alias("path")
+    tars = pages.select("page_id", path("/a/", ".tar"))
+    lines, plain = pages.where("page_id % 4 in (0, 2)"), pages.where("page_id % 4 < 3 and page_id % 4 != 0")
+    manifests = lines.select("page_id", path("/m/", ".jsonl")).unionByName(plain.select("page_id", path("/m/", ".json")))
+    # pages may share a url, and so a key; each is a folder of its own
+    return pair_manifests(tars, manifests, within=["page_id"]).select("page_id", "key", "manifest")
 
 
 @query("SELECT doc_id, source || '.' || doc_id || '.WAV' AS name, source || '.' || doc_id AS key, 'wav' AS ext FROM documents")
