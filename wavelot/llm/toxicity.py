@@ -96,7 +96,8 @@ class ToxicityModel:
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        count = Counter(i for i in map(self.vocabulary.get, words(text)) if i is not None)
+        count = Counter(map(self.vocabulary.get, words(text)))
+        count.pop(None, None)
         return unit(count, self.idf)
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -117,9 +118,12 @@ class ToxicityModel:
 
 
 def unit(count: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms = np.array(sorted(count), np.int64)
-    w = np.array([1 + np.log(count[t]) for t in terms.tolist()]) * idf[terms] if len(terms) else np.zeros(0)
-    return terms, w / np.sqrt(w @ w) if len(w) else w
+    n = len(count)
+    terms, times = np.fromiter(count.keys(), np.int64, n), np.fromiter(count.values(), np.float64, n)
+    order = np.argsort(terms)
+    terms = terms[order]
+    w = (1 + np.log(times[order])) * idf[terms]
+    return terms, w / np.sqrt(w @ w) if n else w
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
