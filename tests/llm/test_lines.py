@@ -137,3 +137,17 @@ def test_links_by_edit_similarity_alone(spark, seed):
     assert short <= got  # deletions miss none
     assert len(got) / len(want) >= 0.9
     assert len({r["doc_id"] for r in line_report(rows).where("n_removed > 0").collect()}) / len(want) < 0.8  # what 3 bits reach
+
+
+def test_the_sieve_comes_to_the_driver_as_columns(spark, monkeypatch):
+    from wavelot.llm import sieve
+
+    def rows(self, *a):
+        raise AssertionError("half a million rows of objects in the driver")
+
+    keys = spark.range(0, 3_000, 3).select("id")
+    monkeypatch.setattr(type(keys), "toPandas", rows)
+    left = sieve.sift(spark.range(3_000), "id", keys)
+    monkeypatch.undo()
+    assert set(range(0, 3_000, 3)) <= {r["id"] for r in left.collect()}
+    assert left.count() < 1_100

@@ -38,7 +38,7 @@ def _filled(keys: DataFrame, bits: int):
         some = np.flatnonzero(words)
         yield pd.DataFrame({"word": some, "value": words[some]})
 
-    words = keys.mapInPandas(mark, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()  # 2^bits / 64 rows at most
+    words = keys.mapInPandas(mark, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()  # 2^bits / 64 rows at most
     held = np.zeros(1 << (bits - 6), np.int64)
     held[words["word"].to_numpy()] = words["value"].to_numpy()
     return spark.sparkContext.broadcast(held.view(np.uint8))
