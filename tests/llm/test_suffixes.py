@@ -1,10 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from wavelot.llm.suffixes import remove_repeats
+from wavelot.llm.suffixes import remove_repeats, repeated_in_fragments
 
 
 def brute(texts, length):
@@ -62,3 +65,19 @@ def test_documents_keep_their_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(docs, digest_only=True).count() == 0
+
+
+def test_memory_of_a_gram_with_many_fragments():
+    length, k, n = 200, 40, 20_000
+    rnd = np.random.default_rng(5)
+    around = rnd.integers(97, 123, (n, 2 * length - k), dtype=np.uint8)
+    around[:, length - k : length] = 65  # the gram
+    around[1::2] = around[::2]  # each pair of fragments is equal
+    data = [x.tobytes() for x in around]
+    pdf = pd.DataFrame({"gram": 7, "key": np.arange(n), "at": length - k, "lead": length - k, "data": data})
+    tracemalloc.start()
+    got = repeated_in_fragments(pdf, length, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got.itertuples(index=False, name=None)) == [(i, 0, 2 * length - k) for i in range(n)]
+    assert peak < 5 * around.size  # index arrays of the whole matrix alone would be 8 bytes a place

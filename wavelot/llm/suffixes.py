@@ -132,6 +132,36 @@ def repeated_windows(matrix: np.ndarray, group: np.ndarray, length: int) -> np.n
     return found
 
 
+def repeated_in_fragments(pdf: pd.DataFrame, length: int, k: int, slab: int = 1024) -> pd.DataFrame:
+    """pdf: gram, key, at, lead, data of fragments in order of their gram. Returns key, a, b of the repeated runs. A gram may have very many fragments,
+    so besides its symbols and its windows, 2 and 1 bytes each, nothing is as large as the matrix: it is filled and read `slab` fragments at a time."""
+    pdf = pdf.drop_duplicates(["gram", "key", "at"])  # a text's row may come more than once
+    gram = pdf["gram"].to_numpy()
+    alone = np.concatenate([[True], gram[1:] != gram[:-1]]) & np.concatenate([gram[1:] != gram[:-1], [True]])
+    pdf = pdf[~alone]
+    if not len(pdf):
+        return pd.DataFrame({"key": [], "a": [], "b": []}, dtype=np.int64)
+    data, reach = pdf["data"].tolist(), length - k
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    width, begin = 2 * length - k, reach - pdf["lead"].to_numpy()
+    matrix = np.full((width, len(data)), 256, np.uint16)
+    for s in range(0, len(data), slab):
+        own = size[s : s + slab]
+        row = np.repeat(np.arange(len(own)), own)
+        symbols = np.full((len(own), width), 256, np.uint16)
+        symbols[row, np.arange(len(row)) - np.repeat(np.cumsum(own) - own - begin[s : s + slab], own)] = np.frombuffer(b"".join(data[s : s + slab]), np.uint8)
+        matrix[:, s : s + slab] = symbols.T
+    found = repeated_windows(matrix, pdf["gram"].to_numpy(), length)
+    key, zero, window, out = pdf["key"].to_numpy(), pdf["at"].to_numpy() - reach, np.arange(len(found)), []
+    for s in range(0, len(data), slab):
+        first, last = (x[s : s + slab, None] for x in (begin, begin + size - length))
+        hit = found[:, s : s + slab].T & (window >= first) & (window <= last)
+        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (r, a), b = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+        out.append(pd.DataFrame({"key": key[s + r], "a": zero[s + r] + a, "b": zero[s + r] + b - 1 + length}))
+    return pd.concat(out, ignore_index=True)
+
+
 def _spans(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(zip(start.tolist(), stop.tolist(), strict=True)):
@@ -193,32 +223,10 @@ def repeated_spans(rows: DataFrame, length: int = 200, k: int = 40, most_fragmen
             gram = rest["gram"].to_numpy()
             cut_at = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on in the next batch
             if cut_at:
-                yield compare(rest.iloc[:cut_at])
+                yield repeated_in_fragments(rest.iloc[:cut_at], length, k)
                 rest = rest.iloc[cut_at:].reset_index(drop=True)
         if rest is not None and len(rest):
-            yield compare(rest)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["gram", "key", "at"])  # a text's row may come more than once
-        gram = pdf["gram"].to_numpy()
-        alone = np.concatenate([[True], gram[1:] != gram[:-1]]) & np.concatenate([gram[1:] != gram[:-1], [True]])
-        pdf = pdf[~alone]
-        if not len(pdf):
-            return pd.DataFrame({"key": [], "a": [], "b": []}, dtype=np.int64)
-        data, lead = pdf["data"].tolist(), pdf["lead"].to_numpy()
-        size = np.fromiter(map(len, data), np.int64, len(data))
-        width = 2 * length - k
-        matrix = np.full((len(data), width), 256, np.uint16)
-        row = np.repeat(np.arange(len(data)), size)
-        begin = reach - lead
-        matrix[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + begin[row]] = np.frombuffer(b"".join(data), np.uint8)
-        hit = repeated_windows(np.ascontiguousarray(matrix.T), pdf["gram"].to_numpy(), length).T
-        window = np.arange(hit.shape[1])
-        hit &= (window >= begin[:, None]) & (window + length <= (begin + size)[:, None])
-        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        (r, a), b = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
-        offset = pdf["at"].to_numpy()[r] - reach
-        return pd.DataFrame({"key": pdf["key"].to_numpy()[r], "a": offset + a, "b": offset + b - 1 + length})
+            yield repeated_in_fragments(rest, length, k)
 
     cold = with_places.mapInPandas(fragments, "gram long, key long, at long, lead int, data binary")
     spans = cold.repartition("gram").sortWithinPartitions("gram").mapInPandas(columns, "key long, a long, b long")
