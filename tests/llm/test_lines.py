@@ -1,10 +1,13 @@
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from wavelot.llm import lines
 from wavelot.llm.lines import LONG, alike, apart, banded_distances, drop_lines, edit_distance, edit_similarity, line_report, normal_form, pair_profile, simhashes
+from wavelot.llm.links import packed_star_pairs, star_pairs
 
 
 def plain_distance(a, b):
@@ -151,3 +154,47 @@ def test_the_sieve_comes_to_the_driver_as_columns(spark, monkeypatch):
     monkeypatch.undo()
     assert set(range(0, 3_000, 3)) <= {r["id"] for r in left.collect()}
     assert left.count() < 1_100
+
+
+def test_distances_with_a_limit_for_each_pair():
+    rnd = random.Random(11)
+    a = ["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 150))) for _ in range(60)]
+    b = ["".join(c for c in x if rnd.random() > 0.1) + "b" * rnd.randint(0, 9) for x in a[:40]] + ["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 150))) for _ in range(20)]
+    want = np.array([edit_distance(x, y) for x, y in zip(a, b, strict=True)])
+    for more in (-1, 0, 1):
+        most = np.maximum(want + more, 0)
+        got = banded_distances(a, b, most)
+        assert (np.where(want <= most, got == want, got > most)).all()
+        assert (alike(a, b, most) == (want <= most)).all()
+
+
+def shuffled(spark):
+    time.sleep(0.5)  # figures are kept some tenths of a second late
+    spark.range(1).count()
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_buckets_travel_packed(spark):
+    rnd = random.Random(7)
+    often = [rnd.randint(-(2**63), 2**63 - 1) for _ in range(40)]
+    keys = {i: [rnd.choice(often) if rnd.random() < 0.01 else rnd.randint(-(2**63), 2**63 - 1) for _ in range(16)] for i in range(-3000, 3000)}
+    held = spark.createDataFrame([(i, keys[i]) for i in [*keys, *range(200)]] + [(7000, None)], "id long, keys array<long>")
+    pairs, crowded = star_pairs(held)
+    n = Counter(b for i in keys for b in set(keys[i]))
+    want = sorted(map(tuple, pairs.collect())), sorted(tuple(r) for r in crowded.select("bucket", "id", "b").collect() if n[r[0]] > 2)
+    for per_part in (1 << 18, 500):
+        before = shuffled(spark)
+        pairs, crowded = packed_star_pairs(held, 16 * len(keys), per_part)
+        assert (sorted(map(tuple, pairs.collect())), sorted(map(tuple, crowded.collect()))) == want
+        assert shuffled(spark) - before < 20 * 16 * len(keys)  # rows of a bucket, two ids and a count took more
+
+
+def test_lines_are_bucketed_without_a_row_for_each_bucket(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(word() for _ in range(8)) for _ in range(20))) for i in range(400)], "doc_id long, text string")
+    before = shuffled(spark)
+    assert line_report(docs, differ=None).count() == 400
+    assert shuffled(spark) - before < 20 * 16 * 8000

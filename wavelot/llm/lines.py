@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 
 from wavelot.llm.common import cut, join_hot, scratch, thin
 from wavelot.llm.hashing import mix, powers
-from wavelot.llm.links import across_links, components, star_pairs
+from wavelot.llm.links import across_links, components, packed_star_pairs
 from wavelot.llm.sieve import sift
 from wavelot.llm.shingles import sequences, word_hashes
 
-BANDS, ROWS, AGREE, SHORT, LONG, SLICE = 16, 4, 10, 15, 1000, 128_000
+BANDS, ROWS, AGREE, SHORT, LONG, SLICE = 16, 4, 10, 15, 4000, 128_000
 _WORD = re.compile(r"\w+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FAR = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)  # exponential waiting times by their 16 bits
@@ -297,43 +297,62 @@ def alike(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     out, rest = np.zeros(len(a), bool), []
     for i, (p, q) in enumerate(zip(a, b, strict=True)):
         x, y = _middles(p.split(" "), q.split(" "))
-        out[i] = max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)) <= most[i]
-        if not out[i] and max(len(p), len(q)) > LONG:
+        m, n = sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)  # with a blank after each word, so the distance is that of the whole forms
+        out[i] = max(m, n) <= most[i]
+        if not out[i] and max(m, n) > LONG:
             out[i] = distance_by_words(x, y, most[i]) <= most[i] or edit_distance(p, q, int(most[i])) <= most[i]
-        elif not out[i]:
-            rest.append((i, " ".join([*x, ""]), " ".join([*y, ""])))  # a blank after each word, so the distance is that of the whole forms
-    rest.sort(key=lambda r: max(len(r[1]), len(r[2])))
-    for at in range(0, len(rest), 256):
-        part, x, y = map(list, zip(*rest[at : at + 256], strict=True))
-        out[part] = banded_distances(x, y, int(most[part].max())) <= most[part]
+        elif not out[i] and abs(m - n) <= most[i]:
+            rest.append((max(m, n), i, " ".join([*x, ""]), " ".join([*y, ""])))
+    rest.sort()
+    while rest:
+        longest = rest[-1][0]
+        step = max(32, min(256, 256_000 // longest))
+        step = max(min(32, len(rest)), len(rest[-step:]) - bisect_left(rest[-step:], (int(0.6 * longest),)))  # of about one length
+        _, part, x, y = map(list, zip(*rest[-step:], strict=True))
+        del rest[-step:]
+        out[part] = banded_distances(x, y, most[part]) <= most[part]
     return out
 
 
-def banded_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
-    """Levenshtein distances of pairs of strings under some thousand characters, where they are at most `most`; else any larger number. All
-    pairs take the same diagonal at a time; row i + 1 of it is for i characters of a, and only rows in the band are filled."""
-    n, width, far = max(map(len, [*a, *b]), default=0), len(a), 1 << 14
+def banded_distances(a: list[str], b: list[str], most: int | np.ndarray) -> np.ndarray:
+    """Levenshtein distances of pairs of strings of LONG characters at most, where they are at most `most`; else any larger number. All
+    pairs take the same diagonal at a time; row i + 1 of it is for i characters of a. Only rows in the band are filled, from where a pair can still come to
+    its end within `most`, and pairs of which no row can go out."""
+    far = 1 << 14
+    size, other = (np.array([len(x) for x in s], np.int64) for s in (a, b))
+    limit = np.broadcast_to(np.asarray(most, np.int64), len(a))
+    out = np.where((size == 0) & (other == 0), 0, far)
+    who = np.flatnonzero((np.abs(size - other) <= limit) & (out > 0))
+    if not len(who):
+        return out
+    n, top = int(max(size[who].max(), other[who].max())), max(max(x, default="") for s in (a, b) for x in s)
+    kind = np.uint16 if ord(top) < 0xFFF0 else np.uint32
 
     def signs(s: list[str], filler: int) -> np.ndarray:
         """n x pairs: code points, and beyond a string's end a filler that equals none."""
-        out = np.full((width, n), filler, np.uint32)
-        for row, x in zip(out, s, strict=True):
-            row[: len(x)] = np.frombuffer(x.encode("utf-32-le", "replace"), np.uint32)
+        out = np.full((len(who), n), np.iinfo(kind).max - filler, kind)
+        for row, i in zip(out, who.tolist(), strict=True):
+            row[: len(s[i])] = np.frombuffer(s[i].encode("utf-32-le", "replace"), np.uint32)
         return np.ascontiguousarray(out.T)
 
-    x, y = signs(a, 1 << 30), np.ascontiguousarray(signs(b, 1 << 31)[::-1])
-    size = np.array([len(s) for s in a])
-    last = size + np.array([len(s) for s in b])
-    out = np.where(last == 0, 0, far)
-    older, old, new = (np.full((n + 3, width), far, np.int16) for _ in range(3))
+    x, y = signs(a, 0), np.ascontiguousarray(signs(b, 1)[::-1])
+    older, old, new = (np.full((n + 3, len(who)), far, np.int16) for _ in range(3))
     old[1] = 0
-    ends = {int(d): np.flatnonzero(last == d) for d in np.unique(last) if d}
-    for d in range(1, int(last.max(initial=0)) + 1):
-        low, high = max(0, d - n, (d - most + 1) // 2), min(n, d, (d + most) // 2)
+
+    def left() -> tuple[np.ndarray, np.ndarray, int, int, dict[int, np.ndarray]]:
+        """Of the pairs that are left: how much longer a is, `most`, the band of places in a less places in b, and which pairs end at which diagonal."""
+        more, last = size[who] - other[who], size[who] + other[who]
+        low, high = -((limit[who] - more) // 2), (limit[who] + more) // 2
+        return more.astype(np.int16), limit[who], int(low.min()), int(high.max()), {int(d): np.flatnonzero(last == d) for d in np.unique(last)}
+
+    more, within, under, over, ends = left()
+    for d in range(1, max(ends) + 1):
+        low, high = max(0, d - n, (d + under + 1) // 2), min(n, d, (d + over) // 2)
         new[low] = far
         if low <= high:
-            np.minimum(old[low + 1 : high + 2], old[low : high + 1], out=new[low + 1 : high + 2])
-            new[low + 1 : high + 2] += 1
+            now = new[low + 1 : high + 2]
+            np.minimum(old[low + 1 : high + 2], old[low : high + 1], out=now)
+            now += 1
             p, q = max(low, 1), min(high, d - 1)
             if p <= q:
                 same = older[p : q + 1] + (x[p - 1 : q] != y[n - d + p : n - d + q + 1])
@@ -341,9 +360,22 @@ def banded_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
         new[max(high, low - 1) + 2] = far
         if d in ends:
             at = ends[d]
-            inside = (size[at] >= low) & (size[at] <= high)
-            out[at] = np.where(inside, new[np.clip(size[at] + 1, 0, n + 2), at], far)
+            inside = (size[who[at]] >= low) & (size[who[at]] <= high)
+            out[who[at]] = np.where(inside, new[np.clip(size[who[at]] + 1, 0, n + 2), at], far)
         older, old, new = old, new, older
+        if d % 32 == 0 and low <= high:
+            # a pair goes on if a row of the last two diagonals is near enough to its end
+            least = np.full(len(who), far, np.int64)
+            for rows, back in ((old, 0), (older, 1)):
+                off = (2 * np.arange(low - 1, high + 1) - d + back).astype(np.int16)[:, None]
+                least = np.minimum(least, (rows[low : high + 2] + np.abs(more - off)).min(axis=0))
+            go = (least <= within) & (size[who] + other[who] > d)
+            if go.sum() < 0.8 * len(who):
+                who = who[go]
+                if not len(who):
+                    break
+                x, y, older, old, new = (z[:, go] for z in (x, y, older, old, new))
+                more, within, under, over, ends = left()
     return out
 
 
@@ -407,7 +439,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
     masks = None if differ is None else _masks(*_blocks(docs.count() * lines_a_doc, differ))
     _line_rows(rows, threshold, masks).write.option("compression", "zstd").parquet(path)
     lines = spark.read.parquet(path)
-    pairs, crowded = star_pairs(lines.select(F.col("norm").alias("id"), "keys"))
+    n_keys = lines.count() * (BANDS if masks is None else len(masks))
+    pairs, crowded = packed_star_pairs(lines.select(F.col("norm").alias("id"), "keys"), n_keys)
     pairs = cut(pairs)
     pairs = thin(pairs, pairs.count())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded.select("id")).distinct()
@@ -428,21 +461,30 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
         most = ((1 - threshold) * np.maximum(np.maximum(x, y), 1) + 1e-9).astype(np.int64)
         return most, np.abs(x - y) <= most
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for pdf in batches:
+            held.append(pdf)
+            if len(held) == 8:  # many pairs at a time are cheaper; Arrow batches are small
+                yield which(pd.concat(held, ignore_index=True))
+                held = []
+        if held:
+            yield which(pd.concat(held, ignore_index=True))
+
+    def which(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["fa"], pdf["fb"]
         hit = np.zeros(len(a), bool)
         if len(a):
             sketch = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
             p, q = a.str.len().to_numpy(), b.str.len().to_numpy()
             most, hit = by_length(p, q)
-            hit &= may_link(sketch(x), sketch(y), np.minimum(p, q) < SHORT)
+            hit &= may_link(sketch(pdf["sa"]), sketch(pdf["sb"]), np.minimum(p, q) < SHORT)
+            for some in np.array_split(np.flatnonzero(hit), len(a) // 1000 + 1):
+                at = np.arange(len(some))
+                hit[some] = apart(pair_profile(a.iloc[some].tolist()), at, pair_profile(b.iloc[some].tolist()), at) <= 4 * most[some]
             some = np.flatnonzero(hit)
-            one, two = a.iloc[some].tolist(), b.iloc[some].tolist()
-            at = np.arange(len(some))
-            near = np.flatnonzero(apart(pair_profile(one), at, pair_profile(two), at) <= 4 * most[some])
-            hit[some] = False
-            hit[some[near]] = alike([one[i] for i in near], [two[i] for i in near], most[some[near]])
-        return pd.Series(hit, dtype="bool")
+            hit[some] = alike(a.iloc[some].tolist(), b.iloc[some].tolist(), most[some])
+        return pdf.loc[hit, ["a", "b"]]
 
     def prepare(pdf: pd.DataFrame):
         form, length = pdf["form"].tolist(), pdf["form"].str.len().to_numpy()
@@ -473,7 +515,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
 
     one = forms.select(F.col("id").alias("a"), F.col("form").alias("fa"), F.col("sketch").alias("sa"))
     two = forms.select(F.col("id").alias("b"), F.col("form").alias("fb"), F.col("sketch").alias("sb"))
-    links = cut(pairs.join(one, "a").join(two, "b").where(linked("fa", "sa", "fb", "sb")).select("a", "b"))
+    links = cut(pairs.join(one, "a").join(two, "b").mapInPandas(linked, "a long, b long"))
     groups = components(links)
     more = cut(across_links(crowded, groups, forms, prepare, block=512, in_bulk=True).select("a", "b").distinct())
     if more.limit(1).count():

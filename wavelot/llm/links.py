@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,77 @@ def star_pairs(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), crowded
 
 
+def packed_star_pairs(held: DataFrame, n_keys: int, per_part: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """The same as star_pairs where nearly every bucket holds one id: buckets travel as arrays instead of as rows. n_keys: about how many keys there are; from it
+    follow the ranges of buckets, about per_part keys each, that are sorted at once. Bucket and id take 16 bytes. Crowded buckets have three different ids or more."""
+    parts = max(1, -(-n_keys // per_part))
+    width = np.uint64((1 << 64) // parts if parts > 1 else (1 << 64) - 1)
+
+    def once(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both in order of the key, repeats of (key, id) left out, and which keys are another row's too."""
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        twin = np.append(key[1:] == key[:-1], False)
+        twin[1:] |= twin[:-1].copy()
+        some = np.flatnonzero(twin)
+        by = np.lexsort((ids[some], key[some]))
+        ids[some] = ids[some[by]]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        return key[fresh], ids[fresh], twin[fresh]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            key, of, _ = once(np.concatenate(keys), np.concatenate(ids))
+            part = (key // width).astype(np.int32)
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(key)]
+            data = [key[x:y].tobytes() + of[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(data, pa.binary())], ["part", "data"])
+
+        for batch in batches:
+            lists = batch.column("keys")
+            keys.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            ids.append(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            if sum(map(len, keys)) >= 1 << 20:
+                yield packed()
+                keys, ids = [], []
+        if sum(map(len, keys)):
+            yield packed()
+
+    def shared(data: list[bytes]) -> pa.RecordBatch:
+        halves = [(np.frombuffer(d, np.uint64, len(d) // 16), np.frombuffer(d, np.int64, offset=len(d) // 2)) for d in data]
+        key, ids, twin = once(*(np.concatenate(x) for x in zip(*halves, strict=True)))
+        key, ids = key[twin], ids[twin]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        n = np.diff(np.append(first, len(key)))
+        least, n = np.repeat(ids[first], n), np.repeat(n, n)
+        some = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key.view(np.int64), ids, least, n)], ["bucket", "id", "b", "n"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, data = None, []
+        for batch in batches:
+            for part, d in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if part != now and data:
+                    yield shared(data)
+                    data = []
+                now = part
+                data.append(d)
+        if data:
+            yield shared(data)
+
+    path = scratch(held.sparkSession, "shapes")
+    dealt = held.select("id", "keys").mapInArrow(pack, "part int, data binary").repartition("part").sortWithinPartitions("part")
+    dealt.mapInArrow(unpack, "bucket long, id long, b long, n long").write.parquet(path)
+    rows = held.sparkSession.read.parquet(path)
+    crowded = cut(rows.where("n > 2").select("bucket", "id", "b"))
+    crowded = thin(crowded, crowded.count())
+    return rows.where("id != b").select(F.col("id").alias("a"), "b").distinct(), crowded
+
+
 def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prepare: Callable[[pd.DataFrame], object], block: int = 4096, block_bytes: int = 8 << 20, in_bulk: bool = False) -> DataFrame:
     """Links a, b, bucket between ids that no chain of links joins yet: enough of them to join all that link.
 
@@ -96,15 +168,21 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, held = None, []
         for pdf in batches:
-            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            held.append(pdf)
+            if in_bulk and len(held) < 8:  # many pairs at a time are cheaper; Arrow batches are small
+                continue
+            rest, held = pd.concat([*([] if rest is None else [rest]), *held], ignore_index=True), []
             edges = np.flatnonzero((rest[keys].iloc[1:].to_numpy() != rest[keys].iloc[:-1].to_numpy()).any(axis=1)) + 1
             if len(edges):  # the last group may go on
                 yield from found(rest, [0, *edges.tolist()])
                 rest = rest.iloc[edges[-1] :].reset_index(drop=True)
+        if held:
+            rest = pd.concat([*([] if rest is None else [rest]), *held], ignore_index=True)
         if rest is not None and len(rest):
-            yield from found(rest, [0, len(rest)])
+            edges = np.flatnonzero((rest[keys].iloc[1:].to_numpy() != rest[keys].iloc[:-1].to_numpy()).any(axis=1)) + 1
+            yield from found(rest, [0, *edges.tolist(), len(rest)])
 
     def bulk(pdf: pd.DataFrame, edges: list[int]) -> list[tuple[int, int, int]]:
         n, out = edges[-1], []
@@ -124,7 +202,7 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
             some = (now[i] != now[j]) & ~hub[j] & (~split[i] | (side[i] != side[j]))
             i, j = i[some], j[some]
             hit, gap = may(i, j)
-            i, j, step = i[hit], j[hit], 32
+            i, j, step = i[hit], j[hit], 128
             order = np.argsort(gap[hit], kind="stable")  # the likeliest first: what they join spares the others
             i, j = i[order], j[order]
             while len(i):
@@ -133,7 +211,7 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
                     if now[x] != now[y]:
                         now[now == max(now[x], now[y])] = min(now[x], now[y])
                         out.append((max(ids[x], ids[y]), min(ids[x], ids[y]), bucket[x]))
-                i, j, step = i[step:], j[step:], min(2 * step, 1024)
+                i, j, step = i[step:], j[step:], min(2 * step, 2048)
                 some = now[i] != now[j]
                 i, j = i[some], j[some]
         return out
