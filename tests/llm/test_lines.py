@@ -198,3 +198,14 @@ def test_lines_are_bucketed_without_a_row_for_each_bucket(spark):
     before = shuffled(spark)
     assert line_report(docs, differ=None).count() == 400
     assert shuffled(spark) - before < 17 * 16 * 8000
+
+
+def test_distances_in_parts_and_of_mixed_lengths():
+    rnd = random.Random(7)
+    a = ["".join(rnd.choice("abcdefgh é😀") for _ in range(n)) for n in (1, 5, 63, 64, 65, 200, 340) for _ in range(20)]
+    b = ["".join(c if rnd.random() < 0.85 else rnd.choice(["", "b", "ca"]) for c in x) if rnd.random() < 0.7 else rnd.choice(a) for x in a]
+    want = np.array([edit_distance(x, y) for x, y in zip(a, b, strict=True)])
+    for most in (np.array([max(len(x), len(y)) // 5 for x, y in zip(a, b, strict=True)]), np.array([rnd.randint(0, 90) for _ in a])):
+        for held in (8 << 20, 20_000):
+            got = banded_distances(a, b, most, held)
+            assert (got[want <= most] == want[want <= most]).all() and (got[want > most] > most[want > most]).all()

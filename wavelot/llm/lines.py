@@ -306,76 +306,114 @@ def alike(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     rest.sort()
     while rest:
         longest = rest[-1][0]
-        step = max(32, min(256, 256_000 // longest))
-        step = max(min(32, len(rest)), len(rest[-step:]) - bisect_left(rest[-step:], (int(0.6 * longest),)))  # of about one length
+        step = max(64, min(1024, 300_000 // longest))
+        step = max(min(256, len(rest[-step:])), len(rest[-step:]) - bisect_left(rest[-step:], (int(0.6 * longest),)))  # of about one length, if many
         _, part, x, y = map(list, zip(*rest[-step:], strict=True))
         del rest[-step:]
-        out[part] = banded_distances(x, y, most[part]) <= most[part]
+        if step < 24:
+            out[part] = [edit_distance(p, q, k) <= k for p, q, k in zip(x, y, most[part].tolist(), strict=True)]
+        else:
+            out[part] = banded_distances(x, y, most[part]) <= most[part]
     return out
 
 
-def banded_distances(a: list[str], b: list[str], most: int | np.ndarray) -> np.ndarray:
-    """Levenshtein distances of pairs of strings of LONG characters at most, where they are at most `most`; else any larger number. All
-    pairs take the same diagonal at a time; row i + 1 of it is for i characters of a. Only rows in the band are filled, from where a pair can still come to
-    its end within `most`, and pairs of which no row can go out."""
-    far = 1 << 14
-    size, other = (np.array([len(x) for x in s], np.int64) for s in (a, b))
+def banded_distances(a: list[str], b: list[str], most: int | np.ndarray, held: int = 8 << 20) -> np.ndarray:
+    """Levenshtein distances of pairs of strings of about one length, where they are at most `most`; else any larger number. Bit-parallel as in edit_distance, 64 places of a
+    in a word, all pairs and words at a time. Only words in the band are filled, from where a pair can still come to its end within `most`; beyond it
+    values count as growing by one each place, so none comes out too small. held: about how many bytes the places of all signs may take."""
+    size, other = (np.fromiter(map(len, s), np.int64, len(s)) for s in (a, b))
     limit = np.broadcast_to(np.asarray(most, np.int64), len(a))
-    out = np.where((size == 0) & (other == 0), 0, far)
-    who = np.flatnonzero((np.abs(size - other) <= limit) & (out > 0))
+    out = np.where(np.minimum(size, other) == 0, np.maximum(size, other), limit + 1)
+    who = np.flatnonzero((np.abs(size - other) <= limit) & (np.minimum(size, other) > 0))
     if not len(who):
         return out
-    n, top = int(max(size[who].max(), other[who].max())), max(max(x, default="") for s in (a, b) for x in s)
-    kind = np.uint16 if ord(top) < 0xFFF0 else np.uint32
-
-    def signs(s: list[str], filler: int) -> np.ndarray:
-        """n x pairs: code points, and beyond a string's end a filler that equals none."""
-        out = np.full((len(who), n), np.iinfo(kind).max - filler, kind)
-        for row, i in zip(out, who.tolist(), strict=True):
-            row[: len(s[i])] = np.frombuffer(s[i].encode("utf-32-le", "replace"), np.uint32)
-        return np.ascontiguousarray(out.T)
-
-    x, y = signs(a, 0), np.ascontiguousarray(signs(b, 1)[::-1])
-    older, old, new = (np.full((n + 3, len(who)), far, np.int16) for _ in range(3))
-    old[1] = 0
-
-    def left() -> tuple[np.ndarray, np.ndarray, int, int, dict[int, np.ndarray]]:
-        """Of the pairs that are left: how much longer a is, `most`, the band of places in a less places in b, and which pairs end at which diagonal."""
-        more, last = size[who] - other[who], size[who] + other[who]
-        low, high = -((limit[who] - more) // 2), (limit[who] + more) // 2
-        return more.astype(np.int16), limit[who], int(low.min()), int(high.max()), {int(d): np.flatnonzero(last == d) for d in np.unique(last)}
-
-    more, within, under, over, ends = left()
-    for d in range(1, max(ends) + 1):
-        low, high = max(0, d - n, (d + under + 1) // 2), min(n, d, (d + over) // 2)
-        new[low] = far
-        if low <= high:
-            now = new[low + 1 : high + 2]
-            np.minimum(old[low + 1 : high + 2], old[low : high + 1], out=now)
-            now += 1
-            p, q = max(low, 1), min(high, d - 1)
-            if p <= q:
-                same = older[p : q + 1] + (x[p - 1 : q] != y[n - d + p : n - d + q + 1])
-                np.minimum(new[p + 1 : q + 2], same, out=new[p + 1 : q + 2])
-        new[max(high, low - 1) + 2] = far
-        if d in ends:
-            at = ends[d]
-            inside = (size[who[at]] >= low) & (size[who[at]] <= high)
-            out[who[at]] = np.where(inside, new[np.clip(size[who[at]] + 1, 0, n + 2), at], far)
-        older, old, new = old, new, older
-        if d % 32 == 0 and low <= high:
-            # a pair goes on if a row of the last two diagonals is near enough to its end
-            least = np.full(len(who), far, np.int64)
-            for rows, back in ((old, 0), (older, 1)):
-                off = (2 * np.arange(low - 1, high + 1) - d + back).astype(np.int16)[:, None]
-                least = np.minimum(least, (rows[low : high + 2] + np.abs(more - off)).min(axis=0))
-            go = (least <= within) & (size[who] + other[who] > d)
+    x, y = (np.frombuffer("".join([s[i] for i in who.tolist()]).encode("utf-32-le", "replace"), np.uint32) for s in (a, b))
+    used = np.zeros(int(max(x.max(), y.max())) + 1, bool)
+    used[x] = used[y] = True
+    kind = np.cumsum(used, dtype=np.int32) - 1
+    kinds, words = int(used.sum()) + 1, int(size[who].max() + 63) // 64
+    if len(who) > 32 and 8 * words * kinds * len(who) > held:
+        for part in np.array_split(who, 2):
+            out[part] = banded_distances([a[i] for i in part.tolist()], [b[i] for i in part.tolist()], limit[part], held)
+        return out
+
+    def by_place(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Places x pairs: kinds of the signs, and the last kind beyond a string's end."""
+        of = np.full((len(n), n.max()), kinds - 1, np.int32)
+        of[np.arange(n.max()) < n[:, None]] = kind[codes]
+        return np.ascontiguousarray(of.T)
+
+    base = np.arange(len(who)) * kinds
+    places = np.zeros((words, len(who) * kinds), np.uint64)  # the places of each sign in a
+    for i, k in enumerate(by_place(x, size[who])):
+        places[i >> 6][base + k] |= np.uint64(1 << (i & 63))
+    y, begin = by_place(y, other[who]) + base, np.arange(words)[:, None] * places.shape[1]
+    full, top, one = np.uint64((1 << 64) - 1), np.uint64(63), np.uint64(1)
+    up, down, score = (np.zeros((words, len(who)), kind) for kind in (np.uint64, np.uint64, np.int64))  # score: the distance at the last place of each word
+    rise, fall = np.ones((words + 1, len(who)), np.uint64), np.zeros((words + 1, len(who)), np.uint64)  # by how much it grew or fell above each word
+
+    def left() -> tuple[np.ndarray, np.ndarray, set[int], list[int], list[int]]:
+        """Of the pairs that are left: the word and the step in which each ends, all these steps, and of each step the first word and the one after its last."""
+        more = size[who] - other[who]
+        under, over = int((-((limit[who] - more) // 2)).min()), int(((limit[who] + more) // 2).max()) + 1
+        word, w = (size[who] - 1) >> 6, np.arange(words)
+        step = other[who] + word
+        steps = np.arange(len(y) + words)
+        lows = np.searchsorted(np.minimum(64 * w + 64 - under, len(y)) + w, steps)
+        return word, step, set(step.tolist()), lows.tolist(), np.searchsorted(np.maximum(1, 64 * w - over + 1) + w, steps, side="right").tolist()
+
+    # all words at once: in step t word w is at place t - w of b, so what the word above it passed on is from the step before
+    word, step, ends, lows, highs = left()
+    filled = low = 0
+    for t in range(1, len(y) + words):
+        before, low = low, lows[t]
+        for w in range(filled, highs[t]):
+            score[w] = 64 + (score[w - 1] - rise[w].view(np.int64) + fall[w].view(np.int64) if w else 0)
+            up[w], down[w] = full, 0
+        filled = highs[t]  # fewer, where the band has become narrower: what is left out starts anew
+        now = slice(low, filled)
+        same, p, q, minus_in = places.take(y[t - filled : t - low][::-1] + begin[now]), up[now], down[now], fall[now]
+        vertical = same | q
+        same |= minus_in
+        diagonal = same & p
+        diagonal += p
+        diagonal ^= p
+        diagonal |= same
+        plus = diagonal | p
+        np.invert(plus, out=plus)
+        plus |= q
+        diagonal &= p  # from here on, where the distance falls along b
+        plus_out, minus_out = plus >> top, diagonal >> top
+        score[now] += plus_out.view(np.int64)
+        score[now] -= minus_out.view(np.int64)
+        plus <<= one
+        plus |= rise[now]
+        diagonal <<= one
+        diagonal |= minus_in
+        np.bitwise_or(vertical, plus, out=p)
+        np.invert(p, out=p)
+        p |= diagonal
+        np.bitwise_and(plus, vertical, out=q)
+        rise[low + 1 : filled + 1], fall[low + 1 : filled + 1] = plus_out, minus_out
+        if low > before:
+            rise[before + 1 : low + 1], fall[before + 1 : low + 1] = 1, 0
+        if t in ends:
+            end = np.flatnonzero(step == t)
+            w, z = word[end], ((size[who[end]] - 1) & 63).astype(np.uint64)
+            below = (full << z) << one
+            total = score[w, end] - np.bitwise_count(up[w, end] & below) + np.bitwise_count(down[w, end] & below)
+            out[who[end]] = np.where((w >= low) & (w < filled), total, out[who[end]])
+        if t % 64 == 0:
+            # a pair goes on if a word holds a place that is near enough to its end, or the place before it does
+            off = 64 * np.arange(low, filled)[:, None] + np.arange(low, filled)[:, None] + 1 - t - (size[who] - other[who])
+            least = (score[now] - np.bitwise_count(p) + np.maximum(np.maximum(off, -63 - off), 0)).min(axis=0) - 2
+            go = (least <= limit[who]) & (step > t)
             if go.sum() < 0.8 * len(who):
                 who = who[go]
                 if not len(who):
                     break
-                x, y, older, old, new = (z[:, go] for z in (x, y, older, old, new))
-                more, within, under, over, ends = left()
+                y, up, down, score, rise, fall = (np.ascontiguousarray(z[:, go]) for z in (y, up, down, score, rise, fall))
+                word, step, ends, lows, highs = left()
     return out
 
 

@@ -202,7 +202,7 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
             some = (now[i] != now[j]) & ~hub[j] & (~split[i] | (side[i] != side[j]))
             i, j = i[some], j[some]
             hit, gap = may(i, j)
-            i, j, step = i[hit], j[hit], 128
+            i, j, step = i[hit], j[hit], 512
             order = np.argsort(gap[hit], kind="stable")  # the likeliest first: what they join spares the others
             i, j = i[order], j[order]
             while len(i):
