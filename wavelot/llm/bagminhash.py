@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavelot.llm.common import cut, texts
+from wavelot.llm.common import cut, giving_back, texts
 from wavelot.llm.links import across_links, components, star_pairs
 from wavelot.llm.pieces import slices
 from wavelot.llm.shingles import sequence_hashes, shingles
@@ -75,6 +75,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, data = pdf["doc_id"].astype("Int64"), [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
@@ -93,6 +94,7 @@ def _sign(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
 def _multisets(rows: DataFrame, size: int) -> DataFrame:
     """rows: doc_id, text, id. The multiset of each row whose text has that id."""
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             data, want = [(t or "").encode("utf-8", "replace") for t in pdf["text"]], pdf["id"].to_numpy()
@@ -163,6 +165,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: i
 
 
 @F.pandas_udf(T.LongType())
+@giving_back
 def words_id(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The id that near_copies gives a text, null without words."""
     for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavelot.llm.common import cut, join_hot, scratch, thin
+from wavelot.llm.common import cut, giving_back, join_hot, scratch, thin
 from wavelot.llm.hashing import mix, powers
 from wavelot.llm.links import across_links, components, packed_star_pairs
 from wavelot.llm.sieve import sift
@@ -434,6 +434,7 @@ def _masks(blocks: int, keep: int) -> list[int]:
 def _line_rows(rows: DataFrame, threshold: float, masks: list[int] | None) -> DataFrame:
     """rows: doc_id, text, h. Per line with a sign: doc_id, h, line, norm (hash of the normal form), form and keys, its buckets."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, h = batch.column("doc_id"), batch.column("h")
@@ -499,6 +500,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, differ: int | None
         most = ((1 - threshold) * np.maximum(np.maximum(x, y), 1) + 1e-9).astype(np.int64)
         return most, np.abs(x - y) <= most
 
+    @giving_back
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
         for pdf in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.llm.common import cut, scratch, thin
+from wavelot.llm.common import cut, giving_back, scratch, thin
 from wavelot.llm.sieve import sift_lists
 
 
@@ -77,6 +77,7 @@ def packed_star_pairs(held: DataFrame, n_keys: int, per_part: int = 1 << 18) ->
         fresh[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
         return key[fresh], ids[fresh], twin[fresh]
 
+    @giving_back
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -108,6 +109,7 @@ def packed_star_pairs(held: DataFrame, n_keys: int, per_part: int = 1 << 18) ->
         some = n > 1
         return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key.view(np.int64), ids, least, n)], ["bucket", "id", "b", "n"])
 
+    @giving_back
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, data = None, []
         for batch in batches:
@@ -167,6 +169,7 @@ def across_links(crowded: DataFrame, groups: DataFrame, payload: DataFrame, prep
                 label[np.isin(label, joined)] = label[i]
         return out
 
+    @giving_back
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, held = None, []
         for pdf in batches:

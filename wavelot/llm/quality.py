@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.llm.common import small_batches
+from wavelot.llm.common import giving_back, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
@@ -176,6 +176,7 @@ def passes(rules: tuple[Rule, ...]):
     """A column function text -> boolean that stops at the first rule which rejects."""
 
     @F.pandas_udf("boolean")
+    @giving_back
     def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([not any(r.rejects(s) for r in rules) for s in map(TextStats, batch)], dtype=bool)

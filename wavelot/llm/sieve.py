@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavelot.llm.common import giving_back
 from wavelot.llm.hashing import mix
 
 _SEEDS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
@@ -29,6 +30,7 @@ def _filled(keys: DataFrame, bits: int):
     """Broadcast filter of keys (one long column)."""
     spark = keys.sparkSession
 
+    @giving_back
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(1 << (bits - 3), np.uint8)
         for pdf in batches:
@@ -56,6 +58,7 @@ def sift(rows: DataFrame, column: str, keys: DataFrame, bits: int = 25, keep: bo
     shared = _filled(keys, bits)
 
     @F.pandas_udf(T.BooleanType())
+    @giving_back
     def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(_held(shared.value, batch.to_numpy(), bits))
@@ -67,6 +70,7 @@ def sift_lists(rows: DataFrame, keys: DataFrame, bits: int = 25) -> DataFrame:
     """rows: id, keys (array<long>). id and bucket for each element that may be among the keys (one long column)."""
     shared = _filled(keys, bits)
 
+    @giving_back
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("keys")

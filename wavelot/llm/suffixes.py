@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelot.llm.common import scratch
+from wavelot.llm.common import giving_back, scratch
 from wavelot.llm.hashing import SYMBOL, mix
 from wavelot.llm.sieve import sift
 
@@ -79,7 +79,7 @@ def anchors(data: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndar
     return text, at - (ends - sizes)[text], h[at]
 
 
-def _portions(keys: list[int], data: list[bytes], length: int, most: int = 1 << 20):
+def _portions(keys: list[int], data: list[bytes], length: int, most: int = 1 << 18):
     """Lists of (key, place of the portion in its text, portion) of at most `most` bytes; long texts in portions that overlap by length - 1."""
     held, size = [], 0
     for key, d in zip(keys, data, strict=True):
@@ -177,6 +177,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, k: int = 40, most_fragmen
     each key with repeated bytes; repeats by equal keys aren't looked for."""
     spark, reach = rows.sparkSession, length - k
 
+    @giving_back
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for held in _portions(pdf["key"].tolist(), pdf["data"].tolist(), length):
@@ -197,6 +198,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, k: int = 40, most_fragmen
     wanted = spark.read.parquet(path)
     with_places = sift(rows, "key", wanted.select("key")).join(wanted, "key")
 
+    @giving_back
     def fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen, out = set(), []
@@ -214,6 +216,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, k: int = 40, most_fragmen
                     out = []
             yield pd.DataFrame(out, columns=["gram", "key", "at", "lead", "data"])
 
+    @giving_back
     def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
@@ -246,6 +249,7 @@ def _hot_spans(rows: DataFrame, hot: DataFrame, length: int, reach: int, run: in
     def digest(x: bytes) -> int:
         return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
+    @giving_back
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["core", "whole", "key", "a", "b"]
         for pdf in batches:
@@ -281,6 +285,7 @@ def _hot_spans(rows: DataFrame, hot: DataFrame, length: int, reach: int, run: in
     apart.unionByName(lone).distinct().write.parquet(path)
     windows = spark.read.parquet(path)
 
+    @giving_back
     def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -318,6 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 40, id_col: str
     joined = changed.unionByName(same)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    @giving_back
     def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for datas, spanss, copieds in batches:
             out = []
