@@ -209,3 +209,16 @@ def test_distances_in_parts_and_of_mixed_lengths():
         for held in (8 << 20, 20_000):
             got = banded_distances(a, b, most, held)
             assert (got[want <= most] == want[want <= most]).all() and (got[want > most] > most[want > most]).all()
+
+
+def test_distances_beyond_the_last_end():
+    rnd = random.Random(1)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    for long, short in ((460, 378), (550, 385), (550, 405), (840, 692), (920, 756)):
+        a = [word(long) for _ in range(29)]  # unlike, so they are left early; their words stay beyond the end of the last pair
+        b = [word(long - long // 5) for _ in a]
+        a, b = [*a, word(short)], [*b, ""]
+        b[-1] = a[-1][1:]
+        most = np.array([len(x) // 5 for x in a])
+        assert (banded_distances(a, b, most) <= most).tolist() == [False] * 29 + [True]
+        assert banded_distances(a, b, most)[-1] == 1

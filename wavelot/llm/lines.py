@@ -403,6 +403,9 @@ def banded_distances(a: list[str], b: list[str], most: int | np.ndarray, held: i
             below = (full << z) << one
             total = score[w, end] - np.bitwise_count(up[w, end] & below) + np.bitwise_count(down[w, end] & below)
             out[who[end]] = np.where((w >= low) & (w < filled), total, out[who[end]])
+            ends.discard(t)
+            if not ends:  # the words of longer pairs, which were left, may begin only after a gap: there the band holds no word
+                break
         if t % 64 == 0:
             # a pair goes on if a word holds a place that is near enough to its end, or the place before it does
             off = 64 * np.arange(low, filled)[:, None] + np.arange(low, filled)[:, None] + 1 - t - (size[who] - other[who])
