@@ -222,3 +222,24 @@ def test_distances_beyond_the_last_end():
         most = np.array([len(x) // 5 for x in a])
         assert (banded_distances(a, b, most) <= most).tolist() == [False] * 29 + [True]
         assert banded_distances(a, b, most)[-1] == 1
+
+
+def test_lines_with_the_same_words_in_another_order(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    first, second = [], []
+    while len(first) < 40:  # the longer form is a, the one with the larger hash
+        words = [word() for _ in range(68)]
+        x, y = " ".join(words), " ".join(rnd.sample(words, 55))
+        if lines.Lines([x], [0]).norm.view(np.int64)[0] > lines.Lines([y], [0]).norm.view(np.int64)[0]:
+            first.append(x)
+            second.append(y)
+    for _ in range(6):
+        words = [word() for _ in range(51)]
+        first.append(" ".join(words))
+        second.append(" ".join(["x" + words[0], *words[1:-1], words[-1] + "x"]))
+    want = [edit_similarity(x, y) >= 0.8 for x, y in zip(first, second, strict=True)]
+    assert want == [False] * 40 + [True] * 6
+    docs = spark.createDataFrame([(2 * i + k, x[i]) for k, x in enumerate((first, second)) for i in range(len(x))], "doc_id long, text string")
+    got = {r["doc_id"] for r in line_report(docs, differ=None).where("n_removed > 0").collect()}
+    assert got == {2 * i + 1 for i, w in enumerate(want) if w}
